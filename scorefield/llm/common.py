@@ -266,3 +266,53 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"the components have not settled in {most_rounds} rounds")
     return e.selectExpr("a as node", "b as component_id").unionByName(e.selectExpr("b as node", "b as component_id").distinct())
+
+
+# --- runs of equal keys in sorted streams -----------------------------------------------------------------------------
+
+
+def columns_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+
+
+def sorted_stream(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Columns of rows sorted by their first columns, and for each row if its keys equal those of the row before and after.
+
+    Holds one batch and one row, however many rows share a key.
+    """
+    held, held_same = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = columns_of(batch)
+        if held is not None:
+            cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
+        n = len(cols[0])
+        before = np.zeros(n, bool)
+        before[0] = held_same
+        if n > 1:
+            before[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in cols[:keys]])
+        if n > 1:
+            yield [c[:-1] for c in cols], before[:-1], before[1:]
+        held, held_same = [c[-1:] for c in cols], bool(before[-1])
+    if held is not None:
+        yield held, np.array([held_same]), np.array([False])
+
+
+def later(before: np.ndarray, moved: np.ndarray, carried: bool) -> np.ndarray:
+    """For rows sorted by key and place: if a row of the same key stands at an earlier place. moved: the place differs from
+    that of the row before; carried: the answer for the row before the first."""
+    n = np.arange(len(before))
+    start = np.maximum.accumulate(np.where(before, -1, n))
+    step = np.maximum.accumulate(np.where(before & moved, n, -1))
+    return (step > start) | ((start < 0) & carried)
+
+
+def list_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of a column of lists; a null list is empty."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    at = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=at[1:])
+    return at, column.flatten()

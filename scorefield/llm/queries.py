@@ -1,6 +1,12 @@
 """The queries of this subpackage and the SQL that gives the same rows, where SQL can."""
 
-from . import decontaminate
+from . import decontaminate, substrings
 
-QUERIES = {"op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination}
-ORACLES = {"op10_benchmark_decontamination": decontaminate.ORACLE}
+QUERIES = {
+    "op5_substring_dedup": substrings.op5_substring_dedup,
+    "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
+}
+ORACLES = {
+    "op5_substring_dedup": substrings.ORACLE,
+    "op10_benchmark_decontamination": decontaminate.ORACLE,
+}
