@@ -1,12 +1,14 @@
 """The queries of this subpackage and the SQL that gives the same rows, where SQL can."""
 
-from . import decontaminate, substrings
+from . import decontaminate, spans, substrings
 
 QUERIES = {
     "op5_substring_dedup": substrings.op5_substring_dedup,
+    "op9_suffix_array_dedup": spans.op9_suffix_array_dedup,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 ORACLES = {
     "op5_substring_dedup": substrings.ORACLE,
+    "op9_suffix_array_dedup": spans.ORACLE,
     "op10_benchmark_decontamination": decontaminate.ORACLE,
 }
