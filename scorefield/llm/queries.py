@@ -1,15 +1,17 @@
 """The queries of this subpackage and the SQL that gives the same rows, where SQL can."""
 
-from . import decontaminate, simhash, spans, substrings
+from . import decontaminate, embeddings, simhash, spans, substrings
 
 QUERIES = {
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_substring_dedup": substrings.op5_substring_dedup,
+    "op8_embedding_near_dedup": embeddings.op8_embedding_near_dedup,
     "op9_suffix_array_dedup": spans.op9_suffix_array_dedup,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 ORACLES = {
     "op5_substring_dedup": substrings.ORACLE,
+    "op8_embedding_near_dedup": embeddings.ORACLE,
     "op9_suffix_array_dedup": spans.ORACLE,
     "op10_benchmark_decontamination": decontaminate.ORACLE,
 }
