@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, LOWEST, SYMBOLS, U, chunks, later, list_column, materialize, mix, ngram_hashes, read_table, signed, sorted_stream, text_bytes
-from .substrings import KNOWN, SEVERAL, SINGLE, WHOLE, _collapse, _found_earlier, _repeats, _spread
+from .common import BASES, LOWEST, SYMBOLS, U, chunks, later, list_column, mix, ngram_hashes, read_table, signed, sorted_stream, text_bytes
+from .substrings import KNOWN, _collapse, anchor_batch, anchor_rows, found_earlier, repeated_places, whole_rows, window_rows
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM = 100, 32
@@ -66,21 +66,9 @@ def _anchors(length: int):
             if (found := _regions(data, at, length)) is None:
                 continue
             text, place, _, key = found
-            doc = d[text]
-            order, same, _ = _collapse(key, None, (doc, place))
-            key, doc, place = key[order], doc[order], place[order]
-            kind = np.where(same, KNOWN, SINGLE)
-            kind[:-1][~same[:-1] & same[1:]] = SEVERAL
-            key = np.where(same, mix(doc.astype(U) * U(BASES[1]) + place.astype(U)), key)
             whole = np.flatnonzero(np.diff(at) >= length)
-            digests = np.array([np.frombuffer(hashlib.md5(data[at[i] : at[i + 1]]).digest(), np.int64) for i in whole])
-            columns = (
-                np.concatenate([signed(key), digests[:, 0]]),
-                np.concatenate([kind, np.full(len(whole), WHOLE)]).astype(np.int32),
-                np.concatenate([place, digests[:, 1] >> 33]).astype(np.int32),
-                np.concatenate([doc, d[whole]]),
-            )
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "kind", "p", "d"])
+            digests = np.array([np.frombuffer(hashlib.md5(data[at[i] : at[i + 1]]).digest(), U) for i in whole])
+            yield anchor_batch(anchor_rows(key, d[text], place), whole_rows(digests[:, 0], digests[:, 1], d[whole]))
 
     return scan
 
@@ -90,18 +78,17 @@ def _repeated_regions(length: int):
 
     def scan(batches):
         for part in chunks(batches):
-            lists_at, values = list_column(part.column(2))
+            lists_at, values = list_column(part.column(3))
             values = values.to_numpy(zero_copy_only=False).astype(np.int64)
-            if not len(values):
+            copied = part.column(4).fill_null(False).to_numpy(zero_copy_only=False)
+            if copied.all() or not len(values):
                 continue
-            d = part.column(0).to_numpy(zero_copy_only=False)
-            data, at = text_bytes(part.column(1))
+            d = part.column(1).to_numpy(zero_copy_only=False)
+            data, at = text_bytes(part.column(2))
             if (found := _regions(data, at, length)) is None:
                 continue
             text, place, size, key = found
             of = np.repeat(np.arange(part.num_rows), np.diff(lists_at))
-            copied = np.zeros(part.num_rows, bool)
-            copied[of[values < 0]] = True
             wide = int(np.diff(at).max()) + 1
             chosen = np.isin(text * wide + place, of * wide + values) & ~copied[text]
             text, place, size, key = (x[chosen] for x in (text, place, size, key))
@@ -165,25 +152,20 @@ class _Shard:
         return np.array([rows[i][0] for i in region[hit[first]]]), np.array([rows[i][1] for i in region[hit[first]]]) + offset[hit[first]], np.diff(np.append(first, len(hit)))
 
 
-def _windows_of(rows: list, length: int):
-    """Each window of the regions by itself: two hashes, document and start."""
-    for d, s, n, content in rows:
-        raw = bytes(content)
-        both = np.array([np.frombuffer(hashlib.md5(raw[i : i + length]).digest(), np.int64) for i in range(n)])
-        yield both[:, 0], (both[:, 1] >> 33).astype(np.int32), np.full(n, d), s + np.arange(n)
-
-
 def _judged(length: int, most: int):
-    """Rows (d, s, n) of windows to remove, and rows (d, s, 1, k, c) of windows that are judged one by one."""
-    names = ["d", "s", "n", "k", "c"]
+    """Rows (k, d, e, n): runs of n windows that are known to go, and single windows that are still to be judged."""
+    names = ["k", "d", "e", "n"]
 
-    def out(d, s, n, k=None, c=None):
-        m = len(d)
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(d, np.int64)), pa.array(np.asarray(s).astype(np.int32)), pa.array(np.asarray(n).astype(np.int32)), pa.nulls(m, pa.int64()) if k is None else pa.array(k), pa.nulls(m, pa.int32()) if c is None else pa.array(c)], names)
+    def out(d, s, n):
+        d, s = np.asarray(d, np.int64), np.asarray(s).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(signed(mix(d.astype(U) * U(BASES[1]) + s.astype(U)))), pa.array(d), pa.array(s << 2 | KNOWN), pa.array(np.asarray(n).astype(np.int32))], names)
 
     def hot(rows):
-        for k, c, d, s in _windows_of(rows, length):
-            yield out(d, s, np.ones(len(d)), k, c)
+        for d, s, n, content in rows:
+            raw = bytes(content)
+            both = np.array([np.frombuffer(hashlib.md5(raw[i : i + length]).digest(), U) for i in range(n)])
+            batch = window_rows(both[:, 0], both[:, 1], np.full(n, d), s + np.arange(n))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.ones(batch.num_rows, np.int32))], names)
 
     def scan(batches):
         shard, key, group, size, single = _Shard(length), None, [], 0, False
@@ -229,9 +211,9 @@ def _judged(length: int, most: int):
 def _removal(length: int):
     def scan(batches):
         for part in chunks(batches):
-            data, at = text_bytes(part.column(1))
+            data, at = text_bytes(part.column(2))
             n = np.diff(at)
-            lists_at, values = list_column(part.column(2))
+            lists_at, values = list_column(part.column(5))
             s = values.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
             count = values.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
             gone = np.zeros(len(data), bool)
@@ -242,7 +224,7 @@ def _removal(length: int):
                 np.add.at(step, np.minimum(base + s, end), 1)
                 np.add.at(step, np.minimum(base + s + count + length - 1, end), -1)
                 gone = np.cumsum(step)[:-1] > 0
-            gone |= np.repeat(part.column(3).fill_null(False).to_numpy(zero_copy_only=False), n)
+            gone |= np.repeat(part.column(4).fill_null(False).to_numpy(zero_copy_only=False), n)
             kept = np.zeros(len(data) + 1, np.int64)
             np.cumsum(~gone, out=kept[1:])
             opens = gone.copy()
@@ -268,19 +250,14 @@ def dedup_spans(documents: DataFrame, length: int = LENGTH, shard_bytes: int = S
     if length <= GRAM:
         raise ValueError(f"a string has more than {GRAM} bytes")
     docs = documents.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("d"), F.col("text").cast("string").alias("text"))
-    anchors = docs.select("d", "text").mapInArrow(_anchors(length), "h long, kind int, p int, d long")
-    places = anchors.repartition("h").sortWithinPartitions("h", "kind", "p", "d").mapInArrow(_repeats, "d long, p int")
-    places = places.groupBy("d").agg(F.collect_list("p").alias("ps"), (F.min("p") < 0).alias("copied"))
-    dealt = docs.join(places, "d", "left")
-    regions = dealt.where("ps is not null").select("d", "text", "ps").mapInArrow(_repeated_regions(length), "k long, r1 long, r2 long, d long, s int, n int, content binary")
-    judged = regions.repartition("k").sortWithinPartitions("k", "r1", "r2", "d", "s").mapInArrow(_judged(length, shard_bytes), "d long, s int, n int, k long, c int")
-    judged = materialize(judged, "judged-spans")
-    single = judged.where("k is not null").withColumn("kind", F.lit(SINGLE)).select("k", "c", "d", "s", "kind")
-    single = single.repartition("k").sortWithinPartitions("k", "c", "d", "s").mapInArrow(_found_earlier, "d long, s int")
-    gone = judged.where("k is null").select("d", "s", "n").unionByName(single.withColumn("n", F.lit(1)))
+    places = repeated_places(docs.select("d", "text").mapInArrow(_anchors(length), "key long, d long, rest int"))
+    dealt = docs.join(places, "d", "left").select("doc_id", "d", "text", "ps", "copied")  # both uses take all of it, so that one exchange serves them
+    regions = dealt.mapInArrow(_repeated_regions(length), "k long, r1 long, r2 long, d long, s int, n int, content binary")
+    judged = regions.repartition("k").sortWithinPartitions("k", "r1", "r2", "d", "s").mapInArrow(_judged(length, shard_bytes), "k long, d long, e long, n int")
+    gone = found_earlier(judged)
     gone = gone.groupBy("d").agg(F.collect_list(F.struct("s", "n")).alias("gone"))
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return dealt.drop("ps").join(gone, "d", "left").select("doc_id", "text", "gone", "copied").mapInArrow(_removal(length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return dealt.join(gone, "d", "left").select("doc_id", "d", "text", "ps", "copied", "gone").mapInArrow(_removal(length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op9_suffix_array_dedup(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 Difference-cover anchors: short windows are hashed only where the position modulo a period is in a difference cover. Any
 two equal long windows, wherever they start, then hold a pair of equal anchors at the same place of each. So one shuffle
-of about a third of the positions finds every stretch that may repeat; only there are the long windows hashed (95 bits)
+of about a third of the positions finds every stretch that may repeat; only there are the long windows hashed (91 bits)
 and compared, which extends the anchors to whole matches.
 """
 
@@ -33,6 +33,32 @@ def _collapse(key: np.ndarray, check: np.ndarray | None, place: tuple[np.ndarray
     return order, same, later(same, moved, False)
 
 
+def anchor_rows(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (key, d, rest) of the anchors of a chunk, in their order, so that neighbours compress well.
+
+    47 bits of the hash and the low 16 of the place make the key; rest has the others and the kind. Of a hash that is in
+    the chunk several times one row meets the other chunks' rows; the rest are known to repeat and are dealt anywhere, so
+    that a hot hash sends one row a chunk.
+    """
+    order, same, _ = _collapse(key, None, (doc, place))
+    kind = np.empty(len(key), np.int64)
+    ordered = np.where(same, KNOWN, SINGLE)
+    ordered[:-1][~same[:-1] & same[1:]] = SEVERAL
+    kind[order] = ordered
+    key = np.where(kind == KNOWN, mix(doc.astype(U) * U(BASES[1]) + place.astype(U)), key)
+    return ((key >> U(17)) << U(16)) | (place & 0xFFFF).astype(U), doc, ((place >> 16) << 2) | kind
+
+
+def whole_rows(one: np.ndarray, two: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of whole documents by two hashes; the sign of the key tells them from anchors."""
+    return one | U(1 << 63), doc, ((two >> U(35)) << U(2)).astype(np.int64) | WHOLE
+
+
+def anchor_batch(*rows: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    key, doc, rest = (np.concatenate(x) for x in zip(*rows))
+    return pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(doc), pa.array(rest.astype(np.int32))], ["key", "d", "rest"])
+
+
 def _anchors(window: int):
     gram = window - PERIOD + 1
     at_cover = np.isin(np.arange(PERIOD), COVER)
@@ -40,27 +66,18 @@ def _anchors(window: int):
     def scan(batches):
         for part in chunks(batches):
             d, words = part.column(0).to_numpy(zero_copy_only=False), words_of(part.column(1))
-            h, out = words.hashes(), []
-            text, n = words.text_of(), words.count
+            h, text, n, out = words.hashes(), words.text_of(), words.count, []
             if len(h) >= gram:
                 p = np.arange(len(h) - gram + 1)
                 p = p[at_cover[(p - words.first[text[p]]) % PERIOD] & (p + gram <= words.last()[p]) & (n[text[p]] >= window)]
-                key, doc, place = ngram_hashes(h, gram)[p], d[text[p]], p - words.first[text[p]]
-                order, same, _ = _collapse(key, None, (doc, place))
-                key, doc, place = key[order], doc[order], place[order]
-                # of a key that is in this chunk several times, one row goes to the others; the rest are known to repeat and are dealt anywhere
-                kind = np.where(same, KNOWN, SINGLE)
-                kind[:-1][~same[:-1] & same[1:]] = SEVERAL
-                key = np.where(same, mix(doc.astype(U) * U(BASES[1]) + place.astype(U)), key)
-                out.append((signed(key), kind, place, doc))
+                out.append(anchor_rows(ngram_hashes(h, gram)[p], d[text[p]], p - words.first[text[p]]))
             whole = np.flatnonzero(n >= window)
             if len(whole):
-                at = words.first
-                both = [np.array([np.add.reduce(x[at[i] : at[i + 1]] * y[: n[i]]) for i in whole], U) for x, y in ((h, _weights(int(n.max()))), (mix(h ^ U(BASES[0])), _weights(int(n.max()))))]
-                out.append((signed(mix(both[0])), np.full(len(whole), WHOLE), (mix(both[1]) >> U(33)).astype(np.int64), d[whole]))
+                at, weights = words.first, _weights(int(n.max()))
+                one, two = (mix(np.array([np.add.reduce(x[at[i] : at[i + 1]] * weights[: n[i]]) for i in whole], U)) for x in (h, mix(h ^ U(BASES[0]))))
+                out.append(whole_rows(one, two, d[whole]))
             if out:
-                key, kind, place, doc = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(doc)], ["h", "kind", "p", "d"])
+                yield anchor_batch(*out)
 
     return scan
 
@@ -75,27 +92,30 @@ def _weights(n: int) -> np.ndarray:
     return _held_weights
 
 
-def _repeats(batches):
-    """Places of anchors that occur again, and -1 for a document that is an exact copy of an earlier one."""
+def repeated_places(anchors: DataFrame) -> DataFrame:
+    """d, ps (places of anchors that occur again) and copied (the document is an exact copy of an earlier one)."""
 
     def with_class(source):
-        # whole documents and anchors are told apart; of whole documents the check value belongs to the key
         for batch in source:
-            h, kind, p, d = columns_of(batch)
-            whole = kind == WHOLE
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(whole.astype(np.int8)), pa.array(np.where(whole, p, 0)), pa.array(kind), pa.array(p), pa.array(d)], list("hwckpd"))
-
-    carried, last = False, None
-    for (_, whole, _, kind, p, d), before, after in sorted_stream(with_class(batches), 3):
-        moved = np.ones(len(d), bool)
-        moved[1:] = d[1:] != d[:-1]
-        moved[0] = last is None or d[0] != last
-        copy = later(before, moved, carried)
-        carried, last = bool(copy[-1]), d[-1]
-        whole = whole == 1
-        keep = np.where(whole, copy, before | after | (kind != SINGLE))
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(d[keep]), pa.array(np.where(whole, -1, p)[keep].astype(np.int32))], ["d", "p"])
+            key, d, rest = columns_of(batch)
+            whole = key < 0
+            low = key & 0xFFFF
+            yield pa.RecordBatch.from_arrays([pa.array(key >> 16), pa.array(np.where(whole, low << 32 | rest, -1)), pa.array(np.where(whole, -1, (rest.astype(np.int64) >> 2) << 16 | low)), pa.array(rest & 3), pa.array(d)], ["h", "c", "p", "kind", "d"])
+
+    def scan(batches):
+        carried, last = False, None
+        for (_, _, p, kind, d), before, after in sorted_stream(with_class(batches), 2):
+            moved = np.ones(len(d), bool)
+            moved[1:] = d[1:] != d[:-1]
+            moved[0] = last is None or d[0] != last
+            copy = later(before, moved, carried)
+            carried, last = bool(copy[-1]), d[-1]
+            keep = np.where(kind == WHOLE, copy, before | after | (kind != SINGLE))
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(d[keep]), pa.array(p[keep].astype(np.int32))], ["d", "p"])
+
+    places = anchors.repartition(F.shiftright("key", 16)).sortWithinPartitions("key", "rest", "d").mapInArrow(scan, "d long, p int")
+    return places.groupBy("d").agg(F.collect_list("p").alias("ps"), (F.min("p") < 0).alias("copied"))
 
 
 def _spread(at: np.ndarray, values: np.ndarray, first: np.ndarray, n: np.ndarray, length: int, before: int = 0) -> np.ndarray:
@@ -109,61 +129,76 @@ def _spread(at: np.ndarray, values: np.ndarray, first: np.ndarray, n: np.ndarray
     return np.cumsum(step)[:-1] > 0
 
 
+def window_rows(key: np.ndarray, check: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """Rows (k, d, e) of windows in their order: e has 27 more bits of the hash, the place and the kind.
+
+    Rows of this chunk that are later than another of their window are known to go, and are dealt anywhere.
+    """
+    order, same, ordered = _collapse(key, check, (doc, place))
+    after, keep = np.empty(len(key), bool), np.empty(len(key), bool)
+    after[order] = ordered
+    keep[order] = ~same | ordered  # rows at the very place of the key's first say nothing new
+    kind = np.where(after, KNOWN, SINGLE)
+    key = np.where(after, mix(doc.astype(U) * U(BASES[1]) + place.astype(U)), key)
+    e = ((check >> U(37)) << U(36)).astype(np.int64) | place << 2 | kind
+    return pa.RecordBatch.from_arrays([pa.array(signed(key)[keep]), pa.array(doc[keep]), pa.array(e[keep])], ["k", "d", "e"])
+
+
+def found_earlier(windows: DataFrame) -> DataFrame:
+    """d, s of the windows that also stand at an earlier place; where rows have n, it stays with them."""
+    more = windows.columns[3:]
+
+    def split(source):
+        for batch in source:
+            k, d, e, *rest = columns_of(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, e >> 36, d, e >> 2 & ((1 << 34) - 1), e & 3, *rest)], ["k", "c", "d", "s", "kind", *more])
+
+    def scan(batches):
+        carried, last = False, None
+        for (_, _, d, s, kind, *rest), before, _ in sorted_stream(split(batches), 2):
+            moved = np.ones(len(d), bool)
+            moved[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1])
+            moved[0] = last is None or (d[0], s[0]) != last
+            seen = later(before, moved, carried)
+            carried, last = bool(seen[-1]), (d[-1], s[-1])
+            seen = seen | (kind == KNOWN)
+            if seen.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[seen]) for x in (d, s.astype(np.int32), *rest)], ["d", "s", *more])
+
+    return windows.repartition("k").sortWithinPartitions("k", F.shiftright("e", 36), "d", "e").mapInArrow(scan, ", ".join(["d long, s int", *(f"{c} int" for c in more)]))
+
+
 def _windows(window: int):
     gram = window - PERIOD + 1
 
     def scan(batches):
-        for part in chunks(batches, "text"):
-            at, values = list_column(part.column(2))
+        for part in chunks(batches):
+            at, values = list_column(part.column(3))
+            copied = part.column(4).fill_null(False).to_numpy(zero_copy_only=False)
             values = values.to_numpy(zero_copy_only=False).astype(np.int64)
-            if not len(values):
+            keep = ~np.repeat(copied, np.diff(at)) & (values >= 0)
+            if not keep.any():
                 continue
-            d, words = part.column(0).to_numpy(zero_copy_only=False), words_of(part.column(1))
-            text_of_value = np.repeat(np.arange(part.num_rows), np.diff(at))
-            copied = np.zeros(part.num_rows, bool)
-            copied[text_of_value[values < 0]] = True
-            keep = ~copied[text_of_value]
+            d, words = part.column(1).to_numpy(zero_copy_only=False), words_of(part.column(2))
             kept_at = np.zeros(part.num_rows + 1, np.int64)
-            np.cumsum(np.bincount(text_of_value[keep], minlength=part.num_rows), out=kept_at[1:])
+            np.cumsum(np.bincount(np.repeat(np.arange(part.num_rows), np.diff(at))[keep], minlength=part.num_rows), out=kept_at[1:])
             mask = _spread(kept_at, values[keep], words.first, words.count, 1, window - gram)
             h, last = words.hashes(), words.last()
             start = np.flatnonzero(mask & (np.arange(len(h)) + window <= last))
-            if not len(start):
-                continue
-            text = np.searchsorted(words.first, start, "right") - 1
-            doc, s = d[text], start - words.first[text]
-            k = ngram_hashes(h, window)[start]
-            check = (ngram_hashes(mix(h ^ U(BASES[0])), window, BASES[1])[start] >> U(33)).astype(np.int32)
-            order, same, after = _collapse(k, check, (doc, s))
-            k, check, doc, s = k[order], check[order], doc[order], s[order]
-            keep = ~same | after  # rows at the very place of the key's first say nothing new
-            kind = np.where(after, KNOWN, SINGLE)
-            k = np.where(after, mix(doc.astype(U) * U(BASES[1]) + s.astype(U)), k)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(k)[keep]), pa.array(check[keep]), pa.array(doc[keep]), pa.array(s[keep].astype(np.int32)), pa.array(kind[keep].astype(np.int32))], ["k", "c", "d", "s", "kind"])
+            if len(start):
+                text = np.searchsorted(words.first, start, "right") - 1
+                yield window_rows(ngram_hashes(h, window)[start], ngram_hashes(mix(h ^ U(BASES[0])), window, BASES[1])[start], d[text], start - words.first[text])
 
     return scan
 
 
-def _found_earlier(batches):
-    carried, last = False, None
-    for (_, _, d, s, kind), before, _ in sorted_stream(batches, 2):
-        moved = np.ones(len(d), bool)
-        moved[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1])
-        moved[0] = last is None or (d[0], s[0]) != last
-        seen = later(before, moved, carried)
-        carried, last = bool(seen[-1]), (d[-1], s[-1])
-        seen = seen | (kind == KNOWN)
-        if seen.any():
-            yield pa.RecordBatch.from_arrays([pa.array(d[seen]), pa.array(s[seen])], ["d", "s"])
-
-
 def _removal(window: int):
     def scan(batches):
         for part in chunks(batches, "text"):
-            words, n = words_of(part.column(1)), part.num_rows
-            at, values = list_column(part.column(2))
+            words, n = words_of(part.column(2)), part.num_rows
+            at, values = list_column(part.column(5))
             gone = _spread(at, values.to_numpy(zero_copy_only=False).astype(np.int64), words.first, words.count, window)
-            copied = part.column(3).fill_null(False).to_numpy(zero_copy_only=False)
+            copied = part.column(4).fill_null(False).to_numpy(zero_copy_only=False)
             gone |= np.repeat(copied, words.count)
             keep = np.flatnonzero(~gone)
             text = np.searchsorted(words.first, keep, "right") - 1
@@ -197,15 +232,11 @@ def dedup_substrings(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     if window < PERIOD:
         raise ValueError(f"a window has {PERIOD} words at least")
     docs = documents.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("d"), F.col("text").cast("string").alias("text"))
-    anchors = docs.select("d", "text").mapInArrow(_anchors(window), "h long, kind int, p int, d long")
-    places = anchors.repartition("h").sortWithinPartitions("h", "kind", "p", "d").mapInArrow(_repeats, "d long, p int")
-    places = places.groupBy("d").agg(F.collect_list("p").alias("ps"), (F.min("p") < 0).alias("copied"))
-    dealt = docs.join(places, "d", "left")
-    windows = dealt.where("ps is not null").select("d", "text", "ps").mapInArrow(_windows(window), "k long, c int, d long, s int, kind int")
-    found = windows.repartition("k").sortWithinPartitions("k", "c", "d", "s").mapInArrow(_found_earlier, "d long, s int")
-    found = found.groupBy("d").agg(F.collect_list("s").alias("starts"))
+    places = repeated_places(docs.select("d", "text").mapInArrow(_anchors(window), "key long, d long, rest int"))
+    dealt = docs.join(places, "d", "left").select("doc_id", "d", "text", "ps", "copied")  # both uses take all of it, so that one exchange serves them
+    found = found_earlier(dealt.mapInArrow(_windows(window), "k long, d long, e long")).groupBy("d").agg(F.collect_list("s").alias("starts"))
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return dealt.drop("ps").join(found, "d", "left").select("doc_id", "text", "starts", "copied").mapInArrow(_removal(window), f"doc_id {kind}, n_words long, n_removed long, kept string")
+    return dealt.join(found, "d", "left").select("doc_id", "d", "text", "ps", "copied", "starts").mapInArrow(_removal(window), f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 
 def op5_substring_dedup(spark, sf_dir):
