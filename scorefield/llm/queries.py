@@ -1,8 +1,10 @@
 """The queries of this subpackage and the SQL that gives the same rows, where SQL can."""
 
-from . import decontaminate, embeddings, simhash, spans, substrings
+from . import chat, decontaminate, embeddings, mixing, simhash, spans, substrings
 
 QUERIES = {
+    "op2_source_mixing": mixing.op2_source_mixing,
+    "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_substring_dedup": substrings.op5_substring_dedup,
     "op8_embedding_near_dedup": embeddings.op8_embedding_near_dedup,
@@ -10,6 +12,8 @@ QUERIES = {
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 ORACLES = {
+    "op2_source_mixing": mixing.ORACLE,
+    "op3_chat_formatting": chat.ORACLE,
     "op5_substring_dedup": substrings.ORACLE,
     "op8_embedding_near_dedup": embeddings.ORACLE,
     "op9_suffix_array_dedup": spans.ORACLE,
