@@ -1,12 +1,14 @@
 """The queries of this subpackage and the SQL that gives the same rows, where SQL can."""
 
-from . import chat, decontaminate, embeddings, mixing, simhash, spans, substrings
+from . import chat, decontaminate, embeddings, mixing, quality, simhash, spans, substrings, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_source_mixing": mixing.op2_source_mixing,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_substring_dedup": substrings.op5_substring_dedup,
+    "op6_quality_classifier": quality.op6_quality_classifier,
     "op8_embedding_near_dedup": embeddings.op8_embedding_near_dedup,
     "op9_suffix_array_dedup": spans.op9_suffix_array_dedup,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
