@@ -1,5 +1,6 @@
 """The registered queries. Importing this package registers them all."""
 
+from . import windows
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "windows"]
