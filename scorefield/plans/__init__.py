@@ -1,6 +1,6 @@
 """The registered queries. Importing this package registers them all."""
 
-from . import windows
+from . import aggregates, windows
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "windows"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "windows"]
