@@ -1,0 +1,258 @@
+"""Joins: time-safe histories, as-of and interval matches, identity, parity and assignment.
+
+Range conditions always come with an equality (a key, a time bucket or a grid cell), so that no Cartesian product is
+planned. Matches must be unique where a rule says so; several candidates are held, not guessed.
+"""
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.scalars import fold, haversine_km, name_keys
+
+
+def join_preferred(left: DataFrame, right: DataFrame, on: Sequence[str], priority: str, tie: str) -> DataFrame:
+    """Left join with the one right row of the lowest priority number."""
+    best = right.withColumn("_k", F.row_number().over(Window.partitionBy(*on).orderBy(F.col(priority).asc_nulls_last(), tie))).where("_k = 1").drop("_k")
+    return left.join(best, list(on), "left")
+
+
+def fold_alias(df: DataFrame, alias: DataFrame, key: str) -> DataFrame:
+    """Keys replaced by their primary, one level, where both exist in df. alias: key, primary."""
+    known = df.select(F.col(key).alias("_known")).distinct()
+    real = alias.select(F.col(key), "primary").join(known, F.col("primary") == F.col("_known"), "left_semi")
+    return df.join(real, key, "left").withColumn(key, F.coalesce("primary", key)).drop("primary")
+
+
+def previous_period(df: DataFrame, by: Sequence[str], year: str, value: str) -> DataFrame:
+    """The value of the year before, by key."""
+    before = df.select(*by, (F.col(year) + 1).alias(year), F.col(value).alias(f"previous_{value}"))
+    return df.join(before, [*by, year], "left")
+
+
+def history_before(entries: DataFrame, by: str, start: str, value: str, days: int | None = None) -> DataFrame:
+    """For each row the number and sum of the entity's rows that lie strictly before its date, and not more than days. Rows of
+    the same date never count. One sort per entity instead of a self join."""
+    day = F.datediff(F.col(start), F.lit("1970-01-01").cast("date"))
+    w = Window.partitionBy(by).orderBy("_day")
+    w = w.rangeBetween(Window.unboundedPreceding if days is None else -days, -1)
+    return entries.withColumn("_day", day).withColumn("prior", F.count(value).over(w)).withColumn("prior_total", F.sum(value).over(w)).drop("_day")
+
+
+def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, value: str, tolerance: str | None = None) -> DataFrame:
+    """The right value with the latest time at or before each left row, if it is younger than the tolerance: one union and
+    one sorted pass, whatever the number of matches."""
+    both = left.withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast("struct<t:timestamp,v:string>")).unionByName(
+        right.select(*by, on, F.lit(0).alias("_side"), F.struct(F.col(on).alias("t"), F.col(value).cast("string").alias("v")).alias("_v")), allowMissingColumns=True
+    )
+    w = Window.partitionBy(*by).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("_m", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    fresh = F.lit(True) if tolerance is None else F.col("_m.t") > F.col(on) - F.expr(f"interval {tolerance}")
+    kind = right.schema[value].dataType.simpleString()
+    return out.withColumn(value, F.when(fresh, F.col("_m.v")).cast(kind)).withColumn(f"{on}_matched", F.when(fresh, F.col("_m.t"))).drop("_side", "_v", "_m")
+
+
+def asof_prior(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    return df.withColumn(f"prior_{value}", F.lag(value).over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def nearest_interval_join(points: DataFrame, intervals: DataFrame, by: Sequence[str], at: str, start: str, end: str, key: str, point_key: str, before: int = 10, after: int = 45, margin: int = 7) -> DataFrame:
+    """The interval of the same key whose end is nearest, from days before its start to days after its end, accepted only if
+    the next best is more than margin days farther."""
+    p = points.withColumn("_day", F.datediff(F.col(at), F.lit("1970-01-01").cast("date")))
+    i = intervals.withColumn("_s", F.datediff(F.date_sub(start, before), F.lit("1970-01-01").cast("date"))).withColumn("_e", F.datediff(F.date_add(end, after), F.lit("1970-01-01").cast("date")))
+    # weeks make an equality of the range
+    i = i.withColumn("_week", F.explode(F.sequence(F.floor(F.col("_s") / 7), F.floor(F.col("_e") / 7))))
+    m = p.withColumn("_week", F.floor(F.col("_day") / 7)).join(i, [*by, "_week"]).where("_day between _s and _e").withColumn("_far", F.abs(F.datediff(F.col(end), F.col(at))))
+    w = Window.partitionBy(point_key).orderBy("_far", key)
+    m = m.withColumn("_k", F.row_number().over(w)).withColumn("_next", F.lead("_far").over(w)).where("_k = 1")
+    return m.where(F.col("_next").isNull() | (F.col("_next") - F.col("_far") > margin)).select(point_key, key, F.col("_far").cast("long").alias("days"))
+
+
+def match_unique(left: DataFrame, right: DataFrame, on: Sequence[str], left_key: str, right_key: str) -> DataFrame:
+    """Pairs that agree on all keys where neither side has another candidate."""
+    m = left.join(right, list(on)).select(left_key, right_key).distinct()
+    one = lambda c: F.count("*").over(Window.partitionBy(c)) == 1
+    return m.withColumn("_l", one(left_key)).withColumn("_r", one(right_key)).where("_l and _r").drop("_l", "_r")
+
+
+def match_events(a: DataFrame, b: DataFrame, year: str, end: str, name: str, key_a: str, key_b: str, days: float = 1.01, generic: Sequence[str] = ()) -> DataFrame:
+    """Events of one year whose ends are at most days apart and whose names share a distinctive word (over three letters and
+    not generic); a left row with several candidates is not matched."""
+    words = lambda c: F.filter(F.split(fold(c), " "), lambda x: (F.length(x) > 3) & ~x.isin(*generic) if generic else F.length(x) > 3)
+    l = a.select(F.col(key_a), F.col(year), F.col(end).alias("_ea"), F.explode(F.array_distinct(words(name))).alias("_w"))
+    r = b.select(F.col(key_b), F.col(year), F.col(end).alias("_eb"), F.explode(F.array_distinct(words(name))).alias("_w"))
+    near = F.abs(F.unix_timestamp(F.col("_ea").cast("timestamp")) - F.unix_timestamp(F.col("_eb").cast("timestamp"))) <= days * 86400
+    m = l.join(r, [year, "_w"]).where(near).select(key_a, key_b).distinct()
+    return m.withColumn("_n", F.count("*").over(Window.partitionBy(key_a))).where("_n = 1").drop("_n")
+
+
+def resolve_identity(cands: DataFrame, crosswalk: DataFrame, canon: DataFrame, key: str, name: str, birth: str, canon_key: str) -> DataFrame:
+    """outcome and canon_key of each candidate: by crosswalk; else by exact name and birth date; else by name and birth year;
+    else held with a reason, or new where no name agrees. Each step accepts a single candidate only."""
+    c = cands.withColumn("_name", fold(name))
+    k = canon.select(F.col(canon_key).alias("_id"), fold(name).alias("_name"), F.col(birth).alias("_birth"))
+    m = c.select(key, "_name", F.col(birth).alias("_b")).join(k, "_name", "left")
+    exact, year = F.col("_b") == F.col("_birth"), F.year("_b") == F.year("_birth")
+    g = m.groupBy(key).agg(F.count("_id").alias("_names"), F.count_if(exact).alias("_ne"), F.max(F.when(exact, F.col("_id"))).alias("_e"), F.count_if(year).alias("_ny"), F.max(F.when(year, F.col("_id"))).alias("_y"))
+    x = crosswalk.select(key, F.col(canon_key).alias("_x"))
+    out = c.drop("_name").join(x, key, "left").join(g, key, "left")
+    found = F.coalesce("_x", F.when(F.col("_ne") == 1, F.col("_e")), F.when((F.col("_ne") == 0) & (F.col("_ny") == 1), F.col("_y")))
+    how = F.when(F.col("_x").isNotNull(), "crosswalk").when(F.col("_ne") == 1, "name_birth").when((F.col("_ne") == 0) & (F.col("_ny") == 1), "name_year").when(F.col("_names") == 0, "new").when(F.col("_names") > 1, "multiple_namesakes").otherwise("namesake_without_corroboration")
+    return out.select(key, found.alias(canon_key), how.alias("outcome"))
+
+
+def candidate_pairs(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Pairs a < b that share a key of their names' variants."""
+    k = df.select(F.col(key), F.explode(name_keys(name)).alias("_block")).where("_block <> ''")
+    return k.select(F.col(key).alias("a"), "_block").join(k.select(F.col(key).alias("b"), "_block"), "_block").where("a < b").select("a", "b").distinct()
+
+
+def absorb_children(children: DataFrame, dup_map: DataFrame, key: str, on: Sequence[str]) -> DataFrame:
+    """moved: children of a duplicate that its primary has no match for; kept: those that it has. dup_map: key, primary."""
+    m = children.join(dup_map, key)
+    held = children.select(F.col(key).alias("primary"), *on, F.lit(True).alias("_has")).distinct()
+    return m.join(held, ["primary", *on], "left").withColumn("action", F.when(F.col("_has"), "kept").otherwise("moved")).drop("_has")
+
+
+def resolve_alias(df: DataFrame, alias: DataFrame, key: str, hops: int = 3) -> DataFrame:
+    """key followed through alias (key, target) for at most so many hops."""
+    out = df.withColumn("resolved", F.col(key))
+    for _ in range(hops):
+        step = alias.select(F.col(key).alias("resolved"), F.col("target").alias("_t"))
+        out = out.join(step, "resolved", "left").withColumn("resolved", F.coalesce("_t", "resolved")).drop("_t")
+    return out
+
+
+def nearest_within(points: DataFrame, stations: DataFrame, key: str, station: str, km: float, valid: Column | None = None) -> DataFrame:
+    """The nearest station within km. Points and stations have lat and lon; cells of that size make an equality: a station
+    goes to its own cell and its neighbours, as many in longitude as the latitude asks for."""
+    size = km / 111.0
+    p = points.withColumn("_y", F.floor(F.col("lat") / size)).withColumn("_x", F.floor(F.col("lon") / size))
+    wide = F.least(F.lit(2000), F.ceil(1 / F.greatest(F.cos(F.radians(F.least(F.lit(89.9), F.abs(F.col("lat")) + size))), F.lit(0.001)))).cast("int")
+    s = stations.select(F.col(station), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), *[c for c in stations.columns if c not in (station, "lat", "lon")], F.explode(F.sequence(F.floor(F.col("lat") / size) - 1, F.floor(F.col("lat") / size) + 1)).alias("_y"), wide.alias("_wide"))
+    cells = F.sequence(F.floor(F.col("_lon") / size) - F.col("_wide"), F.floor(F.col("_lon") / size) + F.col("_wide"))
+    around = int(360 / size)
+    s = s.withColumn("_x", F.explode(F.array_distinct(F.flatten(F.transform(cells, lambda x: F.array(x, x - around - 1, x - around, x + around, x + around + 1)))))).drop("_wide")
+    m = p.join(s, ["_y", "_x"]).withColumn("km", haversine_km("lat", "lon", "_lat", "_lon")).where(F.col("km") <= km)
+    m = m if valid is None else m.where(valid)
+    return m.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy("km", station))).where("_k = 1").select(key, station, "km")
+
+
+def inside_ring(x: Column, y: Column, ring: Column) -> Column:
+    """If a point is inside a ring of structs x, y, by crossings of a ray."""
+    n = F.size(ring)
+    edges = F.zip_with(ring, F.concat(F.slice(ring, F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice(ring, F.lit(1), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    crosses = lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"])
+    return F.pmod(F.size(F.filter(edges, lambda e: F.coalesce(crosses(e), F.lit(False)))), F.lit(2)) == 1
+
+
+def contains_join(points: DataFrame, rings: DataFrame, key: str, ring_key: str, cell: float) -> DataFrame:
+    """verdict match (one ring holds the point), review (several) or none. Points: x, y; rings: ring; cells of the rings'
+    boxes make an equality."""
+    b = rings.select(ring_key, "ring", F.expr("array_min(transform(ring, p -> p.x))").alias("_x0"), F.expr("array_max(transform(ring, p -> p.x))").alias("_x1"), F.expr("array_min(transform(ring, p -> p.y))").alias("_y0"), F.expr("array_max(transform(ring, p -> p.y))").alias("_y1"))
+    b = b.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("_x0") / cell), F.floor(F.col("_x1") / cell)))).withColumn("_cy", F.explode(F.sequence(F.floor(F.col("_y0") / cell), F.floor(F.col("_y1") / cell))))
+    m = points.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell)).join(b, ["_cx", "_cy"]).where((F.col("x") >= F.col("_x0")) & (F.col("x") <= F.col("_x1")) & (F.col("y") >= F.col("_y0")) & (F.col("y") <= F.col("_y1"))).where(inside_ring(F.col("x"), F.col("y"), F.col("ring")))
+    g = m.groupBy(key).agg(F.count("*").alias("rings"), F.min(ring_key).alias("_ring"))
+    out = points.select(key).join(g, key, "left").withColumn("rings", F.coalesce("rings", F.lit(0)).cast("long"))
+    return out.select(key, "rings", F.when(F.col("rings") == 1, F.col("_ring")).alias(ring_key), F.when(F.col("rings") == 1, "match").when(F.col("rings") > 1, "review").otherwise("none").alias("verdict"))
+
+
+def assign_exclusive(pairs: DataFrame, a: str, b: str, distance: str, reach: float, margin: float) -> DataFrame:
+    """Of pairs within reach: a takes its nearest b if the next is at least margin farther, and b keeps its nearest taker."""
+    held = pairs.where(F.col(distance) <= reach)
+    w = Window.partitionBy(a).orderBy(distance, b)
+    clear = held.withColumn("_k", F.row_number().over(w)).withColumn("_next", F.lead(distance).over(w)).where("_k = 1").where(F.col("_next").isNull() | (F.col("_next") - F.col(distance) >= margin))
+    return clear.withColumn("_k", F.row_number().over(Window.partitionBy(b).orderBy(distance, a))).where("_k = 1").select(a, b, distance)
+
+
+def hold_shared(df: DataFrame, target: str) -> DataFrame:
+    """held: the target is claimed by several rows."""
+    return df.withColumn("held", F.col(target).isNotNull() & (F.count("*").over(Window.partitionBy(target)) > 1))
+
+
+def head_to_head(entries: DataFrame, pairs: DataFrame, event: str, entity: str, position: str, status: str) -> DataFrame:
+    """Per pair (a, b): shared events and how often a stood higher, level, or both missed."""
+    rank = F.when(F.col(status) == "finished", F.coalesce(position, F.lit(500))).when(F.col(status) == "cut", 900).otherwise(1000)
+    e = entries.select(event, F.col(entity), rank.alias("_r"))
+    m = pairs.join(e.select(event, F.col(entity).alias("a"), F.col("_r").alias("_ra")), "a").join(e.select(event, F.col(entity).alias("b"), F.col("_r").alias("_rb")), ["b", event])
+    missed = (F.col("_ra") >= 900) & (F.col("_rb") >= 900)
+    return m.groupBy("a", "b").agg(F.count("*").alias("shared"), F.count_if(~missed & (F.col("_ra") < F.col("_rb"))).alias("a_higher"), F.count_if(~missed & (F.col("_ra") > F.col("_rb"))).alias("b_higher"), F.count_if(~missed & (F.col("_ra") == F.col("_rb"))).alias("level"), F.count_if(missed).alias("both_missed"))
+
+
+def common_dims(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
+    return a.join(b, list(on))
+
+
+def parity(live: DataFrame, next_: DataFrame, key: str, counts: Sequence[str], fields: Sequence[str], status: str | None = None, ranks: dict | None = None, revocations: DataFrame | None = None) -> DataFrame:
+    """Regressions from one version to the next: row_removed, status_downgrade, count_lost and field_missing, with whether a
+    revocation (key, allow) explains the kind."""
+    l, n = live.select(key, *(F.col(c).alias(f"_l_{c}") for c in [*counts, *fields, *([status] if status else [])])), next_.select(key, *(F.col(c).alias(f"_n_{c}") for c in [*counts, *fields, *([status] if status else [])]), F.lit(True).alias("_there"))
+    gone = F.col("_there").isNull()
+    found = [F.when(gone, F.lit("row_removed"))]
+    if status:
+        rank = lambda c: F.element_at(F.create_map(*[F.lit(x) for kv in (ranks or {}).items() for x in kv]), c)
+        found.append(F.when(~gone & (rank(F.col(f"_n_{status}")) < rank(F.col(f"_l_{status}"))), F.lit("status_downgrade")))
+    found += [F.when(~gone & (F.coalesce(f"_n_{c}", F.lit(0)) < F.coalesce(f"_l_{c}", F.lit(0))), F.lit(f"count_lost:{c}")) for c in counts]
+    found += [F.when(~gone & F.col(f"_l_{c}").isNotNull() & F.col(f"_n_{c}").isNull(), F.lit(f"field_missing:{c}")) for c in fields]
+    out = l.join(n, key, "left").select(key, F.explode(F.array_compact(F.array(*found))).alias("kind"))
+    if revocations is not None:
+        out = out.join(revocations.select(key, "allow"), key, "left").withColumn("explained", F.coalesce(F.array_contains("allow", F.split("kind", ":")[0]), F.lit(False))).drop("allow")
+    return out
+
+
+def reconcile(a: DataFrame, b: DataFrame, key: Sequence[str], cols: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Per group: rows compared, missing on either side, and mismatches of any column."""
+    l = a.select(*key, *by, *(F.col(c).alias(f"_a_{c}") for c in cols), F.lit(1).alias("_a"))
+    r = b.select(*key, *by, *(F.col(c).alias(f"_b_{c}") for c in cols), F.lit(1).alias("_b"))
+    on = list(dict.fromkeys([*key, *by]))
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    same = F.lit(True)
+    for c in cols:
+        same = same & F.col(f"_a_{c}").eqNullSafe(F.col(f"_b_{c}"))
+    return l.join(r, on, "full_outer").groupBy(*by).agg(F.count_if(both).alias("compared"), F.count_if(F.col("_b").isNull()).alias("only_a"), F.count_if(F.col("_a").isNull()).alias("only_b"), F.count_if(both & ~same).alias("mismatched"))
+
+
+def conflicts(a: DataFrame, b: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
+    """A row for each column where both sides have a value and they differ."""
+    m = a.select(key, *(F.col(c).cast("string").alias(f"_a_{c}") for c in cols)).join(b.select(key, *(F.col(c).cast("string").alias(f"_b_{c}") for c in cols)), key)
+    pairs = F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"_a_{c}").alias("a"), F.col(f"_b_{c}").alias("b")) for c in cols))
+    return m.select(key, F.inline(pairs)).where("a <> b")
+
+
+def pairs_in_top(df: DataFrame, by: Sequence[str], order: Sequence[Column], entity: str, k: int, most: int) -> DataFrame:
+    """Pairs i < j of the k first rows of each group, the first so many by (i, j)."""
+    r = df.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_k") <= k)
+    p = r.select(*by, F.col(entity).alias("a"), F.col("_k").alias("i")).join(r.select(*by, F.col(entity).alias("b"), F.col("_k").alias("j")), list(by)).where("i < j")
+    return p.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("i", "j"))).where(F.col("_n") <= most).drop("_n", "i", "j")
+
+
+def apply_crosswalk(df: DataFrame, xw: DataFrame, by: str, key: str, item: str, n: int) -> DataFrame:
+    """verdict applied only if a group's n distinct keys all map to n distinct items, else review. xw: key, item."""
+    m = df.join(xw.select(key, item), key, "left")
+    return m.groupBy(by).agg(F.count_distinct(key).alias("keys"), F.count_distinct(item).alias("items"), F.count_if(F.col(item).isNull()).alias("missing")).withColumn("verdict", F.when((F.col("keys") == n) & (F.col("items") == n) & (F.col("missing") == 0), "applied").otherwise("review"))
+
+
+def with_provenance(df: DataFrame, captures: DataFrame, key: str = "capture_id") -> DataFrame:
+    return df.join(captures, key, "left")
+
+
+def missing(df: DataFrame, known: DataFrame, on: Sequence[str]) -> DataFrame:
+    return df.join(known, list(on), "left_anti")
+
+
+def resolve_duplicates(cands: DataFrame, by: str, key: str, agrees: Column) -> DataFrame:
+    """The single candidate of each reference; of several, the one that agrees, if it is the only one."""
+    w = Window.partitionBy(by)
+    c = cands.withColumn("_n", F.count("*").over(w)).withColumn("_ok", F.coalesce(agrees, F.lit(False))).withColumn("_m", F.count_if(F.col("_ok")).over(w))
+    return c.where((F.col("_n") == 1) | (F.col("_ok") & (F.col("_m") == 1))).select(by, key)
+
+
+def detect_renumbering(df: DataFrame, by: str, differs_both: Column, differs_length: Column, least: int = 2) -> DataFrame:
+    """withheld: rows whose length differs in groups where at least so many rows differ in both attributes."""
+    return df.withColumn("withheld", F.coalesce(differs_length, F.lit(False)) & (F.count_if(F.coalesce(differs_both, F.lit(False))).over(Window.partitionBy(by)) >= least))
+
+
+def auto_identity(df: DataFrame, proven: str, agree: str, name: str, shared: str, least: int = 15, score: float = 0.75) -> DataFrame:
+    return df.withColumn("verdict", F.when(F.coalesce(F.col(shared), F.lit(True)), "shared_name").when(F.col(proven) < least, "not_proven").when(F.col(agree) < least, "lengths_differ").when(F.col(name) < score, "name_differs").otherwise("identity"))

@@ -1,6 +1,6 @@
 """The registered queries. Importing this package registers them all."""
 
-from . import aggregates, windows
+from . import aggregates, joins, windows
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "windows"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "joins", "windows"]
