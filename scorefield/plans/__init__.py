@@ -1,6 +1,6 @@
 """The registered queries. Importing this package registers them all."""
 
-from . import aggregates, joins, windows
+from . import aggregates, filters, joins, ranking, sets, windows
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "joins", "windows"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "filters", "joins", "ranking", "sets", "windows"]
