@@ -6,7 +6,7 @@ filter). A join on these tokens, cut by the lengths and by where in the prefixes
 Jaccard similarity is then computed from all their tokens. A line goes if an earlier one is equal or similar.
 
 Rarity comes in classes: prefix tokens are counted in a table of fixed size by hash, and a token's class is the power of
-two by which its slot exceeds the mean. Most lines hold only tokens of the lowest class, for which the order is the hash;
+two by which its slot exceeds the mean. Nearly all lines hold only tokens of the lowest class, for which the order is the hash;
 the others are tokenised once more to find their rarest tokens. So a passage that many lines share doesn't make pairs.
 """
 
@@ -20,6 +20,8 @@ SHINGLE = 5
 NUM, DEN = 4, 5
 #: log2 of the slots of the table of counts.
 SLOT_BITS = 16
+#: A list of lines goes to all tasks if it names so many at most (some 10 MB), and is joined by shuffling beyond that.
+BROADCAST_LINES = 1_000_000
 
 
 def words(line: Column) -> Column:
@@ -47,10 +49,16 @@ def _slot(token: str = "token") -> Column:
     return F.shiftrightunsigned(token, 64 - SLOT_BITS)
 
 
+def _by_document(places: DataFrame, out: str) -> DataFrame:
+    """d and the lines named for it, marked for broadcasting if they are counted to be few. places: a written table."""
+    few = places.count() <= BROADCAST_LINES
+    held = places.groupBy("d").agg(F.collect_set("pos").alias(out))
+    return F.broadcast(held) if few else held
+
+
 def _tokens_at(documents: DataFrame, places: DataFrame) -> DataFrame:
     """d, pos and tokens of the lines at the given places."""
-    wanted = places.groupBy("d").agg(F.collect_set("pos").alias("places"))
-    held = documents.join(wanted, "d").select("d", F.posexplode(F.split("text", "\n")).alias("pos", "line"), "places").where(F.array_contains("places", F.col("pos")))
+    held = documents.join(_by_document(places, "places"), "d").select("d", F.posexplode(F.split("text", "\n")).alias("pos", "line"), "places").where(F.array_contains("places", F.col("pos")))
     return held.select("d", "pos", words(F.col("line")).alias("w")).select("d", "pos", tokens(F.col("w")).alias("tokens"))
 
 
@@ -68,16 +76,16 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
     distinct = materialize(parts.groupBy("h").agg(F.min("line").alias("line")).select("line.*"), "lines")
     rows = distinct.select("d", "pos", "n", F.posexplode("t").alias("i", "token"))
 
-    # classes of rarity: slots whose count is above twice the mean, by powers of two
+    # classes of rarity: slots far above the mean, by powers of two
     slots = rows.groupBy(_slot().alias("slot")).agg(F.count("*").alias("many"))
     total = slots.agg((F.sum("many") / (1 << SLOT_BITS)).alias("mean")).first()["mean"] or 0.0
-    common = materialize(slots.where(F.col("many") > 2 * total + 64).select("slot", F.floor(F.log2(F.col("many") / F.lit(max(total, 1.0)))).cast("int").alias("class")), "common-slots")
+    common = materialize(slots.where(F.col("many") > 16 * total + 256).select("slot", F.floor(F.log2(F.col("many") / F.lit(max(total, 1.0)))).cast("int").alias("class")), "common-slots")
     common = F.broadcast(common)  # a row a slot at most: 2**SLOT_BITS rows
-    marked = rows.join(common, _slot() == F.col("slot"), "left_semi").select("d", "pos").distinct()
+    marked = materialize(rows.join(common, _slot() == F.col("slot"), "left_semi").select("d", "pos").distinct(), "common-lines")
     again = _tokens_at(documents, marked).select("d", "pos", F.size("tokens").alias("n"), F.explode_outer("tokens").alias("token")).join(common, _slot() == F.col("slot"), "left")
     order = F.expr("row_number() over (partition by d, pos order by coalesce(class, 0), token) - 1")
     again = again.withColumn("i", order).where(F.col("i") < prefix_size(F.col("n"))).select("d", "pos", "n", "i", "token")
-    rows = rows.join(marked, ["d", "pos"], "left_anti").unionByName(again)
+    rows = rows.join(F.broadcast(marked) if marked.count() <= BROADCAST_LINES else marked, ["d", "pos"], "left_anti").unionByName(again)
 
     a = rows.select("token", F.col("d").alias("ad"), F.col("pos").alias("ap"), F.col("n").alias("an"), F.col("i").alias("ai"))
     b = rows.select("token", F.col("d").alias("bd"), F.col("pos").alias("bp"), F.col("n").alias("bn"), F.col("i").alias("bi"))
@@ -88,7 +96,7 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
         & (1 + F.least(F.col("an") - F.col("ai"), F.col("bn") - F.col("bi")) - 1 >= needed)
     )
     pairs = materialize(a.join(b, "token").where(near).select("ad", "ap", "bd", "bp").distinct(), "line-pairs")
-    places = pairs.selectExpr("ad as d", "ap as pos").unionByName(pairs.selectExpr("bd as d", "bp as pos")).distinct()
+    places = materialize(pairs.selectExpr("ad as d", "ap as pos").unionByName(pairs.selectExpr("bd as d", "bp as pos")).distinct(), "line-places")
     held = _tokens_at(documents, places)
     left, right = held.selectExpr("d as ad", "pos as ap", "tokens as at"), held.selectExpr("d as bd", "pos as bp", "tokens as bt")
     both = F.size(F.array_intersect("at", "bt"))
@@ -106,7 +114,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     """
     extra = [c for c in documents.columns if c not in ("doc_id", "text")]
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("d"), F.col("text").cast("string").alias("text"), *extra)
-    gone = materialize(repeated_lines(docs.select("d", "text")), "repeated-lines").groupBy("d").agg(F.collect_set("pos").alias("gone"))
+    gone = _by_document(materialize(repeated_lines(docs.select("d", "text")), "repeated-lines"), "gone")
     held = F.split("text", "\n")
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(held, lambda x, i: ~F.array_contains("gone", i)), "\n"))
     done = docs.join(gone, "d", "left")
