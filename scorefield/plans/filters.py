@@ -77,10 +77,10 @@ def flt10(spark, sf_dir):
     return X.facet(view(spark, sf_dir, "results"), kind="1-URGENT", season=1996).select("entry_id")
 
 
-@query("flt11_search", oracle("""WITH n AS (SELECT p_partkey, p_name, p_size, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS n FROM part), s AS (SELECT *, CASE WHEN n = 'part 12' THEN 100 WHEN starts_with(n, 'part 12') THEN 80 WHEN len(list_filter(string_split(n, ' '), lambda w: starts_with(w, 'part'))) > 0 AND len(list_filter(string_split(n, ' '), lambda w: starts_with(w, '12'))) > 0 THEN 60 WHEN contains(n, 'part 12') THEN 40 END + least(10.0, p_size / 5.0) AS score FROM n)
+@query("flt11_search", oracle("""WITH n AS (SELECT p_partkey, p_name, p_size, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS n FROM part), s AS (SELECT *, CASE WHEN n = 'blue bo' THEN 100 WHEN starts_with(n, 'blue bo') THEN 80 WHEN len(list_filter(string_split(n, ' '), lambda w: starts_with(w, 'blue'))) > 0 AND len(list_filter(string_split(n, ' '), lambda w: starts_with(w, 'bo'))) > 0 THEN 60 WHEN contains(n, 'blue bo') THEN 40 END + least(10.0, p_size / 5.0) AS score FROM n)
 SELECT p_partkey, CAST(score AS DOUBLE) AS score FROM s WHERE score IS NOT NULL ORDER BY score DESC, p_name, p_partkey LIMIT 12"""))
 def flt11(spark, sf_dir):
-    return X.search(view(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "Part 12", "p_partkey", "p_name", "p_size").select("p_partkey", "score")
+    return X.search(view(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "Blue bo", "p_partkey", "p_name", "p_size").select("p_partkey", "score")
 
 
 @query("flt12_approved_only", oracle("SELECT l_orderkey, l_linenumber FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 2"))
