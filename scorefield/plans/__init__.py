@@ -1,6 +1,6 @@
 """The registered queries. Importing this package registers them all."""
 
-from . import aggregates, filters, joins, ranking, scalars, sets, streams, windows
+from . import aggregates, filters, joins, pipelines, ranking, scalars, sets, streams, windows
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "filters", "joins", "ranking", "scalars", "sets", "streams", "windows"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "filters", "joins", "pipelines", "ranking", "scalars", "sets", "streams", "windows"]
