@@ -112,14 +112,14 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     Blank lines are never removed. Null texts stay null and have no lines. Rows that share a doc_id stand at one place: what
     is removed from one is removed from each. A null doc_id stands before all others.
     """
-    extra = [c for c in documents.columns if c not in ("doc_id", "text")]
-    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("d"), F.col("text").cast("string").alias("text"), *extra)
+    extra = {c: f"_extra_{i}" for i, c in enumerate(documents.columns) if c not in ("doc_id", "text")}
+    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("d"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(x) for c, x in extra.items()))
     gone = _by_document(materialize(repeated_lines(docs.select("d", "text")), "repeated-lines"), "gone")
     held = F.split("text", "\n")
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(held, lambda x, i: ~F.array_contains("gone", i)), "\n"))
     done = docs.join(gone, "d", "left")
     kind = documents.schema["doc_id"].dataType.simpleString()
-    columns = {"doc_id": F.nullif("d", F.lit(LOWEST)).cast(kind), "text": kept} | {c: F.col(c) for c in extra}
+    columns = {"doc_id": F.nullif("d", F.lit(LOWEST)).cast(kind), "text": kept} | {c: F.col(x) for c, x in extra.items()}
     return done.select(*(columns[c].alias(c) for c in documents.columns), F.coalesce(F.size(held), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.array_size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
