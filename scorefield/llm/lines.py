@@ -7,7 +7,9 @@ Jaccard similarity is then computed from all their tokens. A line goes if an ear
 
 Rarity comes in classes: prefix tokens are counted in a table of fixed size by hash, and a token's class is the power of
 two by which its slot exceeds the mean. Nearly all lines hold only tokens of the lowest class, for which the order is the hash;
-the others are tokenised once more to find their rarest tokens. So a passage that many lines share doesn't make pairs.
+the others are tokenised once more to find their rarest tokens. So a passage that many lines share doesn't make pairs. Nor
+does a group of many lines alike: each line first meets the first line of each of its tokens, and only those that none of
+these resembles meet the others.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -87,21 +89,40 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
     again = again.withColumn("i", order).where(F.col("i") < prefix_size(F.col("n"))).select("d", "pos", "n", "i", "token")
     rows = rows.join(F.broadcast(marked) if marked.count() <= BROADCAST_LINES else marked, ["d", "pos"], "left_anti").unionByName(again)
 
-    a = rows.select("token", F.col("d").alias("ad"), F.col("pos").alias("ap"), F.col("n").alias("an"), F.col("i").alias("ai"))
-    b = rows.select("token", F.col("d").alias("bd"), F.col("pos").alias("bp"), F.col("n").alias("bn"), F.col("i").alias("bi"))
+    # only tokens of several lines go on; the first line that holds one is its pivot
+    shared = rows.groupBy("token").agg(F.count("*").alias("many"), F.min("d").alias("first_d")).where("many > 1").drop("many")
+    shared = materialize(rows.join(shared, "token"), "shared-tokens")
+    pivots = shared.where("d = first_d").groupBy("token").agg(F.min(F.struct("d", "pos", "n", "i")).alias("p")).select("token", "p.*")
+
+    # a group of many lines alike makes one pair a line with its pivot; only lines unlike their pivots meet all the others
+    near = materialize(_candidates(pivots, shared), "line-pairs")
+    found = materialize(_similar(documents, near), "similar-lines")
+    rest = shared.join(F.broadcast(found) if found.count() <= BROADCAST_LINES else found, ["d", "pos"], "left_anti")
+    more = materialize(_candidates(shared, rest), "line-pairs")
+    return equal.unionByName(found).unionByName(_similar(documents, more))
+
+
+def _candidates(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of an earlier line of a and a later one of b that share a token and pass the filters on lengths and positions."""
+    a = a.select("token", F.col("d").alias("ad"), F.col("pos").alias("ap"), F.col("n").alias("an"), F.col("i").alias("ai"))
+    b = b.select("token", F.col("d").alias("bd"), F.col("pos").alias("bp"), F.col("n").alias("bn"), F.col("i").alias("bi"))
     needed = F.ceil((F.col("an") + F.col("bn")) * NUM / (NUM + DEN))
     near = (
         ((F.col("ad") < F.col("bd")) | ((F.col("ad") == F.col("bd")) & (F.col("ap") < F.col("bp"))))
         & (F.least("an", "bn") * DEN >= F.greatest("an", "bn") * NUM)
-        & (1 + F.least(F.col("an") - F.col("ai"), F.col("bn") - F.col("bi")) - 1 >= needed)
+        & (F.least(F.col("an") - F.col("ai"), F.col("bn") - F.col("bi")) >= needed)
     )
-    pairs = materialize(a.join(b, "token").where(near).select("ad", "ap", "bd", "bp").distinct(), "line-pairs")
+    return a.join(b, "token").where(near).select("ad", "ap", "bd", "bp").distinct()
+
+
+def _similar(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """d and pos of the later lines of pairs whose Jaccard similarity is high enough. pairs: a written table."""
     places = materialize(pairs.selectExpr("ad as d", "ap as pos").unionByName(pairs.selectExpr("bd as d", "bp as pos")).distinct(), "line-places")
     held = _tokens_at(documents, places)
     left, right = held.selectExpr("d as ad", "pos as ap", "tokens as at"), held.selectExpr("d as bd", "pos as bp", "tokens as bt")
     both = F.size(F.array_intersect("at", "bt"))
-    similar = pairs.join(left, ["ad", "ap"]).join(right, ["bd", "bp"]).where(both * DEN >= (F.size("at") + F.size("bt") - both) * NUM)
-    return equal.unionByName(similar.selectExpr("bd as d", "bp as pos").distinct())
+    alike = pairs.join(left, ["ad", "ap"]).join(right, ["bd", "bp"]).where(both * DEN >= (F.size("at") + F.size("bt") - both) * NUM)
+    return alike.selectExpr("bd as d", "bp as pos").distinct()
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
