@@ -234,3 +234,58 @@ def sub_tokens(col) -> Column:
 def long_to_map(df: DataFrame, key: Sequence[str], code: str, value: str, out: str = "values") -> DataFrame:
     """A row a key with a map from code to value; nulls are left out."""
     return df.where(F.col(value).isNotNull()).groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(code, value)))).alias(out))
+
+
+def nearest_on_route(x, y, pts) -> Column:
+    """Nearest point of a polyline: distance, along (from its start) and side (1 left, -1 right, 0 on it)."""
+    p = _c(pts)
+    n = F.greatest(F.size(p) - 1, F.lit(0))
+    legs = F.zip_with(F.slice(p, F.lit(1), n), F.slice(p, F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b"), F.sqrt(F.pow(b["x"] - a["x"], 2) + F.pow(b["y"] - a["y"], 2)).alias("l")))
+    px, py = _c(x), _c(y)
+
+    def step(s, leg):
+        ax, ay, bx, by = leg["a"]["x"], leg["a"]["y"], leg["b"]["x"], leg["b"]["y"]
+        t = F.when(leg["l"] > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / F.pow(leg["l"], 2)))).otherwise(0.0)
+        d = F.sqrt(F.pow(px - ax - t * (bx - ax), 2) + F.pow(py - ay - t * (by - ay), 2))
+        side = F.signum((bx - ax) * (py - ay) - (by - ay) * (px - ax)).cast("double")
+        near = s["d"].isNull() | (d < s["d"])
+        return F.struct((s["run"] + leg["l"]).alias("run"), F.when(near, d).otherwise(s["d"]).alias("d"), F.when(near, s["run"] + t * leg["l"]).otherwise(s["along"]).alias("along"), F.when(near, side).otherwise(s["side"]).alias("side"))
+
+    none = F.lit(None).cast("double")
+    out = F.aggregate(legs, F.struct(F.lit(0.0).alias("run"), none.alias("d"), none.alias("along"), none.alias("side")), step)
+    return F.struct(out["d"].alias("distance"), out["along"].alias("along"), out["side"].alias("side"))
+
+
+def route_shape(pts, item_class) -> Column:
+    """straight, dogleg left or right by the vertex farthest from the chord; null where the bend is unclear, for class 3, for
+    fewer than three points and for chords under 50."""
+    p = _c(pts)
+    a, b = F.element_at(p, 1), F.element_at(p, -1)
+    chord = F.sqrt(F.pow(b["x"] - a["x"], 2) + F.pow(b["y"] - a["y"], 2))
+    inner = F.slice(p, F.lit(2), F.greatest(F.size(p) - 2, F.lit(0)))
+    bend = F.array_max(F.transform(inner, lambda q: F.struct(F.abs((b["x"] - a["x"]) * (q["y"] - a["y"]) - (b["y"] - a["y"]) * (q["x"] - a["x"])).alias("o"), q["x"].alias("x"), q["y"].alias("y"))))
+    turn = F.degrees(F.atan2(b["y"] - bend["y"], b["x"] - bend["x"]) - F.atan2(bend["y"] - a["y"], bend["x"] - a["x"]))
+    turn = F.pmod(turn + 180, F.lit(360.0)) - 180
+    usable = (F.size(p) >= 3) & (_c(item_class) != 3) & (chord >= 50)
+    return F.when(usable, F.when((F.abs(turn) >= 20) & (bend["o"] / chord >= 20), F.when(turn > 0, "dogleg left").otherwise("dogleg right")).when(F.abs(turn) < 12, "straight"))
+
+
+def route_markers(pts, marks: Sequence[float]) -> Column:
+    """The points of a polyline at given distances before its end; those longer than it are left out."""
+    p = _c(pts)
+    n = F.greatest(F.size(p) - 1, F.lit(0))
+    legs = F.zip_with(F.slice(p, F.lit(1), n), F.slice(p, F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b"), F.sqrt(F.pow(b["x"] - a["x"], 2) + F.pow(b["y"] - a["y"], 2)).alias("l")))
+    total = polyline_length(p)
+
+    def at(mark):
+        goal = total - mark
+        end = F.struct(F.lit(0.0).alias("run"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
+
+        def step(s, leg):
+            here = s["x"].isNull() & (s["run"] + leg["l"] >= goal) & (leg["l"] > 0)
+            t = (goal - s["run"]) / leg["l"]
+            return F.struct((s["run"] + leg["l"]).alias("run"), F.when(here, leg["a"]["x"] + t * (leg["b"]["x"] - leg["a"]["x"])).otherwise(s["x"]).alias("x"), F.when(here, leg["a"]["y"] + t * (leg["b"]["y"] - leg["a"]["y"])).otherwise(s["y"]).alias("y"))
+
+        return F.when(goal >= 0, F.aggregate(legs, end, step, lambda s: F.struct(mark.alias("mark"), s["x"].alias("x"), s["y"].alias("y"))))
+
+    return F.array_compact(F.transform(F.array(*(F.lit(float(m)) for m in marks)), at))

@@ -5,6 +5,7 @@ Snapshots have: event_id, entity_id, observed_at, period, status, position, tota
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -163,3 +164,28 @@ def replay(source: DataFrame, write, checkpoint: str) -> None:
     """Runs a stream over all that is there and stops; with the same checkpoint, again only over what is new. write takes a
     batch and its number."""
     source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def drop_late(df: DataFrame, by: Sequence[str], ts: str, arrival: str) -> DataFrame:
+    """Rows that are newer than all that arrived before them."""
+    w = Window.partitionBy(*by).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("_seen", F.max(ts).over(w)).where(F.col("_seen").isNull() | (F.col(ts) > F.col("_seen"))).drop("_seen")
+
+
+def decayed_state(stream: DataFrame, entity: str, ts: str, value: str, tau: float = 730.0) -> DataFrame:
+    """weight, sum and sum of squares of each entity after each batch, decayed by exp(-days / tau) between observations; state is
+    three numbers and a date. A late observation is taken without decay, and time never runs back."""
+
+    def update(key, frames, state):
+        w, s, q, at = state.get if state.exists else (0.0, 0.0, 0.0, None)
+        for r in pd.concat(list(frames)).sort_values("ts").itertuples(index=False):
+            if at is not None and r.ts > at:
+                d = float(np.exp(-((r.ts - at).total_seconds() / 86400) / tau))
+                w, s, q = w * d, s * d, q * d
+            at = r.ts if at is None or r.ts > at else at
+            w, s, q = w + 1, s + r.v, q + r.v * r.v
+        state.update((w, s, q, at.to_pydatetime() if hasattr(at, "to_pydatetime") else at))
+        yield pd.DataFrame([(key[0], w, s, q, at)], columns=["entity", "weight", "s", "q", "at"])
+
+    given = stream.select(F.col(entity).cast("long").alias("entity"), F.col(ts).cast("timestamp").alias("ts"), F.col(value).cast("double").alias("v"))
+    return given.groupBy("entity").applyInPandasWithState(update, "entity long, weight double, s double, q double, at timestamp", "w double, s double, q double, at timestamp", "update", "NoTimeout")

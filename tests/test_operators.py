@@ -195,3 +195,65 @@ def test_nearest_station_across_the_date_line(spark):
 def test_schema_contract(spark):
     df = spark.createDataFrame([(1, "a")], "x int, y string")
     assert {(r["field"], r["problem"]) for r in O.check_schema(df, {"x": "bigint", "z": "int"}).collect()} == {("x", "type"), ("z", "missing"), ("y", "extra")}
+
+
+def test_boundary_match_is_unique(spark):
+    from scorefield.operators import studies as U
+
+    square = lambda x: [(x, 0.0), (x + 10.0, 0.0), (x + 10.0, 10.0), (x, 10.0)]
+    rings = spark.createDataFrame([(1, "Oak Hill", square(0.0)), (2, "Oak Hill", square(30.0)), (3, "Other", square(13.0))], "rid int, rname string, ring array<struct<x:double,y:double>>")
+    points = spark.createDataFrame([(1, 11.0, 5.0, "Oak Hill Club"), (2, 28.0, 5.0, "Elm"), (3, 500.0, 5.0, "Oak")], "pid int, x double, y double, pname string")
+    got = U.near_boundary_join(points, rings, "pid", "rid", 3.0, S.token_overlap("pname", "rname"), 0.5).collect()
+    assert [(r["pid"], r["rid"], r["distance"]) for r in got] == [(1, 1, 1.0)]
+
+
+def test_contains_join(spark):
+    rings = spark.createDataFrame([(1, [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]), (2, [(2.0, 2.0), (6.0, 2.0), (6.0, 6.0), (2.0, 6.0)])], "rid int, ring array<struct<x:double,y:double>>")
+    points = spark.createDataFrame([(1, 1.0, 1.0), (2, 3.0, 3.0), (3, 9.0, 9.0), (4, None, 1.0)], "pid int, x double, y double")
+    assert {r["pid"]: (r["rid"], r["verdict"]) for r in J.contains_join(points, rings, "pid", "rid", 3.0).collect()} == {1: (1, "match"), 2: (None, "review"), 3: (None, "none"), 4: (None, "none")}
+
+
+def test_publishing_is_refused_on_regressions(spark, tmp_path):
+    from scorefield.operators import studies as U
+
+    live = spark.createDataFrame([(1, 5, "a"), (2, 5, "b")], "k int, n int, c string")
+    worse = spark.createDataFrame([(1, 4, "a")], "k int, n int, c string")
+    path = str(tmp_path / "out")
+    assert not U.guarded_overwrite(live, worse, path, "k", ["n"], ["c"])
+    allow = spark.createDataFrame([(1, ["count_lost"]), (2, ["row_removed"])], "k int, allow array<string>")
+    assert U.guarded_overwrite(live, worse, path, "k", ["n"], ["c"], allow) and spark.read.parquet(path).count() == 1
+
+
+def test_items_on_routes(spark):
+    from scorefield.operators import studies as U
+
+    routes = spark.createDataFrame([(1, 4, [(0.0, 0.0), (200.0, 0.0), (200.0, 200.0)]), (2, 3, [(0.0, 0.0), (150.0, 0.0)])], "item int, item_class int, points array<struct<x:double,y:double>>")
+    features = spark.createDataFrame([(1, "sand", 100.0, 10.0), (1, "water", 100.0, 90.0), (2, "sand", 140.0, -5.0)], "item int, kind string, x double, y double")
+    got = {r["item"]: r for r in U.item_intelligence(routes, features, ["item"], 20.0).collect()}
+    assert (got[1]["length"], got[1]["shape"], [(f["kind"], f["along"], f["side"]) for f in got[1]["features"]]) == (400.0, "dogleg left", [("sand", 100.0, 1.0)])
+    assert (got[2]["shape"], [(f["along"], f["side"]) for f in got[2]["features"]]) == (None, [(140.0, -1.0)])
+
+
+def test_covariate_study(spark):
+    from scorefield.operators import studies as U
+
+    scores = spark.createDataFrame([(e, float(v)) for e in range(12) for v in (e, e + 1)], "event int, v double")
+    points = spark.createDataFrame([(e, float(e), 0.0) for e in range(12)], "event int, lat double, lon double")
+    stations = spark.createDataFrame([(e, float(e), 0.1) for e in range(11)], "station int, lat double, lon double")
+    readings = spark.createDataFrame([(e, float(e % 3)) for e in range(11)], "station int, wind double")
+    corr, bins = U.covariate_study(scores, points, stations, readings, "event", "v", "wind")
+    assert corr.first()["n"] == 22 and bins.first()["n"] == 22
+
+
+def test_replay_twice_adds_nothing(spark, tmp_path):
+    df = snap(spark, [(1, h, 1, "active", 12 - h, 5, 9) for h in range(1, 6)])
+    df.write.parquet(str(tmp_path / "in"))
+    seen = []
+    for _ in range(2):
+        ST.replay(ST.delta_tape(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))), lambda b, n: seen.append(b.count()), str(tmp_path / "state"))
+    assert sum(seen) == ST.delta_tape_batch(df).count() == 1
+
+
+def test_late_rows_are_dropped(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 2, 3), ("a", 3, 5), ("a", 4, 6), ("b", 1, 1)], "k string, arrival int, t int")
+    assert sorted((r["k"], r["t"]) for r in ST.drop_late(df, ["k"], "t", "arrival").collect()) == [("a", 5), ("a", 6), ("b", 1)]
