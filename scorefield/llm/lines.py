@@ -5,11 +5,11 @@ Tokens are ordered by rarity, then by hash; two similar lines must share a token
 filter). A join on these tokens, cut by the lengths and by where in the prefixes the token stands, gives candidates, whose
 Jaccard similarity is then computed from all their tokens. A line goes if an earlier one is equal or similar.
 
-Rarity comes in classes: prefix tokens are counted in a table of fixed size by hash, and a token's class is the power of
-two by which its slot exceeds the mean. Nearly all lines hold only tokens of the lowest class, for which the order is the hash;
-the others are tokenised once more to find their rarest tokens. So a passage that many lines share doesn't make pairs. Nor
-does a group of many lines alike: each line first meets the first line of each of its tokens, and only those that none of
-these resembles meet the others.
+Rarity comes in classes: tokens are counted by slots of their hash, of which there are about as many as tokens, and a token's
+class is the power of two of its slot's count. Nearly all lines hold only tokens of the lowest class among their first, for
+which the order is the hash; the others are tokenised once more: all their tokens are counted, and the rarest found. So a
+passage that many lines share doesn't make pairs. Nor does a group of many lines alike: each line first meets the first line
+of each of its tokens, and only those that none of these resembles meet the others.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -20,20 +20,23 @@ from .common import LOWEST, materialize, read_table
 SHINGLE = 5
 #: The similarity as a fraction, so that bounds are exact.
 NUM, DEN = 4, 5
-#: log2 of the slots of the table of counts.
-SLOT_BITS = 16
+#: A slot of tokens is common if it holds more than this.
+COMMON = 12
+SPACES = "\t\x0b\x0c\r"
 #: A list of lines goes to all tasks if it names so many at most (some 10 MB), and is joined by shuffling beyond that.
 BROADCAST_LINES = 1_000_000
 
 
 def words(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), "")
+    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c")) | F.contains(line, F.lit("\r"))
+    return F.array_remove(F.split(F.when(odd, F.translate(line, SPACES, "    ")).otherwise(line), " "), "")
 
 
 def tokens(w: Column, shingle: int = SHINGLE) -> Column:
     """Distinct hashes of the shingles in order; none for a blank line."""
     spread = F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - (shingle - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get(w, i + k) for k in range(1, shingle))))
-    short = F.when(F.size(w) == 0, F.array().cast("array<long>")).otherwise(F.array(F.xxhash64(F.lit("short"), F.concat_ws(" ", w))))
+    whole = F.array(F.xxhash64(F.lit("short"), F.concat_ws(" ", w)))
+    short = F.slice(whole, F.lit(1), F.least(F.size(w), F.lit(1)))  # no cast: arrays that can't hold nulls are sorted as plain numbers
     return F.sort_array(F.array_distinct(F.when(F.size(w) < shingle, short).otherwise(spread)))
 
 
@@ -44,60 +47,76 @@ def prefix_size(n: Column) -> Column:
 def lines_of(documents: DataFrame) -> DataFrame:
     """d, pos and line of the lines that aren't blank."""
     every = documents.select("d", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return every.where(F.trim(F.translate("line", "\t\x0b\x0c\r", "    ")) != "")
+    return every.where(F.btrim("line", F.lit(" " + SPACES)) != "")
 
 
-def _slot(token: str = "token") -> Column:
-    return F.shiftrightunsigned(token, 64 - SLOT_BITS)
+def _few(listed: DataFrame) -> DataFrame:
+    """A written table, marked for broadcasting if it is counted to have few rows."""
+    return F.broadcast(listed) if listed.count() <= BROADCAST_LINES else listed
 
 
 def _by_document(places: DataFrame, out: str) -> DataFrame:
     """d and the lines named for it, marked for broadcasting if they are counted to be few. places: a written table."""
     few = places.count() <= BROADCAST_LINES
-    held = places.groupBy("d").agg(F.collect_set("pos").alias(out))
+    held = places.groupBy("d").agg(F.sort_array(F.collect_set("pos")).alias(out))
     return F.broadcast(held) if few else held
 
 
 def _tokens_at(documents: DataFrame, places: DataFrame) -> DataFrame:
-    """d, pos and tokens of the lines at the given places."""
-    held = documents.join(_by_document(places, "places"), "d").select("d", F.posexplode(F.split("text", "\n")).alias("pos", "line"), "places").where(F.array_contains("places", F.col("pos")))
-    return held.select("d", "pos", words(F.col("line")).alias("w")).select("d", "pos", tokens(F.col("w")).alias("tokens"))
+    """d, pos, a hash k of the line, and tokens of the lines at the given places (of each text, where texts share a d)."""
+    held = documents.join(_by_document(places, "places"), "d")
+    named = F.filter(F.split("text", "\n"), lambda x, i: F.array_contains("places", i))
+    held = held.select("d", F.inline(F.arrays_zip(F.col("places").alias("pos"), named.alias("line")))).where("line is not null")
+    held = held.select("d", "pos", F.xxhash64("line").alias("k"), words(F.col("line")).alias("w"))
+    return held.select("d", "pos", "k", tokens(F.col("w")).alias("tokens"))
+
+
+def _common(listed: DataFrame, slot: Column) -> DataFrame:
+    """slot and class of the slots in which many of the listed tokens fall."""
+    return listed.groupBy(slot.alias("slot")).agg(F.count("*").alias("many")).where(F.col("many") > COMMON).select("slot", F.floor(F.log2("many")).cast("int").alias("class"))
 
 
 def repeated_lines(documents: DataFrame) -> DataFrame:
     """d and pos of each line that an earlier line equals or resembles. documents: d (bigint, not null) and text."""
-    # the light side: all lines by a 128-bit hash, and the first place of each
-    every = lines_of(documents).select(F.unhex(F.md5("line")).alias("h"), "d", "pos")
-    firsts = every.groupBy("h").agg(F.min(F.struct("d", "pos")).alias("first"))
-    equal = every.join(firsts, "h").where((F.col("d") != F.col("first.d")) | (F.col("pos") != F.col("first.pos"))).select("d", "pos")
-
-    # of each distinct line the first place and the start of its tokens in order of hash
+    # all lines by a 128-bit hash, with the start of their tokens in order of hash
     parts = lines_of(documents).select("d", "pos", F.unhex(F.md5("line")).alias("h"), words(F.col("line")).alias("w")).select("h", "d", "pos", tokens(F.col("w")).alias("t"))
     parts = parts.select("h", "d", "pos", F.size("t").alias("n"), "t")  # no filter on tokens: it would be pushed down and compute them again
-    parts = parts.select("h", F.struct("d", "pos", "n", F.slice("t", F.lit(1), prefix_size(F.col("n")).cast("int")).alias("t")).alias("line"))
-    distinct = materialize(parts.groupBy("h").agg(F.min("line").alias("line")).select("line.*"), "lines")
+    parts = materialize(parts.select("h", "d", "pos", "n", F.slice("t", F.lit(1), prefix_size(F.col("n")).cast("int")).alias("t")), "lines")
+
+    # of equal lines the first stays
+    firsts = parts.groupBy("h").agg(F.min(F.struct("d", "pos")).alias("first"), F.count("*").alias("many")).where("many > 1").drop("many")
+    firsts = _few(materialize(firsts, "first-lines"))
+    equal = parts.join(firsts, "h").where((F.col("d") != F.col("first.d")) | (F.col("pos") != F.col("first.pos"))).select("d", "pos")
+    heads = parts.join(firsts, "h").where((F.col("d") == F.col("first.d")) & (F.col("pos") == F.col("first.pos"))).drop("first").dropDuplicates(["h"])
+    distinct = parts.join(firsts, "h", "left_anti").unionByName(heads)
     rows = distinct.select("d", "pos", "n", F.posexplode("t").alias("i", "token"))
 
-    # classes of rarity: slots far above the mean, by powers of two
-    slots = rows.groupBy(_slot().alias("slot")).agg(F.count("*").alias("many"))
-    total = slots.agg((F.sum("many") / (1 << SLOT_BITS)).alias("mean")).first()["mean"] or 0.0
-    common = materialize(slots.where(F.col("many") > 16 * total + 256).select("slot", F.floor(F.log2(F.col("many") / F.lit(max(total, 1.0)))).cast("int").alias("class")), "common-slots")
-    common = F.broadcast(common)  # a row a slot at most: 2**SLOT_BITS rows
-    marked = materialize(rows.join(common, _slot() == F.col("slot"), "left_semi").select("d", "pos").distinct(), "common-lines")
-    again = _tokens_at(documents, marked).select("d", "pos", F.size("tokens").alias("n"), F.explode_outer("tokens").alias("token")).join(common, _slot() == F.col("slot"), "left")
-    order = F.expr("row_number() over (partition by d, pos order by coalesce(class, 0), token) - 1")
-    again = again.withColumn("i", order).where(F.col("i") < prefix_size(F.col("n"))).select("d", "pos", "n", "i", "token")
-    rows = rows.join(F.broadcast(marked) if marked.count() <= BROADCAST_LINES else marked, ["d", "pos"], "left_anti").unionByName(again)
+    # classes of rarity: common slots among the first tokens, then among all tokens of the lines that have such
+    total = distinct.agg(F.sum(F.size("t"))).first()[0] or 0
+    bits = min(max(total.bit_length() - 1, 16), 40)
+    slot = F.shiftrightunsigned("token", 64 - bits)
+    common = materialize(_common(rows, slot), "common-slots")
+    marked = materialize(rows.join(_few(common), slot == F.col("slot"), "left_semi").select("d", "pos").distinct(), "common-lines")
+    held = materialize(_tokens_at(documents, marked), "line-tokens")
+    more = _common(held.select(F.explode("tokens").alias("token")), slot)
+    common = materialize(common.unionByName(more).groupBy("slot").agg(F.max("class").alias("class")), "common-slots")
+    also = rows.join(_few(common), slot == F.col("slot"), "left_semi").select("d", "pos").distinct()
+    also = materialize(also.join(_few(marked), ["d", "pos"], "left_anti"), "common-lines")
+    held = held.unionByName(_tokens_at(documents, also))
+    again = held.select("d", "pos", "k", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(_few(common), slot == F.col("slot"), "left")
+    again = again.groupBy("d", "pos", "k", "n").agg(F.sort_array(F.collect_set(F.struct(F.coalesce("class", F.lit(0)).alias("class"), "token"))).alias("t"))
+    again = again.select("d", "pos", "n", F.posexplode(F.slice("t", F.lit(1), prefix_size(F.col("n")).cast("int"))).alias("i", "t")).select("d", "pos", "n", "i", "t.token")
+    rows = rows.join(_few(marked), ["d", "pos"], "left_anti").join(_few(also), ["d", "pos"], "left_anti").unionByName(materialize(again, "rare-tokens"))
 
     # only tokens of several lines go on; the first line that holds one is its pivot
-    shared = rows.groupBy("token").agg(F.count("*").alias("many"), F.min("d").alias("first_d")).where("many > 1").drop("many")
-    shared = materialize(rows.join(shared, "token"), "shared-tokens")
+    shared = materialize(rows.groupBy("token").agg(F.count("*").alias("many"), F.min("d").alias("first_d")).where("many > 1").drop("many"), "shared-tokens")
+    shared = materialize(rows.join(_few(shared), "token"), "shared-rows")
     pivots = shared.where("d = first_d").groupBy("token").agg(F.min(F.struct("d", "pos", "n", "i")).alias("p")).select("token", "p.*")
 
     # a group of many lines alike makes one pair a line with its pivot; only lines unlike their pivots meet all the others
     near = materialize(_candidates(pivots, shared), "line-pairs")
     found = materialize(_similar(documents, near), "similar-lines")
-    rest = shared.join(F.broadcast(found) if found.count() <= BROADCAST_LINES else found, ["d", "pos"], "left_anti")
+    rest = shared.join(_few(found), ["d", "pos"], "left_anti")
     more = materialize(_candidates(shared, rest), "line-pairs")
     return equal.unionByName(found).unionByName(_similar(documents, more))
 
