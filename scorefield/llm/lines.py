@@ -20,6 +20,8 @@ from .common import LOWEST, materialize, read_table
 SHINGLE = 5
 #: The similarity as a fraction, so that bounds are exact.
 NUM, DEN = 4, 5
+#: log2 of the slots by which tokens are counted, at least.
+SLOT_BITS = 16
 #: A slot of tokens is common if it holds more than this.
 COMMON = 12
 SPACES = "\t\x0b\x0c\r"
@@ -93,7 +95,7 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
 
     # classes of rarity: common slots among the first tokens, then among all tokens of the lines that have such
     total = distinct.agg(F.sum(F.size("t"))).first()[0] or 0
-    bits = min(max(total.bit_length() - 1, 16), 40)
+    bits = min(max(total.bit_length() - 1, SLOT_BITS), 40)
     slot = F.shiftrightunsigned("token", 64 - bits)
     common = materialize(_common(rows, slot), "common-slots")
     marked = materialize(rows.join(_few(common), slot == F.col("slot"), "left_semi").select("d", "pos").distinct(), "common-lines")
