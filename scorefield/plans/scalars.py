@@ -18,6 +18,12 @@ def f01(spark, sf_dir):
     return view(spark, sf_dir, "documents").where("lang in ('en', 'es', 'fr')").select("doc_id", S.fold(F.substring("text", 1, 60)).alias("folded"))
 
 
+@query("f01_fold_documents", oracle(f"SELECT doc_id, md5(trim(regexp_replace(lower(translate(text, '{S.ACCENTED}', '{S.PLAIN}')), '[^a-z0-9]+', ' ', 'g'))) AS folded FROM documents"))
+def f01_documents(spark, sf_dir):
+    """The whole text of every row, of any language or none."""
+    return view(spark, sf_dir, "documents").select("doc_id", F.md5(S.fold("text")).alias("folded"))
+
+
 @query("f02_slugify", oracle("SELECT p_partkey, replace(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' ', '-') || '-' || p_partkey AS slug FROM part"))
 def f02(spark, sf_dir):
     return parts(spark, sf_dir).select("p_partkey", S.slugify("p_name", "p_partkey").alias("slug"))
