@@ -193,6 +193,34 @@ def d03(spark, sf_dir):
     return D.pair_probability(d, pairs, "event_id", "entity_id", "score")
 
 
+#: The same draws for every event, entity and period.
+WHOLE_DRAWS = DRAWS.replace(" WHERE event_id IN (199501, 199502) AND period <= 3", "")
+
+
+def drawn_whole(spark, sf_dir):
+    s = view(spark, sf_dir, "scores")
+    return D.bootstrap_draws(s, s.select("event_id", "entity_id", "period"), 8, "entity_id", "score", ["event_id", "entity_id", "period"])
+
+
+@query("d01_bootstrap_draws_whole", oracle(f"{WHOLE_DRAWS} SELECT * FROM dr"))
+def d01_whole(spark, sf_dir):
+    return drawn_whole(spark, sf_dir).select("event_id", "entity_id", "period", "draw", "score")
+
+
+@query("d02_draw_outcomes_whole", oracle(f"""{WHOLE_DRAWS}, t AS (SELECT event_id, draw, entity_id, sum(score) AS total, sum(score) FILTER (period <= 2) AS early, max(period) AS p FROM dr GROUP BY 1, 2, 3),
+m AS (SELECT *, NOT (max(p) OVER w > 2 AND count(*) OVER w > 10) OR rank() OVER (PARTITION BY event_id, draw ORDER BY early NULLS FIRST) <= 10 AS made FROM t WINDOW w AS (PARTITION BY event_id, draw)), k AS (SELECT *, CASE WHEN made THEN total ELSE 10000 + early END AS key FROM m),
+r AS (SELECT *, rank() OVER (PARTITION BY event_id, draw ORDER BY key NULLS FIRST) AS position FROM k), s AS (SELECT *, count(*) OVER (PARTITION BY event_id, draw, position) AS share FROM r)
+SELECT event_id, entity_id, round(avg(CASE WHEN position = 1 THEN 1.0::DOUBLE / share ELSE 0 END), 9) AS win, avg((position <= 10)::INT) AS top10, avg((position <= 20)::INT) AS top20, avg(made::INT) AS make, avg(position) AS position FROM s GROUP BY 1, 2"""))
+def d02_whole(spark, sf_dir):
+    return D.draw_outcomes(drawn_whole(spark, sf_dir), "event_id", "entity_id", "period", "score", 10).withColumn("win", F.round("win", 9))
+
+
+@query("d03_pair_probability_whole", oracle(f"""{WHOLE_DRAWS}, t AS (SELECT event_id, draw, entity_id, sum(score) AS t FROM dr GROUP BY 1, 2, 3) SELECT a.event_id, a.entity_id AS a, b.entity_id AS b, count(*) FILTER (a.t < b.t) / nullif(count(*) FILTER (a.t <> b.t), 0) AS p_ahead, count(*) FILTER (a.t = b.t) / count(*) AS p_tie FROM t a JOIN t b ON a.event_id = b.event_id AND a.draw = b.draw AND b.entity_id = a.entity_id + 1 GROUP BY 1, 2, 3"""))
+def d03_whole(spark, sf_dir):
+    pairs = view(spark, sf_dir, "scores").select(F.col("entity_id").alias("a"), (F.col("entity_id") + 1).alias("b")).distinct()
+    return D.pair_probability(drawn_whole(spark, sf_dir), pairs, "event_id", "entity_id", "score")
+
+
 @query("d04_cut_rule", oracle("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 4 = 1 AND p_size * 3 <= 84 THEN NULL WHEN p_partkey % 10 = 7 THEN 50 ELSE 65 END AS cut FROM part"))
 def d04(spark, sf_dir):
     p = parts(spark, sf_dir).selectExpr("p_partkey", "CASE WHEN p_partkey % 4 <> 1 THEN p_partkey % 4 <> 0 END AS prior", "p_size * 3 AS field")

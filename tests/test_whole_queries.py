@@ -15,3 +15,17 @@ def test_fold_documents_takes_every_row_and_the_whole_text(spark, tmp_path):
     fold = lambda t: re.sub("[^a-z0-9]+", " ", t.translate(table).lower()).strip(" ")
     want = {i: None if t is None else hashlib.md5(fold(t).encode()).hexdigest() for i, t, _ in docs}
     assert {r["doc_id"]: r["folded"] for r in QUERIES["f01_fold_documents"](spark, str(tmp_path)).collect()} == want
+
+
+def test_draws_take_every_event_and_period(spark):
+    from scorefield.plans.bindings import view
+
+    sf = "/root/testdata/sf0.001"
+    field = view(spark, sf, "scores").select("event_id", "entity_id", "period")
+    got = QUERIES["d01_bootstrap_draws_whole"](spark, sf)
+    assert got.groupBy("event_id", "entity_id", "period").count().where("count = 8").count() == field.count() == field.distinct().count()
+    events = field.select("event_id").distinct().count()
+    assert events > 2
+    for name in ("d02_draw_outcomes_whole", "d03_pair_probability_whole"):
+        assert QUERIES[name](spark, sf).select("event_id").distinct().count() > 2
+    assert QUERIES["d02_draw_outcomes_whole"](spark, sf).select("event_id").distinct().count() == events
