@@ -155,6 +155,12 @@ def j21(spark, sf_dir):
     return J.common_dims(h.where("entity_id = 1").select("venue_id", F.col("n").alias("na")), h.where("entity_id = 2").select("venue_id", F.col("n").alias("nb")), ["venue_id"])
 
 
+@query("j21_common_dims_pairs", oracle("WITH h AS (SELECT entity_id, event_id % 12 AS venue_id, count(*) AS n FROM entries GROUP BY 1, 2) SELECT a.entity_id AS a, a.venue_id, a.n AS na, b.n AS nb FROM h a JOIN h b USING (venue_id) WHERE b.entity_id = a.entity_id + 1"))
+def j21_pairs(spark, sf_dir):
+    h = view(spark, sf_dir, "entries").groupBy("entity_id", (F.col("event_id") % 12).alias("venue_id")).agg(F.count("*").alias("n"))
+    return J.common_dims(h.select(F.col("entity_id").alias("a"), "venue_id", F.col("n").alias("na")), h.select((F.col("entity_id") - 1).alias("a"), "venue_id", F.col("n").alias("nb")), ["a", "venue_id"])
+
+
 @query("j22_parity", oracle("""WITH m AS (SELECT a.c_custkey AS k, b.c_custkey IS NULL AS gone, a.cents AS ca, b.cents - (b.c_custkey % 5) AS cb, a.c_mktsegment AS ma, b.c_mktsegment AS mb FROM src_a a LEFT JOIN src_b b ON a.c_custkey = b.c_custkey),
 x AS (SELECT k AS c_custkey, unnest(list_filter([CASE WHEN gone THEN 'row_removed' END, CASE WHEN NOT gone AND coalesce(cb, 0) < coalesce(ca, 0) THEN 'count_lost:cents' END, CASE WHEN NOT gone AND ma IS NOT NULL AND mb IS NULL THEN 'field_missing:c_mktsegment' END], lambda x: x IS NOT NULL)) AS kind FROM m) SELECT c_custkey, kind, c_custkey % 2 = 0 AND kind = 'row_removed' AS explained FROM x"""))
 def j22(spark, sf_dir):

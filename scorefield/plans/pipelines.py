@@ -41,6 +41,14 @@ def p03(spark, sf_dir):
     return r.groupBy("event_id").agg(F.count("*").alias("field"), F.count_if(F.col("prior") == 0).alias("first_appearances"), F.max(F.when(F.col("k") == 1, F.col("entity_id"))).alias("form_leader"))
 
 
+@query("p03_field_context_whole", oracle("""WITH h AS (SELECT a.event_id, a.entity_id, count(b.total) AS prior, CAST(sum(b.total) AS BIGINT) AS prior_total FROM entries a LEFT JOIN entries b ON a.entity_id = b.entity_id AND b.start_on < a.start_on AND b.start_on >= a.start_on - 365 GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY prior_total / prior NULLS LAST, entity_id) AS k FROM h) SELECT event_id, count(*) AS field, count(*) FILTER (prior = 0) AS first_appearances, max(entity_id) FILTER (k = 1) AS form_leader FROM r GROUP BY 1"""))
+def p03_whole(spark, sf_dir):
+    h = J.history_before(view(spark, sf_dir, "entries"), "entity_id", "start_on", "total", 365)
+    r = T.keep_first(h.withColumn("form", F.col("prior_total") / F.nullif("prior", F.lit(0))), ["event_id"], [F.col("form").asc_nulls_last(), F.col("entity_id")], 1 << 30, "k")
+    return r.groupBy("event_id").agg(F.count("*").alias("field"), F.count_if(F.col("prior") == 0).alias("first_appearances"), F.max(F.when(F.col("k") == 1, F.col("entity_id"))).alias("form_leader"))
+
+
 @query("p04_venue_document", oracle(f"""WITH h AS ({HIST}), k AS (SELECT *, row_number() OVER (PARTITION BY venue_id ORDER BY mean_finish NULLS LAST, entity_id) AS k FROM h WHERE starts >= 2), n AS (SELECT event_id % 12 AS venue_id, count(DISTINCT event_id) AS events FROM entries GROUP BY 1) SELECT venue_id, events, entity_id AS leader, starts FROM k JOIN n USING (venue_id) WHERE k = 1"""))
 def p04(spark, sf_dir):
     e = venue_entries(spark, sf_dir)

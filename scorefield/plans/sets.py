@@ -39,6 +39,13 @@ def s05(spark, sf_dir):
     return O.shared_keys(e.where("entity_id = 1"), e.where("entity_id = 2"), "event_id")
 
 
+@query("s05_shared_keys_pairs", oracle("SELECT DISTINCT a.entity_id AS a, event_id FROM entries a JOIN entries b USING (event_id) WHERE b.entity_id = a.entity_id + 1"))
+def s05_pairs(spark, sf_dir):
+    e = view(spark, sf_dir, "entries")
+    key = lambda c: F.struct(c.alias("a"), "event_id").alias("k")
+    return O.shared_keys(e.select(key(F.col("entity_id"))), e.select(key(F.col("entity_id") - 1)), "k").select("k.*")
+
+
 @query("s06_new_items", oracle("SELECT event_id, entity_id, period FROM scores WHERE period = 2 AND (event_id, entity_id) NOT IN (SELECT (event_id, entity_id) FROM scores WHERE period = 1)"))
 def s06(spark, sf_dir):
     s = view(spark, sf_dir, "scores").select("event_id", "entity_id", "period")

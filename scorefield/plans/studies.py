@@ -115,3 +115,10 @@ def f14(spark, sf_dir):
     pts = F.expr("array(named_struct('x', 0D, 'y', 0D), named_struct('x', 150D, 'y', cast(p_size as double)), named_struct('x', 300D, 'y', 0D))")
     p = view(spark, sf_dir, "part").where("p_size < 10 or p_size >= 40").select("p_partkey", pts.alias("pts"))
     return p.select("p_partkey", S.route_shape("pts", F.lit(4)).alias("shape"), F.size(S.route_markers("pts", [100, 150, 1000])).alias("marks"))
+
+
+@query("f14_f15_route_whole", oracle("SELECT p_partkey, CASE WHEN 2 * degrees(atan(p_size / 150.0)) < 12 THEN 'straight' WHEN 2 * degrees(atan(p_size / 150.0)) >= 20 AND p_size >= 20 THEN 'dogleg right' END AS shape, 2 AS marks FROM part"))
+def f14_whole(spark, sf_dir):
+    pts = F.expr("array(named_struct('x', 0D, 'y', 0D), named_struct('x', 150D, 'y', cast(p_size as double)), named_struct('x', 300D, 'y', 0D))")
+    p = view(spark, sf_dir, "part").select("p_partkey", pts.alias("pts"))
+    return p.select("p_partkey", S.route_shape("pts", F.lit(4)).alias("shape"), F.size(S.route_markers("pts", [100, 150, 1000])).alias("marks"))

@@ -29,3 +29,14 @@ def test_draws_take_every_event_and_period(spark):
     for name in ("d02_draw_outcomes_whole", "d03_pair_probability_whole"):
         assert QUERIES[name](spark, sf).select("event_id").distinct().count() > 2
     assert QUERIES["d02_draw_outcomes_whole"](spark, sf).select("event_id").distinct().count() == events
+
+
+def test_pairs_events_and_parts_are_not_chosen_by_key(spark):
+    from scorefield.plans.bindings import view
+
+    sf = "/root/testdata/sf0.001"
+    entries = view(spark, sf, "entries")
+    for name in ("j21_common_dims_pairs", "s05_shared_keys_pairs"):
+        assert QUERIES[name](spark, sf).select("a").distinct().count() == entries.select("entity_id").distinct().count() - 1
+    assert QUERIES["p03_field_context_whole"](spark, sf).count() == entries.select("event_id").distinct().count()
+    assert QUERIES["f14_f15_route_whole"](spark, sf).count() == view(spark, sf, "part").count()
