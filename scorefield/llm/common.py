@@ -37,6 +37,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes a table that materialize wrote and nothing reads any more."""
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

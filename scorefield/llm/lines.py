@@ -1,49 +1,71 @@
 """Line dedup: an exact set-similarity join between lines, in DataFrame functions only.
 
-A line's tokens are its five-word shingles (a shorter line is one token). Equal lines are collapsed to their first place.
-Tokens are ordered by rarity, then by hash; two similar lines must share a token among the first few of each (prefix
-filter). A join on these tokens, cut by the lengths and by where in the prefixes the token stands, gives candidates, whose
-Jaccard similarity is then computed from all their tokens. A line goes if an earlier one is equal or similar.
-
-Rarity comes in classes: tokens are counted by slots of their hash, of which there are about as many as tokens, and a token's
-class is the power of two of its slot's count. Nearly all lines hold only tokens of the lowest class among their first, for
-which the order is the hash; the others are tokenised once more: all their tokens are counted, and the rarest found. So a
-passage that many lines share doesn't make pairs. Nor does a group of many lines alike: each line first meets the first line
-of each of its tokens, and only those that none of these resembles meet the others.
+A line's tokens are its words, each once. Lines of equal token sets are collapsed to their first place. Two different lines
+have a Jaccard similarity of 0.8 or more only if they share many tokens, so also the rarest of some; a join on these gives
+candidates, which are then verified on all their tokens. A line goes if an earlier one is equal or similar.
+
+Which tokens are joined on. A line of n tokens can lack k = n - ceil(0.8 n) of those of a similar one at most. Order all
+tokens by their hash: among the first a = 0.4 n + 8 of each, two similar lines share all but k tokens still (an ordered
+prefix lacks no more than the whole). Order these a by rarity: one of the k + 1 rarest is shared (prefix filter). So rarity is
+counted, exactly and over all lines, for the tokens of these windows only, and a line is tokenised once for it.
+
+Rarity comes in classes. Tokens are counted; a table of fixed size has a slot for each hash prefix, and a slot the class (the
+power of two) of its most frequent token. Which class a token has changes the work, never the result.
+
+Joined rows are cut by the lengths, by where in the prefixes the token stands (positional filter) and by a sketch: 64 parities
+of the tokens of the window, of which two similar lines differ in no more than they differ in tokens. So what leaves the join
+is nearly all similar. Tokens of many lines are not joined as they are: each of their lines first meets the first line of the
+token, and lines that don't resemble it go on under the token and another rare token, and another (similar lines share two of
+their k + 2 rarest tokens, and three of k + 3).
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWEST, materialize, read_table
+from .common import LOWEST, discard, materialize, read_table
 
-SHINGLE = 5
 #: The similarity as a fraction, so that bounds are exact.
 NUM, DEN = 4, 5
-#: log2 of the slots by which tokens are counted, at least.
-SLOT_BITS = 16
-#: A slot of tokens is common if it holds more than this.
-COMMON = 12
+#: A token held by more lines than this is joined by way of its first line, and then together with further tokens.
+HEAVY = 512
+#: The most tokens that are joined on at once.
+DEPTH = 3
+#: Slots of the table of classes, and tokens listed in it at most, as powers of two. Counts below LEAST are not listed.
+SLOT_BITS, LISTED_BITS, LEAST = 20, 17, 16
+#: Bits of a token's hash; above them stands its class.
+TOKEN_BITS = 58
 SPACES = "\t\x0b\x0c\r"
 #: A list of lines goes to all tasks if it names so many at most (some 10 MB), and is joined by shuffling beyond that.
 BROADCAST_LINES = 1_000_000
 
 
 def words(line: Column) -> Column:
-    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c")) | F.contains(line, F.lit("\r"))
+    odd = reduce(lambda a, b: a | b, (F.contains(line, F.lit(c)) for c in SPACES))
     return F.array_remove(F.split(F.when(odd, F.translate(line, SPACES, "    ")).otherwise(line), " "), "")
 
 
-def tokens(w: Column, shingle: int = SHINGLE) -> Column:
-    """Distinct hashes of the shingles in order; none for a blank line."""
-    spread = F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - (shingle - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get(w, i + k) for k in range(1, shingle))))
-    whole = F.array(F.xxhash64(F.lit("short"), F.concat_ws(" ", w)))
-    short = F.slice(whole, F.lit(1), F.least(F.size(w), F.lit(1)))  # no cast: arrays that can't hold nulls are sorted as plain numbers
-    return F.sort_array(F.array_distinct(F.when(F.size(w) < shingle, short).otherwise(spread)))
+def tokens(line: Column) -> Column:
+    """Distinct hashes of a line's words in order; none for a blank line."""
+    hashed = F.transform(words(line), lambda x: F.shiftrightunsigned(F.xxhash64(x), 64 - TOKEN_BITS))
+    return F.sort_array(F.array_distinct(hashed))
+
+
+def lacking(n: Column) -> Column:
+    """How many tokens of n a similar line may lack."""
+    return n - F.ceil(n * NUM / DEN).cast("int")
+
 
+def window(n: Column) -> Column:
+    """How many tokens in order of hash are looked at: 0.4 n + 8."""
+    return F.least(n, F.floor(n * 2 / 5).cast("int") + 8)
 
-def prefix_size(n: Column) -> Column:
-    return n - F.floor((n * NUM + (DEN - 1)) / DEN) + 1
+
+def needed(n: Column, m: Column) -> Column:
+    """How many tokens two similar lines of n and m tokens share at least, counted in their windows."""
+    whole = F.floor((4 * (n + m) + 8) / 9)
+    return F.least(whole, window(n) - n + whole, window(m) - m + whole)
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
@@ -65,85 +87,118 @@ def _by_document(places: DataFrame, out: str) -> DataFrame:
 
 
 def _tokens_at(documents: DataFrame, places: DataFrame) -> DataFrame:
-    """d, pos, a hash k of the line, and tokens of the lines at the given places (of each text, where texts share a d)."""
+    """d, pos and tokens of the lines at the given places (of each text, where texts share a d)."""
     held = documents.join(_by_document(places, "places"), "d")
     named = F.filter(F.split("text", "\n"), lambda x, i: F.array_contains("places", i))
-    held = held.select("d", F.inline(F.arrays_zip(F.col("places").alias("pos"), named.alias("line")))).where("line is not null")
-    held = held.select("d", "pos", F.xxhash64("line").alias("k"), words(F.col("line")).alias("w"))
-    return held.select("d", "pos", "k", tokens(F.col("w")).alias("tokens"))
+    held = held.select("d", F.inline(F.arrays_zip(F.col("places").alias("pos"), named.alias("line"))))
+    return held.where("line is not null").select("d", "pos", tokens(F.col("line")).alias("tokens"))
+
+
+def _rarity(windows: DataFrame) -> tuple[DataFrame, Column]:
+    """The tokens of many lines, and for a token the class of its slot. windows: a column t of tokens."""
+    counted = windows.select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("many"))
+    counted = counted.where(F.col("many") >= LEAST).select("token", "many", F.floor(F.log2("many")).cast("int").alias("class"))
+    counted = materialize(counted, "token-counts")
+    listed, least = 0, 64
+    for row in counted.groupBy("class").count().orderBy(F.desc("class")).collect():  # a row for each power of two
+        listed += row["count"]
+        if listed > 1 << LISTED_BITS:
+            break
+        least = row["class"]
+    slot = F.shiftrightunsigned("token", TOKEN_BITS - SLOT_BITS).cast("int").alias("slot")
+    top = counted.where(F.col("class") >= least).groupBy(slot).agg(F.least(F.max("class") - (least - 1), F.lit(31)).alias("class"))
+    table = bytearray(1 << SLOT_BITS)
+    for row in top.toLocalIterator():  # 2 ** LISTED_BITS rows at most
+        table[row["slot"]] = row["class"]
+    held = F.lit(table)
+
+    def class_of(token: Column) -> Column:
+        at = F.shiftrightunsigned(token, TOKEN_BITS - SLOT_BITS).cast("int") + 1
+        return F.ascii(F.substring(held, at, F.lit(1)).cast("string")).cast("long")
+
+    return counted.where(F.col("many") > HEAVY).select("token"), class_of
+
+
+def _candidates(a: DataFrame, b: DataFrame, depth: int) -> DataFrame:
+    """Pairs of an earlier line of a and a later one of b that share a key of depth tokens and pass the filters."""
+    a = a.select("key", *(F.col(c).alias(f"a{c}") for c in ("d", "pos", "n", "i", "s")))
+    b = b.select("key", *(F.col(c).alias(f"b{c}") for c in ("d", "pos", "n", "i", "s")))
+    wide, least = window(F.col("an")) + window(F.col("bn")), needed(F.col("an"), F.col("bn"))
+    near = (
+        ((F.col("ad") < F.col("bd")) | ((F.col("ad") == F.col("bd")) & (F.col("apos") < F.col("bpos"))))
+        & (F.least("an", "bn") * DEN >= F.greatest("an", "bn") * NUM)
+        & (F.bit_count(F.col("as").bitwiseXOR(F.col("bs"))) <= wide - 2 * least)
+        & (F.least(window(F.col("an")) - F.col("ai"), window(F.col("bn")) - F.col("bi")) >= least - (depth - 1))
+    )
+    return a.join(b, "key").where(near).select("ad", "apos", "bd", "bpos").distinct()
 
 
-def _common(listed: DataFrame, slot: Column) -> DataFrame:
-    """slot and class of the slots in which many of the listed tokens fall."""
-    return listed.groupBy(slot.alias("slot")).agg(F.count("*").alias("many")).where(F.col("many") > COMMON).select("slot", F.floor(F.log2("many")).cast("int").alias("class"))
+def _similar(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """d and pos of the later lines of pairs whose Jaccard similarity is high enough."""
+    pairs = materialize(pairs, "line-pairs")
+    places = materialize(pairs.selectExpr("ad as d", "apos as pos").unionByName(pairs.selectExpr("bd as d", "bpos as pos")).distinct(), "line-places")
+    held = materialize(_tokens_at(documents, places), "line-tokens")
+    left, right = held.selectExpr("d as ad", "pos as apos", "tokens as at"), held.selectExpr("d as bd", "pos as bpos", "tokens as bt")
+    both = F.size(F.array_intersect("at", "bt"))
+    alike = pairs.join(left, ["ad", "apos"]).join(right, ["bd", "bpos"]).where(both * DEN >= (F.size("at") + F.size("bt") - both) * NUM)
+    found = materialize(alike.selectExpr("bd as d", "bpos as pos").distinct(), "similar-lines")
+    for table in (pairs, places, held):
+        discard(table)
+    return found
+
+
+def _similar_to_many(documents: DataFrame, prefixes: DataFrame, rows: DataFrame) -> DataFrame:
+    """d and pos of lines that resemble an earlier one with which they share a key of many lines. rows: key, d, pos, n, i, s."""
+    found = []
+    for depth in range(1, DEPTH + 1):
+        if not rows.count():
+            break
+        first = rows.groupBy("key").agg(F.min(F.struct("d", "pos", "n", "i", "s")).alias("first")).select("key", "first.*")
+        found.append(_similar(documents, _candidates(first, rows, depth)))
+        known = reduce(DataFrame.unionByName, found).distinct()
+        still = materialize(rows.join(known, ["d", "pos"], "left_anti"), "open-rows")
+        if depth == DEPTH:
+            found.append(_similar(documents, _candidates(rows, still, depth)))
+            break
+        keys = still.select("key").distinct()
+        further = rows.join(keys, "key", "left_semi").join(prefixes.select("d", "pos", "t"), ["d", "pos"])
+        further = further.select("key", "d", "pos", "n", "s", F.posexplode(F.slice("t", F.lit(1), lacking(F.col("n")) + (depth + 1))).alias("j", "token"), "i")
+        further = materialize(further.where("j > i").select(F.xxhash64("key", "token").alias("key"), "d", "pos", "n", F.col("j").alias("i"), "s"), "further-rows")
+        held = further.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+        further = further.join(held, "key")
+        few = further.where(F.col("many") <= HEAVY).drop("many")
+        found.append(_similar(documents, _candidates(few, few.join(known, ["d", "pos"], "left_anti"), depth + 1)))
+        rows = materialize(further.where(F.col("many") > HEAVY).drop("many"), "heavy-rows")
+    return reduce(DataFrame.unionByName, found) if found else rows.select("d", "pos").limit(0)
 
 
 def repeated_lines(documents: DataFrame) -> DataFrame:
     """d and pos of each line that an earlier line equals or resembles. documents: d (bigint, not null) and text."""
-    # all lines by a 128-bit hash, with the start of their tokens in order of hash
-    parts = lines_of(documents).select("d", "pos", F.unhex(F.md5("line")).alias("h"), words(F.col("line")).alias("w")).select("h", "d", "pos", tokens(F.col("w")).alias("t"))
-    parts = parts.select("h", "d", "pos", F.size("t").alias("n"), "t")  # no filter on tokens: it would be pushed down and compute them again
-    parts = materialize(parts.select("h", "d", "pos", "n", F.slice("t", F.lit(1), prefix_size(F.col("n")).cast("int")).alias("t")), "lines")
+    parts = lines_of(documents).select("d", "pos", tokens(F.col("line")).alias("t"))
+    parts = parts.select("d", "pos", F.struct(F.xxhash64("t").alias("a"), F.xxhash64(F.lit(1), "t").alias("b")).alias("h"), F.size("t").alias("n"), F.slice("t", F.lit(1), window(F.size("t"))).alias("t"))
+    sketch = F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    parts = materialize(parts.withColumn("s", sketch), "lines")
 
-    # of equal lines the first stays
+    # of lines of equal token sets the first stays
     firsts = parts.groupBy("h").agg(F.min(F.struct("d", "pos")).alias("first"), F.count("*").alias("many")).where("many > 1").drop("many")
     firsts = _few(materialize(firsts, "first-lines"))
-    equal = parts.join(firsts, "h").where((F.col("d") != F.col("first.d")) | (F.col("pos") != F.col("first.pos"))).select("d", "pos")
+    equal = materialize(parts.join(firsts, "h").where((F.col("d") != F.col("first.d")) | (F.col("pos") != F.col("first.pos"))).select("d", "pos"), "equal-lines")
     heads = parts.join(firsts, "h").where((F.col("d") == F.col("first.d")) & (F.col("pos") == F.col("first.pos"))).drop("first").dropDuplicates(["h"])
     distinct = parts.join(firsts, "h", "left_anti").unionByName(heads)
-    rows = distinct.select("d", "pos", "n", F.posexplode("t").alias("i", "token"))
-
-    # classes of rarity: common slots among the first tokens, then among all tokens of the lines that have such
-    total = distinct.agg(F.sum(F.size("t"))).first()[0] or 0
-    bits = min(max(total.bit_length() - 1, SLOT_BITS), 40)
-    slot = F.shiftrightunsigned("token", 64 - bits)
-    common = materialize(_common(rows, slot), "common-slots")
-    marked = materialize(rows.join(_few(common), slot == F.col("slot"), "left_semi").select("d", "pos").distinct(), "common-lines")
-    held = materialize(_tokens_at(documents, marked), "line-tokens")
-    more = _common(held.select(F.explode("tokens").alias("token")), slot)
-    common = materialize(common.unionByName(more).groupBy("slot").agg(F.max("class").alias("class")), "common-slots")
-    also = rows.join(_few(common), slot == F.col("slot"), "left_semi").select("d", "pos").distinct()
-    also = materialize(also.join(_few(marked), ["d", "pos"], "left_anti"), "common-lines")
-    held = held.unionByName(_tokens_at(documents, also))
-    again = held.select("d", "pos", "k", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(_few(common), slot == F.col("slot"), "left")
-    again = again.groupBy("d", "pos", "k", "n").agg(F.sort_array(F.collect_set(F.struct(F.coalesce("class", F.lit(0)).alias("class"), "token"))).alias("t"))
-    again = again.select("d", "pos", "n", F.posexplode(F.slice("t", F.lit(1), prefix_size(F.col("n")).cast("int"))).alias("i", "t")).select("d", "pos", "n", "i", "t.token")
-    rows = rows.join(_few(marked), ["d", "pos"], "left_anti").join(_few(also), ["d", "pos"], "left_anti").unionByName(materialize(again, "rare-tokens"))
-
-    # only tokens of several lines go on; the first line that holds one is its pivot
-    shared = materialize(rows.groupBy("token").agg(F.count("*").alias("many"), F.min("d").alias("first_d")).where("many > 1").drop("many"), "shared-tokens")
-    shared = materialize(rows.join(_few(shared), "token"), "shared-rows")
-    pivots = shared.where("d = first_d").groupBy("token").agg(F.min(F.struct("d", "pos", "n", "i")).alias("p")).select("token", "p.*")
-
-    # a group of many lines alike makes one pair a line with its pivot; only lines unlike their pivots meet all the others
-    near = materialize(_candidates(pivots, shared), "line-pairs")
-    found = materialize(_similar(documents, near), "similar-lines")
-    rest = shared.join(_few(found), ["d", "pos"], "left_anti")
-    more = materialize(_candidates(shared, rest), "line-pairs")
-    return equal.unionByName(found).unionByName(_similar(documents, more))
-
-
-def _candidates(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of an earlier line of a and a later one of b that share a token and pass the filters on lengths and positions."""
-    a = a.select("token", F.col("d").alias("ad"), F.col("pos").alias("ap"), F.col("n").alias("an"), F.col("i").alias("ai"))
-    b = b.select("token", F.col("d").alias("bd"), F.col("pos").alias("bp"), F.col("n").alias("bn"), F.col("i").alias("bi"))
-    needed = F.ceil((F.col("an") + F.col("bn")) * NUM / (NUM + DEN))
-    near = (
-        ((F.col("ad") < F.col("bd")) | ((F.col("ad") == F.col("bd")) & (F.col("ap") < F.col("bp"))))
-        & (F.least("an", "bn") * DEN >= F.greatest("an", "bn") * NUM)
-        & (F.least(F.col("an") - F.col("ai"), F.col("bn") - F.col("bi")) >= needed)
-    )
-    return a.join(b, "token").where(near).select("ad", "ap", "bd", "bp").distinct()
-
 
-def _similar(documents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """d and pos of the later lines of pairs whose Jaccard similarity is high enough. pairs: a written table."""
-    places = materialize(pairs.selectExpr("ad as d", "ap as pos").unionByName(pairs.selectExpr("bd as d", "bp as pos")).distinct(), "line-places")
-    held = _tokens_at(documents, places)
-    left, right = held.selectExpr("d as ad", "pos as ap", "tokens as at"), held.selectExpr("d as bd", "pos as bp", "tokens as bt")
-    both = F.size(F.array_intersect("at", "bt"))
-    alike = pairs.join(left, ["ad", "ap"]).join(right, ["bd", "bp"]).where(both * DEN >= (F.size("at") + F.size("bt") - both) * NUM)
-    return alike.selectExpr("bd as d", "bp as pos").distinct()
+    # the rarest tokens of each; lines of fewer than four tokens resemble none but their equals
+    heavy, class_of = _rarity(distinct)
+    ordered = F.sort_array(F.transform("t", lambda x: F.shiftleft(class_of(x), TOKEN_BITS).bitwiseOR(x)))
+    prefixes = distinct.where("n >= 4").select("d", "pos", "n", "s", F.slice(ordered, F.lit(1), lacking(F.col("n")) + DEPTH).alias("t"))
+    prefixes = materialize(prefixes, "line-prefixes")
+    discard(parts)
+    rows = prefixes.select("d", "pos", "n", "s", F.posexplode(F.slice("t", F.lit(1), lacking(F.col("n")) + 1)).alias("i", "key"))
+    heavy = _few(materialize(heavy, "heavy-tokens"))
+    token = F.col("key").bitwiseAND(F.lit((1 << TOKEN_BITS) - 1)) == F.col("token")
+    few = rows.join(heavy, token, "left_anti")
+    found = _similar(documents, _candidates(few, few, 1))
+    many = materialize(rows.join(heavy, token, "left_semi"), "heavy-rows")
+    return equal.unionByName(found).unionByName(_similar_to_many(documents, prefixes, many)).distinct()
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
@@ -175,9 +230,13 @@ WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 line AS (SELECT doc_id, unnest(ls) AS x, unnest(range(0, len(ls))) AS pos FROM l),
 w AS (SELECT doc_id, pos, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w FROM line),
 f AS (SELECT x, any_value(w) AS w, min((doc_id, pos)) AS place FROM w WHERE len(w) > 0 GROUP BY x),
-s AS (SELECT x, place, list_distinct(CASE WHEN len(w) < 5 THEN ['short ' || array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS t FROM f),
+s AS (SELECT x, place, list_distinct(w) AS t FROM f),
 e AS (SELECT x, place, len(t) AS n, unnest(t) AS t FROM s),
-m AS (SELECT b.x AS x FROM e a JOIN e b ON a.t = b.t AND a.place < b.place GROUP BY a.x, b.x HAVING count(*) * 5 >= (any_value(a.n) + any_value(b.n) - count(*)) * 4),
+q AS (SELECT t, count(*) AS c FROM e GROUP BY t),
+p AS (SELECT x, place, n, t, row_number() OVER (PARTITION BY x ORDER BY c, t) AS i FROM e JOIN q USING (t)),
+r AS (SELECT x, place, n, t FROM p WHERE i <= n - ceil(n * 4 / 5.0) + 1),
+c AS (SELECT DISTINCT a.x AS ax, b.x AS bx FROM r a JOIN r b ON a.t = b.t AND a.place < b.place AND least(a.n, b.n) * 5 >= greatest(a.n, b.n) * 4),
+m AS (SELECT bx AS x FROM c JOIN s a ON a.x = ax JOIN s b ON b.x = bx WHERE len(list_intersect(a.t, b.t)) * 5 >= (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) * 4),
 gone AS (SELECT w.doc_id, w.pos FROM w JOIN f ON w.x = f.x WHERE (w.doc_id, w.pos) <> f.place OR w.x IN (SELECT x FROM m)),
 kept AS (SELECT doc_id, count(*) AS n, string_agg(x, chr(10) ORDER BY pos) AS text FROM line ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
 SELECT l.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(ls), 0) - coalesce(n, 0) AS BIGINT) AS n_removed, CASE WHEN ls IS NOT NULL THEN sha256(coalesce(text, '')) END AS kept_sha256

@@ -237,7 +237,7 @@ def test_lines(docs, nothing, spark):
         kept, gone = [], 0
         for line in (t or "").split("\n") if t is not None else []:
             w = SPACE.findall(line)
-            s = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+            s = frozenset(w)
             if s and any(len(s & o) * 5 >= len(s | o) * 4 for o in seen):
                 gone += 1
             else:
@@ -251,15 +251,55 @@ def test_lines(docs, nothing, spark):
     assert lines.dedup_lines(nothing).count() == 0
 
 
-def test_common_lines_are_ordered_by_rarity(spark, monkeypatch):
-    """A passage that all lines share, each line otherwise its own: found apart, and near copies still found."""
+def brute_lines(rows):
+    """doc_id -> how many of its lines an earlier line equals or resembles."""
+    seen, gone = [], collections.Counter()
+    for d, t in sorted(rows, key=lambda x: x[0]):
+        for s in (frozenset(SPACE.findall(line)) for line in t.split("\n")):
+            gone[d] += bool(s) and any(len(s & o) * 5 >= len(s | o) * 4 for o in seen)
+            seen += [s] if s else []
+    return {d: n for d, n in gone.items() if n}
+
+
+def test_a_changed_word_in_twenty(spark):
+    twenty = [f"w{i}" for i in range(20)]
+    rows = [(1, " ".join(twenty)), (2, " ".join(twenty[:-1] + ["other"])), (3, "a b c d"), (4, "a b c d e"), (5, "a b c"), (6, "c b a a"), (7, "a b"), (8, " ".join(reversed(twenty)) + "\tw3")]
+    got = {x["doc_id"]: x["n_removed"] for x in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0, 6: 1, 7: 0, 8: 1}
+
+
+@pytest.mark.parametrize("heavy", [1, 4, 10**6])
+def test_common_tokens_meet_by_their_first_line(spark, monkeypatch, heavy):
+    """Words that all lines share, near copies among them, and lines of common words only; every way through the join."""
     r = random.Random(3)
-    shared = " ".join(f"s{i}" for i in range(30))
-    own = [" ".join(f"{k}x{r.randrange(10**6)}" for _ in range(25)) for k in range(400)]
-    rows = [(k, f"{shared} {own[k]}") for k in range(400)] + [(1000, f"{shared} {own[7]} end")]
+    shared = [f"s{i}" for i in range(14)]
+    rows = []
+    for k in range(90):
+        w = r.sample(shared, r.randint(3, 14)) + [f"{k % 30}x{i}" for i in range(r.choice([0, 0, 1, 2, 8]))]
+        w += [f"y{r.randrange(9)}" for _ in range(r.choice([0, 1, 2]))]
+        rows.append((k, " ".join(w)))
+    monkeypatch.setattr(lines, "HEAVY", heavy)
+    monkeypatch.setattr(lines, "LEAST", 1)
     monkeypatch.setattr(lines, "SLOT_BITS", 8)
+    monkeypatch.setattr(lines, "BROADCAST_LINES", 40)
     got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").collect()
-    assert [x["doc_id"] for x in got] == [1000]
+    assert {x["doc_id"]: x["n_removed"] for x in got} == brute_lines(rows)
+
+
+def test_prefixes_hold_what_similar_lines_share(spark):
+    """For all sizes: a token within the first k + 1 of a window is shared, and the least shared numbers allow three at once."""
+    n, m = F.col("n").cast("int"), F.col("m").cast("int")
+    sizes = spark.range(4, 400).withColumnRenamed("id", "n").join(spark.range(4, 500).withColumnRenamed("id", "m"), F.expr("least(n, m) * 5 >= greatest(n, m) * 4"))
+    least = lines.needed(n, m)
+    assert sizes.where((lines.window(n) - least > lines.lacking(n)) | (least < lines.DEPTH)).count() == 0
+
+
+def test_lines_of_repeated_and_null_ids(spark):
+    long = " ".join(f"u{i}" for i in range(30_000))
+    rows = [(1, "a b c\nd"), (1, "d\ne f"), (None, "e f"), (None, None), (2, long), (3, long + " v"), (3, None)]
+    done = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = [(str(x["doc_id"]), x["text"] and x["text"][:9], x["n_lines"], x["n_removed"]) for x in done]
+    assert ("3", "", 1, 1) in got and ("3", None, 0, 0) in got and ("None", "e f", 1, 0) in got and ("2", "u0 u1 u2 ", 1, 0) in got
 
 
 def test_mixing(spark, docs, nothing):
