@@ -2,86 +2,63 @@
 
 Suffixes are classified as smaller (S) or larger (L) than their right neighbour; the substrings between leftmost smaller
 positions are sorted by one induction, named, and their order found recursively; a last induction then gives the array.
-An induction goes bucket by bucket; what one bucket induces is placed by a stable counting step for all its suffixes.
+An induction sweeps over the array in steps of many places; what a step induces is placed by one stable sort of symbols.
 """
 
 import numpy as np
 
-#: The named string is sorted by rank doubling once it has more than one name for so many symbols: buckets are then too
-#: small for steps over whole buckets to pay.
-NAMES_SHARE = 64
-
-
-def _doubling(names: np.ndarray) -> np.ndarray:
-    """Suffix array by doubling ranks."""
-    n, k = len(names), 1
-    _, rank = np.unique(names, return_inverse=True)
-    rank = rank.astype(np.int64)
-    while True:
-        key = rank * (n + 1)
-        key[: n - k] += rank[k:] + 1 if k < n else 0
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        new = np.zeros(n, np.int64)
-        new[order[1:]] = np.cumsum(ordered[1:] != ordered[:-1])
-        if new[order[-1]] == n - 1:
-            return order
-        rank, k = new, 2 * k
+#: Places of an array that one step looks at, at most and at least.
+MOST, LEAST = 1 << 16, 64
 
 
 def _place(sa: np.ndarray, t: np.ndarray, j: np.ndarray, head: np.ndarray, way: int) -> None:
     """Put suffixes, in order, at the next free places of their buckets, upwards or downwards."""
     c = t[j]
-    order = np.argsort(c, kind="stable")
-    c, j = c[order], j[order]
-    new = np.ones(len(c), bool)
-    new[1:] = c[1:] != c[:-1]
-    first = np.flatnonzero(new)
-    counts = np.diff(np.append(first, len(c)))
-    rank = np.arange(len(c)) - np.repeat(first, counts)
-    sa[head[c] + way * rank] = j
-    head[c[first]] += way * counts
+    order = c.argsort(kind="stable")
+    c = c[order]
+    n = np.arange(len(c))
+    first = n.copy()
+    first[1:][c[1:] == c[:-1]] = 0
+    at = head[c] + way * (n - np.maximum.accumulate(first))
+    sa[at] = j[order]
+    head[c] = at + way  # of equal symbols the last one counts
+
+
+def _sweep(sa: np.ndarray, t: np.ndarray, chosen: np.ndarray, free: np.ndarray, way: int) -> None:
+    """Goes over the array, upwards or downwards, and puts the left neighbour of each suffix, if chosen, at the next free
+    place of its bucket.
+
+    A step takes as many places as are sure to be settled: up to the nearest place that it may fill itself. So steps are
+    long whether buckets are few and large or many and small.
+    """
+    n = len(t)
+    at, width = (0, LEAST) if way > 0 else (n - 1, LEAST)
+    while 0 <= at < n:
+        seen = sa[at : at + width] if way > 0 else sa[max(at - width + 1, 0) : at + 1][::-1]
+        place = ((seen > 0) & chosen[seen - 1]).nonzero()[0]
+        j = seen[place] - 1
+        ahead = (free[t[j]] - at) * way  # steps from here to where each goes at the nearest
+        nearest = np.minimum.accumulate(ahead)
+        late = (place[1:] >= nearest[:-1]).nonzero()[0]
+        taken = int(late[0]) + 1 if len(late) else len(j)
+        if taken:
+            _place(sa, t, j[:taken], free, way)
+        done = min(len(seen), int(nearest[taken - 1])) if taken else len(seen)
+        at += way * done
+        width = min(max(2 * done, LEAST), MOST)
 
 
 def _induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """All suffixes, from leftmost smaller suffixes in their order."""
     n = len(t)
     sa = np.full(n, -1, np.int64)
-    tail = ends - 1
-    _place(sa, t, lms[::-1], tail, -1)
-    lms_from = tail + 1
+    _place(sa, t, lms[::-1], ends - 1, -1)
     head = starts.copy()
-    used = np.flatnonzero(ends > starts)
-    for c in used:
-        at = starts[c]
-        while at < head[c]:  # suffixes that a bucket induces into itself make the next turn
-            j = sa[at : head[c]] - 1
-            at = head[c]
-            j = j[j >= 0]
-            j = j[~is_s[j]]
-            if len(j):
-                _place(sa, t, j, head, 1)
-        j = sa[lms_from[c] : ends[c]] - 1
-        j = j[j >= 0]
-        j = j[~is_s[j]]
-        if len(j):
-            _place(sa, t, j, head, 1)
+    _sweep(sa, t, ~is_s, head, 1)
+    sa[np.arange(n) >= np.repeat(head, ends - starts)] = -1  # the smaller suffixes are placed anew
     tail = ends - 1
-    sa[starts[t[n - 1]]] = n - 1
-    for c in used[::-1]:
-        at = ends[c] - 1
-        while at > tail[c]:
-            j = sa[tail[c] + 1 : at + 1][::-1] - 1
-            at = tail[c]
-            j = j[j >= 0]
-            j = j[is_s[j]]
-            if len(j):
-                _place(sa, t, j, tail, -1)
-        j = sa[starts[c] : head[c]][::-1] - 1
-        j = j[j >= 0]
-        j = j[is_s[j]]
-        if len(j):
-            _place(sa, t, j, tail, -1)
+    sa[0] = n - 1
+    _sweep(sa, t, is_s, tail, -1)
     return sa
 
 
@@ -121,8 +98,6 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         names = name[lms]
         if names.max() == len(lms) - 1:
             inner = np.argsort(names)
-        elif names.max() * NAMES_SHARE > len(lms):
-            inner = _doubling(names)
         else:
             inner = suffix_array(names)
         lms = lms[inner]
@@ -145,7 +120,7 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     known[has] = t[pos[has] - 1] == t[before[has] - 1]
     todo = np.flatnonzero(~known & ~fresh)
     plcp = np.zeros(n, np.int64)
-    padded = np.concatenate([t.astype(np.int64), -1 - np.arange(8)])
+    padded = np.append(t.astype(np.int64), -1)
     live, k = todo, 0
     while len(live):
         a, b = live + k, before[live] + k
