@@ -5,6 +5,7 @@ Texts are handled as UTF-8 bytes in chunks of bounded size. Hashes are polynomia
 taken from prefix sums, so that all words or windows of a chunk cost a few passes of numpy.
 """
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,13 +22,20 @@ CHUNK_BYTES = 2 << 20
 LOWEST = -(1 << 63)
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a local one (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a session that runs in one
+    process (as in tests) takes a folder of its own; a cluster has no such folder, so there it is an error."""
+    context = spark.sparkContext
+    if found := context.getConf().get("spark.checkpoint.dir"):
+        return found
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if context.applicationId not in _local:
+        _local[context.applicationId] = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    return _local[context.applicationId]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ counted, exactly and over all lines, for the tokens of these windows only, and a
 Rarity comes in classes. Tokens are counted; a table of fixed size has a slot for each hash prefix, and a slot the class (the
 power of two) of its most frequent token. Which class a token has changes the work, never the result.
 
-Joined rows are cut by the lengths, by where in the prefixes the token stands (positional filter) and by a sketch: 64 parities
+Joined rows are cut by the lengths, by where in the prefixes the token stands (positional filter) and by a sketch: 128 parities
 of the tokens of the window, of which two similar lines differ in no more than they differ in tokens. So what leaves the join
 is nearly all similar. Tokens of many lines are not joined as they are: each of their lines first meets the first line of the
 token, and lines that don't resemble it go on under the token and another rare token, and another (similar lines share two of
@@ -68,6 +68,12 @@ def needed(n: Column, m: Column) -> Column:
     return F.least(whole, window(n) - n + whole, window(m) - m + whole)
 
 
+def _parities(half: int) -> Column:
+    """64 parities of the tokens t, of those that belong to this half."""
+    bit = "shiftrightunsigned(x, 6) & 1L"
+    return F.expr(f"aggregate(t, 0L, (s, x) -> s ^ shiftleft({bit if half else f'1L - ({bit})'}, cast(x & 63 as int)))")
+
+
 def lines_of(documents: DataFrame) -> DataFrame:
     """d, pos and line of the lines that aren't blank."""
     every = documents.select("d", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -121,13 +127,13 @@ def _rarity(windows: DataFrame) -> tuple[DataFrame, Column]:
 
 def _candidates(a: DataFrame, b: DataFrame, depth: int) -> DataFrame:
     """Pairs of an earlier line of a and a later one of b that share a key of depth tokens and pass the filters."""
-    a = a.select("key", *(F.col(c).alias(f"a{c}") for c in ("d", "pos", "n", "i", "s")))
-    b = b.select("key", *(F.col(c).alias(f"b{c}") for c in ("d", "pos", "n", "i", "s")))
+    a = a.select("key", *(F.col(c).alias(f"a{c}") for c in ("d", "pos", "n", "i", "s", "r")))
+    b = b.select("key", *(F.col(c).alias(f"b{c}") for c in ("d", "pos", "n", "i", "s", "r")))
     wide, least = window(F.col("an")) + window(F.col("bn")), needed(F.col("an"), F.col("bn"))
     near = (
         ((F.col("ad") < F.col("bd")) | ((F.col("ad") == F.col("bd")) & (F.col("apos") < F.col("bpos"))))
         & (F.least("an", "bn") * DEN >= F.greatest("an", "bn") * NUM)
-        & (F.bit_count(F.col("as").bitwiseXOR(F.col("bs"))) <= wide - 2 * least)
+        & (F.bit_count(F.col("as").bitwiseXOR(F.col("bs"))) + F.bit_count(F.col("ar").bitwiseXOR(F.col("br"))) <= wide - 2 * least)
         & (F.least(window(F.col("an")) - F.col("ai"), window(F.col("bn")) - F.col("bi")) >= least - (depth - 1))
     )
     return a.join(b, "key").where(near).select("ad", "apos", "bd", "bpos").distinct()
@@ -148,12 +154,12 @@ def _similar(documents: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _similar_to_many(documents: DataFrame, prefixes: DataFrame, rows: DataFrame) -> DataFrame:
-    """d and pos of lines that resemble an earlier one with which they share a key of many lines. rows: key, d, pos, n, i, s."""
+    """d and pos of lines that resemble an earlier one with which they share a key of many lines. rows: key, d, pos, n, i and the sketch."""
     found = []
     for depth in range(1, DEPTH + 1):
         if not rows.count():
             break
-        first = rows.groupBy("key").agg(F.min(F.struct("d", "pos", "n", "i", "s")).alias("first")).select("key", "first.*")
+        first = rows.groupBy("key").agg(F.min(F.struct("d", "pos", "n", "i", "s", "r")).alias("first")).select("key", "first.*")
         found.append(_similar(documents, _candidates(first, rows, depth)))
         known = reduce(DataFrame.unionByName, found).distinct()
         still = materialize(rows.join(known, ["d", "pos"], "left_anti"), "open-rows")
@@ -162,8 +168,8 @@ def _similar_to_many(documents: DataFrame, prefixes: DataFrame, rows: DataFrame)
             break
         keys = still.select("key").distinct()
         further = rows.join(keys, "key", "left_semi").join(prefixes.select("d", "pos", "t"), ["d", "pos"])
-        further = further.select("key", "d", "pos", "n", "s", F.posexplode(F.slice("t", F.lit(1), lacking(F.col("n")) + (depth + 1))).alias("j", "token"), "i")
-        further = materialize(further.where("j > i").select(F.xxhash64("key", "token").alias("key"), "d", "pos", "n", F.col("j").alias("i"), "s"), "further-rows")
+        further = further.select("key", "d", "pos", "n", "s", "r", F.posexplode(F.slice("t", F.lit(1), lacking(F.col("n")) + (depth + 1))).alias("j", "token"), "i")
+        further = materialize(further.where("j > i").select(F.xxhash64("key", "token").alias("key"), "d", "pos", "n", F.col("j").alias("i"), "s", "r"), "further-rows")
         held = further.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
         further = further.join(held, "key")
         few = further.where(F.col("many") <= HEAVY).drop("many")
@@ -176,8 +182,7 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
     """d and pos of each line that an earlier line equals or resembles. documents: d (bigint, not null) and text."""
     parts = lines_of(documents).select("d", "pos", tokens(F.col("line")).alias("t"))
     parts = parts.select("d", "pos", F.struct(F.xxhash64("t").alias("a"), F.xxhash64(F.lit(1), "t").alias("b")).alias("h"), F.size("t").alias("n"), F.slice("t", F.lit(1), window(F.size("t"))).alias("t"))
-    sketch = F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    parts = materialize(parts.withColumn("s", sketch), "lines")
+    parts = materialize(parts.withColumns({"s": _parities(0), "r": _parities(1)}), "lines")
 
     # of lines of equal token sets the first stays
     firsts = parts.groupBy("h").agg(F.min(F.struct("d", "pos")).alias("first"), F.count("*").alias("many")).where("many > 1").drop("many")
@@ -189,10 +194,10 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
     # the rarest tokens of each; lines of fewer than four tokens resemble none but their equals
     heavy, class_of = _rarity(distinct)
     ordered = F.sort_array(F.transform("t", lambda x: F.shiftleft(class_of(x), TOKEN_BITS).bitwiseOR(x)))
-    prefixes = distinct.where("n >= 4").select("d", "pos", "n", "s", F.slice(ordered, F.lit(1), lacking(F.col("n")) + DEPTH).alias("t"))
+    prefixes = distinct.where("n >= 4").select("d", "pos", "n", "s", "r", F.slice(ordered, F.lit(1), lacking(F.col("n")) + DEPTH).alias("t"))
     prefixes = materialize(prefixes, "line-prefixes")
     discard(parts)
-    rows = prefixes.select("d", "pos", "n", "s", F.posexplode(F.slice("t", F.lit(1), lacking(F.col("n")) + 1)).alias("i", "key"))
+    rows = prefixes.select("d", "pos", "n", "s", "r", F.posexplode(F.slice("t", F.lit(1), lacking(F.col("n")) + 1)).alias("i", "key"))
     heavy = _few(materialize(heavy, "heavy-tokens"))
     token = F.col("key").bitwiseAND(F.lit((1 << TOKEN_BITS) - 1)) == F.col("token")
     few = rows.join(heavy, token, "left_anti")
