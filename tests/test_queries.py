@@ -49,3 +49,16 @@ def test_entry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("gone", ["scorefield.llm.queries", "corpus_pipeline"])
+def test_the_other_queries_stay_where_a_part_cannot_be_imported(monkeypatch, gone):
+    import sys
+
+    import __spark_entry__ as e
+
+    whole = set(e.queries())
+    monkeypatch.setitem(sys.modules, gone, None)
+    left = set(e.queries())
+    assert set(QUERIES) <= left <= whole and "pipeline" not in left
+    assert set(e.oracle_sql()) <= left
