@@ -1,9 +1,9 @@
 """SimHash near-dedup: exact links between 64-bit fingerprints of word shingles, and their components.
 
-Fingerprints that differ in few bits agree in whole blocks of bits, so each goes to one shard for every choice of blocks.
-In a shard the fingerprints are ordered by population count and compared tile against tile with exclusive-or and bit
-counts; tile pairs whose population counts differ by more than the radius are skipped. A shard returns a star for each
-component that it sees, never all its pairs.
+Fingerprints that differ in few bits agree in whole blocks of bits, so each goes to one shard for every choice of blocks;
+a shard of too many is dealt out once more, by blocks of the bits that are left. Shards are ordered by population count and
+cut into tiles, which are compared tile against tile with exclusive-or and bit counts; tile pairs whose population counts
+differ by more than the radius are skipped. Links come out as stars, never as all pairs.
 """
 
 from itertools import combinations
@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 from .common import U, chunks, connected_components, materialize, read_table, sorted_stream, star_edges, words_of
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-TILE = 1024
-#: Groups up to this size are compared all at once, row against following row.
-SMALL = 24
+#: Fingerprints of a tile, of a batch of shards (a larger shard is a batch of its own), and of a shard before it is dealt out once more.
+TILE, BATCH, CROWDED = 64, 20_000, 20_000
 NO_ID = (1 << 63) - 1
 
 
@@ -64,88 +63,93 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(scan, f"doc_id {kind}, text_hash long, fingerprint long")
 
 
-def blocks(radius: int) -> list[int]:
-    """Bit masks, one of which two fingerprints within the radius agree on: two of radius + 2 blocks."""
-    many = radius + 2
-    edges = [round(64 * i / many) for i in range(many + 1)]
+def blocks(radius: int) -> list[list[int]]:
+    """Bit masks, one of which two fingerprints within the radius agree on: two of radius + 2 blocks. Each with the masks
+    for a crowded shard: the same blocks and one of radius + 1 blocks of the other bits."""
+    edges = [round(64 * i / (radius + 2)) for i in range(radius + 3)]
     masks = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:])]
-    both = [a | b for a, b in combinations(masks, 2)]
-    return [m - (1 << 64) if m >= 1 << 63 else m for m in both]
-
-
-def _tiles(value: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A star for each component of one shard's fingerprints."""
-    count = np.bitwise_count(value)
-    order = np.argsort(count, kind="stable")
-    v, c, n = value[order], count[order].astype(np.int64), len(value)
-    a_all, b_all = [], []
-    for lo in range(0, n, TILE):
-        hi = min(lo + TILE, n)
-        for lo2 in range(lo, n, TILE):
-            hi2 = min(lo2 + TILE, n)
-            if c[lo2] - c[hi - 1] > radius:
+    out = []
+    for both in (a | b for a, b in combinations(masks, 2)):
+        rest = [1 << k for k in range(64) if not both >> k & 1]
+        cuts = [round(len(rest) * i / (radius + 1)) for i in range(radius + 2)]
+        out.append([both, *(both | sum(rest[lo:hi]) for lo, hi in zip(cuts, cuts[1:]))])
+    return [[m - (1 << 64) if m >= 1 << 63 else m for m in row] for row in out]
+
+
+def tile_pairs(group: np.ndarray, count: np.ndarray, radius: int, tile: int):
+    """Where the tiles of each pair that may hold links start; rows are ordered by group and population count."""
+    n = len(group)
+    for lo in range(0, n, tile):
+        last = min(lo + tile, n) - 1
+        yield lo, lo
+        for other in range(lo + tile, n, tile):
+            if group[other] != group[last] or count[other] - count[last] > radius:
                 break
-            a, b = np.nonzero(np.bitwise_count(v[lo:hi, None] ^ v[None, lo2:hi2]) <= radius)
-            a, b = a + lo, b + lo2
-            keep = a < b
-            a, b = a[keep], b[keep]
-            if len(a):
-                nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-                root = star_edges(len(nodes), flat[: len(a)], flat[len(a) :])
-                linked = root != np.arange(len(nodes))
-                a_all.append(nodes[linked])
-                b_all.append(nodes[root[linked]])
-    if not a_all:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = np.concatenate(a_all), np.concatenate(b_all)
-    root = star_edges(n, a, b)
-    linked = np.flatnonzero(root != np.arange(n))
-    return order[linked], order[root[linked]]
-
-
-def _links(radius: int):
-    def linked(group: np.ndarray, value: np.ndarray, node: np.ndarray):
-        start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        size = np.diff(np.append(start, len(group)))
-        of = np.repeat(size, size)
-        a_all, b_all = [], []
-        for d in range(1, min(SMALL, int(size.max()))):
-            near = (group[d:] == group[:-d]) & (of[d:] <= SMALL)
-            near[near] = np.bitwise_count(value[d:][near] ^ value[:-d][near]) <= radius
-            i = np.flatnonzero(near)
-            a_all.append(i + d)
-            b_all.append(i)
-        for at, n in zip(start[size > SMALL], size[size > SMALL]):
-            a, b = _tiles(value[at : at + n], radius)
-            a_all.append(at + a)
-            b_all.append(at + b)
-        a, b = np.concatenate(a_all), np.concatenate(b_all)
-        if len(a):
-            root = star_edges(len(group), a, b)
-            at = np.flatnonzero(root != np.arange(len(group)))
-            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[root[at]])], ["a", "b"])
+            yield lo, other
+
+
+def linked(group: np.ndarray, value: np.ndarray, radius: int, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
+    """Stars of the rows of one group whose values differ in at most so many bits; rows as tile_pairs takes them."""
+    n = len(group)
+    a_all, b_all = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo, other in tile_pairs(group, np.bitwise_count(value).astype(np.int64), radius, tile):
+        hi, end = min(lo + tile, n), min(other + tile, n)
+        a, b = np.nonzero((np.bitwise_count(value[lo:hi, None] ^ value[None, other:end]) <= radius) & (group[lo:hi, None] == group[None, other:end]))
+        a, b = a + lo, b + other
+        a, b = a[a < b], b[a < b]
+        if len(a) > tile:  # a star for each component of the pair of tiles
+            nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+            root = star_edges(len(nodes), flat[: len(a)], flat[len(a) :])
+            a, b = nodes[root != np.arange(len(nodes))], nodes[root[root != np.arange(len(nodes))]]
+        a_all.append(a)
+        b_all.append(b)
+    root = star_edges(n, np.concatenate(a_all), np.concatenate(b_all))
+    at = np.flatnonzero(root != np.arange(n))
+    return at, root[at]
+
+
+def _links(radius: int, tile: int):
+    def stars(group, value, node):
+        at, root = linked(group, value, radius, tile)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[root])], ["a", "b"])
 
     def scan(batches):
         held, base = [], 0
-        for (_, _, value, node), before, after in sorted_stream(batches, 2):
+        for (_, _, _, value, node), before, after in sorted_stream(batches, 2):
             group = base + np.cumsum(~before)
             base = int(group[-1])
             keep = before | after
             held.append((group[keep], value[keep].view(U), node[keep]))
-            if sum(len(h[0]) for h in held) >= 20_000:
+            if sum(len(h[0]) for h in held) >= BATCH:
                 group, value, node = (np.concatenate(x) for x in zip(*held))
                 done = group < base  # the last group may go on in the next batch
                 if done.any():
-                    yield from linked(group[done], value[done], node[done])
+                    yield from stars(group[done], value[done], node[done])
                 held = [(group[~done], value[~done], node[~done])]
         if held:
             group, value, node = (np.concatenate(x) for x in zip(*held))
             if len(group):
-                yield from linked(group, value, node)
+                yield from stars(group, value, node)
 
     return scan
 
 
+def links(classes: DataFrame, radius: int, tile: int = TILE, crowded: int = CROWDED) -> DataFrame:
+    """Links (a, b) between the nodes of different fingerprints, as stars. classes: a written table of fingerprint and node."""
+    masks = blocks(radius)
+    key = F.col("mask").bitwiseAND(F.col("fingerprint"))
+    shards = classes.select(F.posexplode(F.array(*(F.lit(m[0]) for m in masks))).alias("choice", "mask"), "fingerprint", "node").select("choice", key.alias("part"), "fingerprint", "node")
+    full = materialize(shards.groupBy("choice", "part").agg(F.count("*").alias("many")).where(F.col("many") > crowded).drop("many"), "crowded-shards")
+    if full.count():
+        again = F.element_at(F.array(*(F.array(*(F.lit(x) for x in m[1:])) for m in masks)), F.col("choice") + 1)
+        dealt = shards.join(full, ["choice", "part"]).select("choice", "fingerprint", "node", F.posexplode(again).alias("more", "mask"))
+        dealt = dealt.select((F.col("choice") * (radius + 1) + F.col("more") + len(masks)).alias("choice"), key.alias("part"), "fingerprint", "node")
+        shards = shards.join(full, ["choice", "part"], "left_anti").unionByName(dealt)
+    rows = shards.select("choice", "part", F.bit_count("fingerprint").alias("bits"), "fingerprint", "node")
+    return rows.repartition("choice", "part").sortWithinPartitions("choice", "part", "bits").mapInArrow(_links(radius, tile), "a long, b long")
+
+
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, text_hash, fingerprint (long) and component_id (the smallest doc_id reachable by links, itself included) per
     row of documents; fingerprints link if they differ in at most so many bits.
@@ -156,9 +160,7 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, radius: int =
     """
     marked = materialize(fingerprints(documents, shingle), "fingerprints")
     classes = materialize(marked.groupBy("fingerprint").agg(F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).alias("node")), "fingerprint-classes")
-    shards = classes.select(F.posexplode(F.array(*(F.lit(m) for m in blocks(radius)))).alias("choice", "mask"), "fingerprint", "node").select("choice", F.col("mask").bitwiseAND(F.col("fingerprint")).alias("part"), "fingerprint", "node")
-    links = shards.repartition("choice", "part").sortWithinPartitions("choice", "part").mapInArrow(_links(radius), "a long, b long")
-    found = connected_components(links)
+    found = connected_components(links(classes, radius))
     named = classes.join(found, "node", "left").select("fingerprint", F.coalesce("component_id", "node").alias("component_id"))
     return marked.join(named, "fingerprint").select("doc_id", "text_hash", "fingerprint", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
 

@@ -163,21 +163,56 @@ def test_simhash(docs, nothing, spark):
     assert simhash.drop_near_duplicates(again).count() == 2
 
 
-def test_simhash_links_are_exact():
+def near_values(many=60):
     r = np.random.default_rng(1)
-    base = r.integers(0, 1 << 63, 60, dtype=np.int64).view(np.uint64)
-    near = np.concatenate([base ^ np.bitwise_or.reduce([np.uint64(1) << np.uint64(b) for b in r.choice(64, k, False)] or [np.uint64(0)]) for k in range(7)])
+    base = r.integers(0, 1 << 63, many, dtype=np.int64).view(np.uint64)
+    sparse = base & np.uint64(0xFF) if many > 30 else base
+    near = [b ^ np.bitwise_or.reduce([np.uint64(1) << np.uint64(x) for x in r.choice(64, k, False)] or [np.uint64(0)]) for k in range(7) for b in (base if k % 2 else sparse)]
+    return np.unique(np.array(near, np.uint64))
+
+
+def groups_of(root):
+    return sorted(sorted(np.flatnonzero(np.asarray(root) == v)) for v in set(root))
+
+
+@pytest.mark.parametrize("tile", [16, 64, 1024])
+def test_simhash_tiles_are_exact(tile):
+    """One shard, ordered by population count: tile pairs are skipped, and no link is lost."""
+    near = near_values()
+    near = near[np.argsort(np.bitwise_count(near), kind="stable")]
     for a in near:
         close = near[np.bitwise_count(near ^ a) <= 4]
-        masks = np.array(simhash.blocks(4), np.int64).view(np.uint64)
-        assert (((close[:, None] & masks) == (a & masks)).any(axis=1)).all()
-    a, b = simhash._tiles(near, 4)
+        for masks in (np.array([m[0] for m in simhash.blocks(4)], np.int64), np.array([x for m in simhash.blocks(4) for x in m[1:]], np.int64)):
+            assert (((close[:, None] & masks.view(np.uint64)) == (a & masks.view(np.uint64))).any(axis=1)).all()
+    group = np.zeros(len(near), int)
+    many = -(-len(near) // tile)
+    compared = len(list(simhash.tile_pairs(group, np.bitwise_count(near).astype(int), 4, tile)))
+    assert compared < many * (many + 1) // 2 or tile == 1024
     root = np.arange(len(near))
-    for x, y in zip(a, b):
-        root[x] = y
-    want = components(len(near), np.bitwise_count(near[:, None] ^ near[None, :]) <= 4)
-    groups = lambda z: sorted(sorted(np.flatnonzero(np.asarray(z) == v)) for v in set(z))
-    assert groups(root) == groups(want)
+    at, to = simhash.linked(group, near, 4, tile)
+    root[at] = to
+    assert groups_of(root) == groups_of(components(len(near), np.bitwise_count(near[:, None] ^ near[None, :]) <= 4))
+
+
+@pytest.mark.parametrize("crowded", [2, 10**6])
+def test_simhash_crowded_shards(spark, crowded):
+    near = near_values(25)
+    rows = spark.createDataFrame([(int(v), i) for i, v in enumerate(near.view(np.int64))], "fingerprint long, node long")
+    found = connected_components(simhash.links(rows, 4, 16, crowded)).collect()
+    root = list(range(len(near)))
+    for x in found:
+        root[x["node"]] = x["component_id"]
+    assert root == components(len(near), np.bitwise_count(near[:, None] ^ near[None, :]) <= 4)
+
+
+def test_simhash_query(spark, tmp_path):
+    rows = [*corpus(), (3, "again here"), (None, "one two"), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((x["fingerprint"], -1 if x["doc_id"] is None else x["doc_id"], x["component_id"]) for x in simhash.op4_simhash_near_dedup(spark, str(tmp_path)).collect())
+    fp = np.array([fingerprint(t) for _, t in rows], np.uint64)
+    root = components(len(fp), np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4)
+    least = {v: min((rows[i][0] for i in range(len(rows)) if root[i] == v and rows[i][0] is not None), default=None) for v in set(root)}
+    assert got == sorted((f"{int(f):016x}", -1 if d is None else d, least[v]) for (d, _), f, v in zip(rows, fp, root))
 
 
 def test_components(spark):
