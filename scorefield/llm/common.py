@@ -56,6 +56,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """doc_id, text and label of labelled documents, most rows at most however many there are or repeat.
+
+    Of rows that repeat a doc_id in labels the largest label counts, of those in documents the text with the smallest hash
+    (then the smallest text). Null doc_ids and labels are left out. Beyond the bound the smallest hashes of doc_id stay.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias(label))
+    n = known.count()
+    order = F.xxhash64("doc_id", F.lit(1))
+    if n > most:
+        known = known.where(F.pmod(order, F.lit(1 << 30)) < int((1 << 30) * most / n)).orderBy(order, "doc_id").limit(most)
+    found = documents.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("hash")).join(F.broadcast(known), "doc_id")  # known has so many rows at most
+    one = F.min(F.struct("hash", "text")).alias("one")
+    return found.groupBy("doc_id", label).agg(one).select("doc_id", "one.text", label)
+
+
 # --- chunks of texts --------------------------------------------------------------------------------------------------
 
 

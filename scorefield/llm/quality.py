@@ -2,7 +2,7 @@
 
 Each preference pair is a good and a bad labelled document; the chance that the good one wins is the logistic function of
 the difference of their scores, and scores are linear in features of the text. The logistic loss over the pairs' feature
-differences is minimised by Newton's method. Among the quantiles of the labelled scores, the one that parts the labels
+differences is minimised by Newton's method. Features are counts of the surface and hashed words and pairs of words. Among the quantiles of the labelled scores, the one that parts the labels
 best becomes the threshold, and scores are shifted so that it lies at a fixed value.
 """
 
@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, byte_class, chunks, mix, read_table, span_hashes, words_of
+from .common import U, byte_class, chunks, labelled_sample, list_column, mix, read_table, span_hashes, words_of
 
-#: Labelled rows to learn from at most (about: a hash picks them), and pairs for each of them.
-SAMPLE, PAIRS, RIDGE = 20_000, 4, 1e-2
+#: Labelled rows to learn from at most, pairs for each of them, and pairs that Newton's method takes at once.
+SAMPLE, PAIRS, BLOCK = 20_000, 4, 8192
+#: log2 of the buckets of hashed n-grams; the penalties of the features of the surface and of the buckets.
+BITS, RIDGE, HASHED_RIDGE = 8, 1e-2, 1e-1
 #: What the threshold scores.
 AT = 0.3
 
@@ -71,35 +73,42 @@ def features(column: pa.Array) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Weights of the features and the threshold, from labelled rows (doc_id, quality)."""
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
-    n = known.count()
-    if n > sample:
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < int((1 << 30) * sample / n))
+def ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number and hashed bucket of each word and pair of neighbours, and for each text one over their number."""
+    words = words_of(column)
+    h, text = words.hashes(), words.text_of()
+    inside = np.flatnonzero(np.arange(len(h)) + 1 < words.last())
+    both = np.concatenate([mix(h ^ U(1)), mix(h[inside] * U(3) + h[inside + 1])])
+    of = np.concatenate([text, text[inside]])
+    return of, (both >> U(64 - BITS)).astype(np.int64), 1 / np.maximum(np.bincount(of, minlength=len(words.first) - 1), 1)
 
-    def scan(batches):
-        for part in chunks(batches):
-            x = features(part.column(1))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    picked = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "quality")  # at most about so many rows as the sample
-    rows = picked.mapInArrow(scan, f"doc_id {kind}, quality int, x array<double>").orderBy("doc_id", "quality").collect()  # bounded by the sample
-    x, y = np.array([r[2] for r in rows]).reshape(len(rows), len(NAMES)), np.array([r[1] for r in rows])
+def rows_of(column: pa.Array) -> np.ndarray:
+    """All features of each text: those of its surface, then the share of its n-grams in each bucket."""
+    of, bucket, part = ngrams(column)
+    share = np.bincount(of << BITS | bucket, minlength=len(part) << BITS).reshape(len(part), -1) * part[:, None]
+    return np.concatenate([features(column), share], axis=1)
+
+
+def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS) -> tuple[np.ndarray, float]:
+    """Weights that minimise the logistic loss of the differences of good and bad rows, and the threshold."""
     good, bad = np.flatnonzero(y > 0), np.flatnonzero(y <= 0)
     if not len(good) or not len(bad):  # nothing to prefer: keep all, or reject all
-        return np.zeros(len(NAMES)), -1.0 if not len(bad) else 1.0
+        return np.zeros(x.shape[1]), -1.0 if not len(bad) else 1.0
     random = np.random.default_rng(7)
-    many = PAIRS * len(y)
-    d = x[random.choice(good, many)] - x[random.choice(bad, many)]
+    many = pairs * len(y)
+    a, b = random.choice(good, many), random.choice(bad, many)
     scale = np.maximum(x.std(axis=0), 1e-9)
-    d /= scale
-    w = np.zeros(d.shape[1])
+    z = x / scale
+    w = np.zeros(x.shape[1])
+    ridge = np.where(np.arange(len(w)) < len(NAMES), RIDGE, HASHED_RIDGE)
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -35, 35)))
-        gradient = d.T @ (p - 1) / many + RIDGE * w
-        hessian = (d * (p * (1 - p))[:, None]).T @ d / many + RIDGE * np.eye(len(w))
+        gradient, hessian = ridge * w, np.diag(ridge)
+        for lo in range(0, many, BLOCK):
+            d = z[a[lo : lo + BLOCK]] - z[b[lo : lo + BLOCK]]
+            p = 1 / (1 + np.exp(-np.clip(d @ w, -35, 35)))
+            gradient += d.T @ (p - 1) / many
+            hessian += (d * (p * (1 - p))[:, None]).T @ d / many
         step = np.linalg.solve(hessian, gradient)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -116,15 +125,53 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tupl
     return w, float(at)
 
 
-def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """doc_id, text_hash (xxhash64 of the text) and score (0 to 1) per row; null and empty texts have features of zero.
-    Other columns are ignored."""
+def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
+    """Weights of the features and the threshold, from labelled rows (doc_id, quality).
+
+    Null labels and doc_ids and labels without a document are left out; repeated rows count once (see labelled_sample); null
+    and empty texts have features of zero. At most so many rows are learned from, in the order of a hash of doc_id, so ties
+    and reruns agree. Labels of one kind keep, or reject, all; no labels keep all. Other columns are ignored.
+    """
+    picked = labelled_sample(documents, labels, "quality", sample)
+    many = len(NAMES) + (1 << BITS)
+
+    def scan(batches):
+        for part in chunks(batches):
+            x = rows_of(part.column(1))
+            at = np.arange(part.num_rows + 1) * many
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x.ravel()))], ["doc_id", "quality", "x"])
+
+    def learn(batches):
+        held = [(batch.column(1).to_numpy(), list_column(batch.column(2))[1].to_numpy(zero_copy_only=False)) for batch in batches if batch.num_rows]
+        x = np.concatenate([x for _, x in held] or [np.zeros(0)]).reshape(-1, many)
+        w, at = fit(x, np.concatenate([y for y, _ in held] or [np.zeros(0)]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(many), -1)), pa.array(np.append(w, at))], ["i", "w"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    rows = picked.mapInArrow(scan, f"doc_id {kind}, quality int, x array<double>")
+    # one task learns from the bounded sample, in an order that depends on the rows alone
+    model = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").mapInArrow(learn, "i long, w double").collect()
+    held = dict(model)
+    return np.array([held.get(i, 0.0) for i in range(many)]), held.get(-1, -1.0)
+
+
+def _scores(column: pa.Array, model: tuple[np.ndarray, float]) -> np.ndarray:
     w, at = model
+    of, bucket, part = ngrams(column)
+    shares = np.bincount(of, weights=w[len(NAMES) :][bucket], minlength=len(part)) * part
+    s = features(column) @ w[: len(NAMES)] + shares - at + np.log(AT / (1 - AT))
+    return 1 / (1 + np.exp(-np.clip(s, -35, 35)))
+
+
+def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
+    """doc_id, text_hash (xxhash64 of the text) and score (0 to 1) per row of documents, repeated rows and null doc_ids included.
+
+    Equal texts score equal; null and empty texts have features of zero; texts of any length are taken whole. An empty table
+    gives no rows. Other columns are ignored."""
 
     def scan(batches):
         for part in chunks(batches):
-            s = features(part.column(1)) @ w - at + np.log(AT / (1 - AT))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(1 / (1 + np.exp(-np.clip(s, -35, 35))))], ["doc_id", "text_hash", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(_scores(part.column(1), model))], ["doc_id", "text_hash", "score"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(scan, f"doc_id {kind}, text_hash long, score double")
@@ -135,14 +182,13 @@ def held_out(column: str = "doc_id"):
 
 
 def drop_low_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that score at or above the threshold; columns as they are."""
-    w, at = train(documents, labels)
-    low = float(np.log(AT / (1 - AT)))
+    """The documents that score at or above the threshold, repeated rows and null doc_ids included; columns as they are.
+    Null and empty texts are judged by features of zero. Empty documents give no rows; without labels all stay."""
+    model = train(documents, labels)
 
     def scan(batches):
         for part in chunks(batches):
-            s = features(part.column(part.schema.get_field_index("text"))) @ w - at + low
-            keep = 1 / (1 + np.exp(-np.clip(s, -35, 35))) >= AT
+            keep = _scores(part.column(part.schema.get_field_index("text")), model) >= AT
             if keep.any():
                 yield part.filter(pa.array(keep))
 

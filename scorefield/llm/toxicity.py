@@ -10,13 +10,13 @@ of words (word n-grams of stems, which carry over to inflected forms).
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASES, LETTERS, U, chunks, list_column, materialize, mix, read_table, span_hashes, words_of
+from .common import BASES, LETTERS, U, chunks, labelled_sample, list_column, materialize, mix, read_table, span_hashes, words_of
 
-#: log2 of the number of hashed features, and labelled rows to learn from at most (about: a hash picks them).
-BITS, SAMPLE, EPOCHS = 20, 12_000, 4
+#: log2 of the number of hashed features, and labelled rows and features of all of them to learn from at most.
+BITS, SAMPLE, FEATURES, EPOCHS = 20, 12_000, 100_000_000, 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
 #: What a document on the border of the labelled sample scores.
 AT = 0.7
@@ -76,13 +76,14 @@ def border(margins: np.ndarray, labels: np.ndarray) -> float:
     return float((m[max(i - 1, 0)] + m[min(i, len(m) - 1)]) / 2)
 
 
-def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
-    """The model from labelled rows (doc_id, toxic); null labels and rows without a document are left out."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    n = known.count()
-    if n > sample:
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < int((1 << 30) * sample / n))
-    picked = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most about so many rows as the sample
+def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, features_most: int = FEATURES) -> tuple[np.ndarray, np.ndarray, float]:
+    """The model from labelled rows (doc_id, toxic): indices, weights and bias.
+
+    Null labels and doc_ids and labels without a document are left out. Repeated rows count once (see labelled_sample), null
+    and empty texts teach the bias alone. At most so many rows are learned from, until there are so many features, in the order of a hash of
+    doc_id, so ties and reruns agree. No labels, or empty tables, give a model without weights. Other columns are ignored.
+    """
+    picked = labelled_sample(documents, labels, "toxic", sample)
 
     def featurise(batches):
         for part in chunks(batches):
@@ -93,7 +94,11 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tupl
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(feature.astype(np.int32)))], ["doc_id", "toxic", "x"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = picked.select("doc_id", "text", "toxic").mapInArrow(featurise, f"doc_id {kind}, toxic int, x array<int>")
+    order = F.xxhash64("doc_id")
+    rows = materialize(picked.select("doc_id", "text", "toxic").mapInArrow(featurise, f"doc_id {kind}, toxic int, x array<int>"), "toxicity-sample")
+    so_far = F.sum(F.size("x").cast("long")).over(Window.orderBy(order, "doc_id"))  # over the ids and sizes of the sample only
+    fitting = rows.select("doc_id", (so_far - F.size("x")).alias("before")).where(F.col("before") < features_most).select("doc_id")
+    rows = rows.join(F.broadcast(fitting), "doc_id", "left_semi")
 
     def fit(batches):
         examples = []
@@ -109,13 +114,15 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tupl
         yield pa.RecordBatch.from_arrays([pa.array(np.append(index, -1)), pa.array(np.append(w, bias))], ["i", "w"])
 
     # one task learns from the bounded sample, in an order that depends on the rows alone
-    model = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "toxic").mapInArrow(fit, "i long, w double").collect()
+    model = rows.repartition(1).sortWithinPartitions(order, "doc_id").mapInArrow(fit, "i long, w double").collect()
     index, w = np.array([r[0] for r in model], np.int64), np.array([r[1] for r in model])
     return index[:-1], w[:-1], float(w[-1]) if len(w) else 0.0
 
 
 def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
-    """doc_id and score (0 to 1) per row; null and empty texts score by the bias alone. Other columns are ignored."""
+    """doc_id and score (0 to 1) per row of documents, repeated rows and null doc_ids included; equal texts score equal, null and
+    empty ones by the bias alone, and texts of any length are taken whole. An empty table gives no rows. Other columns are
+    ignored."""
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches):
