@@ -12,7 +12,7 @@ counted, exactly and over all lines, for the tokens of these windows only, and a
 Rarity comes in classes. Tokens are counted; a table of fixed size has a slot for each hash prefix, and a slot the class (the
 power of two) of its most frequent token. Which class a token has changes the work, never the result.
 
-Joined rows are cut by the lengths, by where in the prefixes the token stands (positional filter) and by a sketch: 128 parities
+Joined rows are cut by the lengths, by where in the prefixes the token stands (positional filter) and by a sketch: 128 or 256 parities
 of the tokens of the window, of which two similar lines differ in no more than they differ in tokens. So what leaves the join
 is nearly all similar. Tokens of many lines are not joined as they are: each of their lines first meets the first line of the
 token, and lines that don't resemble it go on under the token and another rare token, and another (similar lines share two of
@@ -34,7 +34,7 @@ HEAVY = 512
 DEPTH = 3
 #: Slots of the table of classes, and tokens listed in it at most, as powers of two. Counts below LEAST are not listed.
 SLOT_BITS, LISTED_BITS, LEAST = 20, 17, 16
-#: Bits of a token's hash; above them stands its class.
+#: Bits of a token's hash that prefixes hold; above them stands its class.
 TOKEN_BITS = 58
 SPACES = "\t\x0b\x0c\r"
 #: A list of lines goes to all tasks if it names so many at most (some 10 MB), and is joined by shuffling beyond that.
@@ -48,8 +48,7 @@ def words(line: Column) -> Column:
 
 def tokens(line: Column) -> Column:
     """Distinct hashes of a line's words in order; none for a blank line."""
-    hashed = F.transform(words(line), lambda x: F.shiftrightunsigned(F.xxhash64(x), 64 - TOKEN_BITS))
-    return F.sort_array(F.array_distinct(hashed))
+    return F.sort_array(F.array_distinct(F.transform(words(line), lambda x: F.xxhash64(x))))
 
 
 def lacking(n: Column) -> Column:
@@ -62,16 +61,27 @@ def window(n: Column) -> Column:
     return F.least(n, F.floor(n * 2 / 5).cast("int") + 8)
 
 
-def needed(n: Column, m: Column) -> Column:
-    """How many tokens two similar lines of n and m tokens share at least, counted in their windows."""
-    whole = F.floor((4 * (n + m) + 8) / 9)
-    return F.least(whole, window(n) - n + whole, window(m) - m + whole)
+def needed(n: str, m: str) -> str:
+    """SQL for how many tokens two similar lines of n and m tokens share at least in their windows, which leave out nx and mx."""
+    return f"(cast((4 * ({n} + {m}) + 8) div 9 as int) - greatest({n}x, {m}x))"
 
 
-def _parities(half: int) -> Column:
-    """64 parities of the tokens t, of those that belong to this half."""
-    bit = "shiftrightunsigned(x, 6) & 1L"
-    return F.expr(f"aggregate(t, 0L, (s, x) -> s ^ shiftleft({bit if half else f'1L - ({bit})'}, cast(x & 63 as int)))")
+#: Lines of more tokens than this carry sketches of twice the size.
+LONG = 80
+#: What a row of the join carries of its line: place, tokens, tokens outside the window, and the sketch.
+LINE = ["d", "pos", "n", "nx", "s", "r", "s0", "r0"]
+
+
+def _sketch() -> dict[str, Column]:
+    """128 parities of the tokens t in s and r; of long lines 256: s0 and r0, and what s and r have besides."""
+
+    def parities(one: str) -> Column:
+        return F.expr(f"aggregate(t, 0L, (s, x) -> s ^ shiftleft({one}, cast(x & 63 as int)))")
+
+    half, quarter = "shiftrightunsigned(x, 6) & 1L", "shiftrightunsigned(x, 6) & 3L"
+    long = F.col("n") > LONG
+    wide = {"s0": F.when(long, parities(f"cast(({quarter}) = 0 as bigint)")), "r0": F.when(long, parities(f"cast(({quarter}) = 1 as bigint)"))}
+    return {"s": parities(f"1L - ({half})"), "r": parities(half)} | wide
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
@@ -111,15 +121,15 @@ def _rarity(windows: DataFrame) -> tuple[DataFrame, Column]:
         if listed > 1 << LISTED_BITS:
             break
         least = row["class"]
-    slot = F.shiftrightunsigned("token", TOKEN_BITS - SLOT_BITS).cast("int").alias("slot")
+    slot = F.shiftrightunsigned("token", 64 - SLOT_BITS).cast("int").alias("slot")
     top = counted.where(F.col("class") >= least).groupBy(slot).agg(F.least(F.max("class") - (least - 1), F.lit(31)).alias("class"))
     table = bytearray(1 << SLOT_BITS)
-    for row in top.toLocalIterator():  # 2 ** LISTED_BITS rows at most
+    for row in top.collect():  # 2 ** LISTED_BITS rows at most
         table[row["slot"]] = row["class"]
     held = F.lit(table)
 
     def class_of(token: Column) -> Column:
-        at = F.shiftrightunsigned(token, TOKEN_BITS - SLOT_BITS).cast("int") + 1
+        at = F.shiftrightunsigned(token, 64 - SLOT_BITS).cast("int") + 1
         return F.ascii(F.substring(held, at, F.lit(1)).cast("string")).cast("long")
 
     return counted.where(F.col("many") > HEAVY).select("token"), class_of
@@ -127,14 +137,15 @@ def _rarity(windows: DataFrame) -> tuple[DataFrame, Column]:
 
 def _candidates(a: DataFrame, b: DataFrame, depth: int) -> DataFrame:
     """Pairs of an earlier line of a and a later one of b that share a key of depth tokens and pass the filters."""
-    a = a.select("key", *(F.col(c).alias(f"a{c}") for c in ("d", "pos", "n", "i", "s", "r")))
-    b = b.select("key", *(F.col(c).alias(f"b{c}") for c in ("d", "pos", "n", "i", "s", "r")))
-    wide, least = window(F.col("an")) + window(F.col("bn")), needed(F.col("an"), F.col("bn"))
+    a = a.select("key", *(F.col(c).alias(f"a{c}") for c in (*LINE, "i")))
+    b = b.select("key", *(F.col(c).alias(f"b{c}") for c in (*LINE, "i")))
+    least = needed("an", "bn")
+    differ = "bit_count(as ^ bs) + bit_count(ar ^ br)"
+    wide = "bit_count(as0 ^ bs0) + bit_count(as0 ^ bs0 ^ as ^ bs) + bit_count(ar0 ^ br0) + bit_count(ar0 ^ br0 ^ ar ^ br)"
+    most = f"an - anx + bn - bnx - 2 * {least}"
     near = (
-        ((F.col("ad") < F.col("bd")) | ((F.col("ad") == F.col("bd")) & (F.col("apos") < F.col("bpos"))))
-        & (F.least("an", "bn") * DEN >= F.greatest("an", "bn") * NUM)
-        & (F.bit_count(F.col("as").bitwiseXOR(F.col("bs"))) + F.bit_count(F.col("ar").bitwiseXOR(F.col("br"))) <= wide - 2 * least)
-        & (F.least(window(F.col("an")) - F.col("ai"), window(F.col("bn")) - F.col("bi")) >= least - (depth - 1))
+        f"(ad < bd or (ad = bd and apos < bpos)) and an * {DEN} >= bn * {NUM} and bn * {DEN} >= an * {NUM} and {differ} <= {most} "
+        f"and (as0 is null or bs0 is null or {wide} <= {most}) and least(an - anx - ai, bn - bnx - bi) >= {least} - {depth - 1}"
     )
     return a.join(b, "key").where(near).select("ad", "apos", "bd", "bpos").distinct()
 
@@ -159,7 +170,7 @@ def _similar_to_many(documents: DataFrame, prefixes: DataFrame, rows: DataFrame)
     for depth in range(1, DEPTH + 1):
         if not rows.count():
             break
-        first = rows.groupBy("key").agg(F.min(F.struct("d", "pos", "n", "i", "s", "r")).alias("first")).select("key", "first.*")
+        first = rows.groupBy("key").agg(F.min(F.struct(*LINE, "i")).alias("first")).select("key", "first.*")
         found.append(_similar(documents, _candidates(first, rows, depth)))
         known = reduce(DataFrame.unionByName, found).distinct()
         still = materialize(rows.join(known, ["d", "pos"], "left_anti"), "open-rows")
@@ -168,8 +179,8 @@ def _similar_to_many(documents: DataFrame, prefixes: DataFrame, rows: DataFrame)
             break
         keys = still.select("key").distinct()
         further = rows.join(keys, "key", "left_semi").join(prefixes.select("d", "pos", "t"), ["d", "pos"])
-        further = further.select("key", "d", "pos", "n", "s", "r", F.posexplode(F.slice("t", F.lit(1), lacking(F.col("n")) + (depth + 1))).alias("j", "token"), "i")
-        further = materialize(further.where("j > i").select(F.xxhash64("key", "token").alias("key"), "d", "pos", "n", F.col("j").alias("i"), "s", "r"), "further-rows")
+        further = further.select("key", *LINE, F.posexplode(F.slice("t", F.lit(1), lacking(F.col("n")) + (depth + 1))).alias("j", "token"), "i")
+        further = materialize(further.where("j > i").select(F.xxhash64("key", "token").alias("key"), *LINE, F.col("j").alias("i")), "further-rows")
         held = further.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
         further = further.join(held, "key")
         few = further.where(F.col("many") <= HEAVY).drop("many")
@@ -182,24 +193,25 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
     """d and pos of each line that an earlier line equals or resembles. documents: d (bigint, not null) and text."""
     parts = lines_of(documents).select("d", "pos", tokens(F.col("line")).alias("t"))
     parts = parts.select("d", "pos", F.struct(F.xxhash64("t").alias("a"), F.xxhash64(F.lit(1), "t").alias("b")).alias("h"), F.size("t").alias("n"), F.slice("t", F.lit(1), window(F.size("t"))).alias("t"))
-    parts = materialize(parts.withColumns({"s": _parities(0), "r": _parities(1)}), "lines")
+    parts = materialize(parts.withColumns(_sketch() | {"nx": F.col("n") - F.size("t")}), "lines")
 
     # of lines of equal token sets the first stays
     firsts = parts.groupBy("h").agg(F.min(F.struct("d", "pos")).alias("first"), F.count("*").alias("many")).where("many > 1").drop("many")
     firsts = _few(materialize(firsts, "first-lines"))
-    equal = materialize(parts.join(firsts, "h").where((F.col("d") != F.col("first.d")) | (F.col("pos") != F.col("first.pos"))).select("d", "pos"), "equal-lines")
-    heads = parts.join(firsts, "h").where((F.col("d") == F.col("first.d")) & (F.col("pos") == F.col("first.pos"))).drop("first").dropDuplicates(["h"])
-    distinct = parts.join(firsts, "h", "left_anti").unionByName(heads)
+    marked = parts.join(firsts, "h", "left")
+    here = (F.col("d") == F.col("first.d")) & (F.col("pos") == F.col("first.pos"))
+    equal = materialize(marked.where(F.col("first").isNotNull() & ~here).select("d", "pos"), "equal-lines")
+    distinct = marked.where(F.col("first").isNull() | here)
 
     # the rarest tokens of each; lines of fewer than four tokens resemble none but their equals
     heavy, class_of = _rarity(distinct)
-    ordered = F.sort_array(F.transform("t", lambda x: F.shiftleft(class_of(x), TOKEN_BITS).bitwiseOR(x)))
-    prefixes = distinct.where("n >= 4").select("d", "pos", "n", "s", "r", F.slice(ordered, F.lit(1), lacking(F.col("n")) + DEPTH).alias("t"))
+    ordered = F.sort_array(F.transform("t", lambda x: F.shiftleft(class_of(x), TOKEN_BITS).bitwiseOR(F.shiftrightunsigned(x, 64 - TOKEN_BITS))))
+    prefixes = distinct.where("n >= 4").select(*LINE, F.slice(ordered, F.lit(1), lacking(F.col("n")) + DEPTH).alias("t"))
     prefixes = materialize(prefixes, "line-prefixes")
     discard(parts)
-    rows = prefixes.select("d", "pos", "n", "s", "r", F.posexplode(F.slice("t", F.lit(1), lacking(F.col("n")) + 1)).alias("i", "key"))
+    rows = prefixes.select(*LINE, F.posexplode(F.slice("t", F.lit(1), lacking(F.col("n")) + 1)).alias("i", "key"))
     heavy = _few(materialize(heavy, "heavy-tokens"))
-    token = F.col("key").bitwiseAND(F.lit((1 << TOKEN_BITS) - 1)) == F.col("token")
+    token = F.col("key").bitwiseAND(F.lit((1 << TOKEN_BITS) - 1)) == F.shiftrightunsigned("token", 64 - TOKEN_BITS)
     few = rows.join(heavy, token, "left_anti")
     found = _similar(documents, _candidates(few, few, 1))
     many = materialize(rows.join(heavy, token, "left_semi"), "heavy-rows")
@@ -219,10 +231,12 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     gone = _by_document(materialize(repeated_lines(docs.select("d", "text")), "repeated-lines"), "gone")
     held = F.split("text", "\n")
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(held, lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    many = F.coalesce(F.array_size(held), F.lit(0))
+    removed = F.coalesce(F.array_size(F.filter("gone", lambda x: x < many)), F.lit(0))
     done = docs.join(gone, "d", "left")
     kind = documents.schema["doc_id"].dataType.simpleString()
     columns = {"doc_id": F.nullif("d", F.lit(LOWEST)).cast(kind), "text": kept} | {c: F.col(x) for c, x in extra.items()}
-    return done.select(*(columns[c].alias(c) for c in documents.columns), F.coalesce(F.size(held), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.array_size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return done.select(*(columns[c].alias(c) for c in documents.columns), many.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
 
 
 def op7_line_dedup(spark, sf_dir):
