@@ -77,12 +77,35 @@ def _filter(spark, windows: DataFrame):
     return spark.sparkContext.broadcast((bits.view(U), lengths))
 
 
+def _set_of(*columns: str):
+    """A 192-bit hash of the set of rows of a group, whatever their order, from partial sums; rows are distinct."""
+    one, other = F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns)
+    return F.struct(F.count("*").alias("n"), F.bit_xor(one).alias("a"), F.bit_xor(other).alias("b"), F.sum(one % (1 << 40)).alias("c"))
+
+
+def _items(hits: DataFrame, bench: DataFrame) -> DataFrame:
+    """row and items: the sorted ids of the items that hold a window of the row. hits: row and distinct windows.
+
+    Windows of the same items are one class, and rows of the same classes one profile; only a profile is joined with items.
+    """
+    named = bench.where("item_id is not null").select(*KEYS, F.col("item_id").cast("string").alias("item")).distinct()
+    windows = materialize(named.groupBy(*KEYS).agg(_set_of("item").alias("class")), "window-classes")
+    of_class = windows.groupBy("class").agg(F.min(F.struct(*KEYS)).alias("one")).select("class", "one.*").join(named, KEYS).select("class", "item")
+    held = materialize(hits.join(windows, KEYS).select("row", "class").distinct(), "row-classes")
+    profiles = materialize(held.groupBy("row").agg(_set_of("class").alias("profile")), "row-profiles")
+    first = profiles.groupBy("profile").agg(F.min("row").alias("row"))
+    listed = first.join(held, "row").join(of_class, "class").select("profile", "item").distinct().groupBy("profile").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return profiles.join(listed, "profile").select("row", "items")
+
+
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Per row of documents: doc_id, text_hash (xxhash64 of the text), n_words, n_hit (words inside an occurrence of a
     benchmark window), items (sorted strings: ids of the items with occurring windows) and contaminated.
 
     Null and empty texts have no words and are clean; repeated rows are judged each for itself; other columns are
-    ignored; items with a null id count for hits, not as items. Empty tables give clean documents or no rows.
+    ignored; items with a null id count for hits, not as items; items that share an id are one. Empty tables give clean
+    documents or no rows. Texts of any length are taken whole. Both hashes of a window (128 bits) come from one 64-bit hash of
+    each word, so two words that collide there are taken for equal.
     """
     spark = documents.sparkSession
     bench = materialize(benchmark_windows(benchmark, window, gram), "benchmark-windows")
@@ -114,7 +137,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     hits = materialize(rows.where(F.size("hits") > 0).select("row", F.inline("hits")).join(bench.select(KEYS).distinct(), KEYS), "benchmark-hits")
     before = F.expr("max(start + n) over (partition by row order by start, n desc rows between unbounded preceding and 1 preceding)")
     covered = hits.select("row", "start", "n").distinct().select("row", (F.col("start") + F.col("n") - F.greatest("start", F.coalesce(before, F.lit(0)))).alias("new")).groupBy("row").agg(F.sum(F.greatest("new", F.lit(0))).alias("n_hit"))
-    items = hits.select("row", *KEYS).distinct().join(bench, KEYS).where("item_id is not null").select("row", F.col("item_id").cast("string").alias("item")).distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    items = _items(hits.select("row", *KEYS).distinct(), bench)
     return (
         rows.drop("hits")
         .join(covered, "row", "left")

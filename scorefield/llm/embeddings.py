@@ -1,8 +1,8 @@
 """Embedding near-dedup: all pairs of one label whose cosine reaches a threshold, by tiles in the order of principal axes.
 
-The axes come from the second moments of all vectors. Vectors of a label are cut into tiles along the first axis; tile
-pairs too far apart on it cannot link and are not formed. Inside a tile pair products are accumulated over the leading
-axes first; with the norms of what is left they bound each cosine, and a block stops once no pair can reach the threshold.
+The axes come from the second moments of all vectors. Vectors of a label are cut into tiles along the first axis and then
+along the second; tile pairs too far apart on the first axes together cannot link, and no vector is copied for them. Inside
+a tile pair products are accumulated over the leading axes first; with the norms of what is left they bound each cosine, and a block stops once no pair can reach the threshold.
 What the bound leaves is decided by the cosine of the given vectors in double precision.
 """
 
@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, list_column, materialize, read_table, star_edges
+from .common import connected_components, discard, list_column, materialize, read_table, star_edges
 
 THRESHOLD = 0.93
-#: Vectors of a tile at most, and the width of the bins along the first axis that tiles are made of.
-TILE, BIN = 2048, 0.005
+#: Vectors of a tile at most, the width of the bins along an axis that tiles are made of, and the axes that tile pairs are told apart on.
+TILE, BIN, AXES = 2048, 0.005, 4
 BLOCK, SLACK = 256, 1e-9
 NO_ID = (1 << 63) - 1
 
@@ -103,6 +103,34 @@ def _tile_pair(axes: dict, threshold: float):
     return judge
 
 
+def tiled(placed: DataFrame, tile: int) -> DataFrame:
+    """Vectors with the number of their tile. placed: label, dim, b0, b1 (bins on the first two axes) and cid among the columns.
+
+    A label is cut into slabs along the first axis, about as many as each has tiles along the second; a bin on the second axis
+    that holds more than a tile is dealt out by cid.
+    """
+    grid = materialize(placed.groupBy("label", "dim", "b0", "b1").agg(F.count("*").alias("n")), "vector-grid")
+    so_far = "sum(n) over (partition by label, dim order by b0 rows between unbounded preceding and current row) - n"
+    total = "sum(n) over (partition by label, dim)"
+    slabs = grid.groupBy("label", "dim", "b0").agg(F.sum("n").alias("n")).selectExpr("label", "dim", "b0", f"({so_far}) div cast({tile} * ceil(sqrt(ceil(({total}) / {tile}))) as bigint) as slab")
+    slabs = materialize(slabs, "vector-slabs")
+    so_far = "sum(n) over (partition by label, dim, slab order by b1 rows between unbounded preceding and current row) - n"
+    cells = grid.join(slabs, ["label", "dim", "b0"]).groupBy("label", "dim", "slab", "b1").agg(F.sum("n").alias("n"))
+    cells = materialize(cells.selectExpr("label", "dim", "slab", "b1", f"({so_far}) div {tile} as first", f"cast(ceil(n / {tile}) as int) as parts"), "vector-cells")
+    put = placed.join(slabs, ["label", "dim", "b0"]).join(cells, ["label", "dim", "slab", "b1"])
+    return put.withColumn("tile", F.shiftleft("slab", 32) + F.col("first") + F.pmod("cid", "parts")).drop("slab", "first", "parts")
+
+
+def tile_pairs(put: DataFrame, threshold: float) -> DataFrame:
+    """label, dim, ta, tb of the tiles (ta <= tb) whose boxes on the first axes are near enough for a link."""
+    axes = [c for c in put.columns if c.startswith("b")]
+    boxes = put.groupBy("label", "dim", "tile").agg(*(f(c).alias(f"{n}_{c}") for c in axes for f, n in ((F.min, "lo"), (F.max, "hi"))))
+    boxes = materialize(boxes, "vector-boxes")
+    gaps = " + ".join(f"pow(greatest(0, r.lo_{c} - l.hi_{c} - 1, l.lo_{c} - r.hi_{c} - 1) * {BIN}D, 2)" for c in axes)
+    near = F.expr(f"l.label = r.label and l.dim = r.dim and l.tile <= r.tile and {gaps} <= {max(0.0, 2 - 2 * threshold) + 1e-6}D")
+    return boxes.alias("l").join(boxes.alias("r"), near).selectExpr("l.label as label", "l.dim as dim", "l.tile as ta", "r.tile as tb")
+
+
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """Per row: vec_id, n_links (other rows linked directly), component_id (smallest vec_id reachable, itself included), kept.
 
@@ -112,7 +140,9 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, tile: i
     ignored.
     """
     spark = embeddings.sparkSession
-    given = embeddings.select("vec_id", "label", F.col("embedding").cast("array<float>").alias("embedding"), F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("id"))
+    kept_as = embeddings.schema["embedding"].dataType.simpleString()
+    kept_as = kept_as if kept_as in ("array<float>", "array<double>") else "array<double>"
+    given = embeddings.select("vec_id", "label", F.col("embedding").cast(kept_as).alias("embedding"), F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("id"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     good = F.coalesce(F.col("label").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
     valid = given.where(good)
@@ -121,31 +151,27 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, tile: i
     dims = [r[0] for r in classes.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count")).limit(1).collect()]
     axes = spark.sparkContext.broadcast({d: principal_axes(classes, d) for d in dims})
 
-    def first_axis(batches):
+    def bins_of(batches):
         for batch in batches:
             at, values = list_column(batch.column(1))
             n = np.diff(at)
-            out = np.zeros(batch.num_rows)
+            out = np.zeros((batch.num_rows, AXES))
             for dim in np.unique(n):
                 rows = np.flatnonzero(n == dim)
                 x = values.to_numpy(zero_copy_only=False)[at[rows][:, None] + np.arange(dim)].astype(np.float64)
-                axis = axes.value[dim][:, 0] if dim in axes.value else np.eye(dim)[0]
-                out[rows] = (x @ axis) / np.linalg.norm(x, axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.floor(out / BIN).astype(np.int32))], [*batch.schema.names, "bin"])
+                turned = x @ (axes.value[dim] if dim in axes.value else np.eye(dim))[:, :AXES]
+                out[rows, : turned.shape[1]] = turned / np.linalg.norm(x, axis=1, keepdims=True)
+            out = np.floor(out / BIN).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(b)) for b in out.T)], [*batch.schema.names, *(f"b{i}" for i in range(AXES))])
 
     kind = classes.schema["label"].dataType.simpleString()
-    placed = materialize(classes.select("label", "embedding", "node", "many", "cid").mapInArrow(first_axis, f"label {kind}, embedding array<float>, node long, many long, cid long, bin int"), "placed-vectors")
-    # bins of one label, filled up to tiles; a bin of more vectors is cut by their numbers
-    before = "sum(n) over (partition by label, dim order by bin rows between unbounded preceding and current row) - n"
-    bins = placed.groupBy("label", F.size("embedding").alias("dim"), "bin").agg(F.count("*").alias("n")).selectExpr("label", "dim", "bin", "n", f"{before} as before")
-    bins = materialize(bins.selectExpr("label", "dim", "bin", f"before div {tile} as tile", f"cast(ceil(n / {tile}) as int) as parts", "n"), "vector-bins")
-    tiles = bins.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).groupBy("label", "dim", (F.col("tile") + F.col("part")).alias("tile")).agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"))
-    reach = int(np.ceil(np.sqrt(max(0.0, 2 - 2 * threshold)) / BIN)) + 2
-    l, r = tiles.alias("l"), tiles.alias("r")
-    pairs = l.join(r, (F.col("l.label") == F.col("r.label")) & (F.col("l.dim") == F.col("r.dim")) & (F.col("l.tile") <= F.col("r.tile")) & (F.col("r.lo") - F.col("l.hi") <= reach) & (F.col("l.lo") - F.col("r.hi") <= reach))
-    pairs = pairs.selectExpr("l.label as label", "l.dim as dim", "l.tile as ta", "r.tile as tb")
+    bins = ", ".join(f"b{i} int" for i in range(AXES))
+    placed = classes.select("label", "embedding", "node", "many", "cid").mapInArrow(bins_of, f"label {kind}, embedding {kept_as}, node long, many long, cid long, {bins}")
+    placed = materialize(placed.withColumn("dim", F.size("embedding")), "placed-vectors")
+    put = materialize(tiled(placed, tile), "tiled-vectors")
+    discard(placed)
+    pairs = tile_pairs(put, threshold)
     sides = pairs.selectExpr("label", "dim", "ta as tile", "ta", "tb", "0 as side").unionByName(pairs.where("ta <> tb").selectExpr("label", "dim", "tb as tile", "ta", "tb", "1 as side"))
-    put = placed.withColumn("dim", F.size("embedding")).join(bins.drop("n"), ["label", "dim", "bin"]).withColumn("tile", F.col("tile") + F.pmod("cid", "parts"))
     dealt = put.join(sides, ["label", "dim", "tile"]).select("label", "dim", "ta", "tb", "side", "embedding", "node", "many", "cid")
     found = dealt.groupBy("label", "dim", "ta", "tb").applyInArrow(lambda key, table: _tile_pair(axes.value, threshold)(table), "cid long, links long, a long, b long")
     found = materialize(found, "vector-links")

@@ -12,9 +12,10 @@ counted, exactly and over all lines, for the tokens of these windows only, and a
 Rarity comes in classes. Tokens are counted; a table of fixed size has a slot for each hash prefix, and a slot the class (the
 power of two) of its most frequent token. Which class a token has changes the work, never the result.
 
-Joined rows are cut by the lengths, by where in the prefixes the token stands (positional filter) and by a sketch: 128 or 256 parities
-of the tokens of the window, of which two similar lines differ in no more than they differ in tokens. So what leaves the join
-is nearly all similar. Tokens of many lines are not joined as they are: each of their lines first meets the first line of the
+Joined rows are cut by the lengths, by where in the prefixes the token stands (positional filter) and by a sketch: 128 or 256
+parities of the tokens of the window, of which two similar lines differ in no more than they differ in tokens. So what leaves
+the join is nearly all similar. Before it, lines that share two of their rarest tokens with many others meet the first of
+them, so that a large group of near copies makes a pair a line. Tokens of many lines are not joined as they are: each of their lines first meets the first line of the
 token, and lines that don't resemble it go on under the token and another rare token, and another (similar lines share two of
 their k + 2 rarest tokens, and three of k + 3).
 """
@@ -29,7 +30,9 @@ from .common import LOWEST, discard, materialize, read_table
 #: The similarity as a fraction, so that bounds are exact.
 NUM, DEN = 4, 5
 #: A token held by more lines than this is joined by way of its first line, and then together with further tokens.
-HEAVY = 512
+HEAVY = 1024
+#: Lines that share two rare tokens and are so many meet the first of them before all others.
+CROWD = 8
 #: The most tokens that are joined on at once.
 DEPTH = 3
 #: Slots of the table of classes, and tokens listed in it at most, as powers of two. Counts below LEAST are not listed.
@@ -136,16 +139,17 @@ def _rarity(windows: DataFrame) -> tuple[DataFrame, Column]:
 
 
 def _candidates(a: DataFrame, b: DataFrame, depth: int) -> DataFrame:
-    """Pairs of an earlier line of a and a later one of b that share a key of depth tokens and pass the filters."""
-    a = a.select("key", *(F.col(c).alias(f"a{c}") for c in (*LINE, "i")))
-    b = b.select("key", *(F.col(c).alias(f"b{c}") for c in (*LINE, "i")))
+    """Pairs of an earlier line of a and a later one of b that share a key of depth tokens and pass the filters. A line looks
+    for lines earlier than e: its own document, or less than any for one that is known to go."""
+    a = a.select("key", *(F.col(c).alias(f"a{c}") for c in (*LINE, "e", "i")))
+    b = b.select("key", *(F.col(c).alias(f"b{c}") for c in (*LINE, "e", "i")))
     least = needed("an", "bn")
     differ = "bit_count(as ^ bs) + bit_count(ar ^ br)"
     wide = "bit_count(as0 ^ bs0) + bit_count(as0 ^ bs0 ^ as ^ bs) + bit_count(ar0 ^ br0) + bit_count(ar0 ^ br0 ^ ar ^ br)"
     most = f"an - anx + bn - bnx - 2 * {least}"
     near = (
-        f"(ad < bd or (ad = bd and apos < bpos)) and an * {DEN} >= bn * {NUM} and bn * {DEN} >= an * {NUM} and {differ} <= {most} "
-        f"and (as0 is null or bs0 is null or {wide} <= {most}) and least(an - anx - ai, bn - bnx - bi) >= {least} - {depth - 1}"
+        f"an * {DEN} >= bn * {NUM} and bn * {DEN} >= an * {NUM} and least(an - anx - ai, bn - bnx - bi) >= {least} - {depth - 1} "
+        f"and (ad < be or (ad = be and apos < bpos)) and {differ} <= {most} and (as0 is null or bs0 is null or {wide} <= {most})"
     )
     return a.join(b, "key").where(near).select("ad", "apos", "bd", "bpos").distinct()
 
@@ -170,7 +174,7 @@ def _similar_to_many(documents: DataFrame, prefixes: DataFrame, rows: DataFrame)
     for depth in range(1, DEPTH + 1):
         if not rows.count():
             break
-        first = rows.groupBy("key").agg(F.min(F.struct(*LINE, "i")).alias("first")).select("key", "first.*")
+        first = rows.groupBy("key").agg(F.min(F.struct(*LINE, "e", "i")).alias("first")).select("key", "first.*")
         found.append(_similar(documents, _candidates(first, rows, depth)))
         known = reduce(DataFrame.unionByName, found).distinct()
         still = materialize(rows.join(known, ["d", "pos"], "left_anti"), "open-rows")
@@ -179,8 +183,8 @@ def _similar_to_many(documents: DataFrame, prefixes: DataFrame, rows: DataFrame)
             break
         keys = still.select("key").distinct()
         further = rows.join(keys, "key", "left_semi").join(prefixes.select("d", "pos", "t"), ["d", "pos"])
-        further = further.select("key", *LINE, F.posexplode(F.slice("t", F.lit(1), lacking(F.col("n")) + (depth + 1))).alias("j", "token"), "i")
-        further = materialize(further.where("j > i").select(F.xxhash64("key", "token").alias("key"), *LINE, F.col("j").alias("i")), "further-rows")
+        further = further.select("key", *LINE, "e", F.posexplode(F.slice("t", F.lit(1), lacking(F.col("n")) + (depth + 1))).alias("j", "token"), "i")
+        further = materialize(further.where("j > i").select(F.xxhash64("key", "token").alias("key"), *LINE, "e", F.col("j").alias("i")), "further-rows")
         held = further.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
         further = further.join(held, "key")
         few = further.where(F.col("many") <= HEAVY).drop("many")
@@ -193,7 +197,7 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
     """d and pos of each line that an earlier line equals or resembles. documents: d (bigint, not null) and text."""
     parts = lines_of(documents).select("d", "pos", tokens(F.col("line")).alias("t"))
     parts = parts.select("d", "pos", F.struct(F.xxhash64("t").alias("a"), F.xxhash64(F.lit(1), "t").alias("b")).alias("h"), F.size("t").alias("n"), F.slice("t", F.lit(1), window(F.size("t"))).alias("t"))
-    parts = materialize(parts.withColumns(_sketch() | {"nx": F.col("n") - F.size("t")}), "lines")
+    parts = materialize(parts.withColumns(_sketch() | {"nx": F.col("n") - F.size("t")}), "lines", random=True)
 
     # of lines of equal token sets the first stays
     firsts = parts.groupBy("h").agg(F.min(F.struct("d", "pos")).alias("first"), F.count("*").alias("many")).where("many > 1").drop("many")
@@ -207,15 +211,31 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
     heavy, class_of = _rarity(distinct)
     ordered = F.sort_array(F.transform("t", lambda x: F.shiftleft(class_of(x), TOKEN_BITS).bitwiseOR(F.shiftrightunsigned(x, 64 - TOKEN_BITS))))
     prefixes = distinct.where("n >= 4").select(*LINE, F.slice(ordered, F.lit(1), lacking(F.col("n")) + DEPTH).alias("t"))
-    prefixes = materialize(prefixes, "line-prefixes")
+    prefixes = materialize(prefixes, "line-prefixes", random=True)
     discard(parts)
-    rows = prefixes.select(*LINE, F.posexplode(F.slice("t", F.lit(1), lacking(F.col("n")) + 1)).alias("i", "key"))
-    heavy = _few(materialize(heavy, "heavy-tokens"))
-    token = F.col("key").bitwiseAND(F.lit((1 << TOKEN_BITS) - 1)) == F.shiftrightunsigned("token", 64 - TOKEN_BITS)
-    few = rows.join(heavy, token, "left_anti")
+    near = _near_copies(documents, prefixes)
+    looks = F.when(F.col("known").isNull(), F.col("d")).otherwise(F.lit(LOWEST))
+    left = prefixes.join(_few(near).withColumn("known", F.lit(True)), ["d", "pos"], "left").withColumn("e", looks)
+    rows = left.select(*LINE, "e", F.posexplode(F.slice("t", F.lit(1), lacking(F.col("n")) + 1)).alias("i", "key"))
+    short = F.col("key").bitwiseAND(F.lit((1 << TOKEN_BITS) - 1))
+    heavy = _few(materialize(heavy.select(F.shiftrightunsigned("token", 64 - TOKEN_BITS).alias("token")), "heavy-tokens"))
+    heavy = rows.join(heavy, short == F.col("token"), "left_semi").groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > HEAVY)
+    heavy = _few(materialize(heavy.select("key"), "heavy-keys"))
+    few = rows.join(heavy, "key", "left_anti")
     found = _similar(documents, _candidates(few, few, 1))
-    many = materialize(rows.join(heavy, token, "left_semi"), "heavy-rows")
-    return equal.unionByName(found).unionByName(_similar_to_many(documents, prefixes, many)).distinct()
+    many = materialize(rows.join(heavy, "key", "left_semi"), "heavy-rows")
+    return equal.unionByName(near).unionByName(found).unionByName(_similar_to_many(documents, prefixes, many)).distinct()
+
+
+def _near_copies(documents: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """d and pos of lines that resemble the first line with which they share two of their three rarest tokens. Only spares
+    work: a group of many near copies then makes a pair a line, and no pair of all with all."""
+    two = F.array(*(F.xxhash64(F.get("t", F.lit(a)), F.get("t", F.lit(b))) for a, b in ((0, 1), (0, 2), (1, 2))))
+    rows = prefixes.select(*LINE, F.lit(0).alias("i"), F.col("d").alias("e"), F.explode(two).alias("key"))
+    shared = materialize(rows.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") >= CROWD).select("key"), "shared-pairs")
+    rows = materialize(rows.join(_few(shared), "key", "left_semi"), "crowded-rows")
+    first = rows.groupBy("key").agg(F.min(F.struct(*LINE, "e", "i")).alias("first")).select("key", "first.*")
+    return _similar(documents, _candidates(first, rows, 1))
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
@@ -230,9 +250,10 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("d"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(x) for c, x in extra.items()))
     gone = _by_document(materialize(repeated_lines(docs.select("d", "text")), "repeated-lines"), "gone")
     held = F.split("text", "\n")
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(held, lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    left = F.filter(held, lambda x, i: ~F.array_contains("gone", i))
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     many = F.coalesce(F.array_size(held), F.lit(0))
-    removed = F.coalesce(F.array_size(F.filter("gone", lambda x: x < many)), F.lit(0))
+    removed = F.when(F.col("gone").isNull() | F.col("text").isNull(), F.lit(0)).otherwise(F.array_size(held) - F.array_size(left))
     done = docs.join(gone, "d", "left")
     kind = documents.schema["doc_id"].dataType.simpleString()
     columns = {"doc_id": F.nullif("d", F.lit(LOWEST)).cast(kind), "text": kept} | {c: F.col(x) for c, x in extra.items()}
