@@ -1,6 +1,6 @@
 """Aggregates. Means are sums divided last, so that results do not depend on the order of rows."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -230,10 +230,10 @@ def strength_adjusted(scores: DataFrame, ratings: DataFrame, by: Sequence[str],
     return r.withColumn("residual", F.when(n >= least, F.col(value) - F.sum(value).over(w) / n + F.sum("_mu").over(w) / n)).drop("_mu")
 
 
-def rating_replay(scores: DataFrame, order: str, field: Sequence[str], entity: str, value: str, buckets: Sequence, tau: float = 730.0, materialize=None, **kw) -> DataFrame:
+def rating_replay(scores: DataFrame, order: str, field: Sequence[str], entity: str, value: str, buckets: Sequence, materialize: Callable[[DataFrame], DataFrame], tau: float = 730.0, **kw) -> DataFrame:
     """Residuals adjusted by ratings that know earlier buckets only: bucket by bucket, with the state (weight, sum, sum of
-    squares at the bucket's date) of each entity in one table. materialize cuts the lineage after each bucket."""
-    cut = materialize or (lambda df: df)
+    squares at the bucket's date) of each entity in one table. materialize cuts the lineage after each bucket: a checkpoint, or
+    a table that is written and read again."""
     out, seen = None, None
     for at in buckets:
         now = scores.where(F.col(order) == F.lit(at))
@@ -241,7 +241,7 @@ def rating_replay(scores: DataFrame, order: str, field: Sequence[str], entity: s
             rated = now.select(entity).distinct().withColumn("mu", F.lit(kw.get("mu0", 0.5)))
         else:
             rated = decayed_rating(seen, entity, order, "residual", at, tau=tau, **kw)
-        done = cut(strength_adjusted(now, rated, field, entity, value, kw.get("mu0", 0.5)).select(*field, order, entity, value, "residual"))
+        done = materialize(strength_adjusted(now, rated, field, entity, value, kw.get("mu0", 0.5)).select(*field, order, entity, value, "residual"))
         out = done if out is None else out.unionByName(done)
         seen = out.where("residual is not null")
     return out

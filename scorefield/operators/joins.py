@@ -4,10 +4,12 @@ Range conditions always come with an equality (a key, a time bucket or a grid ce
 planned. Matches must be unique where a rule says so; several candidates are held, not guessed.
 """
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.scalars import fold, haversine_km, name_keys
 
@@ -43,14 +45,13 @@ def history_before(entries: DataFrame, by: str, start: str, value: str, days: in
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, value: str, tolerance: str | None = None) -> DataFrame:
     """The right value with the latest time at or before each left row, if it is younger than the tolerance: one union and
     one sorted pass, whatever the number of matches."""
-    both = left.withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast("struct<t:timestamp,v:string>")).unionByName(
-        right.select(*by, on, F.lit(0).alias("_side"), F.struct(F.col(on).alias("t"), F.col(value).cast("string").alias("v")).alias("_v")), allowMissingColumns=True
-    )
+    carried = StructType([StructField("t", right.schema[on].dataType), StructField("v", right.schema[value].dataType)])
+    ours = left.withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(carried))
+    theirs = right.select(*by, on, F.lit(0).alias("_side"), F.struct(F.col(on).alias("t"), F.col(value).alias("v")).alias("_v"))
     w = Window.partitionBy(*by).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("_m", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    out = ours.unionByName(theirs, allowMissingColumns=True).withColumn("_m", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
     fresh = F.lit(True) if tolerance is None else F.col("_m.t") > F.col(on) - F.expr(f"interval {tolerance}")
-    kind = right.schema[value].dataType.simpleString()
-    return out.withColumn(value, F.when(fresh, F.col("_m.v")).cast(kind)).withColumn(f"{on}_matched", F.when(fresh, F.col("_m.t"))).drop("_side", "_v", "_m")
+    return out.withColumn(value, F.when(fresh, F.col("_m.v"))).withColumn(f"{on}_matched", F.when(fresh, F.col("_m.t"))).drop("_side", "_v", "_m")
 
 
 def asof_prior(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
@@ -125,16 +126,25 @@ def resolve_alias(df: DataFrame, alias: DataFrame, key: str, hops: int = 3) -> D
     return out
 
 
+def _columns(band: Column, size: float, km: float) -> Column:
+    """Cells in a band of latitude: as many as leave each at least as wide as points within km are apart, one at a pole."""
+    top = F.least(F.lit(90.0), (F.greatest(F.abs(band), F.abs(band + 1)) + 1) * size)
+    ratio = math.sin(min(km / 6371.0 * 1.001, math.pi) / 2) / F.greatest(F.cos(F.radians(top)), F.lit(1e-12))
+    apart = F.when(ratio >= 1, F.lit(360.0)).otherwise(F.degrees(2 * F.asin(F.least(ratio, F.lit(1.0)))))
+    return F.greatest(F.lit(1), F.floor(360 / apart)).cast("long")
+
+
 def nearest_within(points: DataFrame, stations: DataFrame, key: str, station: str, km: float, valid: Column | None = None) -> DataFrame:
-    """The nearest station within km. Points and stations have lat and lon; cells of that size make an equality: a station
-    goes to its own cell and its neighbours, as many in longitude as the latitude asks for."""
+    """The nearest station within km. Points and stations have lat and lon. Cells make an equality: bands of latitude of that
+    size, cut in longitude as the latitude asks for; a station goes to its own cell and the neighbours in three bands."""
     size = km / 111.0
-    p = points.withColumn("_y", F.floor(F.col("lat") / size)).withColumn("_x", F.floor(F.col("lon") / size))
-    wide = F.least(F.lit(2000), F.ceil(1 / F.greatest(F.cos(F.radians(F.least(F.lit(89.9), F.abs(F.col("lat")) + size))), F.lit(0.001)))).cast("int")
-    s = stations.select(F.col(station), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), *[c for c in stations.columns if c not in (station, "lat", "lon")], F.explode(F.sequence(F.floor(F.col("lat") / size) - 1, F.floor(F.col("lat") / size) + 1)).alias("_y"), wide.alias("_wide"))
-    cells = F.sequence(F.floor(F.col("_lon") / size) - F.col("_wide"), F.floor(F.col("_lon") / size) + F.col("_wide"))
-    around = int(360 / size)
-    s = s.withColumn("_x", F.explode(F.array_distinct(F.flatten(F.transform(cells, lambda x: F.array(x, x - around - 1, x - around, x + around, x + around + 1)))))).drop("_wide")
+    band, turn = F.floor(F.col("lat") / size), F.pmod(F.col("lon") + 180, F.lit(360.0)) / 360
+    p = points.withColumn("_y", band).withColumn("_x", F.floor(turn * _columns(F.col("_y"), size, km)))
+    others = [c for c in stations.columns if c not in (station, "lat", "lon")]
+    s = stations.withColumn("_turn", turn).withColumn("_y", F.explode(F.sequence(band - 1, band + 1))).withColumn("_many", _columns(F.col("_y"), size, km))
+    here = F.floor(F.col("_turn") * F.col("_many"))
+    cells = F.array_distinct(F.array(*(F.pmod(here + step, F.col("_many")) for step in (-1, 0, 1))))
+    s = s.select(station, F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), *others, "_y", F.explode(cells).alias("_x"))
     m = p.join(s, ["_y", "_x"]).withColumn("km", haversine_km("lat", "lon", "_lat", "_lon")).where(F.col("km") <= km)
     m = m if valid is None else m.where(valid)
     return m.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy("km", station))).where("_k = 1").select(key, station, "km")

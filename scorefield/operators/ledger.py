@@ -57,14 +57,19 @@ def public_record(graded: DataFrame, family: str) -> DataFrame:
 
 
 def walk_forward(obs: DataFrame, entity: str, ts: str, value: str, hit: str, folds: Sequence[tuple[str, str, str]], grid: Sequence[Mapping[str, float]]) -> DataFrame:
-    """For each fold (name, from, to) and setting: ratings from what lies before the fold, turned into probabilities and scored
-    on the fold. Folds and grid are short lists; every step is one grouped query."""
-    out = None
-    for name, lo, hi in folds:
-        fold = obs.where((F.col(ts) >= F.lit(lo).cast("date")) & (F.col(ts) < F.lit(hi).cast("date")))
-        for i, setting in enumerate(grid):
-            rated = decayed_rating(obs, entity, ts, value, lo, **setting)
-            p = fold.join(rated.select(entity, "mu"), entity, "left").withColumn("p", 1 / (1 + F.exp(F.coalesce("mu", F.lit(0.0)) / 100)))
-            scored = calibration(p, "p", hit).withColumn("fold", F.lit(name)).withColumn("setting", F.lit(i))
-            out = scored if out is None else out.unionByName(scored)
-    return out
+    """For each fold (name, from, to) and setting (tau, k, mu0): ratings from what lies before the fold, turned into
+    probabilities and scored on the fold. Folds and grid are short lists, which each row is held against in one pass."""
+    day = lambda d: F.lit(d).cast("date")
+    every = [
+        F.struct(F.lit(name).alias("fold"), day(lo).alias("_lo"), day(hi).alias("_hi"), F.lit(i).alias("setting"), *(F.lit(float(g.get(n, v))).alias(f"_{n}") for n, v in (("tau", 730.0), ("k", 3.0), ("mu0", 0.5))))
+        for name, lo, hi in folds
+        for i, g in enumerate(grid)
+    ]
+    rows = obs.select(entity, ts, value, hit, F.inline(F.array(*every)))
+    w = F.exp(-F.datediff("_lo", ts) / F.col("_tau"))
+    past = rows.where((F.datediff("_lo", ts) > 0) & F.col(value).isNotNull())
+    mu = (F.sum(w * F.col(value)) + F.first("_k") * F.first("_mu0")) / (F.sum(w) + F.first("_k"))
+    rated = past.groupBy("fold", "setting", entity).agg(mu.alias("mu"))
+    p = rows.where((F.col(ts) >= F.col("_lo")) & (F.col(ts) < F.col("_hi"))).join(rated, ["fold", "setting", entity], "left")
+    p = p.withColumn("p", 1 / (1 + F.exp(F.coalesce("mu", F.lit(0.0)) / 100)))
+    return calibration(p, "p", hit, ["fold", "setting"])

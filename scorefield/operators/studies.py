@@ -10,13 +10,28 @@ from . import joins as J
 from . import windows as W
 
 
-def covariate_study(scores: DataFrame, points: DataFrame, stations: DataFrame, readings: DataFrame, event: str, value: str, covariate: str, km: float = 25.0) -> tuple[DataFrame, DataFrame]:
-    """Correlation and binned effect of a station's mean reading on an event's values less their mean. points: event, lat, lon;
-    stations: station, lat, lon; readings: station, covariate."""
+def covariate_study(
+    scores: DataFrame,
+    points: DataFrame,
+    stations: DataFrame,
+    readings: DataFrame,
+    event: str,
+    value: str,
+    covariate: str,
+    km: float = 25.0,
+    day: str | None = None,
+    edges: Sequence[float] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """Correlation of values less their event's mean with the mean reading of the nearest station, and values by bins of it.
+
+    points: event, lat, lon; stations: station, lat, lon; readings: station, covariate and, where given, the day that scores
+    have too. Without a day an event has one reading, so only the bins tell something.
+    """
     near = J.nearest_within(points, stations, event, "station", km)
-    mean = readings.groupBy("station").agg((F.sum(covariate) / F.count(covariate)).alias(covariate))
-    joined = scores.join(near.join(mean, "station").select(event, covariate), event)
-    return A.demeaned_corr(joined, [event], value, covariate), A.binned_effect(joined, covariate, value, [])
+    days = [] if day is None else [day]
+    mean = readings.groupBy("station", *days).agg((F.sum(covariate) / F.count(covariate)).alias(covariate))
+    joined = scores.join(near.select(event, "station"), event).join(mean, ["station", *days])
+    return A.demeaned_corr(joined, [event], value, covariate), A.binned_effect(joined, covariate, value, edges)
 
 
 def coordinate_level(cands: DataFrame, key: str, levels: Mapping[str, Column]) -> DataFrame:

@@ -5,8 +5,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Number words that a text may not use outside tokens.
-NUMBER_WORDS = ["two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "dozen", "twenty", "thirty", "forty", "fifty", "hundred", "thousand"]
+#: Number words that a text may not use outside tokens, phrases that hold one and count nothing, and ordinals,
+#: which may stand before "round".
+NUMBER_WORDS = [
+    "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen",
+    "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "hundred", "dozen",
+]
+NOT_COUNTS = ["front nine", "back nine", "top-ten"]
+ORDINALS = ["second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth"]
 #: Length limits in characters, words and facts.
 LIMITS = {"headline": (20, 120), "dek": (40, 300), "words": (35, 1400), "facts": 3}
 
@@ -39,20 +45,68 @@ def publish_decision(prev: DataFrame, next_: DataFrame, key: str, fact: str, val
     return g.select(key, "changed", "added", "removed", kind.alias("decision"))
 
 
-def text_gates(drafts: DataFrame, facts: DataFrame, key: str, text: str, banned: Mapping[str, str], limits: Mapping[str, tuple[int, int]] | None = None) -> DataFrame:
-    """reasons why a draft may not be published: an unknown {f:id} token, digits or number words outside tokens, a banned
-    family (name -> pattern), or too few or many words. facts: key, fact_id. Empty reasons pass."""
-    lo, hi = (limits or LIMITS)["words"]
+def _unknown(drafts: DataFrame, body: Column, known: DataFrame, key: str, kind: str, name: str, out: str) -> DataFrame:
+    """key and out: how many different tokens {kind:name} of the draft aren't known for it."""
+    used = drafts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit(rf"\{{{kind}:([^}}]+)\}}"), F.lit(1)))).alias(name))
+    return used.join(known.select(key, name), [key, name], "left_anti").groupBy(key).agg(F.count("*").alias(out))
+
+
+def _unknown_names(drafts: DataFrame, plain: Column, entities: DataFrame, key: str) -> DataFrame:
+    """key and _names: runs of two or more capitalised words that no name of the draft's entities holds."""
+    runs = F.explode(F.array_distinct(F.regexp_extract_all(plain, F.lit(r"(\p{Lu}[\p{L}'’-]+(?:\s+\p{Lu}[\p{L}'’-]+)+)"), F.lit(1))))
+    found = drafts.select(key, F.lower(F.regexp_replace(runs, r"\s+", " ")).alias("_run"))
+    names = entities.select(key, F.lower("name").alias("_name"))
+    return found.join(names, (found[key] == names[key]) & F.contains("_name", "_run"), "left_anti").groupBy(key).agg(F.count("*").alias("_names"))
+
+
+def text_gates(
+    drafts: DataFrame,
+    facts: DataFrame,
+    key: str,
+    text: str,
+    banned: Mapping[str, str],
+    limits: Mapping[str, tuple[int, int]] | None = None,
+    entities: DataFrame | None = None,
+    headline: str | None = None,
+    dek: str | None = None,
+    facts_used: int = 0,
+    fewest: str | None = None,
+) -> DataFrame:
+    """reasons why a draft may not be published: an unknown {f:id} token, digits, number words or ordinals outside tokens, a
+    banned family (name -> pattern), or too few or many words. Empty reasons pass.
+
+    facts: key, fact_id. With entities (key, entity_key, name) also {e:key} tokens that are not theirs, and names that none of
+    theirs holds; with headline and dek their lengths, where a token counts as it stands; with facts_used, fewer different
+    facts. fewest: a column with another least number of words, where it isn't null.
+    """
+    limits = limits or LIMITS
+    lo, hi = limits["words"]
     body = F.coalesce(F.col(text), F.lit(""))
-    used = drafts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit(r"\{f:([^}]+)\}"), F.lit(1)))).alias("fact_id"))
-    unknown = used.join(facts.select(key, "fact_id"), [key, "fact_id"], "left_anti").groupBy(key).agg(F.count("*").alias("_unknown"))
-    plain = F.lower(F.regexp_replace(body, r"\{[fe]:[^}]*\}", " "))
+    bare = F.regexp_replace(body, r"\{[fe]:[^}]*\}", " ")
+    plain = F.lower(bare)
+    either = lambda words: r"\b(" + "|".join(words) + r")\b"
+    counted = F.regexp_replace(plain, either(NOT_COUNTS), " ")
+    placed = F.regexp_replace(plain, either(ORDINALS) + " round", " ")
     n = F.regexp_count(plain, F.lit(r"\S+"))
-    rules = [
-        F.when(F.col("_unknown") > 0, F.lit("unknown_fact")), F.when(plain.rlike("[0-9]"), F.lit("digits")), F.when(plain.rlike(r"\b(" + "|".join(NUMBER_WORDS) + r")\b"), F.lit("number_word")),
-        *(F.when(plain.rlike(p), F.lit(f"banned:{name}")) for name, p in banned.items()), F.when((n < lo) | (n > hi), F.lit("length")),
-    ]
-    return drafts.join(unknown, key, "left").select(key, F.array_compact(F.array(*rules)).alias("reasons"))
+    least = F.lit(lo) if fewest is None else F.coalesce(F.col(fewest), F.lit(lo))
+    held = drafts.join(_unknown(drafts, body, facts, key, "f", "fact_id", "_facts"), key, "left")
+    rules = [F.when(F.col("_facts") > 0, F.lit("unknown_fact"))]
+    if entities is not None:
+        held = held.join(_unknown(drafts, body, entities, key, "e", "entity_key", "_entities"), key, "left").join(_unknown_names(drafts, bare, entities, key), key, "left")
+        rules.append(F.when(F.col("_entities") > 0, F.lit("unknown_entity")))
+    rules += [F.when(plain.rlike("[0-9]"), F.lit("digits")), F.when(counted.rlike(either(NUMBER_WORDS)), F.lit("number_word")), F.when(placed.rlike(either(ORDINALS)), F.lit("ordinal_word"))]
+    rules += [F.when(plain.rlike(p), F.lit(f"banned:{name}")) for name, p in banned.items()]
+    if entities is not None:
+        rules.append(F.when(F.col("_names") > 0, F.lit("unknown_name")))
+    if facts_used:
+        different = F.size(F.array_distinct(F.regexp_extract_all(body, F.lit(r"\{f:([^}]+)\}"), F.lit(1))))
+        rules.append(F.when(different < facts_used, F.lit("too_few_facts")))
+    for name, column in (("headline", headline), ("dek", dek)):
+        if column is not None:
+            size = F.length(F.coalesce(F.col(column), F.lit("")))
+            rules.append(F.when((size < limits[name][0]) | (size > limits[name][1]), F.lit(f"{name}_length")))
+    rules.append(F.when((n < least) | (n > hi), F.lit("length")))
+    return held.select(key, F.array_compact(F.array(*rules)).alias("reasons"))
 
 
 def story_candidates(df: DataFrame, key: str, terms: Mapping[str, tuple[Column, float]], threshold: float = 3) -> DataFrame:

@@ -81,7 +81,7 @@ def j10(spark, sf_dir):
     return J.resolve_identity(c, c.where("id % 30 = 0").select("id", (F.col("id") + 1).alias("canon")), k, "id", "name", "birth", "canon")
 
 
-@query("j11_candidate_pairs", oracle("""WITH n AS (SELECT p_partkey AS id, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS t FROM part WHERE p_partkey < 100000), k AS (SELECT id, unnest(list_distinct([t, array_to_string(list_sort(string_split(t, ' ')), ' '), replace(t, ' ', '')])) AS b FROM n) SELECT DISTINCT a.id AS a, c.id AS b FROM k a JOIN k c ON a.b = c.b AND a.id < c.id"""))
+@query("j11_candidate_pairs", oracle("""WITH n AS (SELECT p_partkey AS id, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS t FROM part), k AS (SELECT id, unnest(list_distinct([t, array_to_string(list_sort(string_split(t, ' ')), ' '), replace(t, ' ', '')])) AS b FROM n) SELECT DISTINCT a.id AS a, c.id AS b FROM k a JOIN k c ON a.b = c.b AND a.id < c.id"""))
 def j11(spark, sf_dir):
     return J.candidate_pairs(view(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", "p_name")
 
@@ -149,13 +149,7 @@ def j20(spark, sf_dir):
     return J.head_to_head(e, pairs, "event_id", "entity_id", "position", "status")
 
 
-@query("j21_common_dims", oracle("WITH h AS (SELECT entity_id, event_id % 12 AS venue_id, count(*) AS n FROM entries GROUP BY 1, 2) SELECT a.venue_id, a.n AS na, b.n AS nb FROM h a JOIN h b USING (venue_id) WHERE a.entity_id = 1 AND b.entity_id = 2"))
-def j21(spark, sf_dir):
-    h = view(spark, sf_dir, "entries").groupBy("entity_id", (F.col("event_id") % 12).alias("venue_id")).agg(F.count("*").alias("n"))
-    return J.common_dims(h.where("entity_id = 1").select("venue_id", F.col("n").alias("na")), h.where("entity_id = 2").select("venue_id", F.col("n").alias("nb")), ["venue_id"])
-
-
-@query("j21_common_dims_pairs", oracle("WITH h AS (SELECT entity_id, event_id % 12 AS venue_id, count(*) AS n FROM entries GROUP BY 1, 2) SELECT a.entity_id AS a, a.venue_id, a.n AS na, b.n AS nb FROM h a JOIN h b USING (venue_id) WHERE b.entity_id = a.entity_id + 1"))
+@query("j21_common_dims", also="j21_common_dims_pairs", sql=oracle("WITH h AS (SELECT entity_id, event_id % 12 AS venue_id, count(*) AS n FROM entries GROUP BY 1, 2) SELECT a.entity_id AS a, a.venue_id, a.n AS na, b.n AS nb FROM h a JOIN h b USING (venue_id) WHERE b.entity_id = a.entity_id + 1"))
 def j21_pairs(spark, sf_dir):
     h = view(spark, sf_dir, "entries").groupBy("entity_id", (F.col("event_id") % 12).alias("venue_id")).agg(F.count("*").alias("n"))
     return J.common_dims(h.select(F.col("entity_id").alias("a"), "venue_id", F.col("n").alias("na")), h.select((F.col("entity_id") - 1).alias("a"), "venue_id", F.col("n").alias("nb")), ["a", "venue_id"])
@@ -198,9 +192,11 @@ def j27(spark, sf_dir):
     return J.with_provenance(e, view(spark, sf_dir, "region"), "r_regionkey").select("entity_id", "event_id", "r_name")
 
 
-@query("j28_missing", oracle("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"))
+@query("j28_missing", oracle("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')"))
 def j28(spark, sf_dir):
-    return J.missing(view(spark, sf_dir, "customer").select("c_custkey"), view(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    """Customers without an open urgent order."""
+    urgent = view(spark, sf_dir, "orders").where("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'")
+    return J.missing(view(spark, sf_dir, "customer").select("c_custkey"), urgent.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("j30_resolve_duplicates", oracle("""WITH c AS (SELECT entity_id, entry_id, status = 'F' AS ok, count(*) OVER (PARTITION BY entity_id) AS n, count(*) FILTER (status = 'F') OVER (PARTITION BY entity_id) AS m FROM results) SELECT entity_id, entry_id FROM c WHERE n = 1 OR (ok AND m = 1)"""))

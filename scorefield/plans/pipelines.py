@@ -33,15 +33,7 @@ def p02(spark, sf_dir):
     return lead.join(field, "event_id").join(view(spark, sf_dir, "venue"), "event_id").select("event_id", "venue_id", "field", "missed", F.col("entity_id").alias("leader"), F.col("total").alias("winning"), "margin")
 
 
-@query("p03_field_context", oracle("""WITH h AS (SELECT a.event_id, a.entity_id, count(b.total) AS prior, CAST(sum(b.total) AS BIGINT) AS prior_total FROM entries a LEFT JOIN entries b ON a.entity_id = b.entity_id AND b.start_on < a.start_on AND b.start_on >= a.start_on - 365 WHERE a.event_id >= 199801 GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY prior_total / prior NULLS LAST, entity_id) AS k FROM h) SELECT event_id, count(*) AS field, count(*) FILTER (prior = 0) AS first_appearances, max(entity_id) FILTER (k = 1) AS form_leader FROM r GROUP BY 1"""))
-def p03(spark, sf_dir):
-    h = J.history_before(view(spark, sf_dir, "entries"), "entity_id", "start_on", "total", 365).where("event_id >= 199801")
-    r = T.keep_first(h.withColumn("form", F.col("prior_total") / F.nullif("prior", F.lit(0))), ["event_id"], [F.col("form").asc_nulls_last(), F.col("entity_id")], 1 << 30, "k")
-    return r.groupBy("event_id").agg(F.count("*").alias("field"), F.count_if(F.col("prior") == 0).alias("first_appearances"), F.max(F.when(F.col("k") == 1, F.col("entity_id"))).alias("form_leader"))
-
-
-@query("p03_field_context_whole", oracle("""WITH h AS (SELECT a.event_id, a.entity_id, count(b.total) AS prior, CAST(sum(b.total) AS BIGINT) AS prior_total FROM entries a LEFT JOIN entries b ON a.entity_id = b.entity_id AND b.start_on < a.start_on AND b.start_on >= a.start_on - 365 GROUP BY 1, 2),
+@query("p03_field_context", also="p03_field_context_whole", sql=oracle("""WITH h AS (SELECT a.event_id, a.entity_id, count(b.total) AS prior, CAST(sum(b.total) AS BIGINT) AS prior_total FROM entries a LEFT JOIN entries b ON a.entity_id = b.entity_id AND b.start_on < a.start_on AND b.start_on >= a.start_on - 365 GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY prior_total / prior NULLS LAST, entity_id) AS k FROM h) SELECT event_id, count(*) AS field, count(*) FILTER (prior = 0) AS first_appearances, max(entity_id) FILTER (k = 1) AS form_leader FROM r GROUP BY 1"""))
 def p03_whole(spark, sf_dir):
     h = J.history_before(view(spark, sf_dir, "entries"), "entity_id", "start_on", "total", 365)
@@ -100,10 +92,15 @@ def p10(spark, sf_dir):
     return L.public_record(g, "family")
 
 
-@query("p11_walk_forward")
+@query("p11_walk_forward", oracle("""WITH c AS (SELECT * FROM (VALUES ('tune', DATE '1995-01-01', DATE '1996-01-01'), ('validate', DATE '1996-01-01', DATE '1997-01-01'), ('holdout', DATE '1997-01-01', DATE '1998-01-01')) f(fold, lo, hi), (VALUES (0, 365.0::DOUBLE), (1, 730.0::DOUBLE)) g(setting, tau)),
+r AS (SELECT fold, setting, entity_id, (sum(exp(-date_diff('day', start_on, lo) / tau) * total) + 1.5) / (sum(exp(-date_diff('day', start_on, lo) / tau)) + 3) AS mu FROM entries, c WHERE start_on < lo GROUP BY 1, 2, 3),
+p AS (SELECT c.fold, c.setting, (position <= 10)::INT AS y, 1 / (1 + exp(coalesce(mu, 0) / 100)) AS p FROM entries e JOIN c ON e.start_on >= lo AND e.start_on < hi LEFT JOIN r ON r.fold = c.fold AND r.setting = c.setting AND r.entity_id = e.entity_id),
+b AS (SELECT fold, setting, least(floor(p * 10), 9) AS b, count(*) AS n, sum(-(y * ln(greatest(1e-4, least(1 - 1e-4, p))) + (1 - y) * ln(1 - greatest(1e-4, least(1 - 1e-4, p))))) AS loss, sum((p - y) * (p - y)) AS brier, sum(y) AS hits, sum(p) AS ps FROM p GROUP BY 1, 2, 3)
+SELECT fold, setting, CAST(sum(n) AS BIGINT) AS n, round(sum(loss) / sum(n), 9) AS log_loss, round(sum(brier) / sum(n), 9) AS brier, round(sum(abs(hits - ps)) / sum(n), 9) AS ece, round(sum(hits) / sum(n), 9) AS base_rate, round(sum(ps) / sum(n), 9) AS mean_p FROM b GROUP BY 1, 2"""))
 def p11(spark, sf_dir):
     e = view(spark, sf_dir, "entries").withColumn("hit", (F.col("position") <= 10).cast("int"))
-    return L.walk_forward(e, "entity_id", "start_on", "total", "hit", [("tune", "1995-01-01", "1996-01-01"), ("validate", "1996-01-01", "1997-01-01"), ("holdout", "1997-01-01", "1998-01-01")], [{"tau": 365.0}, {"tau": 730.0}])
+    found = L.walk_forward(e, "entity_id", "start_on", "total", "hit", [("tune", "1995-01-01", "1996-01-01"), ("validate", "1996-01-01", "1997-01-01"), ("holdout", "1997-01-01", "1998-01-01")], [{"tau": 365.0}, {"tau": 730.0}])
+    return found.withColumns({c: F.round(c, 9) for c in ("log_loss", "brier", "ece", "base_rate", "mean_p")})
 
 
 @query("p13_fact_packets", oracle("""WITH l AS (SELECT c_custkey, CAST(c_nationkey AS VARCHAR) AS source, 'cents' AS f, CAST(cents AS VARCHAR) AS value, 'balance' AS label FROM src_b WHERE cents IS NOT NULL UNION ALL SELECT c_custkey, CAST(c_nationkey AS VARCHAR), 'c_mktsegment', c_mktsegment, 'segment' FROM src_b WHERE c_mktsegment IS NOT NULL),
@@ -124,10 +121,14 @@ def p16(spark, sf_dir):
     return G.publish_decision(view(spark, sf_dir, "src_a"), view(spark, sf_dir, "src_b"), "c_nationkey", "c_custkey", "cents")
 
 
-@query("p17_text_gates", oracle(r"""WITH d AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(t, '[0-9]') THEN 'digits' END, CASE WHEN regexp_matches(t, '\b(two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|dozen|twenty|thirty|forty|fifty|hundred|thousand)\b') THEN 'number_word' END, CASE WHEN regexp_matches(t, '(idiot|moron|scum)') THEN 'banned:abuse' END,
-CASE WHEN len(regexp_extract_all(t, '\S+')) < 35 OR len(regexp_extract_all(t, '\S+')) > 1400 THEN 'length' END], lambda x: x IS NOT NULL), ',') AS reasons FROM d WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"""))
+@query("p17_text_gates", oracle(r"""WITH d AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '\{[fe]:[^}]*\}', ' ', 'g') AS t FROM documents),
+c AS (SELECT doc_id, t, regexp_replace(t, '\b(front nine|back nine|top-ten)\b', ' ', 'g') AS c, regexp_replace(t, '\b(second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth)\b round', ' ', 'g') AS o, len(regexp_extract_all(t, '\S+')) AS n FROM d)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(t, '[0-9]') THEN 'digits' END,
+CASE WHEN regexp_matches(c, '\b(two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|hundred|dozen)\b') THEN 'number_word' END,
+CASE WHEN regexp_matches(o, '\b(second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth)\b') THEN 'ordinal_word' END,
+CASE WHEN regexp_matches(t, '(idiot|moron|scum)') THEN 'banned:abuse' END, CASE WHEN n < 35 OR n > 1400 THEN 'length' END], lambda x: x IS NOT NULL), ',') AS reasons FROM c"""))
 def p17(spark, sf_dir):
-    d = view(spark, sf_dir, "documents").where("lang = 'en'")
+    d = view(spark, sf_dir, "documents")
     gates = G.text_gates(d, d.select("doc_id", F.lit("x").alias("fact_id")), "doc_id", "text", {"abuse": "(idiot|moron|scum)"})
     return gates.withColumn("reasons", F.array_join("reasons", ","))
 

@@ -13,12 +13,7 @@ def parts(spark, sf_dir):
     return view(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_type", "p_retailprice")
 
 
-@query("f01_f02_fold_slug", oracle("SELECT doc_id, trim(regexp_replace(translate(lower(translate(left(text, 60), 'ÉÈÊÀÇÑÓÍÖÜÄ', 'eeeacnoioua')), 'áàâäãåéèêëíìîïóòôöõúùûüñç', 'aaaaaaeeeeiiiiooooouuuunc'), '[^a-z0-9]+', ' ', 'g')) AS folded FROM documents WHERE lang IN ('en', 'es', 'fr')"))
-def f01(spark, sf_dir):
-    return view(spark, sf_dir, "documents").where("lang in ('en', 'es', 'fr')").select("doc_id", S.fold(F.substring("text", 1, 60)).alias("folded"))
-
-
-@query("f01_fold_documents", oracle(f"SELECT doc_id, md5(trim(regexp_replace(lower(translate(text, '{S.ACCENTED}', '{S.PLAIN}')), '[^a-z0-9]+', ' ', 'g'))) AS folded FROM documents"))
+@query("f01_f02_fold_slug", also="f01_fold_documents", sql=oracle(f"SELECT doc_id, md5(trim(regexp_replace(lower(translate(text, '{S.ACCENTED}', '{S.PLAIN}')), '[^a-z0-9]+', ' ', 'g'))) AS folded FROM documents"))
 def f01_documents(spark, sf_dir):
     """The whole text of every row, of any language or none."""
     return view(spark, sf_dir, "documents").select("doc_id", F.md5(S.fold("text")).alias("folded"))
@@ -162,63 +157,33 @@ def f31(spark, sf_dir):
     return parts(spark, sf_dir).select("p_partkey", F.array_join(F.array_sort(S.name_keys("p_name")), "|").alias("keys"))
 
 
-DRAWS = """WITH o AS (SELECT entity_id, score, row_number() OVER (PARTITION BY entity_id ORDER BY event_id, period, score) - 1 AS i, count(*) OVER (PARTITION BY entity_id) AS n FROM scores), f AS (SELECT DISTINCT event_id, entity_id, period FROM scores WHERE event_id IN (199501, 199502) AND period <= 3),
+DRAWS = """WITH o AS (SELECT entity_id, score, row_number() OVER (PARTITION BY entity_id ORDER BY event_id, period, score) - 1 AS i, count(*) OVER (PARTITION BY entity_id) AS n FROM scores), f AS (SELECT DISTINCT event_id, entity_id, period FROM scores),
 d AS (SELECT f.*, unnest(range(1, 9)) AS draw FROM f), x AS (SELECT *, ((draw * 1103515245 + 12345) % 2147483648) * 69069 + event_id AS a FROM d), y AS (SELECT *, ((a % 2147483648) * 69069 + entity_id) AS b FROM x), z AS (SELECT *, (((b % 2147483648) * 69069 + period) % 2147483648) // 65536 AS c FROM y),
 dr AS (SELECT z.event_id, z.entity_id, z.period, z.draw, o.score FROM z JOIN o ON z.entity_id = o.entity_id AND o.i = z.c % o.n)"""
 
 
 def drawn(spark, sf_dir):
-    s = view(spark, sf_dir, "scores")
-    field = s.where("event_id in (199501, 199502) and period <= 3").select("event_id", "entity_id", "period")
-    return D.bootstrap_draws(s, field, 8, "entity_id", "score", ["event_id", "entity_id", "period"])
-
-
-@query("d01_bootstrap_draws", oracle(f"{DRAWS} SELECT * FROM dr"))
-def d01(spark, sf_dir):
-    return drawn(spark, sf_dir).select("event_id", "entity_id", "period", "draw", "score")
-
-
-@query("d02_draw_outcomes", oracle(f"""{DRAWS}, t AS (SELECT event_id, draw, entity_id, sum(score) AS total, sum(score) FILTER (period <= 2) AS early, max(period) AS p FROM dr GROUP BY 1, 2, 3),
-m AS (SELECT *, NOT (max(p) OVER w > 2 AND count(*) OVER w > 10) OR rank() OVER (PARTITION BY event_id, draw ORDER BY early NULLS FIRST) <= 10 AS made FROM t WINDOW w AS (PARTITION BY event_id, draw)), k AS (SELECT *, CASE WHEN made THEN total ELSE 10000 + early END AS key FROM m),
-r AS (SELECT *, rank() OVER (PARTITION BY event_id, draw ORDER BY key NULLS FIRST) AS position FROM k), s AS (SELECT *, count(*) OVER (PARTITION BY event_id, draw, position) AS share FROM r)
-SELECT event_id, entity_id, round(avg(CASE WHEN position = 1 THEN 1.0::DOUBLE / share ELSE 0 END), 9) AS win, avg((position <= 10)::INT) AS top10, avg((position <= 20)::INT) AS top20, avg(made::INT) AS make, avg(position) AS position FROM s GROUP BY 1, 2"""))
-def d02(spark, sf_dir):
-    return D.draw_outcomes(drawn(spark, sf_dir), "event_id", "entity_id", "period", "score", 10).withColumn("win", F.round("win", 9))
-
-
-@query("d03_pair_probability", oracle(f"""{DRAWS}, t AS (SELECT event_id, draw, entity_id, sum(score) AS t FROM dr GROUP BY 1, 2, 3) SELECT a.event_id, a.entity_id AS a, b.entity_id AS b, count(*) FILTER (a.t < b.t) / nullif(count(*) FILTER (a.t <> b.t), 0) AS p_ahead, count(*) FILTER (a.t = b.t) / count(*) AS p_tie FROM t a JOIN t b ON a.event_id = b.event_id AND a.draw = b.draw AND b.entity_id = a.entity_id + 1 GROUP BY 1, 2, 3"""))
-def d03(spark, sf_dir):
-    d = drawn(spark, sf_dir)
-    pairs = view(spark, sf_dir, "scores").select(F.col("entity_id").alias("a"), (F.col("entity_id") + 1).alias("b")).distinct()
-    return D.pair_probability(d, pairs, "event_id", "entity_id", "score")
-
-
-#: The same draws for every event, entity and period.
-WHOLE_DRAWS = DRAWS.replace(" WHERE event_id IN (199501, 199502) AND period <= 3", "")
-
-
-def drawn_whole(spark, sf_dir):
     s = view(spark, sf_dir, "scores")
     return D.bootstrap_draws(s, s.select("event_id", "entity_id", "period"), 8, "entity_id", "score", ["event_id", "entity_id", "period"])
 
 
-@query("d01_bootstrap_draws_whole", oracle(f"{WHOLE_DRAWS} SELECT * FROM dr"))
+@query("d01_bootstrap_draws", also="d01_bootstrap_draws_whole", sql=oracle(f"{DRAWS} SELECT * FROM dr"))
 def d01_whole(spark, sf_dir):
-    return drawn_whole(spark, sf_dir).select("event_id", "entity_id", "period", "draw", "score")
+    return drawn(spark, sf_dir).select("event_id", "entity_id", "period", "draw", "score")
 
 
-@query("d02_draw_outcomes_whole", oracle(f"""{WHOLE_DRAWS}, t AS (SELECT event_id, draw, entity_id, sum(score) AS total, sum(score) FILTER (period <= 2) AS early, max(period) AS p FROM dr GROUP BY 1, 2, 3),
+@query("d02_draw_outcomes", also="d02_draw_outcomes_whole", sql=oracle(f"""{DRAWS}, t AS (SELECT event_id, draw, entity_id, sum(score) AS total, sum(score) FILTER (period <= 2) AS early, max(period) AS p FROM dr GROUP BY 1, 2, 3),
 m AS (SELECT *, NOT (max(p) OVER w > 2 AND count(*) OVER w > 10) OR rank() OVER (PARTITION BY event_id, draw ORDER BY early NULLS FIRST) <= 10 AS made FROM t WINDOW w AS (PARTITION BY event_id, draw)), k AS (SELECT *, CASE WHEN made THEN total ELSE 10000 + early END AS key FROM m),
 r AS (SELECT *, rank() OVER (PARTITION BY event_id, draw ORDER BY key NULLS FIRST) AS position FROM k), s AS (SELECT *, count(*) OVER (PARTITION BY event_id, draw, position) AS share FROM r)
 SELECT event_id, entity_id, round(avg(CASE WHEN position = 1 THEN 1.0::DOUBLE / share ELSE 0 END), 9) AS win, avg((position <= 10)::INT) AS top10, avg((position <= 20)::INT) AS top20, avg(made::INT) AS make, avg(position) AS position FROM s GROUP BY 1, 2"""))
 def d02_whole(spark, sf_dir):
-    return D.draw_outcomes(drawn_whole(spark, sf_dir), "event_id", "entity_id", "period", "score", 10).withColumn("win", F.round("win", 9))
+    return D.draw_outcomes(drawn(spark, sf_dir), "event_id", "entity_id", "period", "score", 10).withColumn("win", F.round("win", 9))
 
 
-@query("d03_pair_probability_whole", oracle(f"""{WHOLE_DRAWS}, t AS (SELECT event_id, draw, entity_id, sum(score) AS t FROM dr GROUP BY 1, 2, 3) SELECT a.event_id, a.entity_id AS a, b.entity_id AS b, count(*) FILTER (a.t < b.t) / nullif(count(*) FILTER (a.t <> b.t), 0) AS p_ahead, count(*) FILTER (a.t = b.t) / count(*) AS p_tie FROM t a JOIN t b ON a.event_id = b.event_id AND a.draw = b.draw AND b.entity_id = a.entity_id + 1 GROUP BY 1, 2, 3"""))
+@query("d03_pair_probability", also="d03_pair_probability_whole", sql=oracle(f"""{DRAWS}, t AS (SELECT event_id, draw, entity_id, sum(score) AS t FROM dr GROUP BY 1, 2, 3) SELECT a.event_id, a.entity_id AS a, b.entity_id AS b, count(*) FILTER (a.t < b.t) / nullif(count(*) FILTER (a.t <> b.t), 0) AS p_ahead, count(*) FILTER (a.t = b.t) / count(*) AS p_tie FROM t a JOIN t b ON a.event_id = b.event_id AND a.draw = b.draw AND b.entity_id = a.entity_id + 1 GROUP BY 1, 2, 3"""))
 def d03_whole(spark, sf_dir):
     pairs = view(spark, sf_dir, "scores").select(F.col("entity_id").alias("a"), (F.col("entity_id") + 1).alias("b")).distinct()
-    return D.pair_probability(drawn_whole(spark, sf_dir), pairs, "event_id", "entity_id", "score")
+    return D.pair_probability(drawn(spark, sf_dir), pairs, "event_id", "entity_id", "score")
 
 
 @query("d04_cut_rule", oracle("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 4 = 1 AND p_size * 3 <= 84 THEN NULL WHEN p_partkey % 10 = 7 THEN 50 ELSE 65 END AS cut FROM part"))

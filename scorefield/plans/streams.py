@@ -51,10 +51,10 @@ def st03(spark, sf_dir):
     return ST.lead_changes_batch(snapshots(spark, sf_dir))
 
 
-@query("st04_pulse", oracle(f"SELECT entity_id, position FROM (SELECT *, lag(position) OVER (PARTITION BY entity_id ORDER BY observed_at) AS q FROM ({SNAP})) WHERE entity_id % 5 = 0 AND position <= 10 AND q > 10"))
+@query("st04_pulse", oracle(f"WITH s AS ({SNAP}) SELECT entity_id, position FROM (SELECT *, lag(position) OVER (PARTITION BY entity_id ORDER BY observed_at) AS q FROM s WHERE entity_id IN (SELECT entity_id FROM s WHERE position <= 40)) WHERE position <= 10 AND q > 10"))
 def st04(spark, sf_dir):
     s = snapshots(spark, sf_dir)
-    return ST.pulse(s, s.where("entity_id % 5 = 0").select("entity_id").distinct(), "entity_id", "observed_at", "position").select("entity_id", "position")
+    return ST.pulse(s, s.where("position <= 40").select("entity_id").distinct(), "entity_id", "observed_at", "position").select("entity_id", "position")
 
 
 @query("st05_with_freshness", oracle("SELECT event_id, CASE WHEN a <= 5000 THEN 'live' WHEN a <= 20000 THEN 'fresh' WHEN a <= 60000 THEN 'stale' ELSE 'old' END AS freshness FROM (SELECT event_id, (epoch(TIMESTAMP '2024-02-01') - floor(epoch(ts))) / 60 AS a FROM events)"))

@@ -10,6 +10,7 @@ from ..streaming import tape as ST
 from .bindings import oracle, view
 from .registry import query
 from .streams import shared
+from .windows import AFTER, ROLL
 
 
 @query("p09_audit_ledger", oracle("WITH p AS (SELECT event_id * 10 + entity_id AS id, min(season) AS season, max(hit) AS hit FROM probs GROUP BY 1) SELECT id, 'late' AS problem FROM p WHERE season >= 1998 UNION ALL SELECT id, 'missing_grade' FROM p WHERE hit = 1"))
@@ -20,7 +21,12 @@ def p09(spark, sf_dir):
     return L.audit_ledger(locks, p.where("hit = 0"), events, "id", "id")
 
 
-@query("p15_narrative_facts")
+@query("p15_narrative_facts", oracle(f"""WITH a AS ({AFTER.format(n=2)}), b AS (SELECT *, total - min(total) OVER (PARTITION BY event_id) AS deficit FROM ({AFTER.format(n=1)})),
+r AS ({ROLL}), f AS (SELECT *, rank() OVER (PARTITION BY event_id, period ORDER BY running) = 1 AS lead, max(period) OVER (PARTITION BY event_id) AS last FROM r WHERE n = period),
+e AS (SELECT *, max(period) OVER (PARTITION BY event_id, entity_id) AS last FROM scores), t AS (SELECT event_id, entity_id, count(*) AS n, max(score) FILTER (period = last) AS last, sum(score) FILTER (period < last) AS s FROM e GROUP BY 1, 2)
+SELECT a.event_id, a.entity_id, 'comeback' AS fact, CAST(deficit AS DOUBLE) AS value FROM a JOIN b USING (event_id, entity_id) JOIN scores p ON p.event_id = a.event_id AND p.entity_id = a.entity_id AND p.period = 2 WHERE a.position = 1 AND deficit > 0
+UNION ALL SELECT event_id, entity_id, 'wire_to_wire', CAST(count(*) AS DOUBLE) FROM f GROUP BY 1, 2 HAVING bool_and(lead) AND count(*) = max(last)
+UNION ALL SELECT event_id, entity_id, 'surge', s / (n - 1) - last FROM t WHERE n >= 3 AND s / (n - 1) - last >= 3"""))
 def p15(spark, sf_dir):
     return U.narrative_facts(view(spark, sf_dir, "scores"), 2)
 
@@ -97,10 +103,13 @@ def st11(spark, sf_dir):
 def st13(spark, sf_dir):
     path = shared(spark, "ratings")
     e = view(spark, sf_dir, "entries").select("entity_id", F.col("start_on").cast("timestamp").alias("start_on"), "total")
-    e.coalesce(1).write.parquet(f"{path}/in")
+    e.write.parquet(f"{path}/in")
     state = ST.decayed_state(spark.readStream.schema(e.schema).parquet(f"{path}/in"), "entity_id", "start_on", "total")
-    state.writeStream.outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/out")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("entity", F.round("weight", 6).alias("weight"), F.round("s", 6).alias("s"))
+    put = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/out/{n}")
+    state.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{path}/out/*")
+    last = rows.groupBy("entity").agg(F.max_by(F.struct("weight", "s"), "batch").alias("last"))  # each entity as its latest batch has it
+    return last.select("entity", F.round("last.weight", 6).alias("weight"), F.round("last.s", 6).alias("s"))
 
 
 @query("f13_nearest_on_route", oracle("SELECT p_partkey, CAST(p_size AS DOUBLE) AS distance, CAST(p_partkey % 90 + 5 AS DOUBLE) AS along, 1.0 AS side FROM part"))
@@ -110,14 +119,7 @@ def f13(spark, sf_dir):
     return p.select("p_partkey", S.nearest_on_route("x", "y", pts).alias("n")).select("p_partkey", "n.*")
 
 
-@query("f14_f15_route", oracle("SELECT p_partkey, CASE WHEN p_size < 10 THEN 'straight' WHEN p_size >= 40 THEN 'dogleg right' END AS shape, 2 AS marks FROM part WHERE p_size < 10 OR p_size >= 40"))
-def f14(spark, sf_dir):
-    pts = F.expr("array(named_struct('x', 0D, 'y', 0D), named_struct('x', 150D, 'y', cast(p_size as double)), named_struct('x', 300D, 'y', 0D))")
-    p = view(spark, sf_dir, "part").where("p_size < 10 or p_size >= 40").select("p_partkey", pts.alias("pts"))
-    return p.select("p_partkey", S.route_shape("pts", F.lit(4)).alias("shape"), F.size(S.route_markers("pts", [100, 150, 1000])).alias("marks"))
-
-
-@query("f14_f15_route_whole", oracle("SELECT p_partkey, CASE WHEN 2 * degrees(atan(p_size / 150.0)) < 12 THEN 'straight' WHEN 2 * degrees(atan(p_size / 150.0)) >= 20 AND p_size >= 20 THEN 'dogleg right' END AS shape, 2 AS marks FROM part"))
+@query("f14_f15_route", also="f14_f15_route_whole", sql=oracle("SELECT p_partkey, CASE WHEN 2 * degrees(atan(p_size / 150.0)) < 12 THEN 'straight' WHEN 2 * degrees(atan(p_size / 150.0)) >= 20 AND p_size >= 20 THEN 'dogleg right' END AS shape, 2 AS marks FROM part"))
 def f14_whole(spark, sf_dir):
     pts = F.expr("array(named_struct('x', 0D, 'y', 0D), named_struct('x', 150D, 'y', cast(p_size as double)), named_struct('x', 300D, 'y', 0D))")
     p = view(spark, sf_dir, "part").select("p_partkey", pts.alias("pts"))

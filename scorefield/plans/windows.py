@@ -126,10 +126,15 @@ def w17(spark, sf_dir):
     return W.margins(view(spark, sf_dir, "totals").select("event_id", "entity_id", "total"), ["event_id"], "total", "entity_id")
 
 
-@query("w18_wire_to_wire", oracle(f"""WITH r AS ({ROLL}), f AS (SELECT *, rank() OVER (PARTITION BY event_id, period ORDER BY running) = 1 AS lead, max(period) OVER (PARTITION BY event_id) AS last FROM r WHERE n = period)
+HALVES = "SELECT event_id, entity_id, CAST((period - 1) // 4 + 1 AS BIGINT) AS period, CAST(sum(score) AS BIGINT) AS score FROM scores GROUP BY 1, 2, 3"
+
+
+@query("w18_wire_to_wire", oracle(f"""WITH h AS ({HALVES}), r AS ({ROLL.replace("scores", "h")}), f AS (SELECT *, rank() OVER (PARTITION BY event_id, period ORDER BY running) = 1 AS lead, max(period) OVER (PARTITION BY event_id) AS last FROM r WHERE n = period)
 SELECT event_id, entity_id, count(*) AS periods FROM f GROUP BY 1, 2 HAVING bool_and(lead) AND count(*) = max(last)"""))
 def w18(spark, sf_dir):
-    return W.wire_to_wire(view(spark, sf_dir, "scores"))
+    """First after each half of an event."""
+    halves = view(spark, sf_dir, "scores").groupBy("event_id", "entity_id", F.floor((F.col("period") - 1) / 4 + 1).alias("period")).agg(F.sum("score").alias("score"))
+    return W.wire_to_wire(halves)
 
 
 @query("w19_comeback", oracle(f"""WITH a AS ({AFTER.format(n=2)}), b AS (SELECT *, total - min(total) OVER (PARTITION BY event_id) AS deficit FROM ({AFTER.format(n=1)})),

@@ -24,10 +24,12 @@ def normalise_snapshot(df: DataFrame) -> DataFrame:
 
 def delta_tape_batch(df: DataFrame) -> DataFrame:
     """Events between consecutive snapshots of an entity in one period: status (nothing else then), finish, top5 or top10, and
-    move of at least 5 places inside 25. Nothing across periods or between snapshots of one time."""
+    move of at least 5 places inside 25. Nothing across periods. Of snapshots of one time the least counts, by period, status,
+    position, total and thru, nulls first, whatever the order of rows."""
     w = Window.partitionBy("event_id", "entity_id").orderBy("observed_at")
     cols = ["observed_at", "period", "status", "position", "total", "thru"]
-    d = df.dropDuplicates(["event_id", "entity_id", "observed_at"]).withColumns({f"q_{c}": F.lag(c).over(w) for c in cols})
+    one = df.groupBy("event_id", "entity_id", "observed_at").agg(F.min(F.struct(*cols[1:])).alias("_one")).select("event_id", "entity_id", "observed_at", "_one.*")
+    d = one.withColumns({f"q_{c}": F.lag(c).over(w) for c in cols})
     same = F.col("q_observed_at").isNotNull() & (F.col("q_period") == F.col("period"))
     stop = same & (F.col("q_status") == "active") & F.col("status").isin(*STOPPED)
     on = same & ~F.coalesce(stop, F.lit(False))
@@ -64,11 +66,13 @@ def _events(q: tuple, p: tuple) -> Iterator[tuple[str, str]]:
 
 
 def delta_tape(stream: DataFrame) -> DataFrame:
-    """The same events from a stream, with the last snapshot of each entity as state; late and repeated ones are ignored."""
+    """The same events from a stream, with the last snapshot of each entity as state; late and repeated ones are ignored, so of
+    snapshots of one time in different batches the one that came first counts."""
 
     def update(key, frames, state):
         last = tuple(state.get) if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("observed_at")
+        rows = pd.concat(list(frames))
+        rows = rows.sort_values(["observed_at", "period", "status", "position", "total", "thru"], na_position="first")
         out = []
         for r in rows.itertuples(index=False):
             now = (r.observed_at, *(None if pd.isna(x) else x for x in (r.period, r.status, r.position, r.total, r.thru)))

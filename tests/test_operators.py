@@ -1,11 +1,13 @@
 """Hand-made cases of the rules, and invariants."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from scorefield.functions import scalars as S
+from scorefield.functions.scalars import haversine_km
 from scorefield.operators import aggregates as A
 from scorefield.operators import draws as D
 from scorefield.operators import filters as X
@@ -131,8 +133,9 @@ def test_strength_replay_uses_only_the_past(spark):
     rows = [(e, dt.date(2025, 1, 1) + dt.timedelta(days=30 * e), p, float((p * 13 + e * 7) % 11)) for e in range(3) for p in range(12)]
     df = spark.createDataFrame(rows, "event int, on date, entity int, v double")
     days = sorted({r[1] for r in rows})
-    full = {(r["event"], r["entity"]): r["residual"] for r in A.rating_replay(df, "on", ["event"], "entity", "v", days).collect()}
-    part = {(r["event"], r["entity"]): r["residual"] for r in A.rating_replay(df, "on", ["event"], "entity", "v", days[:2]).collect()}
+    cut = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    full = {(r["event"], r["entity"]): r["residual"] for r in A.rating_replay(df, "on", ["event"], "entity", "v", days, cut).collect()}
+    part = {(r["event"], r["entity"]): r["residual"] for r in A.rating_replay(df, "on", ["event"], "entity", "v", days[:2], cut).collect()}
     assert all(abs(full[k] - v) < 1e-9 for k, v in part.items()) and len(full) == 36
 
 
@@ -145,10 +148,25 @@ def test_identity_holds_what_is_not_unique(spark):
 
 
 def test_gates(spark):
-    drafts = spark.createDataFrame([(1, "word " * 40 + "{f:a}"), (2, "word " * 40 + "{f:zz} and 3 or seven"), (3, "short"), (4, None)], "k int, text string")
+    drafts = spark.createDataFrame([(1, "word " * 40 + "{f:a}"), (2, "word " * 40 + "{f:zz} and 3 or seven"), (3, "short"), (4, None), (5, "word " * 40 + "thirteen"), (6, "word " * 40 + "a top-ten, then the back nine in the third round"), (7, "word " * 40 + "ten was second")], "k int, text string")
     facts = spark.createDataFrame([(1, "a"), (2, "a")], "k int, fact_id string")
     got = {r["k"]: r["reasons"] for r in G.text_gates(drafts, facts, "k", "text", {}).collect()}
-    assert got == {1: [], 2: ["unknown_fact", "digits", "number_word"], 3: ["length"], 4: ["length"]}
+    assert got == {1: [], 2: ["unknown_fact", "digits", "number_word"], 3: ["length"], 4: ["length"], 5: ["number_word"], 6: [], 7: ["number_word", "ordinal_word"]}
+
+
+def test_gates_of_a_whole_draft(spark):
+    body = "word " * 40
+    drafts = [
+        (1, "{e:p1} leads after a calm opening day", "A quiet start for the field, and one clear leader by the evening.", body + "{f:a} {f:b} {f:c} {e:p1}"),
+        (2, "Short", None, body + "{f:a} {f:a} {e:p9} and Ann Lee or Bob Ray won"),
+        (3, "{e:p1} leads after a calm opening day", "A quiet start for the field, and one clear leader by the evening.", "word " * 20 + "{f:a} {f:b} {f:c}"),
+    ]
+    d = spark.createDataFrame(drafts, "k int, headline string, dek string, text string").withColumn("fewest", F.when(F.col("k") == 3, 15))
+    facts = spark.createDataFrame([(k, f) for k in (1, 2, 3) for f in "abc"], "k int, fact_id string")
+    people = spark.createDataFrame([(k, "p1", "Ann Lee") for k in (1, 2, 3)], "k int, entity_key string, name string")
+    got = {r["k"]: r["reasons"] for r in G.text_gates(d, facts, "k", "text", {}, entities=people, headline="headline", dek="dek", facts_used=3, fewest="fewest").collect()}
+    assert got[1] == [] and got[3] == []
+    assert got[2] == ["unknown_entity", "unknown_name", "too_few_facts", "headline_length", "dek_length"]
 
 
 def test_greedy_selection_never_reuses(spark):
@@ -181,6 +199,39 @@ def test_tape_events_are_provable(spark):
     assert got == [(1, "finish", "3"), (1, "top10", "9"), (2, "status", "withdrawn"), (4, "move", "6")]
 
 
+def test_tape_of_one_time_does_not_depend_on_the_order_of_rows(spark, tmp_path):
+    rows = [(1, 1, 1, "active", 12, 5, 9), (1, 2, 1, "active", 9, 3, 18), (1, 2, 1, "active", 4, 3, 18), (1, 2, 1, None, 4, 3, None)]
+    for k, given in enumerate((rows, rows[::-1])):
+        got = sorted((r["kind"], r["detail"]) for r in ST.delta_tape_batch(snap(spark, given).coalesce(1)).collect())
+        assert got == [("top5", "4")]
+        snap(spark, given).coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+        seen = []
+        ST.replay(ST.delta_tape(spark.readStream.schema(snap(spark, rows).schema).parquet(str(tmp_path / f"in{k}"))), lambda b, n: seen.extend(b.collect()), str(tmp_path / f"state{k}"))
+        assert [(r["kind"], r["detail"]) for r in seen] == got
+
+
+def test_asof_join_keeps_any_type(spark):
+    left = spark.createDataFrame([(1, dt.date(2025, 1, 3)), (2, dt.date(2025, 1, 3))], "k int, at date")
+    right = spark.createDataFrame([(1, dt.date(2025, 1, 1), [1, 2], ("a", 1.5)), (1, dt.date(2025, 1, 2), [3], ("b", None)), (2, dt.date(2025, 1, 4), [9], None)], "k int, at date, v array<int>, s struct<x:string,y:double>")
+    for value in ("v", "s"):
+        got = J.asof_join(left, right, ["k"], "at", value)
+        assert got.schema[value].dataType == right.schema[value].dataType and got.schema["at_matched"].dataType == right.schema["at"].dataType
+    assert {r["k"]: (r["v"], r["at_matched"]) for r in J.asof_join(left, right, ["k"], "at", "v").collect()} == {1: ([3], dt.date(2025, 1, 2)), 2: (None, None)}
+
+
+def test_nearest_station_anywhere_on_the_globe(spark):
+    """Against all pairs: near both poles, across the date line, at any latitude."""
+    r = random.Random(4)
+    place = lambda: (r.choice([90.0, -90.0, 89.97, 89.5, -89.9, 80.0, r.uniform(-90, 90)]), r.choice([180.0, -180.0, r.uniform(-180, 180)]))
+    ps, ss = [(i, *place()) for i in range(120)], [(i, *place()) for i in range(120)]
+    ps.append((500, 89.97, 0.0)), ss.append((500, 89.97, 170.0))
+    p, s = spark.createDataFrame(ps, "id int, lat double, lon double"), spark.createDataFrame(ss, "station int, lat double, lon double")
+    for km in (10.0, 300.0):
+        every = p.crossJoin(s.selectExpr("station", "lat as la", "lon as lo")).withColumn("km", haversine_km("lat", "lon", "la", "lo")).where(F.col("km") <= km)
+        want = {x["id"]: x["m"][1] for x in every.groupBy("id").agg(F.min(F.struct("km", "station")).alias("m")).collect()}
+        assert {x["id"]: x["station"] for x in J.nearest_within(p, s, "id", "station", km).collect()} == want and want[500] is not None
+
+
 def test_snapshot_totals_are_never_made_up(spark):
     df = spark.createDataFrame([([1, 2],), ([1, None],), ([],), (None,)], "scores array<int>")
     assert [r["total"] for r in ST.normalise_snapshot(df).collect()] == [3, None, None, None]
