@@ -54,7 +54,7 @@ def _unknown(drafts: DataFrame, body: Column, known: DataFrame, key: str, kind:
 def _unknown_names(drafts: DataFrame, plain: Column, entities: DataFrame, key: str) -> DataFrame:
     """key and _names: runs of two or more capitalised words that no name of the draft's entities holds."""
     runs = F.explode(F.array_distinct(F.regexp_extract_all(plain, F.lit(r"(\p{Lu}[\p{L}'’-]+(?:\s+\p{Lu}[\p{L}'’-]+)+)"), F.lit(1))))
-    found = drafts.select(key, F.lower(F.regexp_replace(runs, r"\s+", " ")).alias("_run"))
+    found = drafts.select(key, runs.alias("_run")).withColumn("_run", F.lower(F.regexp_replace("_run", r"\s+", " ")))
     names = entities.select(key, F.lower("name").alias("_name"))
     return found.join(names, (found[key] == names[key]) & F.contains("_name", "_run"), "left_anti").groupBy(key).agg(F.count("*").alias("_names"))
 
