@@ -65,14 +65,19 @@ def window(n: Column) -> Column:
 
 
 def needed(n: str, m: str) -> str:
-    """SQL for how many tokens two similar lines of n and m tokens share at least in their windows, which leave out nx and mx."""
-    return f"(cast((4 * ({n} + {m}) + 8) div 9 as int) - greatest({n}x, {m}x))"
+    """SQL for how many tokens two similar lines of n and m tokens share at least in their windows."""
+    return f"(cast((4 * ({n} + {m}) + 8) div 9 as int) - {outside(f'greatest({n}, {m})')})"
+
+
+def outside(n: str) -> str:
+    """SQL for how many of n tokens are outside the window."""
+    return f"greatest(0, {n} - 8 - cast({n} * 2 div 5 as int))"
 
 
 #: Lines of more tokens than this carry sketches of twice the size.
 LONG = 80
-#: What a row of the join carries of its line: place, tokens, tokens outside the window, and the sketch.
-LINE = ["d", "pos", "n", "nx", "s", "r", "s0", "r0"]
+#: What a row of the join carries of its line: place, tokens, and the sketch.
+LINE = ["d", "pos", "n", "s", "r", "s0", "r0"]
 
 
 def _sketch() -> dict[str, Column]:
@@ -146,12 +151,13 @@ def _candidates(a: DataFrame, b: DataFrame, depth: int) -> DataFrame:
     least = needed("an", "bn")
     differ = "bit_count(as ^ bs) + bit_count(ar ^ br)"
     wide = "bit_count(as0 ^ bs0) + bit_count(as0 ^ bs0 ^ as ^ bs) + bit_count(ar0 ^ br0) + bit_count(ar0 ^ br0 ^ ar ^ br)"
-    most = f"an - anx + bn - bnx - 2 * {least}"
+    aw, bw = f"(an - {outside('an')})", f"(bn - {outside('bn')})"
+    most = f"{aw} + {bw} - 2 * {least}"
     near = (
-        f"an * {DEN} >= bn * {NUM} and bn * {DEN} >= an * {NUM} and least(an - anx - ai, bn - bnx - bi) >= {least} - {depth - 1} "
+        f"an * {DEN} >= bn * {NUM} and bn * {DEN} >= an * {NUM} and least({aw} - ai, {bw} - bi) >= {least} - {depth - 1} "
         f"and (ad < be or (ad = be and apos < bpos)) and {differ} <= {most} and (as0 is null or bs0 is null or {wide} <= {most})"
     )
-    return a.join(b, "key").where(near).select("ad", "apos", "bd", "bpos").distinct()
+    return a.join(b, "key").where(near).select("ad", "apos", "ae", "bd", "bpos").distinct()  # with ae both sides hold the same columns, and one exchange serves both
 
 
 def _similar(documents: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -184,7 +190,7 @@ def _similar_to_many(documents: DataFrame, prefixes: DataFrame, rows: DataFrame)
         keys = still.select("key").distinct()
         further = rows.join(keys, "key", "left_semi").join(prefixes.select("d", "pos", "t"), ["d", "pos"])
         further = further.select("key", *LINE, "e", F.posexplode(F.slice("t", F.lit(1), lacking(F.col("n")) + (depth + 1))).alias("j", "token"), "i")
-        further = materialize(further.where("j > i").select(F.xxhash64("key", "token").alias("key"), *LINE, "e", F.col("j").alias("i")), "further-rows")
+        further = materialize(further.where("j > i").select(F.hash("key", "token").alias("key"), *LINE, "e", F.col("j").alias("i")), "further-rows")
         held = further.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
         further = further.join(held, "key")
         few = further.where(F.col("many") <= HEAVY).drop("many")
@@ -197,7 +203,7 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
     """d and pos of each line that an earlier line equals or resembles. documents: d (bigint, not null) and text."""
     parts = lines_of(documents).select("d", "pos", tokens(F.col("line")).alias("t"))
     parts = parts.select("d", "pos", F.struct(F.xxhash64("t").alias("a"), F.xxhash64(F.lit(1), "t").alias("b")).alias("h"), F.size("t").alias("n"), F.slice("t", F.lit(1), window(F.size("t"))).alias("t"))
-    parts = materialize(parts.withColumns(_sketch() | {"nx": F.col("n") - F.size("t")}), "lines", random=True)
+    parts = materialize(parts.withColumns(_sketch()), "lines", random=True)
 
     # of lines of equal token sets the first stays
     firsts = parts.groupBy("h").agg(F.min(F.struct("d", "pos")).alias("first"), F.count("*").alias("many")).where("many > 1").drop("many")
@@ -216,11 +222,13 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
     near = _near_copies(documents, prefixes)
     looks = F.when(F.col("known").isNull(), F.col("d")).otherwise(F.lit(LOWEST))
     left = prefixes.join(_few(near).withColumn("known", F.lit(True)), ["d", "pos"], "left").withColumn("e", looks)
-    rows = left.select(*LINE, "e", F.posexplode(F.slice("t", F.lit(1), lacking(F.col("n")) + 1)).alias("i", "key"))
-    short = F.col("key").bitwiseAND(F.lit((1 << TOKEN_BITS) - 1))
+    rows = left.select(*LINE, "e", F.posexplode(F.slice("t", F.lit(1), lacking(F.col("n")) + 1)).alias("i", "token"))
+    rows = rows.withColumn("token", F.col("token").bitwiseAND(F.lit((1 << TOKEN_BITS) - 1)))
     heavy = _few(materialize(heavy.select(F.shiftrightunsigned("token", 64 - TOKEN_BITS).alias("token")), "heavy-tokens"))
-    heavy = rows.join(heavy, short == F.col("token"), "left_semi").groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > HEAVY)
+    rows = rows.withColumn("key", F.hash("token"))  # tokens that collide only make a few more rows meet
+    heavy = rows.join(heavy, "token", "left_semi").groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > HEAVY)
     heavy = _few(materialize(heavy.select("key"), "heavy-keys"))
+    rows = rows.drop("token")
     few = rows.join(heavy, "key", "left_anti")
     found = _similar(documents, _candidates(few, few, 1))
     many = materialize(rows.join(heavy, "key", "left_semi"), "heavy-rows")
@@ -230,7 +238,7 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
 def _near_copies(documents: DataFrame, prefixes: DataFrame) -> DataFrame:
     """d and pos of lines that resemble the first line with which they share two of their three rarest tokens. Only spares
     work: a group of many near copies then makes a pair a line, and no pair of all with all."""
-    two = F.array(*(F.xxhash64(F.get("t", F.lit(a)), F.get("t", F.lit(b))) for a, b in ((0, 1), (0, 2), (1, 2))))
+    two = F.array(*(F.hash(F.get("t", F.lit(a)), F.get("t", F.lit(b))) for a, b in ((0, 1), (0, 2), (1, 2))))
     rows = prefixes.select(*LINE, F.lit(0).alias("i"), F.col("d").alias("e"), F.explode(two).alias("key"))
     shared = materialize(rows.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") >= CROWD).select("key"), "shared-pairs")
     rows = materialize(rows.join(_few(shared), "key", "left_semi"), "crowded-rows")
