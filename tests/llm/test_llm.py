@@ -106,6 +106,46 @@ def test_suffix_array():
         assert list(common_prefixes(t, sa)) == [0] + [share(s[a], s[b]) for a, b in zip(want, want[1:])]
 
 
+def test_suffix_array_recurses(monkeypatch):
+    """Text of a quarter MiB: the named strings are sorted by the same induction, level by level."""
+    from scorefield.llm import suffix_array as module
+
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 7))) for _ in range(900)]
+    raw = " ".join(r.choice(words) for _ in range(60_000)).encode()[: 1 << 18]
+    raw = raw + raw[5000:25_000]
+    t = np.append(np.frombuffer(raw, np.uint8).astype(np.int64) + 1, 0)
+    sizes = []
+    monkeypatch.setattr(module, "suffix_array", lambda x: sizes.append(len(x)) or suffix_array(x))
+    sa = suffix_array(t)
+    assert len(sizes) >= 3 and all(b <= a // 2 + 1 for a, b in zip([len(t), *sizes], sizes))
+    rank = np.empty(len(t), np.int64)
+    rank[sa] = np.arange(len(t))
+    a, b = sa[:-1], sa[1:]  # neighbours are in order: by their first symbol, then by the ranks of what follows
+    after = np.append(rank, -1)
+    assert (np.sort(sa) == np.arange(len(t))).all() and ((t[a] < t[b]) | ((t[a] == t[b]) & (after[a + 1] < after[b + 1]))).all()
+
+
+def test_spans_of_repeated_and_null_ids(spark):
+    t = "".join(chr(97 + i * 7 % 26) + str(i) for i in range(60))
+    df = spark.createDataFrame([(1, t), (1, t), (None, "x" + t), (2, t), (None, None), (3, "")], "doc_id long, text string").withColumn("kept", F.lit(1))
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"]) for r in spans.dedup_spans(df).collect())
+    n = len(t)
+    assert got == sorted([("None", n + 1, 0), ("1", n, n), ("1", n, n), ("2", n, n), ("None", 0, 0), ("3", 0, 0)])
+
+
+def test_decontamination_of_common_windows_and_odd_ids(spark):
+    """A window that many items share, with items of null and equal ids, and documents of null and equal ids."""
+    shared = " ".join(f"s{i}" for i in "abcdefghij")
+    items = [(i, f"{shared} own{chr(97 + i)}") for i in range(20)] + [(None, shared), (3, "other words of a repeated item here and there again now")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, shared), (1, shared + " ownb"), (None, "x " + shared), (None, None), (2, "clean"), (4, "other words of a repeated item here and there again now " + shared)]
+    got = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string").withColumn("items", F.lit(0)), bench)
+    every = sorted(str(i) for i in range(20))
+    want = sorted([("1", 10, every), ("1", 11, every), ("None", 10, every), ("None", 0, []), ("2", 0, []), ("4", 21, every)])
+    assert sorted((str(r["doc_id"]), r["n_hit"], r["items"]) for r in got.collect()) == want
+
+
 def test_decontamination(spark, docs, nothing):
     texts = dict(corpus())
     long = LETTERS.findall((texts[0] or "").translate(LOW))
@@ -252,6 +292,37 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_in_double_precision(spark):
+    """A cosine just above the threshold links, one just below it doesn't; shared and null vec_ids, and a clashing column."""
+    rows = [(1, [-1.0, 0.0], 0)]
+    for i, c in enumerate((0.93 + 2e-9, 0.93 - 2e-9)):
+        rows.append((2 + i, [-c, float(np.sqrt(1 - c * c))], 0))
+    rows += [(7, [0.0, 1.0, 0.0], 5), (7, [0.0, 1.0, 1e-9], 5), (None, [0.0, 2.0, 0.0], 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("tile", F.lit("x"))
+    got = sorted((-1 if r["vec_id"] is None else r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(df).collect())
+    assert got == [(-1, 2, 7, False), (1, 1, 1, True), (2, 2, 1, False), (3, 1, 1, False), (7, 2, 7, True), (7, 2, 7, True)]
+
+
+def test_embedding_tiles_are_told_apart_on_more_axes(spark):
+    """A wide label: fewer tile pairs than all, and than one axis would leave."""
+    r = np.random.default_rng(5)
+    n, tile = 4000, 50
+    angle = r.uniform(0, np.pi, (n, 2))
+    x = np.stack([np.cos(angle[:, 0]), np.sin(angle[:, 0]) * np.cos(2 * angle[:, 1]), np.sin(angle[:, 0]) * np.sin(2 * angle[:, 1]), np.zeros(n)], axis=1)
+    bins = np.floor(x / embeddings.BIN).astype(int).tolist()
+    placed = spark.createDataFrame([(0, 4, *b, i) for i, b in enumerate(bins)], "label int, dim int, b0 int, b1 int, b2 int, b3 int, cid long")
+    put = embeddings.tiled(placed, tile).persist()
+    sizes = [x["count"] for x in put.groupBy("tile").count().collect()]
+    many = len(sizes)
+    assert max(sizes) <= 2 * tile and sum(sizes) == n
+    pairs = {(p["ta"], p["tb"]) for p in embeddings.tile_pairs(put, 0.93).collect()}
+    one = embeddings.tile_pairs(put.drop("b1", "b2", "b3"), 0.93).count()
+    assert len(pairs) < one < many * (many + 1) // 2 and len(pairs) < many * (many + 1) // 4
+    of = {p["cid"]: p["tile"] for p in put.collect()}
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.93, 1))
+    assert all((min(of[i], of[j]), max(of[i], of[j])) in pairs for i, j in zip(a.tolist()[::37], b.tolist()[::37]))
+
+
 def test_lines(docs, nothing, spark):
     r = random.Random(9)
     vocab = [f"w{i}" for i in range(60)]
@@ -420,6 +491,115 @@ def test_quality_on_held_out_rows(spark):
     assert all(x["score"] >= 0.3 for x in quality.score(docs, only).collect())
 
 
+def test_ftrl_is_the_plain_loop():
+    """The weights of a coordinate-by-coordinate loop over the published update rules."""
+    r = random.Random(3)
+    examples = [(np.array(sorted(r.sample(range(40), r.randint(0, 12))), np.int64), float(r.random() < 0.4)) for _ in range(200)]
+    index, weights, bias = toxicity.learn(examples, 3)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        if i != "bias" and abs(z[i]) <= toxicity.L1:
+            return 0.0
+        shrunk = z[i] if i == "bias" else z[i] - (1 if z[i] > 0 else -1) * toxicity.L1
+        return -shrunk / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + (0 if i == "bias" else toxicity.L2))
+
+    for _ in range(3):
+        for x, y in examples:
+            held = {i: weight(i) for i in [*x.tolist(), "bias"]}
+            g = 1 / (1 + np.exp(-sum(held.values()))) - y
+            for i, w in held.items():
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA * w
+                n[i] += g * g
+    want = {i: w for i in range(40) if (w := weight(i))}
+    assert set(index.tolist()) == set(want) and len(want) > 3
+    assert np.allclose(weights, [want[i] for i in index.tolist()], atol=1e-9, rtol=0) and abs(bias - weight("bias")) < 1e-9
+
+
+def test_bradley_terry_is_at_the_minimum_of_its_loss():
+    """Gradient descent on the written-out loss of the same pairs ends at the same weights."""
+    r = np.random.default_rng(2)
+    x = np.concatenate([r.normal(size=(60, len(quality.NAMES))), r.normal(size=(60, 3))], axis=1)
+    y = (x[:, 0] + 0.5 * x[:, 14] + r.normal(size=60) > 0).astype(float)
+    w, _ = quality.fit(x, y, 2)
+    pick = np.random.default_rng(7)
+    good, bad = np.flatnonzero(y > 0), np.flatnonzero(y <= 0)
+    pairs = list(zip(pick.choice(good, 120).tolist(), pick.choice(bad, 120).tolist()))
+    z = x / x.std(axis=0)
+    ridge = [quality.RIDGE] * len(quality.NAMES) + [quality.HASHED_RIDGE] * 3
+    v = np.zeros(x.shape[1])
+    for _ in range(20_000):
+        step = np.array(ridge) * v
+        d = np.array([z[a] - z[b] for a, b in pairs])
+        step += ((1 / (1 + np.exp(-d @ v)) - 1)[:, None] * d).mean(axis=0)
+        v -= 0.3 * step
+        if np.abs(step).max() < 1e-12:
+            break
+    assert np.allclose(w, v / x.std(axis=0), atol=1e-9, rtol=0)
+
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    from scorefield.llm.common import labelled_sample
+
+    docs = spark.range(500).selectExpr("id as doc_id", "concat('t', id) as text").unionByName(spark.range(3000).selectExpr("7L as doc_id", "concat('r', id % 50) as text"))
+    labels = spark.range(500).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "'x' as text").unionByName(spark.createDataFrame([(7, 0, "x"), (None, 1, "x"), (8, None, "x")], "doc_id long, quality int, text string"))
+    got = labelled_sample(docs, labels, "quality", 100).collect()
+    assert len(got) == len({r["doc_id"] for r in got}) <= 100 and len(got) > 60
+    assert sorted(map(tuple, got)) == sorted(map(tuple, labelled_sample(docs.repartition(7), labels, "quality", 100).collect()))
+    every = {r["doc_id"]: r["quality"] for r in labelled_sample(docs, labels, "quality", 10_000).collect()}
+    assert every == {i: i % 2 for i in range(500)}
+
+
+@pytest.mark.parametrize("name", ["op1_toxicity", "op6_quality_classifier"])
+def test_classifier_queries(spark, tmp_path, name):
+    """Rows, hold-out and predictions of the registered queries; repeated and null ids, empty tables."""
+    import zlib
+
+    from scorefield.llm.queries import QUERIES
+
+    docs, labels = labelled(spark, 300)
+    extra = spark.createDataFrame([(5, "again"), (None, "no id"), (None, None)], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    docs.unionByName(extra).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = QUERIES[name](spark, str(tmp_path)).collect()
+    many, remainder, cut = (3, 1, 0.7) if name == "op1_toxicity" else (5, 0, 0.3)
+    assert len(got) == 306 and sum(r["doc_id"] is None for r in got) == 2
+    for r in got:
+        assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % many == remainder)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= cut)
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    labels.limit(0).write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert QUERIES[name](spark, f"{tmp_path}/none").count() == 0
+
+
+def test_mixing_of_many_sources_and_odd_ids(spark):
+    """Four sources, one of empty texts only; repeated and null ids."""
+    rows = [(i % 40 if i % 9 else None, " ".join(["w"] * (i % 23)), f"s{i % 3}") for i in range(200)] + [(900 + i, "" if i else None, "z") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("x"))
+    got = mixing.mix_sources(df).toPandas()
+    assert len(got) == len(rows) and ((got.taken >= 0) & (got.taken <= 2 * got["size"])).all()
+    by = collections.Counter()
+    for _, t, source in rows:
+        by[source] += len((t or "").split())
+    mixed = {s: got[(got.source_size == n) & (got.target > 0)].target.iloc[0] for s, n in by.items() if n}
+    assert abs(sum(mixed.values()) - min(1.5, 2) * sum(by.values())) < 1e-6
+    assert abs(got.taken.sum() - 1.5 * sum(by.values())) <= 4
+
+
+def test_the_shared_folder(spark, monkeypatch):
+    """A session of one process takes a folder of its own; a cluster without spark.checkpoint.dir is an error."""
+    from types import SimpleNamespace
+
+    from scorefield.llm.common import shared_dir
+
+    said = lambda master, found: SimpleNamespace(sparkContext=SimpleNamespace(master=master, applicationId="a1", getConf=lambda: {"spark.checkpoint.dir": found} if found else {}))
+    assert shared_dir(said("yarn", "hdfs://x/y")) == "hdfs://x/y"
+    assert shared_dir(said("local[4]", None)) == shared_dir(said("local", None))
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]", "k8s://h"):
+        with pytest.raises(ValueError):
+            shared_dir(said(master, None))
+
+
 def test_sql_of_the_queries(spark):
     """The registered SQL gives the rows of the registered queries on the smallest tables."""
     import glob

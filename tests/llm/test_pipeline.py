@@ -33,3 +33,24 @@ def test_each_stage_takes_effect(spark, tmp_path):
     assert set(left["simhash_near_dedup"]) - set(left["benchmark_decontamination"]) == {302}
     assert set(left["source_mixing"]) == set(left["benchmark_decontamination"])
     assert {x["doc_id"]: x["taken"] for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {i: x["taken"] for i, x in left["source_mixing"].items()}
+
+
+@pytest.mark.parametrize("empty", ["documents", "labels", "benchmark"])
+def test_empty_tables_and_odd_rows(spark, tmp_path, empty):
+    """Null ids and texts, repeated rows and columns of clashing names pass every stage; so does an empty table."""
+    line = "a few words that stand in one line"
+    docs = [(i, f"{line} {chr(97 + i)}{i}\n{i} other words {i + 1} here", "en", "s", 5) for i in range(6)] + [(None, None, None, None, None), (None, line, "en", "s", 9), (3, "", "en", "s", 0), (3, "", "en", "s", 0)]
+    tables = {
+        "documents": spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as score", "2 as d", "'x' as known", "3 as gone"),
+        "labels": spark.createDataFrame([(0, 1, 0), (1, 0, 1), (None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int"),
+        "benchmark": spark.createDataFrame([(1, line + " a0"), (None, None)], "item_id long, text string"),
+    }
+    for name, df in tables.items():
+        (df.limit(0) if name == empty else df).write.parquet(f"{tmp_path}/{name}.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = now.columns
+    for name, stage in corpus_pipeline.STAGES:
+        before = now.count()
+        now = corpus_pipeline.materialize(stage(spark, now, str(tmp_path)), name)
+        assert now.count() <= before and (name == "source_mixing" or now.columns == columns)
+    assert (now.count() == 0) == (empty == "documents")
