@@ -47,7 +47,8 @@ def src05(spark, sf_dir):
     path = shared(spark, "feed")
     p = view(spark, sf_dir, "part")
     entry = F.format_string('<entry><id>%d</id><title>%s</title><updated>2024-01-%02dT%02d:00:00Z</updated><link href="https://example.org/%d"/></entry>', "p_partkey", "p_name", F.col("p_partkey") % 28 + 1, F.col("p_size") % 24, "p_partkey")
-    p.select(entry.alias("value")).write.text(path)
+    feeds = p.groupBy((F.col("p_partkey") / 1000).cast("long").alias("feed")).agg(F.concat(F.lit("<feed>"), F.array_join(F.collect_list(entry), ""), F.lit("</feed>")).alias("value"))
+    feeds.write.partitionBy("feed").text(path)  # a feed has a thousand entries at most, and a file of its own
     return R.read_feed(spark, path)
 
 
