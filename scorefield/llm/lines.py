@@ -76,8 +76,8 @@ def outside(n: str) -> str:
 
 #: Lines of more tokens than this carry sketches of twice the size.
 LONG = 80
-#: What a row of the join carries of its line: place, tokens, and the sketch.
-LINE = ["d", "pos", "n", "s", "r", "s0", "r0"]
+#: What a row of the join carries of its line: place, tokens, those outside the window, and the sketch.
+LINE = ["d", "pos", "n", "nx", "s", "r", "s0", "r0"]
 
 
 def _sketch() -> dict[str, Column]:
@@ -146,16 +146,17 @@ def _rarity(windows: DataFrame) -> tuple[DataFrame, Column]:
 def _candidates(a: DataFrame, b: DataFrame, depth: int) -> DataFrame:
     """Pairs of an earlier line of a and a later one of b that share a key of depth tokens and pass the filters. A line looks
     for lines earlier than e: its own document, or less than any for one that is known to go."""
-    a = a.select("key", *(F.col(c).alias(f"a{c}") for c in (*LINE, "e", "i")))
-    b = b.select("key", *(F.col(c).alias(f"b{c}") for c in (*LINE, "e", "i")))
-    least = needed("an", "bn")
+    a, b = (x.withColumn("left", F.col("n") - F.col("nx") - F.col("i")) for x in (a, b))
+    a = a.select("key", *(F.col(c).alias(f"a{c}") for c in (*LINE, "e", "left")))
+    b = b.select("key", *(F.col(c).alias(f"b{c}") for c in (*LINE, "e", "left")))
+    # what two similar lines share in their windows is needed(n, m) at least; written without divisions, for it is asked often
+    sizes, out = "4 * (an + bn)", "greatest(anx, bnx)"
     differ = "bit_count(as ^ bs) + bit_count(ar ^ br)"
     wide = "bit_count(as0 ^ bs0) + bit_count(as0 ^ bs0 ^ as ^ bs) + bit_count(ar0 ^ br0) + bit_count(ar0 ^ br0 ^ ar ^ br)"
-    aw, bw = f"(an - {outside('an')})", f"(bn - {outside('bn')})"
-    most = f"{aw} + {bw} - 2 * {least}"
+    alike = lambda bits: f"9 * shiftright(an - anx + bn - bnx + 2 * {out} - ({bits}), 1) >= {sizes}"
     near = (
-        f"an * {DEN} >= bn * {NUM} and bn * {DEN} >= an * {NUM} and least({aw} - ai, {bw} - bi) >= {least} - {depth - 1} "
-        f"and (ad < be or (ad = be and apos < bpos)) and {differ} <= {most} and (as0 is null or bs0 is null or {wide} <= {most})"
+        f"an * {DEN} >= bn * {NUM} and bn * {DEN} >= an * {NUM} and 9 * (least(aleft, bleft) + {out} + {depth - 1}) >= {sizes} "
+        f"and (ad < be or (ad = be and apos < bpos)) and {alike(differ)} and (as0 is null or bs0 is null or {alike(wide)})"
     )
     return a.join(b, "key").where(near).select("ad", "apos", "ae", "bd", "bpos").distinct()  # with ae both sides hold the same columns, and one exchange serves both
 
@@ -203,7 +204,7 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
     """d and pos of each line that an earlier line equals or resembles. documents: d (bigint, not null) and text."""
     parts = lines_of(documents).select("d", "pos", tokens(F.col("line")).alias("t"))
     parts = parts.select("d", "pos", F.struct(F.xxhash64("t").alias("a"), F.xxhash64(F.lit(1), "t").alias("b")).alias("h"), F.size("t").alias("n"), F.slice("t", F.lit(1), window(F.size("t"))).alias("t"))
-    parts = materialize(parts.withColumns(_sketch()), "lines", random=True)
+    parts = materialize(parts.withColumns(_sketch() | {"nx": F.col("n") - F.size("t")}), "lines", random=True)
 
     # of lines of equal token sets the first stays
     firsts = parts.groupBy("h").agg(F.min(F.struct("d", "pos")).alias("first"), F.count("*").alias("many")).where("many > 1").drop("many")
