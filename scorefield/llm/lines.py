@@ -36,7 +36,7 @@ CROWD = 8
 #: The most tokens that are joined on at once.
 DEPTH = 3
 #: Slots of the table of classes, and tokens listed in it at most, as powers of two. Counts below LEAST are not listed.
-SLOT_BITS, LISTED_BITS, LEAST = 20, 17, 16
+SLOT_BITS, LISTED_BITS, LEAST = 18, 16, 16
 #: Bits of a token's hash that prefixes hold; above them stands its class.
 TOKEN_BITS = 58
 SPACES = "\t\x0b\x0c\r"
