@@ -22,7 +22,7 @@ def dq06(spark, sf_dir):
     return O.check_schema(c, contract).withColumn("rows", c.agg(F.count("*")).scalar())
 
 
-@query("src03_page_cells", oracle("""SELECT page_id, 0 AS "table", c // 2 AS row, c % 2 AS col, CASE c WHEN 0 THEN 'page' WHEN 1 THEN 'size' WHEN 2 THEN CAST(page_id AS VARCHAR) ELSE CAST(strlen(url) AS VARCHAR) || ' bytes' END AS text FROM pages, (SELECT unnest(range(0, 4)) AS c)"""))
+@query("src03_page_cells", oracle("""SELECT page_id, 0 AS "table", CAST(c // 2 AS INT) AS row, CAST(c % 2 AS INT) AS col, CASE c WHEN 0 THEN 'page' WHEN 1 THEN 'size' WHEN 2 THEN CAST(page_id AS VARCHAR) ELSE CAST(strlen(url) AS VARCHAR) || ' bytes' END AS text FROM pages, (SELECT unnest(range(0, 4)) AS c)"""))
 def src03_cells(spark, sf_dir):
     """Pages with a table of their number and the size of their address put before what they hold."""
     row = F.concat(F.lit("<table class='x'><tr><th>page</th><th>size</th></tr>\n<TR><td><b>"), F.col("page_id").cast("string"), F.lit("</b></td><td align='right'> "), F.octet_length("url").cast("string"), F.lit("\n  <i>bytes</i></td></TR></table>"))
