@@ -263,10 +263,11 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     many = F.coalesce(F.array_size(held), F.lit(0))
     removed = F.when(F.col("gone").isNull() | F.col("text").isNull(), F.lit(0)).otherwise(F.array_size(held) - F.array_size(left))
-    done = docs.join(gone, "d", "left")
+    # values first, names after: a column that is called like one of ours is no alias of it
+    done = docs.join(gone, "d", "left").select("d", *extra.values(), kept.alias("_kept"), many.cast("long").alias("_many"), removed.cast("long").alias("_removed"))
     kind = documents.schema["doc_id"].dataType.simpleString()
-    columns = {"doc_id": F.nullif("d", F.lit(LOWEST)).cast(kind), "text": kept} | {c: F.col(x) for c, x in extra.items()}
-    return done.select(*(columns[c].alias(c) for c in documents.columns), many.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
+    columns = {"doc_id": F.nullif("d", F.lit(LOWEST)).cast(kind), "text": F.col("_kept")} | {c: F.col(x) for c, x in extra.items()}
+    return done.select(*(columns[c].alias(c) for c in documents.columns), F.col("_many").alias("n_lines"), F.col("_removed").alias("n_removed"))
 
 
 def op7_line_dedup(spark, sf_dir):
