@@ -38,12 +38,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[context.applicationId]
 
 
-def materialize(df: DataFrame, name: str, random: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str, random: bool = False, parquet: dict[str, str] | None = None) -> DataFrame:
     """df, written once to a table in the shared folder and read again: later plans start there and survive lost executors.
-    random: most of it are hashes, which no dictionary makes smaller."""
+    random: most of it are hashes, which no dictionary makes smaller. parquet: options of the writer."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     options = {"parquet.enable.dictionary": "false", "compression": "lz4_raw"} if random else {}
-    df.write.options(**options).parquet(path)
+    df.write.options(**options, **(parquet or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that gives the same rows, where SQL can."""
 
-from . import chat, decontaminate, embeddings, lines, mixing, quality, simhash, spans, substrings, toxicity
+from . import chat, collocations, decontaminate, embeddings, lines, mixing, quality, simhash, spans, substrings, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_embedding_near_dedup": embeddings.op8_embedding_near_dedup,
     "op9_suffix_array_dedup": spans.op9_suffix_array_dedup,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
+    "op11_phrase_collocations": collocations.op11_phrase_collocations,
 }
 ORACLES = {
     "op2_source_mixing": mixing.ORACLE,
@@ -22,4 +23,5 @@ ORACLES = {
     "op8_embedding_near_dedup": embeddings.ORACLE,
     "op9_suffix_array_dedup": spans.ORACLE,
     "op10_benchmark_decontamination": decontaminate.ORACLE,
+    "op11_phrase_collocations": collocations.ORACLE,
 }
