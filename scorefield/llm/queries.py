@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that gives the same rows, where SQL can."""
 
-from . import chat, collocations, decontaminate, embeddings, lines, mixing, quality, simhash, spans, substrings, toxicity
+from . import chat, collocations, decontaminate, embeddings, lines, mixing, negatives, quality, search, simhash, spans, substrings, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -14,6 +14,8 @@ QUERIES = {
     "op9_suffix_array_dedup": spans.op9_suffix_array_dedup,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
     "op11_phrase_collocations": collocations.op11_phrase_collocations,
+    "op12_exact_top_k": search.op12_exact_top_k,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
 }
 ORACLES = {
     "op2_source_mixing": mixing.ORACLE,
@@ -24,4 +26,6 @@ ORACLES = {
     "op9_suffix_array_dedup": spans.ORACLE,
     "op10_benchmark_decontamination": decontaminate.ORACLE,
     "op11_phrase_collocations": collocations.ORACLE,
+    "op12_exact_top_k": search.ORACLE,
+    "op13_hard_negatives": negatives.ORACLE,
 }
