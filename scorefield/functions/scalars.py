@@ -220,9 +220,15 @@ def sanitize_params(map_col, allow: Sequence[str]) -> Column:
 
 
 def name_keys(col) -> Column:
-    """Keys under which variants of a name meet: as written, words sorted, and without spaces."""
-    t = fold(col)
-    return F.array_distinct(F.array(t, F.array_join(F.array_sort(F.split(t, " ")), " "), F.regexp_replace(t, " ", "")))
+    """Keys under which variants of a name meet: its words in order of the alphabet, and its first or last word beside the others
+    written as one, in that order too. Hyphens, apostrophes and periods inside words vanish. One word is its own key, and no
+    word has none."""
+    words = F.filter(F.split(fold(F.regexp_replace(_c(col), "[-’'`.]", "")), " "), lambda x: x != "")
+    key = lambda parts: F.array_join(F.array_sort(parts), " ")
+    whole = lambda parts: F.array_join(parts, "")
+    n = F.size(words)
+    ends = [F.array(F.get(words, F.lit(0)), whole(F.slice(words, 2, n))), F.array(F.get(words, n - 1), whole(F.slice(words, 1, n - 1)))]
+    return F.when(n > 1, F.array_distinct(F.array(key(words), *(key(e) for e in ends)))).otherwise(words)
 
 
 def sub_tokens(col) -> Column:

@@ -6,12 +6,14 @@ planned. Matches must be unique where a rule says so; several candidates are hel
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..functions.scalars import fold, haversine_km, name_keys
+from ..session import written
 
 
 def join_preferred(left: DataFrame, right: DataFrame, on: Sequence[str], priority: str, tie: str) -> DataFrame:
@@ -89,27 +91,97 @@ def match_events(a: DataFrame, b: DataFrame, year: str, end: str, name: str, key
     return m.withColumn("_n", F.count("*").over(Window.partitionBy(key_a))).where("_n = 1").drop("_n")
 
 
-def resolve_identity(cands: DataFrame, crosswalk: DataFrame, canon: DataFrame, key: str, name: str, birth: str, canon_key: str) -> DataFrame:
-    """outcome and canon_key of each candidate: by crosswalk; else by exact name and birth date; else by name and birth year;
-    else held with a reason, or new where no name agrees. Each step accepts a single candidate only."""
-    c = cands.withColumn("_name", fold(name))
-    k = canon.select(F.col(canon_key).alias("_id"), fold(name).alias("_name"), F.col(birth).alias("_birth"))
-    m = c.select(key, "_name", F.col(birth).alias("_b")).join(k, "_name", "left")
-    exact, year = F.col("_b") == F.col("_birth"), F.year("_b") == F.year("_birth")
-    g = m.groupBy(key).agg(F.count("_id").alias("_names"), F.count_if(exact).alias("_ne"), F.max(F.when(exact, F.col("_id"))).alias("_e"), F.count_if(year).alias("_ny"), F.max(F.when(year, F.col("_id"))).alias("_y"))
-    x = crosswalk.select(key, F.col(canon_key).alias("_x"))
-    out = c.drop("_name").join(x, key, "left").join(g, key, "left")
-    found = F.coalesce("_x", F.when(F.col("_ne") == 1, F.col("_e")), F.when((F.col("_ne") == 0) & (F.col("_ny") == 1), F.col("_y")))
-    how = F.when(F.col("_x").isNotNull(), "crosswalk").when(F.col("_ne") == 1, "name_birth").when((F.col("_ne") == 0) & (F.col("_ny") == 1), "name_year").when(F.col("_names") == 0, "new").when(F.col("_names") > 1, "multiple_namesakes").otherwise("namesake_without_corroboration")
-    return out.select(key, found.alias(canon_key), how.alias("outcome"))
+def resolve_identity(cands: DataFrame, crosswalk: DataFrame, canon: DataFrame, key: str, name: str, birth: str, canon_key: str, year: str | None = None, event: str | None = None, members: DataFrame | None = None) -> DataFrame:
+    """canon_key and outcome of each candidate, by the first rule that leaves one canonical row:
+
+    crosswalk; name_birth (exact name and full date); name_year (exact name, and the canonical row has only the year of birth
+    of it); name_event (exact name, a member of the candidate's event, no two full dates that differ). Where no exact name
+    agrees, variant_birth (a variant of the name and the full date). What has a namesake and no rule is held:
+    multiple_namesakes, namesake_without_corroboration, variant_without_birth. Only what has none at all is new.
+
+    canon: canon_key, name, birth, and year where given; members: event and canon_key; event is a column of cands. A null name
+    has no namesakes and a null date agrees with none. Each rule asks for keys (a name and a date, say), and a key's canonical
+    rows are one row with the least and greatest of them, so a common name makes no pairs.
+    """
+    known = canon.select(F.col(canon_key).alias("_id"), fold(name).alias("_name"), F.col(birth).cast("date").alias("_birth"), (F.col(year).cast("int") if year else F.lit(None).cast("int")).alias("_year"), name_keys(name).alias("_variants"))
+    asked = cands.select(F.col(key), fold(name).alias("_name"), F.col(birth).cast("date").alias("_birth"), (F.col(event).cast("string") if event else F.lit(None).cast("string")).alias("_event"), name_keys(name).alias("_variants"))
+    text = lambda kind, *parts: F.when(reduce(lambda a, b: a & b, (F.col(p).isNotNull() if isinstance(p, str) else p.isNotNull() for p in parts)), F.struct(F.lit(kind).alias("kind"), F.concat_ws("|", *(F.col(p).cast("string") if isinstance(p, str) else p for p in parts)).alias("ask")))
+    variants = lambda kind, *parts: F.transform("_variants", lambda v: text(kind, v, *parts))
+    every = lambda *singles: F.filter(F.concat(F.array(*singles), variants("variant"), variants("variant_birth", "_birth")), lambda x: x.isNotNull())
+    has_name = F.col("_name") != ""
+    own = known.withColumn("_name", F.when(has_name, F.col("_name"))).select("_id", F.inline(every(text("name", "_name"), text("name_birth", "_name", "_birth"), F.when(F.col("_birth").isNull(), text("name_year", "_name", "_year")))))
+    if event and members is not None:
+        met = members.select(F.col(canon_key).alias("_id"), F.col(event).cast("string").alias("_event")).join(known.where(has_name), "_id")
+        own = own.unionByName(met.select("_id", F.inline(F.array_compact(F.array(text("event", "_event", "_name"), F.when(F.col("_birth").isNull(), text("event_undated", "_event", "_name")), text("event_birth", "_event", "_name", "_birth"))))))
+    spans = own.groupBy("kind", "ask").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"))
+    dated = F.col("_birth").isNotNull()
+    asks = asked.withColumn("_name", F.when(has_name, F.col("_name"))).select(key, F.inline(every(
+        text("name", "_name"), text("name_birth", "_name", "_birth"), text("name_year", "_name", F.year("_birth")),
+        F.when(~dated, text("event", "_event", "_name")), F.when(dated, text("event_undated", "_event", "_name")), F.when(dated, text("event_birth", "_event", "_name", "_birth")),
+    )))
+    lo = lambda *kinds: F.min(F.when(F.col("kind").isin(*kinds), F.col("lo")))
+    hi = lambda *kinds: F.max(F.when(F.col("kind").isin(*kinds), F.col("hi")))
+    rules = {"name": ["name"], "name_birth": ["name_birth"], "name_year": ["name_year"], "name_event": ["event", "event_undated", "event_birth"], "variant": ["variant"], "variant_birth": ["variant_birth"]}
+    found = asks.join(spans, ["kind", "ask"]).groupBy(key).agg(*(f(*kinds).alias(f"{rule}_{side}") for rule, kinds in rules.items() for side, f in (("lo", lo), ("hi", hi))))
+    one = lambda rule: F.coalesce(F.col(f"{rule}_lo") == F.col(f"{rule}_hi"), F.lit(False))
+    some = lambda rule: F.col(f"{rule}_lo").isNotNull()
+    rule = F.when(F.col("_x").isNotNull(), "crosswalk").when(one("name_birth"), "name_birth").when(~some("name_birth") & one("name_year"), "name_year").when(some("name") & one("name_event"), "name_event")
+    rule = rule.when(some("name") & ~one("name"), "multiple_namesakes").when(some("name"), "namesake_without_corroboration").when(one("variant_birth"), "variant_birth").when(some("variant"), "variant_without_birth").otherwise("new")
+    out = cands.select(key).join(crosswalk.select(key, F.col(canon_key).alias("_x")), key, "left").join(found, key, "left").withColumn("outcome", rule)
+    chosen = F.when(F.col("outcome") == "crosswalk", F.col("_x"))
+    for r in ("name_birth", "name_year", "name_event", "variant_birth"):
+        chosen = chosen.when(F.col("outcome") == r, F.col(f"{r}_lo"))
+    return out.select(key, chosen.alias(canon_key), "outcome")
 
 
 def candidate_pairs(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Pairs a < b that share a key of their names' variants."""
+    """Pairs a < b that share a key of their names' variants. All pairs of a key are rows: where many rows may share one,
+    merge_decisions decides without them."""
     k = df.select(F.col(key), F.explode(name_keys(name)).alias("_block")).where("_block <> ''")
     return k.select(F.col(key).alias("a"), "_block").join(k.select(F.col(key).alias("b"), "_block"), "_block").where("a < b").select("a", "b").distinct()
 
 
+def _families(rows: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """_id and _family (the least _id reachable) where rows (_id, _hub) that share a hub belong together. Labels spread from rows
+    to hubs and back, as grouped minima, until none changes; each round is a written table."""
+    edges = written(rows.distinct(), "family-hubs")
+    labels = edges.select("_id", F.col("_id").alias("_family")).distinct()
+    for _ in range(most_rounds):
+        hubs = edges.join(labels, "_id").groupBy("_hub").agg(F.min("_family").alias("_h"))
+        spread = edges.join(hubs, "_hub").groupBy("_id").agg(F.min("_h").alias("_h"))
+        after = written(labels.join(spread, "_id").select("_id", F.least("_family", "_h").alias("_family"), (F.col("_h") < F.col("_family")).alias("_moved")), "families")
+        labels = after.drop("_moved")
+        if after.where("_moved").isEmpty():
+            return labels
+    raise RuntimeError(f"families have not settled in {most_rounds} rounds")
+
+
+def merge_decisions(records: DataFrame, key: str, name: str, birth: str, canonical: str) -> DataFrame:
+    """key, decision, target and reasons of the records whose names are variants of another's.
+
+    Records of one family share a variant of their names and the full date of birth, directly or through others. A family with
+    one canonical record merges: the others into it (merge, target), itself kept. Else they are held with reasons, in the order
+    of the alphabet: birth_date_missing (on either side), birth_dates_differ, canonical_unclear (a family of several records
+    with no canonical one, or more than one). A merged record keeps the reasons that hold against further namesakes.
+    canonical: a boolean column, null as false. Records that share no key with another give no row, nor do null names.
+
+    A block of namesakes is never squared: what a record's reasons need of its block are counts and extremes, and families are
+    stars around their name and date.
+    """
+    r = records.select(F.col(key).alias("_id"), F.col(birth).cast("date").alias("_birth"), F.coalesce(F.col(canonical), F.lit(False)).alias("_canon"), F.explode(name_keys(name)).alias("_block"))
+    blocks = r.groupBy("_block").agg(F.count("*").alias("_n"), F.count_if(F.col("_birth").isNull()).alias("_missing"), F.min("_birth").alias("_first"), F.max("_birth").alias("_last")).where("_n > 1")
+    met = written(r.join(blocks, "_block"), "namesakes")
+    flags = met.groupBy("_id", "_birth", "_canon").agg(F.max(F.col("_birth").isNull() | (F.col("_missing") > 0)).alias("_m"), F.max(F.coalesce((F.col("_first") != F.col("_birth")) | (F.col("_last") != F.col("_birth")), F.lit(False))).alias("_d"))
+    labels = _families(met.where("_birth is not null").select("_id", F.struct("_block", "_birth").alias("_hub")))
+    family = flags.select("_id", "_canon").join(labels, "_id").groupBy("_family").agg(F.count("*").alias("_size"), F.count_if("_canon").alias("_canons"), F.min(F.when(F.col("_canon"), F.col("_id"))).alias("_target"))
+    out = flags.join(labels, "_id", "left").join(family, "_family", "left")
+    several = F.coalesce(F.col("_size") > 1, F.lit(False))
+    merges = several & (F.col("_canons") == 1)
+    decision = F.when(merges & ~F.col("_canon"), "merge").when(merges, "keep").otherwise("hold")
+    reasons = F.array_compact(F.array(F.when(F.col("_m"), F.lit("birth_date_missing")), F.when(F.col("_d"), F.lit("birth_dates_differ")), F.when(several & ~merges, F.lit("canonical_unclear"))))
+    return out.select(F.col("_id").alias(key), decision.alias("decision"), F.when(merges & ~F.col("_canon"), F.col("_target")).alias("target"), reasons.alias("reasons"))
+
+
 def absorb_children(children: DataFrame, dup_map: DataFrame, key: str, on: Sequence[str]) -> DataFrame:
     """moved: children of a duplicate that its primary has no match for; kept: those that it has. dup_map: key, primary."""
     m = children.join(dup_map, key)

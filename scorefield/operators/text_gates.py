@@ -5,6 +5,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import fold
+from ..session import written
+
 #: Number words that a text may not use outside tokens, phrases that hold one and count nothing, and ordinals,
 #: which may stand before "round".
 NUMBER_WORDS = [
@@ -124,16 +127,85 @@ def pick_highlights(facts: DataFrame, key: str, order: str, fact: str, shown: Da
     return r.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", fact))), lambda x: x[fact].cast("string")), ",").alias("facts"))
 
 
-def link_texts(texts: DataFrame, key: str, text: str, families: Mapping[str, str], names: DataFrame, name: str, entity: str) -> DataFrame:
-    """family, entities and status of texts: published if a family matches and exactly one entity is named, review if several are,
-    else none. Names are matched as whole words by an equality on them."""
+def _words(text) -> Column:
+    """The words of a text, folded; apostrophes vanish."""
+    return F.filter(F.split(fold(F.regexp_replace(F.col(text) if isinstance(text, str) else text, "['’]", "")), " "), lambda x: x != "")
+
+
+def mentions(texts: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
+    """key and name (folded) of the names that occur in each text as whole words, in their order; each once.
+
+    Every run of words that is as long as some name is a candidate. A filter of fixed size, which has the hashes of all names,
+    goes to all tasks and leaves few candidates; these are joined with the names by equality. So names may be as many as the
+    texts, and no text meets all of them. A null text mentions nothing.
+    """
+    known = written(names.select(_words(name).alias("_n")).where(F.size("_n") > 0).select(F.array_join("_n", " ").alias(name), F.size("_n").alias("_length")).distinct(), "names")
+    lengths = [r[0] for r in known.select("_length").distinct().collect()]  # a few small numbers
+    at = lambda c: (F.shiftrightunsigned(F.xxhash64(c), 48).alias("_slot"), F.xxhash64(c).bitwiseAND(63).cast("int").alias("_bit"))
+    bits = known.select(*at(F.col(name))).groupBy("_slot").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))  # 2**16 rows at most
+    runs = lambda n: F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))).otherwise(F.array().cast("array<string>"))
+    if not lengths:
+        return texts.select(key, F.lit(None).cast("string").alias(name)).limit(0)
+    grams = texts.select(F.col(key), _words(text).alias("_w")).select(key, F.explode(F.array_distinct(F.concat(*(runs(n) for n in lengths)))).alias(name))
+    near = grams.select(key, name, *at(F.col(name))).join(F.broadcast(bits), "_slot").where(F.expr("(_bits & shiftleft(1L, _bit)) <> 0")).select(key, name)
+    return near.join(known.select(name), name, "left_semi").select(key, name).distinct()
+
+
+def link_texts(
+    texts: DataFrame,
+    key: str,
+    text: str,
+    families: Mapping[str, str],
+    names: DataFrame,
+    name: str,
+    entity: str,
+    at: str | None = None,
+    events: DataFrame | None = None,
+    event: str = "event",
+    event_name: str = "event_name",
+    year: str = "year",
+    start: str = "start",
+    end: str = "end",
+    strong: Sequence[str] = (),
+    window: tuple[int, int, int] = (10, 45, 7),
+    most: int = 6,
+) -> DataFrame:
+    """family and evidence of texts, the entities and the event they name, and how sure that is.
+
+    entities: those whose full name (two words or more, as whole words) the text holds and no other entity shares, in order,
+    most at most; n_entities counts them all. event: events (one row for each name that one goes by, names of six letters or
+    more, without a leading "the") that the text names; the one of the year in the text if that is a single one (basis
+    title_year), else the one whose end is nearest to the column at, from window[0] days before its start to window[1] after
+    its end, if the next is over window[2] days farther (basis date_window). period: the period that the text names, where
+    there is an event. confidence: high with an event and an entity or a family of strong ones; medium with an event or a
+    single entity; else low. status: review where that is low, else published. Null texts name nothing.
+    """
+    from ..functions.scalars import period_from_text
     from .filters import classify_text
 
-    words = texts.select(key, F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))).alias("_w"))
-    found = words.join(names.select(F.lower(name).alias("_w"), entity), "_w").groupBy(key).agg(F.count_distinct(entity).alias("entities"), F.min(entity).alias("_one"))
-    out = texts.select(key, classify_text(text, families).alias("_c")).join(found, key, "left").withColumn("entities", F.coalesce("entities", F.lit(0)).cast("long"))
-    status = F.when(F.col("_c.family").isNotNull() & (F.col("entities") == 1), "published").when(F.col("entities") > 1, "review").otherwise("none")
-    return out.select(key, F.col("_c.family").alias("family"), "entities", F.when(F.col("entities") == 1, F.col("_one")).alias(entity), status.alias("status"))
+    ids = names.select(F.array_join(_words(name), " ").alias("_name"), F.col(entity)).where("instr(_name, ' ') > 0")
+    unique = ids.groupBy("_name").agg(F.min(entity).alias(entity), F.max(entity).alias("_other")).where(F.col(entity) == F.col("_other")).drop("_other")
+    met = mentions(texts, key, text, unique, "_name").join(unique, "_name").groupBy(key).agg(F.array_sort(F.collect_set(entity)).alias("_all"))
+    out = texts.select(key, text, classify_text(text, families).alias("_c")).join(met, key, "left")
+    n = F.coalesce(F.size("_all"), F.lit(0))
+    if events is None:
+        out = out.withColumns({event: F.lit(None).cast("string"), "basis": F.lit(None).cast("string")})
+    else:
+        held = events.select(F.col(event).alias("_event"), F.regexp_replace(F.array_join(_words(event_name), " "), "^the ", "").alias("_name"), F.col(year).cast("int").alias("_year"), F.col(start).alias("_start"), F.col(end).alias("_end")).where("length(_name) >= 6").distinct()
+        named = written(mentions(texts, key, text, held, "_name").join(texts.select(key, F.regexp_extract(text, r"\b(19[5-9]\d|20[0-4]\d)\b", 1).try_cast("int").alias("_year"), F.to_date(F.lit(None) if at is None else F.col(at)).alias("_at")), key), "named-events")
+        spans = held.groupBy("_name", "_year").agg(F.min("_event").alias("_lo"), F.max("_event").alias("_hi"))
+        titled = named.join(spans, ["_name", "_year"]).groupBy(key).agg(F.min("_lo").alias("_titled"), F.max("_hi").alias("_hi")).where("_titled = _hi").drop("_hi")
+        week = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01").cast("date")) / 7)
+        spread = held.where("_start is not null and _end >= _start").withColumn("_week", F.explode(F.sequence(week(F.date_sub("_start", window[0])), week(F.date_add("_end", window[1])))))
+        near = named.drop("_year").withColumn("_week", week(F.col("_at"))).join(spread, ["_name", "_week"]).where(F.col("_at").between(F.date_sub("_start", window[0]), F.date_add("_end", window[1])))
+        near = near.select(key, "_event", F.abs(F.datediff("_end", "_at")).alias("_far")).groupBy(key, "_event").agg(F.min("_far").alias("_far"))
+        w = Window.partitionBy(key).orderBy("_far", "_event")
+        dated = near.withColumn("_k", F.row_number().over(w)).withColumn("_next", F.lead("_far").over(w)).where("_k = 1").where(F.col("_next").isNull() | (F.col("_next") - F.col("_far") > window[2])).select(key, F.col("_event").alias("_dated"))
+        out = out.join(titled, key, "left").join(dated, key, "left")
+        out = out.withColumns({event: F.coalesce("_titled", "_dated"), "basis": F.when(F.col("_titled").isNotNull(), "title_year").when(F.col("_dated").isNotNull(), "date_window")})
+    linked = F.col("basis").isNotNull()
+    sure = F.when(linked & ((n > 0) | F.coalesce(F.col("_c.family").isin(*strong), F.lit(False))), "high").when(linked | (n == 1), "medium").otherwise("low")
+    return out.select(key, F.col("_c.family").alias("family"), F.col("_c.evidence").alias("evidence"), F.coalesce(F.slice("_all", 1, most), F.array()).alias("entities"), n.cast("long").alias("n_entities"), event, "basis", F.when(linked, period_from_text(text)).alias("period"), sure.alias("confidence"), F.when(sure == "low", "review").otherwise("published").alias("status"))
 
 
 def collapse_multivalue(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:

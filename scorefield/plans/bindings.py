@@ -24,6 +24,14 @@ VIEWS = {
         CASE WHEN count(*) > 1 THEN CAST(o_custkey % 50 + 1 AS BIGINT) END AS rank FROM orders GROUP BY 1, 2, 3""",
     "results": """SELECT o_orderkey AS entry_id, o_custkey AS entity_id, CAST(year(o_orderdate) AS BIGINT) AS season, CAST(o_orderdate AS DATE) AS start_on,
         CAST(floor(o_totalprice) AS BIGINT) AS points, o_orderstatus AS status, o_orderpriority AS kind FROM orders""",
+    "people": """SELECT c_custkey AS person, 'n' || (c_custkey % 12) || ' m' || (CASE WHEN c_custkey % 10 = 9 THEN c_custkey ELSE c_custkey % 5 END) AS name,
+        CASE WHEN (c_custkey DIV 60) % 3 > 0 THEN make_date(1980, CAST(c_custkey % 12 + 1 AS INT), CAST((c_custkey DIV 60 + 1) DIV 2 % 28 + 1 AS INT)) END AS birth,
+        CASE WHEN (c_custkey DIV 60) % 3 = 0 THEN CAST(1980 + c_custkey % 2 AS INT) END AS year FROM customer""",
+    "sightings": """SELECT o_orderkey AS sighting, CAST(year(o_orderdate) AS BIGINT) AS event, o_custkey AS seen,
+        CASE WHEN o_orderkey % 4 = 2 THEN 'm' || (CASE WHEN o_custkey % 10 = 9 THEN o_custkey ELSE o_custkey % 5 END) || ' N' || (o_custkey % 12) ELSE (CASE WHEN o_orderkey % 4 < 2 THEN 'N' ELSE 'x' END)
+        || (o_custkey % 12) || ' m' || (CASE WHEN o_custkey % 10 = 9 THEN o_custkey ELSE o_custkey % 5 END) END AS name,
+        CASE WHEN o_orderkey % 5 < 3 THEN make_date(1980, CAST(o_custkey % 12 + 1 AS INT), CAST((o_custkey DIV 60 + 1) DIV 2 % 28 + 1 AS INT))
+        WHEN o_orderkey % 5 = 3 THEN make_date(CAST(1980 + o_orderkey % 2 AS INT), 6, 30) END AS birth FROM orders""",
     "probs": """SELECT l_orderkey AS event_id, l_linenumber AS entity_id, CAST(l_suppkey % 3 AS BIGINT) AS family, CAST(year(l_shipdate) AS BIGINT) AS season,
         CAST(round(l_discount * 100) AS BIGINT) * 10 + 1 AS mille, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS hit FROM lineitem""",
 }
@@ -53,4 +61,6 @@ def oracle(body: str) -> str:
     if not views:
         return body
     body = body.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {views}, {body[15:]}"
     return f"WITH {views}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {views} {body}"

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import joins as J
 from .bindings import oracle, view
 from .registry import query
+from .scalars import NAME_KEYS, NAME_WORDS
 
 
 def people(spark, sf_dir, table, p):
@@ -71,21 +72,38 @@ def j09(spark, sf_dir):
     return J.match_events(a, b, "p_size", "end", "p_name", "a", "b", generic=["part"])
 
 
-@query("j10_resolve_identity", oracle("""WITH c AS (SELECT o_orderkey AS id, 'n' || (o_custkey % 40) AS name, CAST(o_orderdate AS DATE) AS birth FROM orders WHERE o_orderkey % 3 = 0), k AS (SELECT o_orderkey AS canon, 'n' || (o_custkey % 50) AS name, CAST(o_orderdate AS DATE) AS birth FROM orders WHERE o_orderkey % 97 = 1),
-m AS (SELECT id, count(canon) AS names, count(*) FILTER (c.birth = k.birth) AS ne, max(canon) FILTER (c.birth = k.birth) AS e, count(*) FILTER (year(c.birth) = year(k.birth)) AS ny, max(canon) FILTER (year(c.birth) = year(k.birth)) AS y FROM c LEFT JOIN k USING (name) GROUP BY 1)
-SELECT id, CASE WHEN id % 30 = 0 THEN id + 1 WHEN ne = 1 THEN e WHEN ne = 0 AND ny = 1 THEN y END AS canon, CASE WHEN id % 30 = 0 THEN 'crosswalk' WHEN ne = 1 THEN 'name_birth' WHEN ne = 0 AND ny = 1 THEN 'name_year' WHEN names = 0 THEN 'new' WHEN names > 1 THEN 'multiple_namesakes' ELSE 'namesake_without_corroboration' END AS outcome FROM m"""))
+@query("j10_resolve_identity", oracle("""WITH m AS (SELECT DISTINCT event, seen AS person FROM sightings WHERE sighting % 6 = 1), x AS (SELECT s.sighting, s.birth AS b, p.person, p.birth, p.year, s.birth = p.birth AS e, s.birth IS NOT NULL AND p.birth IS NULL AND p.year = year(s.birth) AS y,
+m.person IS NOT NULL AND (s.birth IS NULL OR p.birth IS NULL OR s.birth = p.birth) AS v FROM sightings s JOIN people p ON lower(s.name) = p.name LEFT JOIN m ON m.event = s.event AND m.person = p.person),
+g AS (SELECT sighting, count(*) AS names, count(*) FILTER (e) AS ne, max(person) FILTER (e) AS pe, count(*) FILTER (y) AS ny, max(person) FILTER (y) AS py, count(*) FILTER (v) AS nv, max(person) FILTER (v) AS pv FROM x GROUP BY 1),
+r AS (SELECT s.sighting, count(*) AS n, count(*) FILTER (s.birth = p.birth) AS ne, max(person) FILTER (s.birth = p.birth) AS pe FROM sightings s JOIN people p ON lower(s.name) = string_split(p.name, ' ')[2] || ' ' || string_split(p.name, ' ')[1] GROUP BY 1),
+o AS (SELECT s.sighting, CASE WHEN s.sighting % 90 = 1 THEN 'crosswalk' WHEN g.ne = 1 THEN 'name_birth' WHEN g.ne = 0 AND ny = 1 THEN 'name_year' WHEN nv = 1 THEN 'name_event' WHEN names > 1 THEN 'multiple_namesakes' WHEN names = 1 THEN 'namesake_without_corroboration' WHEN r.ne = 1 THEN 'variant_birth' WHEN n > 0 THEN 'variant_without_birth' ELSE 'new' END AS outcome,
+s.seen, g.pe, py, pv, r.pe AS pr FROM sightings s LEFT JOIN g ON g.sighting = s.sighting LEFT JOIN r ON r.sighting = s.sighting)
+SELECT sighting, CASE outcome WHEN 'crosswalk' THEN seen WHEN 'name_birth' THEN pe WHEN 'name_year' THEN py WHEN 'name_event' THEN pv WHEN 'variant_birth' THEN pr END AS person, outcome FROM o"""))
 def j10(spark, sf_dir):
-    o = view(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", F.col("o_orderdate").cast("date").alias("birth"))
-    c = o.where("id % 3 = 0").select("id", F.concat(F.lit("n"), (F.col("o_custkey") % 40).cast("string")).alias("name"), "birth")
-    k = o.where("id % 97 = 1").select(F.col("id").alias("canon"), F.concat(F.lit("n"), (F.col("o_custkey") % 50).cast("string")).alias("name"), "birth")
-    return J.resolve_identity(c, c.where("id % 30 = 0").select("id", (F.col("id") + 1).alias("canon")), k, "id", "name", "birth", "canon")
+    s = view(spark, sf_dir, "sightings")
+    members = s.where("sighting % 6 = 1").select("event", F.col("seen").alias("person")).distinct()
+    return J.resolve_identity(s, s.where("sighting % 90 = 1").select("sighting", F.col("seen").alias("person")), view(spark, sf_dir, "people"), "sighting", "name", "birth", "person", "year", "event", members)
 
 
-@query("j11_candidate_pairs", oracle("""WITH n AS (SELECT p_partkey AS id, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS t FROM part), k AS (SELECT id, unnest(list_distinct([t, array_to_string(list_sort(string_split(t, ' ')), ' '), replace(t, ' ', '')])) AS b FROM n) SELECT DISTINCT a.id AS a, c.id AS b FROM k a JOIN k c ON a.b = c.b AND a.id < c.id"""))
+@query("j11_candidate_pairs", oracle(f"WITH n AS (SELECT p_partkey AS id, {NAME_WORDS.format('p_name')} AS t FROM part), k AS (SELECT id, unnest({NAME_KEYS}) AS b FROM n) SELECT DISTINCT a.id AS a, c.id AS b FROM k a JOIN k c ON a.b = c.b AND a.id < c.id"))
 def j11(spark, sf_dir):
     return J.candidate_pairs(view(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", "p_name")
 
 
+@query("j11_merge_decisions", oracle("""WITH RECURSIVE p AS (SELECT person, CASE WHEN person % 2 = 0 THEN string_split(name, ' ')[2] || string_split(name, ' ')[1] || ' z' ELSE string_split(name, ' ')[2] || ' ' || string_split(name, ' ')[1] || ' z' END AS name, birth, person // 60 % 2 = 0 AS canon FROM people), w AS (SELECT person, birth, canon, {words} AS t FROM p),
+k AS (SELECT person, birth, canon, unnest({keys}) AS block FROM w), b AS (SELECT block, count(*) AS n, count(*) FILTER (birth IS NULL) AS missing, min(birth) AS lo, max(birth) AS hi FROM k GROUP BY 1 HAVING count(*) > 1),
+f AS (SELECT person, birth, canon, bool_or(birth IS NULL OR missing > 0) AS m, coalesce(bool_or(lo <> birth OR hi <> birth), false) AS d FROM k JOIN b USING (block) GROUP BY 1, 2, 3),
+hub AS (SELECT DISTINCT k.person, block, birth FROM k JOIN b USING (block) WHERE birth IS NOT NULL), low AS (SELECT person, block, birth, min(person) OVER (PARTITION BY block, birth) AS p FROM hub), e AS (SELECT DISTINCT person AS x, p AS y FROM low UNION SELECT p, person FROM low),
+reach(x, y) AS (SELECT DISTINCT person, person FROM hub UNION SELECT reach.x, e.y FROM reach JOIN e ON e.x = reach.y), fam AS (SELECT x AS person, min(y) AS family FROM reach GROUP BY 1),
+s AS (SELECT family, count(*) AS size, count(*) FILTER (canon) AS canons, min(person) FILTER (canon) AS target FROM fam JOIN f USING (person) GROUP BY 1), j AS (SELECT f.*, coalesce(size > 1 AND canons = 1, false) AS merges, coalesce(size > 1, false) AS several, target FROM f LEFT JOIN fam USING (person) LEFT JOIN s USING (family))
+SELECT person, CASE WHEN merges AND NOT canon THEN 'merge' WHEN merges THEN 'keep' ELSE 'hold' END AS decision, CASE WHEN merges AND NOT canon THEN target END AS target,
+array_to_string(list_filter([CASE WHEN m THEN 'birth_date_missing' END, CASE WHEN d THEN 'birth_dates_differ' END, CASE WHEN several AND NOT merges THEN 'canonical_unclear' END], lambda x: x IS NOT NULL), ',') AS reasons FROM j""".format(words=NAME_WORDS.format("name"), keys=NAME_KEYS)))
+def j11_decisions(spark, sf_dir):
+    first, last = F.split("name", " ")[0], F.split("name", " ")[1]
+    p = view(spark, sf_dir, "people").select("person", F.when(F.col("person") % 2 == 0, F.concat(last, F.lit("-"), first, F.lit(" z"))).otherwise(F.concat_ws(" ", last, first, F.lit("z"))).alias("name"), "birth", F.expr("person div 60 % 2 = 0").alias("canon"))
+    return J.merge_decisions(p, "person", "name", "birth", "canon").withColumn("reasons", F.array_join("reasons", ","))
+
+
 @query("j12_absorb_children", oracle("""WITH m AS (SELECT entry_id, entity_id, season, entity_id - 1 AS p FROM results WHERE entity_id % 5 = 0) SELECT entry_id, CASE WHEN EXISTS (SELECT 1 FROM results r WHERE r.entity_id = p AND r.season = m.season) THEN 'kept' ELSE 'moved' END AS action FROM m"""))
 def j12(spark, sf_dir):
     r = view(spark, sf_dir, "results").select("entry_id", "entity_id", "season")
@@ -149,7 +167,7 @@ def j20(spark, sf_dir):
     return J.head_to_head(e, pairs, "event_id", "entity_id", "position", "status")
 
 
-@query("j21_common_dims", also="j21_common_dims_pairs", sql=oracle("WITH h AS (SELECT entity_id, event_id % 12 AS venue_id, count(*) AS n FROM entries GROUP BY 1, 2) SELECT a.entity_id AS a, a.venue_id, a.n AS na, b.n AS nb FROM h a JOIN h b USING (venue_id) WHERE b.entity_id = a.entity_id + 1"))
+@query("j21_common_dims", oracle("WITH h AS (SELECT entity_id, event_id % 12 AS venue_id, count(*) AS n FROM entries GROUP BY 1, 2) SELECT a.entity_id AS a, a.venue_id, a.n AS na, b.n AS nb FROM h a JOIN h b USING (venue_id) WHERE b.entity_id = a.entity_id + 1"))
 def j21_pairs(spark, sf_dir):
     h = view(spark, sf_dir, "entries").groupBy("entity_id", (F.col("event_id") % 12).alias("venue_id")).agg(F.count("*").alias("n"))
     return J.common_dims(h.select(F.col("entity_id").alias("a"), "venue_id", F.col("n").alias("na")), h.select((F.col("entity_id") - 1).alias("a"), "venue_id", F.col("n").alias("nb")), ["a", "venue_id"])

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import ACCENTED, PLAIN, fold
 from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import ledger as L
@@ -33,7 +34,7 @@ def p02(spark, sf_dir):
     return lead.join(field, "event_id").join(view(spark, sf_dir, "venue"), "event_id").select("event_id", "venue_id", "field", "missed", F.col("entity_id").alias("leader"), F.col("total").alias("winning"), "margin")
 
 
-@query("p03_field_context", also="p03_field_context_whole", sql=oracle("""WITH h AS (SELECT a.event_id, a.entity_id, count(b.total) AS prior, CAST(sum(b.total) AS BIGINT) AS prior_total FROM entries a LEFT JOIN entries b ON a.entity_id = b.entity_id AND b.start_on < a.start_on AND b.start_on >= a.start_on - 365 GROUP BY 1, 2),
+@query("p03_field_context", oracle("""WITH h AS (SELECT a.event_id, a.entity_id, count(b.total) AS prior, CAST(sum(b.total) AS BIGINT) AS prior_total FROM entries a LEFT JOIN entries b ON a.entity_id = b.entity_id AND b.start_on < a.start_on AND b.start_on >= a.start_on - 365 GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY prior_total / prior NULLS LAST, entity_id) AS k FROM h) SELECT event_id, count(*) AS field, count(*) FILTER (prior = 0) AS first_appearances, max(entity_id) FILTER (k = 1) AS form_leader FROM r GROUP BY 1"""))
 def p03_whole(spark, sf_dir):
     h = J.history_before(view(spark, sf_dir, "entries"), "entity_id", "start_on", "total", 365)
@@ -139,11 +140,28 @@ def p18(spark, sf_dir):
     return G.pick_highlights(r, "entity_id", "points", "entry_id", r.where("season = 1995"))
 
 
-@query("p19_link_texts", oracle(r"""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'))) AS w FROM documents), n AS (SELECT * FROM (VALUES ('idiot', 1), ('scum', 2), ('clown', 3)) v(w, e)), f AS (SELECT doc_id, count(DISTINCT e) AS entities, min(e) AS one FROM w JOIN n USING (w) GROUP BY 1)
-SELECT d.doc_id, CASE WHEN regexp_matches(text, 'License') THEN 'licence' END AS family, coalesce(entities, 0) AS entities, CASE WHEN entities = 1 THEN one END AS entity, CASE WHEN regexp_matches(text, 'License') AND entities = 1 THEN 'published' WHEN entities > 1 THEN 'review' ELSE 'none' END AS status FROM documents d LEFT JOIN f ON d.doc_id = f.doc_id"""))
+_FOLDED = f"trim(regexp_replace(lower(translate(regexp_replace({{}}, '[''’]', '', 'g'), '{ACCENTED}', '{PLAIN}')), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query("p19_link_texts", oracle(rf"""WITH d AS (SELECT doc_id, text || ' ' || (1990 + doc_id % 50) AS text, 1990 + doc_id % 50 AS year, DATE '2024-01-01' + CAST(doc_id % 300 AS INT) AS seen FROM documents), t AS (SELECT *, ' ' || {_FOLDED.format('text')} || ' ' AS f FROM d),
+i AS (SELECT item_id, string_split({_FOLDED.format('text')}, ' ') AS w FROM benchmark), n AS (SELECT array_to_string(w[1:2], ' ') AS name, item_id AS entity FROM i UNION ALL SELECT array_to_string(w[2:4], ' '), item_id + 1000 FROM i), u AS (SELECT name, min(entity) AS entity FROM n WHERE contains(name, ' ') GROUP BY name HAVING min(entity) = max(entity)),
+v AS (SELECT item_id + k * 100 AS event, array_to_string(w[3:4], ' ') AS name, 1990 + (item_id + k) % 50 AS year, DATE '2024-01-01' + CAST((item_id * 7 + k * 20) % 300 AS INT) AS s, DATE '2024-01-03' + CAST((item_id * 7 + k * 20) % 300 AS INT) AS e FROM i, (VALUES (0), (1)) k(k)), h AS (SELECT DISTINCT event, regexp_replace(name, '^the ', '') AS name, year, s, e FROM v WHERE length(regexp_replace(name, '^the ', '')) >= 6),
+l AS (SELECT doc_id, list_sort(list(DISTINCT entity)) AS l FROM t JOIN u ON contains(f, ' ' || name || ' ') GROUP BY 1), c AS (SELECT DISTINCT doc_id, event, h.year = t.year AS same, seen BETWEEN s - 10 AND e + 45 AS near, abs(e - seen) AS far FROM t JOIN h ON contains(f, ' ' || name || ' ')),
+y AS (SELECT doc_id, min(event) AS titled FROM c WHERE same GROUP BY 1 HAVING min(event) = max(event)), o AS (SELECT doc_id, event, far, row_number() OVER w AS k, lead(far) OVER w AS next FROM c WHERE near WINDOW w AS (PARTITION BY doc_id ORDER BY far, event)), z AS (SELECT doc_id, event AS dated FROM o WHERE k = 1 AND (next IS NULL OR next - far > 7)),
+r AS (SELECT t.doc_id, regexp_matches(text, 'License') AS fam, coalesce(l, []) AS l, coalesce(titled, dated) AS event, CASE WHEN titled IS NOT NULL THEN 'title_year' WHEN dated IS NOT NULL THEN 'date_window' END AS basis FROM t LEFT JOIN l ON l.doc_id = t.doc_id LEFT JOIN y ON y.doc_id = t.doc_id LEFT JOIN z ON z.doc_id = t.doc_id),
+q AS (SELECT *, CASE WHEN basis IS NOT NULL AND (len(l) > 0 OR coalesce(fam, false)) THEN 'high' WHEN basis IS NOT NULL OR len(l) = 1 THEN 'medium' ELSE 'low' END AS confidence FROM r)
+SELECT doc_id, CASE WHEN fam THEN 'licence' END AS family, array_to_string(l[1:6], ',') AS entities, len(l) AS n_entities, event, basis, confidence, CASE WHEN confidence = 'low' THEN 'review' ELSE 'published' END AS status FROM q"""))
 def p19(spark, sf_dir):
-    names = spark.createDataFrame([("idiot", 1), ("scum", 2), ("clown", 3)], "name string, entity int")
-    return G.link_texts(view(spark, sf_dir, "documents"), "doc_id", "text", {"licence": "License"}, names, "name", "entity")
+    """Names and events are runs of words of the benchmark's items, which some documents hold; the year stands at the end."""
+    d = view(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", "text", (F.col("doc_id") % 50 + 1990).cast("string")).alias("text"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 300).cast("int")).alias("at"))
+    w = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.split(fold(F.regexp_replace("text", "['’]", "")), " ").alias("w"))
+    run = lambda i, n: F.array_join(F.slice("w", i, n), " ").alias("name")
+    names = w.select(run(1, 2), F.col("item_id").alias("entity")).unionByName(w.select(run(2, 3), (F.col("item_id") + 1000).alias("entity")))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), ((F.col("item_id") * 7 + F.col("k") * 20) % 300).cast("int"))
+    held = w.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    events = held.select((F.col("item_id") + F.col("k") * 100).alias("event"), run(3, 2), ((F.col("item_id") + F.col("k")) % 50 + 1990).alias("year"), day.alias("s"), F.date_add(day, 2).alias("e"))
+    found = G.link_texts(d, "doc_id", "text", {"licence": "License"}, names, "name", "entity", "at", events, "event", "name", "year", "s", "e", strong=["licence"])
+    return found.drop("evidence", "period").withColumn("entities", F.array_join(F.transform("entities", lambda x: x.cast("string")), ","))
 
 
 @query("p25_collapse_multivalue", oracle("SELECT entity_id, CASE WHEN count(DISTINCT status) = 1 THEN max(status) END AS status, CASE WHEN count(DISTINCT kind) = 1 THEN max(kind) END AS kind, count(DISTINCT status) AS n_status, count(DISTINCT kind) AS n_kind FROM results GROUP BY 1"))

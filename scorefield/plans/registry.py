@@ -6,16 +6,15 @@ QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, also: str | None = None):
-    """Register f(spark, sf_dir) under a name, and another one; sql is what it is checked against."""
+def query(name: str, sql: str | None = None):
+    """Register f(spark, sf_dir) under a name; sql is what it is checked against."""
 
     def put(f):
-        for each in (name, *([also] if also else [])):
-            if each in QUERIES:
-                raise ValueError(f"{each} is registered twice")
-            QUERIES[each] = f
-            if sql:
-                ORACLES[each] = sql
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
         return f
 
     return put

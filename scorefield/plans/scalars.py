@@ -13,7 +13,7 @@ def parts(spark, sf_dir):
     return view(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_type", "p_retailprice")
 
 
-@query("f01_f02_fold_slug", also="f01_fold_documents", sql=oracle(f"SELECT doc_id, md5(trim(regexp_replace(lower(translate(text, '{S.ACCENTED}', '{S.PLAIN}')), '[^a-z0-9]+', ' ', 'g'))) AS folded FROM documents"))
+@query("f01_f02_fold_slug", oracle(f"SELECT doc_id, md5(trim(regexp_replace(lower(translate(text, '{S.ACCENTED}', '{S.PLAIN}')), '[^a-z0-9]+', ' ', 'g'))) AS folded FROM documents"))
 def f01_documents(spark, sf_dir):
     """The whole text of every row, of any language or none."""
     return view(spark, sf_dir, "documents").select("doc_id", F.md5(S.fold("text")).alias("folded"))
@@ -152,7 +152,12 @@ def f29(spark, sf_dir):
     return view(spark, sf_dir, "documents").select("doc_id", F.md5(S.mask_text("text", "[0-9]{3,}")).alias("masked"))
 
 
-@query("f31_name_keys", oracle("WITH t AS (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS t FROM part) SELECT p_partkey, array_to_string(list_sort(list_distinct([t, array_to_string(list_sort(string_split(t, ' ')), ' '), replace(t, ' ', '')])), '|') AS keys FROM t"))
+#: The keys of the variants of a name, from the list t of its words.
+NAME_KEYS = """CASE WHEN len(t) > 1 THEN list_distinct([array_to_string(list_sort(t), ' '), array_to_string(list_sort([t[1], array_to_string(t[2:], '')]), ' '), array_to_string(list_sort([t[-1], array_to_string(t[:-2], '')]), ' ')]) ELSE t END"""
+NAME_WORDS = "list_filter(string_split(trim(regexp_replace(lower(regexp_replace({}, '[-’''`.]', '', 'g')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')"
+
+
+@query("f31_name_keys", oracle(f"WITH t AS (SELECT p_partkey, {NAME_WORDS.format('p_name')} AS t FROM part) SELECT p_partkey, array_to_string(list_sort({NAME_KEYS}), '|') AS keys FROM t"))
 def f31(spark, sf_dir):
     return parts(spark, sf_dir).select("p_partkey", F.array_join(F.array_sort(S.name_keys("p_name")), "|").alias("keys"))
 
@@ -167,12 +172,12 @@ def drawn(spark, sf_dir):
     return D.bootstrap_draws(s, s.select("event_id", "entity_id", "period"), 8, "entity_id", "score", ["event_id", "entity_id", "period"])
 
 
-@query("d01_bootstrap_draws", also="d01_bootstrap_draws_whole", sql=oracle(f"{DRAWS} SELECT * FROM dr"))
+@query("d01_bootstrap_draws", oracle(f"{DRAWS} SELECT * FROM dr"))
 def d01_whole(spark, sf_dir):
     return drawn(spark, sf_dir).select("event_id", "entity_id", "period", "draw", "score")
 
 
-@query("d02_draw_outcomes", also="d02_draw_outcomes_whole", sql=oracle(f"""{DRAWS}, t AS (SELECT event_id, draw, entity_id, sum(score) AS total, sum(score) FILTER (period <= 2) AS early, max(period) AS p FROM dr GROUP BY 1, 2, 3),
+@query("d02_draw_outcomes", oracle(f"""{DRAWS}, t AS (SELECT event_id, draw, entity_id, sum(score) AS total, sum(score) FILTER (period <= 2) AS early, max(period) AS p FROM dr GROUP BY 1, 2, 3),
 m AS (SELECT *, NOT (max(p) OVER w > 2 AND count(*) OVER w > 10) OR rank() OVER (PARTITION BY event_id, draw ORDER BY early NULLS FIRST) <= 10 AS made FROM t WINDOW w AS (PARTITION BY event_id, draw)), k AS (SELECT *, CASE WHEN made THEN total ELSE 10000 + early END AS key FROM m),
 r AS (SELECT *, rank() OVER (PARTITION BY event_id, draw ORDER BY key NULLS FIRST) AS position FROM k), s AS (SELECT *, count(*) OVER (PARTITION BY event_id, draw, position) AS share FROM r)
 SELECT event_id, entity_id, round(avg(CASE WHEN position = 1 THEN 1.0::DOUBLE / share ELSE 0 END), 9) AS win, avg((position <= 10)::INT) AS top10, avg((position <= 20)::INT) AS top20, avg(made::INT) AS make, avg(position) AS position FROM s GROUP BY 1, 2"""))
@@ -180,7 +185,7 @@ def d02_whole(spark, sf_dir):
     return D.draw_outcomes(drawn(spark, sf_dir), "event_id", "entity_id", "period", "score", 10).withColumn("win", F.round("win", 9))
 
 
-@query("d03_pair_probability", also="d03_pair_probability_whole", sql=oracle(f"""{DRAWS}, t AS (SELECT event_id, draw, entity_id, sum(score) AS t FROM dr GROUP BY 1, 2, 3) SELECT a.event_id, a.entity_id AS a, b.entity_id AS b, count(*) FILTER (a.t < b.t) / nullif(count(*) FILTER (a.t <> b.t), 0) AS p_ahead, count(*) FILTER (a.t = b.t) / count(*) AS p_tie FROM t a JOIN t b ON a.event_id = b.event_id AND a.draw = b.draw AND b.entity_id = a.entity_id + 1 GROUP BY 1, 2, 3"""))
+@query("d03_pair_probability", oracle(f"""{DRAWS}, t AS (SELECT event_id, draw, entity_id, sum(score) AS t FROM dr GROUP BY 1, 2, 3) SELECT a.event_id, a.entity_id AS a, b.entity_id AS b, count(*) FILTER (a.t < b.t) / nullif(count(*) FILTER (a.t <> b.t), 0) AS p_ahead, count(*) FILTER (a.t = b.t) / count(*) AS p_tie FROM t a JOIN t b ON a.event_id = b.event_id AND a.draw = b.draw AND b.entity_id = a.entity_id + 1 GROUP BY 1, 2, 3"""))
 def d03_whole(spark, sf_dir):
     pairs = view(spark, sf_dir, "scores").select(F.col("entity_id").alias("a"), (F.col("entity_id") + 1).alias("b")).distinct()
     return D.pair_probability(drawn(spark, sf_dir), pairs, "event_id", "entity_id", "score")

@@ -33,7 +33,7 @@ def s04(spark, sf_dir):
     return O.union_first_wins([b, a], ["c_custkey"]).select("c_custkey", "cents")
 
 
-@query("s05_shared_keys", also="s05_shared_keys_pairs", sql=oracle("SELECT DISTINCT a.entity_id AS a, event_id FROM entries a JOIN entries b USING (event_id) WHERE b.entity_id = a.entity_id + 1"))
+@query("s05_shared_keys", oracle("SELECT DISTINCT a.entity_id AS a, event_id FROM entries a JOIN entries b USING (event_id) WHERE b.entity_id = a.entity_id + 1"))
 def s05_pairs(spark, sf_dir):
     e = view(spark, sf_dir, "entries")
     key = lambda c: F.struct(c.alias("a"), "event_id").alias("k")

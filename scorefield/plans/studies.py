@@ -9,7 +9,7 @@ from ..operators import studies as U
 from ..streaming import tape as ST
 from .bindings import oracle, view
 from .registry import query
-from .streams import shared
+from .streams import in_slices, shared
 from .windows import AFTER, ROLL
 
 
@@ -99,6 +99,12 @@ def st11(spark, sf_dir):
     return ST.drop_late(e, ["user_id"], "ts", "arrival").select("event_id")
 
 
+@query("st11_drop_late_stream", oracle("SELECT event_id FROM (SELECT event_id, ts, max(ts) OVER (PARTITION BY user_id ORDER BY event_id % 97, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM events) WHERE seen IS NULL OR ts > seen"))
+def st11s(spark, sf_dir):
+    e = view(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("event_id") % 97 * 1_000_000_000 + F.col("event_id")).alias("arrival"))
+    return in_slices([e.where("event_id % 97 < 40"), e.where("event_id % 97 >= 40")], lambda x: ST.drop_late_stream(x, ["user_id"], "ts", "arrival"), "late").select("event_id")
+
+
 @query("st13_decayed_state_stream", oracle("""WITH e AS (SELECT entity_id, total, date_diff('day', start_on, max(start_on) OVER (PARTITION BY entity_id)) AS d FROM entries) SELECT entity_id AS entity, round(sum(exp(-d / 730.0)), 6) AS weight, round(sum(exp(-d / 730.0) * total), 6) AS s FROM e GROUP BY 1"""))
 def st13(spark, sf_dir):
     path = shared(spark, "ratings")
@@ -119,7 +125,7 @@ def f13(spark, sf_dir):
     return p.select("p_partkey", S.nearest_on_route("x", "y", pts).alias("n")).select("p_partkey", "n.*")
 
 
-@query("f14_f15_route", also="f14_f15_route_whole", sql=oracle("SELECT p_partkey, CASE WHEN 2 * degrees(atan(p_size / 150.0)) < 12 THEN 'straight' WHEN 2 * degrees(atan(p_size / 150.0)) >= 20 AND p_size >= 20 THEN 'dogleg right' END AS shape, 2 AS marks FROM part"))
+@query("f14_f15_route", oracle("SELECT p_partkey, CASE WHEN 2 * degrees(atan(p_size / 150.0)) < 12 THEN 'straight' WHEN 2 * degrees(atan(p_size / 150.0)) >= 20 AND p_size >= 20 THEN 'dogleg right' END AS shape, 2 AS marks FROM part"))
 def f14_whole(spark, sf_dir):
     pts = F.expr("array(named_struct('x', 0D, 'y', 0D), named_struct('x', 150D, 'y', cast(p_size as double)), named_struct('x', 300D, 'y', 0D))")
     p = view(spark, sf_dir, "part").select("p_partkey", pts.alias("pts"))

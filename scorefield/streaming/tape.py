@@ -1,19 +1,19 @@
-"""Streams of snapshots. Each stateful operator has a batch twin over windows that gives the same rows on the whole input.
+"""Snapshots over windows: the batch twins of the stateful operators in stateful.py, and what needs no state.
 
-Snapshots have: event_id, entity_id, observed_at, period, status, position, total, thru.
+Snapshots have: event_id, entity_id, observed_at, period, status, position, total, thru, and where there are cards items (an
+array of item, strokes, par) and row_observed_at (when the row itself was read, null for with its snapshot).
 """
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-OUT = "event_id long, entity_id long, observed_at timestamp, kind string, detail string"
-STATE = "observed_at timestamp, period int, status string, position long, total long, thru int"
-STOPPED = ("cut", "withdrawn", "disqualified", "dns")
-FULL, NEAR, FAR = 18, (5, 10), (5, 25)
+from .stateful import (
+    FAR, FULL, NEAR, STOPPED, bounded_tape, carry_forward_stream, change_only_stream, decayed_state, delta_tape, drop_late_stream, lead_changes, pulse_stream, snapshot_columns, time_since_change_stream,
+)
+
+__all__ = ["bounded_tape", "carry_forward_stream", "change_only_stream", "decayed_state", "delta_tape", "drop_late_stream", "lead_changes", "pulse_stream", "time_since_change_stream"]
 
 
 def normalise_snapshot(df: DataFrame) -> DataFrame:
@@ -23,77 +23,52 @@ def normalise_snapshot(df: DataFrame) -> DataFrame:
 
 
 def delta_tape_batch(df: DataFrame) -> DataFrame:
-    """Events between consecutive snapshots of an entity in one period: status (nothing else then), finish, top5 or top10, and
-    move of at least 5 places inside 25. Nothing across periods. Of snapshots of one time the least counts, by period, status,
+    """Events between consecutive snapshots of an entity in one period: status (nothing else then), and of those not known to be inactive item (an
+    item that the older card does not hold: item/strokes against par/total so far, which is known if old total and new items
+    make the new total), finish, top5 or top10, and move of at least 5 places inside 25 where no item is new. The last two only for rows
+    that were read with their snapshot. Nothing across periods. Of snapshots of one time the least counts, by period, status,
     position, total and thru, nulls first, whatever the order of rows."""
     w = Window.partitionBy("event_id", "entity_id").orderBy("observed_at")
-    cols = ["observed_at", "period", "status", "position", "total", "thru"]
-    one = df.groupBy("event_id", "entity_id", "observed_at").agg(F.min(F.struct(*cols[1:])).alias("_one")).select("event_id", "entity_id", "observed_at", "_one.*")
-    d = one.withColumns({f"q_{c}": F.lag(c).over(w) for c in cols})
+    cols = ["observed_at", "period", "status", "position", "total", "thru", "items", "row_observed_at"]
+    one = snapshot_columns(df).groupBy("event_id", "entity_id", "observed_at").agg(F.min(F.struct(*cols[1:])).alias("_one")).select("event_id", "entity_id", "observed_at", "_one.*")
+    d = one.withColumns({f"q_{c}": F.lag(c).over(w) for c in cols[:-1]})
     same = F.col("q_observed_at").isNotNull() & (F.col("q_period") == F.col("period"))
-    stop = same & (F.col("q_status") == "active") & F.col("status").isin(*STOPPED)
-    on = same & ~F.coalesce(stop, F.lit(False))
+    stop = F.coalesce(same & (F.col("q_status") == "active") & F.col("status").isin(*STOPPED), F.lit(False))
+    on = F.coalesce(same & (F.coalesce("status", F.lit("active")) == "active"), F.lit(False))
     event = lambda c, kind, detail: F.when(c, F.struct(F.lit(kind).alias("kind"), detail.cast("string").alias("detail")))
     p, q = F.col("position"), F.col("q_position")
-    top = lambda k: on & (p != 1) & (p <= k) & (q > k)
+    had = F.coalesce(F.transform("q_items", lambda x: x["item"]), F.array())
+    against = F.filter(F.transform("items", lambda x: F.struct(x["item"].alias("item"), (x["strokes"] - x["par"]).alias("d"))), lambda x: x["d"].isNotNull() & x["item"].isNotNull())
+    d = d.withColumn("_fresh", F.when(on, F.filter(against, lambda x: ~F.array_contains(had, x["item"]))))
+    d = d.withColumn("_fresh", F.coalesce("_fresh", F.array().cast("array<struct<item:int,d:int>>")))
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + x["d"])
+    known = F.col("q_total") + total(F.col("_fresh")) == F.col("total")
+    run = lambda i: F.when(known, (F.col("q_total") + total(F.slice("_fresh", 1, i + 1))).cast("string")).otherwise("")
+    items = F.transform("_fresh", lambda x, i: F.struct(F.lit("item").alias("kind"), F.concat_ws("/", x["item"].cast("string"), x["d"].cast("string"), run(i)).alias("detail")))
+    again = on & (F.col("row_observed_at").isNull() | (F.col("row_observed_at") == F.col("observed_at")))
+    top = lambda k: again & (p != 1) & (p <= k) & (q > k)
     crossed = F.coalesce(top(NEAR[0]) | top(NEAR[1]), F.lit(False))
     events = F.array_compact(F.array(
         event(stop, "status", F.col("status")),
-        event(on & (F.col("q_thru") < FULL) & (F.col("thru") == FULL), "finish", F.col("total")),
+        event(on & (F.col("q_thru") < FULL) & (F.col("thru") == FULL), "finish", F.coalesce(F.col("total").cast("string"), F.lit(""))),
         F.when(top(NEAR[0]), F.struct(F.lit("top5").alias("kind"), p.cast("string").alias("detail"))).when(top(NEAR[1]), F.struct(F.lit("top10").alias("kind"), p.cast("string").alias("detail"))),
-        event(on & ~crossed & (p != 1) & (F.abs(p - q) >= FAR[0]) & (p <= FAR[1]), "move", q - p),
+        event(again & ~crossed & (F.size("_fresh") == 0) & (p != 1) & (F.abs(p - q) >= FAR[0]) & (p <= FAR[1]), "move", q - p),
     ))
-    return d.select("event_id", "entity_id", "observed_at", F.inline(events))
-
-
-def _events(q: tuple, p: tuple) -> Iterator[tuple[str, str]]:
-    (_, q_period, q_status, q_position, _, q_thru), (_, period, status, position, total, thru) = q, p
-    if q_period is None or period is None or q_period != period:
-        return
-    if q_status == "active" and status in STOPPED:
-        yield "status", status
-        return
-    if q_thru is not None and thru == FULL and q_thru < FULL:
-        yield "finish", str(total)
-    if position is None or q_position is None or position == 1:
-        return
-    for k in NEAR:
-        if position <= k < q_position:
-            yield f"top{k}", str(position)
-            return
-    if abs(position - q_position) >= FAR[0] and position <= FAR[1]:
-        yield "move", str(q_position - position)
-
-
-def delta_tape(stream: DataFrame) -> DataFrame:
-    """The same events from a stream, with the last snapshot of each entity as state; late and repeated ones are ignored, so of
-    snapshots of one time in different batches the one that came first counts."""
-
-    def update(key, frames, state):
-        last = tuple(state.get) if state.exists else None
-        rows = pd.concat(list(frames))
-        rows = rows.sort_values(["observed_at", "period", "status", "position", "total", "thru"], na_position="first")
-        out = []
-        for r in rows.itertuples(index=False):
-            now = (r.observed_at, *(None if pd.isna(x) else x for x in (r.period, r.status, r.position, r.total, r.thru)))
-            now = (now[0], *(int(x) if isinstance(x, float) else x for x in now[1:]))
-            if last is not None and now[0] <= last[0]:
-                continue
-            if last is not None:
-                out += [(*key, now[0], kind, detail) for kind, detail in _events(last, now)]
-            last = now
-        state.update(last)
-        yield pd.DataFrame(out, columns=["event_id", "entity_id", "observed_at", "kind", "detail"])
-
-    given = stream.select("event_id", "entity_id", "observed_at", F.col("period").cast("int"), "status", F.col("position").cast("long"), F.col("total").cast("long"), F.col("thru").cast("int"))
-    return given.groupBy("event_id", "entity_id").applyInPandasWithState(update, OUT, STATE, "append", "NoTimeout")
+    return d.select("event_id", "entity_id", "observed_at", F.inline(F.concat(items, events)))
 
 
 def lead_changes_batch(df: DataFrame) -> DataFrame:
-    """Where the set of active holders of position 1 changed and is not empty: lead (one) or tie (several), and the holders."""
-    held = df.groupBy("event_id", "observed_at").agg(F.array_sort(F.collect_set(F.when((F.col("position") == 1) & (F.col("status") == "active"), F.col("entity_id")))).alias("holders"))
+    """Where the set of active holders of position 1 changed and is not empty: lead (one) or tie (several) with the holders, if
+    any has a total; and lost_lead with each former holder that is still active."""
+    active = F.col("status") == "active"
+    first = active & (F.col("position") == 1)
+    held = df.groupBy("event_id", "observed_at").agg(F.array_sort(F.collect_set(F.when(first, F.col("entity_id")))).alias("holders"), F.coalesce(F.max(first & F.col("total").isNotNull()), F.lit(False)).alias("_known"))
     w = Window.partitionBy("event_id").orderBy("observed_at")
-    return held.withColumn("_before", F.lag("holders").over(w)).where("_before is not null and size(holders) > 0 and _before <> holders").select("event_id", "observed_at", F.when(F.size("holders") == 1, "lead").otherwise("tie").alias("kind"), F.array_join(F.transform("holders", lambda x: x.cast("string")), ",").alias("holders"))
+    changed = held.withColumn("_before", F.lag("holders").over(w)).where("_before is not null and size(holders) > 0 and _before <> holders")
+    leads = changed.where("_known").select("event_id", "observed_at", F.when(F.size("holders") == 1, "lead").otherwise("tie").alias("kind"), F.array_join(F.transform("holders", lambda x: x.cast("string")), ",").alias("holders"))
+    left = changed.select("event_id", "observed_at", F.explode(F.array_except("_before", "holders")).alias("entity_id"))
+    lost = left.join(df.where(active).select("event_id", "observed_at", "entity_id").distinct(), ["event_id", "observed_at", "entity_id"], "left_semi")
+    return leads.unionByName(lost.select("event_id", "observed_at", F.lit("lost_lead").alias("kind"), F.col("entity_id").cast("string").alias("holders")))
 
 
 def change_only(df: DataFrame, by: Sequence[str], ts: str, signature: Sequence[str]) -> DataFrame:
@@ -176,20 +151,7 @@ def drop_late(df: DataFrame, by: Sequence[str], ts: str, arrival: str) -> DataFr
     return df.withColumn("_seen", F.max(ts).over(w)).where(F.col("_seen").isNull() | (F.col(ts) > F.col("_seen"))).drop("_seen")
 
 
-def decayed_state(stream: DataFrame, entity: str, ts: str, value: str, tau: float = 730.0) -> DataFrame:
-    """weight, sum and sum of squares of each entity after each batch, decayed by exp(-days / tau) between observations; state is
-    three numbers and a date. A late observation is taken without decay, and time never runs back."""
-
-    def update(key, frames, state):
-        w, s, q, at = state.get if state.exists else (0.0, 0.0, 0.0, None)
-        for r in pd.concat(list(frames)).sort_values("ts").itertuples(index=False):
-            if at is not None and r.ts > at:
-                d = float(np.exp(-((r.ts - at).total_seconds() / 86400) / tau))
-                w, s, q = w * d, s * d, q * d
-            at = r.ts if at is None or r.ts > at else at
-            w, s, q = w + 1, s + r.v, q + r.v * r.v
-        state.update((w, s, q, at.to_pydatetime() if hasattr(at, "to_pydatetime") else at))
-        yield pd.DataFrame([(key[0], w, s, q, at)], columns=["entity", "weight", "s", "q", "at"])
-
-    given = stream.select(F.col(entity).cast("long").alias("entity"), F.col(ts).cast("timestamp").alias("ts"), F.col(value).cast("double").alias("v"))
-    return given.groupBy("entity").applyInPandasWithState(update, "entity long, weight double, s double, q double, at timestamp", "w double, s double, q double, at timestamp", "update", "NoTimeout")
+def keep_newest(df: DataFrame, by: Sequence[str], keys: Sequence[str], ts: str, cap: int) -> DataFrame:
+    """The newest cap rows of each key, each identity (keys) once, with its oldest row."""
+    once = df.withColumn("_k", F.row_number().over(Window.partitionBy(*by, *keys).orderBy(ts))).where("_k = 1")
+    return once.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(ts).desc(), *(F.col(k).desc() for k in keys)))).where(F.col("_k") <= cap).drop("_k")

@@ -139,14 +139,6 @@ def test_strength_replay_uses_only_the_past(spark):
     assert all(abs(full[k] - v) < 1e-9 for k, v in part.items()) and len(full) == 36
 
 
-def test_identity_holds_what_is_not_unique(spark):
-    canon = spark.createDataFrame([(1, "José Ruiz", dt.date(1990, 1, 1)), (2, "Jose Ruiz", dt.date(1991, 1, 1)), (3, "Ann Lee", dt.date(1980, 5, 5))], "cid int, name string, birth date")
-    cands = spark.createDataFrame([("a", "Jose Ruiz", dt.date(1990, 1, 1)), ("b", "Jose Ruiz", None), ("c", "Ann  Lee", dt.date(1980, 9, 9)), ("d", "Bo Ek", None), ("e", "Ann Lee", None)], "k string, name string, birth date")
-    walk = spark.createDataFrame([("e", 9)], "k string, cid int")
-    got = {r["k"]: (r["cid"], r["outcome"]) for r in J.resolve_identity(cands, walk, canon, "k", "name", "birth", "cid").collect()}
-    assert got == {"a": (1, "name_birth"), "b": (None, "multiple_namesakes"), "c": (3, "name_year"), "d": (None, "new"), "e": (9, "crosswalk")}
-
-
 def test_gates(spark):
     drafts = spark.createDataFrame([(1, "word " * 40 + "{f:a}"), (2, "word " * 40 + "{f:zz} and 3 or seven"), (3, "short"), (4, None), (5, "word " * 40 + "thirteen"), (6, "word " * 40 + "a top-ten, then the back nine in the third round"), (7, "word " * 40 + "ten was second")], "k int, text string")
     facts = spark.createDataFrame([(1, "a"), (2, "a")], "k int, fact_id string")
