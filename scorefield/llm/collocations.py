@@ -13,39 +13,54 @@ A phrase of k words is named by the two phrases of k - 1 words that it starts an
 hash stands for a phrase. What is shuffled is one row a chunk and phrase, however often the chunk repeats it.
 """
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_class, chunks, materialize, read_table, row_base, text_bytes, words_of
+from .common import LOWER, byte_class, chunks, discard, materialize, read_table, row_base, shared_dir, text_bytes, words_of
 
 LEAST, LONGEST, MOST, INSIDE = 10, 3, 2000, 50
 #: Bytes of text of a chunk, and occurrences of a relation in one row of its table.
-CHUNK, SLICE = 4 << 20, 1 << 15
+CHUNK, SLICE = 8 << 20, 1 << 15
 #: Parts in which a language's best phrases are found before they meet.
 SALTS = 64
 BREAKS = ~byte_class(*((ord(c), ord(c)) for c in ".,;:!?"), (0x0A, 0x0D))
 WORD = byte_class((0x20, 0x20), (0x09, 0x09)) & ~BREAKS
-RELATION = "chunk long, seq int, item binary, place binary"
-NAMES = ["chunk", "seq", "item", "place", "key"]
+#: Words of the filter of frequent phrases, 64 bits each: 4 MiB whatever their number. A fuller filter lets more rows go on to the semi-join, and loses none.
+FILTER_BITS = 19
+#: Frequent groups that go to all tasks at most (some 100 MB).
+BROADCAST = 2_000_000
+RELATION = "chunk long, seq int, many int, item binary, place binary"
+NAMES = ["chunk", "seq", "many", "item", "place", "key"]
 
 
 def _blobs(values: np.ndarray, cuts: list[int]) -> pa.Array:
-    return pa.array([values[lo : lo + SLICE].astype(np.int32).tobytes() for lo in cuts], pa.binary())
+    """Each slice compressed, its first bytes before its second ones and so on, since the last ones are nearly all zero."""
+    planes = [np.ascontiguousarray(values[lo : lo + SLICE].astype("<i4").view(np.uint8).reshape(-1, 4).T) for lo in cuts]
+    return pa.array([pa.compress(x.tobytes(), "zstd", asbytes=True) for x in planes], pa.binary())
+
+
+def _values(relation: pa.Table, column: str, order: np.ndarray) -> np.ndarray:
+    sizes = relation["many"].to_numpy() * 4
+    planes = [np.frombuffer(pa.decompress(relation[column][int(i)].as_buffer(), int(sizes[i]), "zstd"), np.uint8).reshape(4, -1) for i in order]
+    return np.concatenate([np.ascontiguousarray(x.T).view("<i4").ravel() for x in planes]).astype(np.int64)
 
 
 def _relation(chunk: int, item: np.ndarray, place: np.ndarray, kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
-    """The rows of a relation; the columns of counted groups are null."""
+    """The rows of a relation, places as steps from the one before; the columns of counted groups are null."""
     cuts = list(range(0, len(item), SLICE))
-    given = [pa.array([chunk] * len(cuts), pa.int64()), pa.array(range(len(cuts)), pa.int32()), _blobs(item, cuts), _blobs(place, cuts), pa.nulls(len(cuts), pa.int32())]
+    many = [min(SLICE, len(item) - lo) for lo in cuts]
+    given = [pa.array([chunk] * len(cuts), pa.int64()), pa.array(range(len(cuts)), pa.int32()), pa.array(many, pa.int32()), _blobs(item, cuts), _blobs(np.diff(place, prepend=0), cuts), pa.nulls(len(cuts), pa.int32())]
     return pa.RecordBatch.from_arrays([*given, *(pa.nulls(len(cuts), k) for k in kinds)], [*NAMES, *names])
 
 
 def _counted(chunk: int, columns: list[pa.Array], names: list[str]) -> pa.RecordBatch:
     """A row for each group of a chunk; its key is its number there."""
     n = len(columns[0])
-    given = [pa.array(np.full(n, chunk)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(np.arange(n, dtype=np.int32))]
+    given = [pa.array(np.full(n, chunk)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(np.arange(n, dtype=np.int32))]
     return pa.RecordBatch.from_arrays([*given, *columns], [*NAMES, *names])
 
 
@@ -85,10 +100,11 @@ def _extend(relation: pa.Table, frequent: pa.Table) -> pa.Table:
         return pa.Table.from_batches([empty])
     chunk = relation["chunk"][0].as_py()
     order = np.argsort(relation["seq"].to_numpy())
-    item, place = (np.concatenate([np.frombuffer(relation[c][int(i)].as_buffer(), np.int32) for i in order]) for c in ("item", "place"))
-    ids = frequent["id"].to_numpy()
+    item, place = _values(relation, "item", order), np.cumsum(_values(relation, "place", order))
+    by_id = np.argsort(frequent["id"].to_numpy())
+    ids = frequent["id"].to_numpy()[by_id]
     local = np.full(item.max() + 1, -1, np.int64)
-    local[frequent["key"].to_numpy()] = np.arange(len(ids))
+    local[frequent["key"].to_numpy()[by_id]] = np.arange(len(ids))
     item = local[item]
     item, place = item[item >= 0], place[item >= 0]
     next_to = np.flatnonzero(np.diff(place) == 1)  # both sides are sorted by place, so the partner of a row is the row after it
@@ -98,7 +114,19 @@ def _extend(relation: pa.Table, frequent: pa.Table) -> pa.Table:
 
 
 def _persist(df: DataFrame, name: str) -> DataFrame:
-    return materialize(df, name, parquet={"compression": "zstd", "parquet.block.size": str(32 << 20)})
+    """A level: the rows of the relation and those of the counted groups. Groups come sorted, so that differences are small."""
+    spark, folder = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    options = {"compression": "zstd", "parquet.block.size": str(32 << 20), "parquet.writer.version": "v2", "parquet.enable.dictionary": "false"}
+    df.write.options(**options).parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def _let_go(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables that nothing reads any more. The shuffle files of jobs that are done go once the driver's garbage is
+    collected, which an idle heap puts off for long; so it is asked for."""
+    for table in tables:
+        discard(table)
+    spark._jvm.System.gc()
 
 
 def _frequent(counts: DataFrame, by: list[str], least: int) -> DataFrame:
@@ -107,6 +135,20 @@ def _frequent(counts: DataFrame, by: list[str], least: int) -> DataFrame:
     return materialize(found.withColumn("id", F.monotonically_increasing_id()), "frequent-phrases")
 
 
+def _semi_join(counts: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
+    """of (the chunk), key and id of the groups of each chunk that are frequent. These go to all tasks if they are so few; else a
+    filter of fixed size does, and the rows it lets through are shuffled."""
+    ids = found.select(*by, "id")
+    if found.count() <= BROADCAST:
+        hit = counts.join(F.broadcast(ids), by)
+    else:
+        h = F.xxhash64(*by)
+        slot, bit = F.shiftrightunsigned(h, 64 - FILTER_BITS).alias("slot"), F.expr(f"shiftleft(1L, cast(xxhash64({', '.join(by)}) & 63 as int))")
+        slots = found.groupBy(slot).agg(F.bit_or(bit).alias("bits"))
+        hit = counts.join(F.broadcast(slots), slot == slots["slot"]).where(F.col("bits").bitwiseAND(bit) != 0).drop("slot", "bits").join(ids, by)
+    return hit.select(F.col("chunk").alias("of"), "key", "id")
+
+
 def _phrases(found: DataFrame, shorter: DataFrame) -> DataFrame:
     """id, lang, words, a and the counts of all first parts (firsts) and last parts (rests) by length. found: id, left, right, a."""
     left = shorter.select(F.col("id").alias("left"), "lang", F.col("words").alias("w"), "firsts")
@@ -136,21 +178,26 @@ def collocations(documents: DataFrame, least: int = LEAST, longest: int = LONGES
     breaks give nothing and an empty table no rows. Repeated rows count each, and texts of any length are taken whole.
     Phrases of one score go by a and then by their bytes; of cuts of one score the first counts. Other columns are ignored.
     """
+    spark = documents.sparkSession
     given = documents.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     level = _persist(given.mapInArrow(_words, f"{RELATION}, key int, lang string, word string, n long"), "word-occurrences")
-    counts = level.where("key is not null").select("chunk", "key", "lang", "word", "n")
-    n = counts.groupBy("lang").agg(F.sum("n").alias("n"))
-    found = _frequent(counts, ["lang", "word"], least)
-    known = found.select("id", "lang", F.array("word").alias("words"), "a", F.array("a").alias("firsts"), F.array("a").alias("rests"))
     by, levels = ["lang", "word"], {}
+    counts = level.where("key is not null").select("chunk", "key", *by, "n")
+    n = materialize(counts.groupBy("lang").agg(F.sum("n").alias("n")), "words-of-languages")
+    found = _frequent(counts, by, least)
+    known = found.select("id", "lang", F.array("word").alias("words"), "a", F.array("a").alias("firsts"), F.array("a").alias("rests"))
     for k in range(2, longest + 1):
-        kept = counts.join(found.select(*by, "id"), by).select(F.col("chunk").alias("of"), "key", "id")
-        relation = level.where("seq is not null").select("chunk", "seq", "item", "place")
+        kept = _semi_join(counts, found, by)
+        relation = level.where("seq is not null").select("chunk", "seq", "many", "item", "place")
         longer = relation.groupBy("chunk").cogroup(kept.groupBy("of")).applyInArrow(_extend, f"{RELATION}, key int, left long, right long, n long")
-        level = _persist(longer, "phrase-occurrences")
-        counts, by = level.where("key is not null").select("chunk", "key", "left", "right", "n"), ["left", "right"]
+        before, level = level, _persist(longer, "phrase-occurrences")
+        _let_go(spark, before)
+        by = ["left", "right"]
+        counts = level.where("key is not null").select("chunk", "key", *by, "n")
         found = _frequent(counts, by, least)
+        _let_go(spark)
         known = levels[k] = materialize(_phrases(found, known), "phrases")
+    _let_go(spark, level)
     best = None
     for k, phrases in levels.items():
         if k < longest:  # any longer candidate that holds a phrase is no more frequent than the one of its words that is one word longer

@@ -42,9 +42,9 @@ def texts(seed=3):
     return docs + [docs[3]] * 12 + [("new york city", "en")] * 15 + [("to be or", "zz")] * 10
 
 
-@pytest.mark.parametrize("chunk, piece", [(4 << 20, 1 << 15), (200, 7)])
+@pytest.mark.parametrize("chunk, piece, sent", [(4 << 20, 1 << 15, 1 << 20), (200, 7, 3)])
 @pytest.mark.parametrize("longest, inside, most", [(3, 50, 2000), (4, 90, 6), (2, 50, 2000)])
-def test_collocations(spark, monkeypatch, chunk, piece, longest, inside, most):
+def test_collocations(spark, monkeypatch, chunk, piece, sent, longest, inside, most):
     docs = texts()
     given = spark.createDataFrame([(t, l, 7, "w") for t, l in docs], "text string, lang string, n int, word string").repartition(3)
     scan = C._words
@@ -55,6 +55,7 @@ def test_collocations(spark, monkeypatch, chunk, piece, longest, inside, most):
         yield from scan(batches)
 
     monkeypatch.setattr(C, "_words", small)
+    monkeypatch.setattr(C, "BROADCAST", sent)  # beyond it by way of a filter and a shuffle
     got = [tuple(r) for r in C.collocations(given, 10, longest, most, inside).collect()]
     assert sorted(got) == brute(docs, 10, longest, most, inside)
     assert got
