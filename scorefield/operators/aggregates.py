@@ -1,11 +1,13 @@
 """Aggregates. Means are sums divided last, so that results do not depend on the order of rows."""
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import round_half_up
+from ..session import written
 
 
 def field_stats(scores: DataFrame, by: Sequence[str], value: str, min_n: int = 20) -> DataFrame:
@@ -230,21 +232,60 @@ def strength_adjusted(scores: DataFrame, ratings: DataFrame, by: Sequence[str],
     return r.withColumn("residual", F.when(n >= least, F.col(value) - F.sum(value).over(w) / n + F.sum("_mu").over(w) / n)).drop("_mu")
 
 
-def rating_replay(scores: DataFrame, order: str, field: Sequence[str], entity: str, value: str, buckets: Sequence, materialize: Callable[[DataFrame], DataFrame], tau: float = 730.0, **kw) -> DataFrame:
-    """Residuals adjusted by ratings that know earlier buckets only: bucket by bucket, with the state (weight, sum, sum of
-    squares at the bucket's date) of each entity in one table. materialize cuts the lineage after each bucket: a checkpoint, or
-    a table that is written and read again."""
-    out, seen = None, None
+#: What the ratings are computed with unless a setting says otherwise.
+RATING = {"tau": 730.0, "k": 3.0, "mu0": 0.5, "sigma0": 2.9, "kv": 40.0}
+
+
+def rating_replay(
+    scores: DataFrame,
+    order: str,
+    field: Sequence[str],
+    entity: str,
+    value: str,
+    buckets: Sequence,
+    materialize: Callable[[DataFrame], DataFrame] | None = None,
+    tau: float = RATING["tau"],
+    least: int = 10,
+    grid: Sequence[Mapping[str, float]] | None = None,
+    **kw: float,
+) -> DataFrame:
+    """Residuals adjusted by ratings that know earlier buckets only (dates of the column order, ascending): field, order,
+    entity, value, mu, sd and se before the bucket, and residual, null in fields under least rows.
+
+    The state is a table of one row an entity: weight, sum and sum of squares of its residuals at the date of its last one. A
+    bucket reads its own rows, which lie in a folder of their own, and that table; it predicts from the state decayed to its
+    date, and the entities that it has residuals of get a new state. So the work grows with the history, not its square.
+    grid: several settings (tau, k, mu0, sigma0, kv; what one leaves out is as given here) are replayed at once, told apart by
+    the column setting (their number). materialize cuts the lineage after each bucket; without it tables are written in the
+    shared folder. Rows of dates that are no bucket are left out, null values have no residual.
+    """
+    cut = materialize or (lambda df: written(df, "replay"))
+    base = RATING | {"tau": tau} | kw
+    settings = [base | dict(g) for g in (grid if grid is not None else [{}])]
+    held = F.array(*(F.struct(F.lit(i).alias("setting"), *(F.lit(float(g[n])).alias(f"_{n}") for n in RATING)) for i, g in enumerate(settings)))
+    given = scores.select(*field, order, entity, F.col(value).cast("double").alias(value))
+    given = given if materialize else written(given, "replay-scores", [order])
+    where = Window.partitionBy("setting", order, *field)
+    known = F.count(value).over(where) >= least
+    state, parts = None, []
     for at in buckets:
-        now = scores.where(F.col(order) == F.lit(at))
-        if seen is None:
-            rated = now.select(entity).distinct().withColumn("mu", F.lit(kw.get("mu0", 0.5)))
+        now = given.where(F.col(order) == F.lit(at)).select("*", F.inline(held))
+        if state is None:
+            now = now.select("*", *(F.lit(0.0).alias(c) for c in ("_w", "_s", "_q")), F.lit(None).cast("date").alias("_t"))
         else:
-            rated = decayed_rating(seen, entity, order, "residual", at, tau=tau, **kw)
-        done = materialize(strength_adjusted(now, rated, field, entity, value, kw.get("mu0", 0.5)).select(*field, order, entity, value, "residual"))
-        out = done if out is None else out.unionByName(done)
-        seen = out.where("residual is not null")
-    return out
+            now = now.join(state, ["setting", entity], "left")
+        decay = F.coalesce(F.exp(-F.greatest(F.lit(0), F.datediff(F.col(order), F.col("_t"))) / F.col("_tau")), F.lit(1.0))
+        now = now.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) * decay for c in ("_w", "_s", "_q")})
+        raw = F.when(F.col("_w") > 1, F.greatest(F.lit(0.0), F.col("_q") / F.col("_w") - F.pow(F.col("_s") / F.col("_w"), 2))).otherwise(F.col("_sigma0") * F.col("_sigma0"))
+        now = now.withColumn("mu", (F.col("_s") + F.col("_k") * F.col("_mu0")) / (F.col("_w") + F.col("_k"))).withColumn("_v", (F.col("_w") * raw + F.col("_kv") * F.col("_sigma0") * F.col("_sigma0")) / (F.col("_w") + F.col("_kv")))
+        residual = F.when(known, F.col(value) - F.avg(value).over(where) + F.avg(F.when(F.col(value).isNotNull(), F.col("mu"))).over(where))
+        done = cut(now.withColumns({"residual": residual, "sd": F.sqrt("_v"), "se": F.sqrt(F.col("_v") / (F.col("_w") + F.col("_k")))}).select("setting", *field, order, entity, value, "mu", "sd", "se", "residual", "_w", "_s", "_q"))
+        parts.append(done.drop("_w", "_s", "_q"))
+        x = F.col("residual")
+        moved = done.where("residual is not null").groupBy("setting", entity).agg((F.first("_w") + F.count("*")).alias("_w"), (F.first("_s") + F.sum(x)).alias("_s"), (F.first("_q") + F.sum(x * x)).alias("_q"), F.max(F.to_date(F.col(order))).alias("_t"))
+        state = cut(moved if state is None else moved.unionByName(state.join(moved.select("setting", entity), ["setting", entity], "left_anti")))
+    out = reduce(DataFrame.unionByName, parts)
+    return out if grid is not None else out.drop("setting")
 
 
 def gaussian_nll(df: DataFrame, value: str, mu: str, sd: str, se: str) -> DataFrame:

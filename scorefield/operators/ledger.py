@@ -1,11 +1,13 @@
 """The probability ledger: locks, grades, audit and the public record; and the walk-forward backtest."""
 
+import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .aggregates import calibration, decayed_rating
+from .aggregates import calibration, rating_replay
 
 
 def lock(probs: DataFrame, ready: DataFrame, event: str, key: str, at) -> DataFrame:
@@ -73,3 +75,23 @@ def walk_forward(obs: DataFrame, entity: str, ts: str, value: str, hit: str, fol
     p = rows.where((F.col(ts) >= F.col("_lo")) & (F.col(ts) < F.col("_hi"))).join(rated, ["fold", "setting", entity], "left")
     p = p.withColumn("p", 1 / (1 + F.exp(F.coalesce("mu", F.lit(0.0)) / 100)))
     return calibration(p, "p", hit, ["fold", "setting"])
+
+
+def grid_ranking(scores: DataFrame, order: str, field: Sequence[str], entity: str, value: str, buckets: Sequence, folds: Sequence[tuple[str, str, str]], grid: Sequence[Mapping[str, float]], least: int = 10) -> DataFrame:
+    """fold, setting, n, nll, place and chosen: how well ratings under each setting foretell residuals.
+
+    folds: name, from and to (without that day), the first of them to tune on; a row belongs to the first that holds its date.
+    All settings are replayed in one pass (rating_replay) over all buckets; the loss is the mean Gaussian negative
+    log-likelihood of the residuals under the mean and spread known before their bucket. place ranks the settings on the first
+    fold, the least loss first, ties by number, and its best is chosen. Of the other folds only the chosen setting has a row, so no
+    row of theirs can have a say in the choice. Folds without residuals have no row.
+    """
+    replayed = rating_replay(scores, order, field, entity, value, buckets, least=least, grid=grid).where("residual is not null")
+    fold = reduce(lambda c, f: c.when((F.col(order) >= F.lit(f[1]).cast("date")) & (F.col(order) < F.lit(f[2]).cast("date")), f[0]), folds, F)
+    var = F.col("sd") * F.col("sd") + F.col("se") * F.col("se")
+    loss = 0.5 * F.log(F.lit(2 * math.pi) * var) + F.pow(F.col("residual") - F.col("mu"), 2) / (2 * var)
+    losses = replayed.withColumn("fold", fold).where("fold is not null").groupBy("fold", "setting").agg(F.count("*").alias("n"), F.avg(loss).alias("nll"))
+    tuned = F.col("fold") == folds[0][0]
+    best = F.min(F.when(tuned, F.struct("nll", "setting"))).over(Window.partitionBy(F.lit(0)))  # a row a fold and setting
+    placed = losses.withColumn("_best", best["setting"]).withColumn("place", F.when(tuned, F.row_number().over(Window.partitionBy("fold").orderBy("nll", "setting"))))
+    return placed.where(tuned | (F.col("setting") == F.col("_best"))).select("fold", "setting", "n", "nll", "place", (F.col("setting") == F.col("_best")).alias("chosen"))

@@ -103,16 +103,6 @@ def item_intelligence(routes: DataFrame, features: DataFrame, by: Sequence[str],
     return r.select(*by, "length", "shape").join(near, list(by), "left")
 
 
-def guarded_overwrite(live: DataFrame, next_: DataFrame, path: str, key: str, counts: Sequence[str], fields: Sequence[str], revocations: DataFrame | None = None) -> bool:
-    """Writes next to path only if it has no regression against live that no revocation explains."""
-    found = J.parity(live, next_, key, counts, fields, revocations=revocations)
-    bad = found if revocations is None else found.where("not explained")
-    if not bad.isEmpty():
-        return False
-    next_.write.mode("overwrite").parquet(path)
-    return True
-
-
 def bundle(docs: Mapping[str, DataFrame], key: str, least: int = 1) -> DataFrame:
     """kind, key and doc (JSON) of all kinds; refuses if a kind has fewer rows than least."""
     out = None

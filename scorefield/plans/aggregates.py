@@ -227,6 +227,29 @@ def a31(spark, sf_dir):
     return r.select("event_id", "entity_id", F.round("residual", 6).alias("residual"))
 
 
+#: The replay of ratings over years: x has each row with what was known before its year, s the state of each entity then.
+REPLAY = """e AS (SELECT event_id, entity_id, CAST(total AS DOUBLE) AS v, CAST(event_id // 100 AS INT) AS y FROM entries), s(setting, tau, k, mu0, kv, y, entity_id, w, s, q, t) AS (
+SELECT setting, tau, k, mu0, kv, (SELECT min(y) FROM e), entity_id, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, NULL::DATE FROM g, (SELECT DISTINCT entity_id FROM e) UNION ALL
+SELECT setting, any_value(tau), any_value(k), any_value(mu0), any_value(kv), y + 1, entity_id, CASE WHEN count(res) > 0 THEN any_value(w * f) + count(res) ELSE any_value(w) END, CASE WHEN count(res) > 0 THEN any_value(s * f) + sum(res) ELSE any_value(s) END, CASE WHEN count(res) > 0 THEN any_value(q * f) + sum(res * res) ELSE any_value(q) END, CASE WHEN count(res) > 0 THEN make_date(any_value(y), 1, 1) ELSE any_value(t) END
+FROM (SELECT *, CASE WHEN event_id IS NOT NULL AND count(v) OVER p >= 5 THEN v - avg(v) OVER p + avg((s * f + k * mu0) / (w * f + k)) OVER p END AS res FROM (SELECT s.*, event_id, v, coalesce(exp(-date_diff('day', t, make_date(s.y, 1, 1)) / tau), 1) AS f FROM s LEFT JOIN e ON e.y = s.y AND e.entity_id = s.entity_id WHERE s.y <= (SELECT max(y) FROM e)) WINDOW p AS (PARTITION BY setting, event_id)) GROUP BY setting, y, entity_id),
+z AS (SELECT s.setting, s.y, s.k, s.mu0, s.kv, s.entity_id, event_id, v, w * f AS w, s * f AS s, q * f AS q FROM (SELECT *, coalesce(exp(-date_diff('day', t, make_date(y, 1, 1)) / tau), 1) AS f FROM s) s JOIN e ON e.y = s.y AND e.entity_id = s.entity_id),
+zz AS (SELECT *, (s + k * mu0) / (w + k) AS mu, (w * CASE WHEN w > 1 THEN greatest(0, q / w - power(s / w, 2)) ELSE 2.9 * 2.9 END + kv * 2.9 * 2.9) / (w + kv) AS var FROM z),
+x AS (SELECT *, sqrt(var) AS sd, sqrt(var / (w + k)) AS se, CASE WHEN count(v) OVER (PARTITION BY setting, event_id) >= 5 THEN v - avg(v) OVER (PARTITION BY setting, event_id) + avg(mu) OVER (PARTITION BY setting, event_id) END AS residual FROM zz)"""
+
+
+def by_year(spark, sf_dir):
+    """Entries with the first day of their year, and these days."""
+    e = view(spark, sf_dir, "entries").select("event_id", "entity_id", "total", F.trunc("start_on", "year").alias("on"))
+    return e, sorted(r[0] for r in e.select("on").distinct().collect())
+
+
+@query("a31_rating_replay", oracle(f"WITH RECURSIVE g AS (SELECT 0 AS setting, 730.0::DOUBLE AS tau, 3.0::DOUBLE AS k, 0.5::DOUBLE AS mu0, 40.0::DOUBLE AS kv), {REPLAY} SELECT event_id, entity_id, round(mu, 6) AS mu, round(sd, 6) AS sd, round(se, 6) AS se, round(residual, 6) AS residual FROM x"))
+def a31_replay(spark, sf_dir):
+    e, days = by_year(spark, sf_dir)
+    found = A.rating_replay(e, "on", ["event_id"], "entity_id", "total", days, least=5)
+    return found.select("event_id", "entity_id", *(F.round(c, 6).alias(c) for c in ("mu", "sd", "se", "residual")))
+
+
 @query("a32_gaussian_nll", oracle(f"""WITH g AS ({RATING}), v AS (SELECT entity_id, (s + 1.5) / (w + 3) AS mu, (w * CASE WHEN w > 1 THEN greatest(0, q / w - power(s / w, 2)) ELSE 2.9 * 2.9 END + 40 * 2.9 * 2.9) / (w + 40) AS v, w FROM g)
 SELECT count(*) AS n, round(avg(0.5 * (ln(6.283185307179586 * (v + v / (w + 3))) + power(total - mu, 2) / (v + v / (w + 3)))), 6) AS nll FROM entries JOIN v USING (entity_id) WHERE start_on >= DATE '1998-01-01'"""))
 def a32(spark, sf_dir):

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
+from ..operators import publish as P
 from ..operators import sets as O
 from ..operators import studies as U
 from ..sources import readers as R
@@ -29,6 +30,16 @@ def src03_cells(spark, sf_dir):
     return R.extract_page_tables(view(spark, sf_dir, "pages").withColumn("html", F.concat(row, F.coalesce("html", F.lit("")))), "page_id", "html")
 
 
+@query("src03_page_tables", oracle("""SELECT page_id, t AS "table", r AS row, c AS col, replace(x, '#', CAST(page_id AS VARCHAR)) AS text FROM pages, (VALUES (0, 0, 0, 'place'), (0, 0, 1, 'name'), (0, 0, 2, 'name'), (0, 0, 3, 'money'), (0, 1, 0, 'T#'), (0, 1, 1, 'a'), (0, 1, 2, 'b'), (0, 1, 3, '7 & 9'), (0, 2, 0, 'T#'), (0, 2, 1, 'c'), (0, 2, 2, 'd'), (0, 2, 3, '7 & 9'), (0, 3, 0, 'T#'), (0, 3, 1, 'e inner'), (0, 3, 2, 'f'), (0, 3, 3, '5'), (0, 4, 0, '4'), (0, 4, 1, 'g'), (0, 4, 2, 'g'), (0, 4, 3, 'g'), (1, 0, 0, 'x < y')) v(t, r, c, x)"""))
+def src03_tables(spark, sf_dir):
+    """Pages with two tables after what they hold: cells that span rows and columns, a table inside a cell, no closing tags."""
+    made = (
+        "<table><thead><tr><th>place</th><th colspan=2>name</th><th>money</th></tr></thead>\n<tbody><tr><td rowspan='3'>T#</td><td>a</td><td>b</td><td rowspan=\"2\">7 &amp; 9</td></tr><tr><td>c<td>d"
+        "<tr><td>e <table><tr><td rowspan=9>in</td></tr><tr><td>ner</td></tr></table></td><td>f</td><td>5</td></tr></tbody><tr><td>4</td><td colspan=3><b>g</b></td></tr></table><p>no</p><TABLE class=y><TR><TD>x < y</TABLE>"
+    )
+    return R.extract_page_tables(view(spark, sf_dir, "pages").withColumn("html", F.concat(F.coalesce("html", F.lit("")), F.replace(F.lit(made), F.lit("#"), F.col("page_id").cast("string")))), "page_id", "html")
+
+
 @query("src04_packed_csv", oracle("""SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN CAST(event_id % 360 AS DOUBLE) END AS direction, CASE WHEN event_id % 13 <> 0 THEN (user_id % 500) * 0.1::DOUBLE END AS speed,
 CASE WHEN event_id % 7 <> 0 THEN (user_id % 90 - 40) * 0.1::DOUBLE END AS degrees FROM events WHERE event_type IN ('click', 'view')"""))
 def src04(spark, sf_dir):
@@ -69,8 +80,52 @@ def snk09(spark, sf_dir):
     live = view(spark, sf_dir, "src_a").select("c_custkey", "cents", "c_mktsegment")
     better = live.withColumn("cents", F.col("cents") + 1)
     worse = view(spark, sf_dir, "src_b").select("c_custkey", "cents", "c_mktsegment")
-    done = [U.guarded_overwrite(a, b, path, "c_custkey", ["cents"], ["c_mktsegment"]) for a, b in ((live, better), (better, worse))]
-    return spark.read.parquet(path).select("*", F.lit(done[0]).alias("first"), F.lit(done[1]).alias("second"))
+    done = [P.guarded_overwrite(a, b, path, "c_custkey", ["cents"], ["c_mktsegment"]) for a, b in ((live, better), (better, worse))]
+    return P.read_published(spark, path).select("*", F.lit(done[0]).alias("first"), F.lit(done[1]).alias("second"))
+
+
+#: Two versions of an index of parts.
+OLD_INDEX = """SELECT p_partkey AS slug, list_value('full', 'reviewed', 'partial', 'held', 'no-routing', 'unaudited')[p_partkey % 6 + 1] AS status, p_size AS mapped, p_brand AS element, CASE WHEN p_partkey % 4 > 0 THEN p_partkey % 4 > 1 END AS coords, p_partkey % 3 = 0 AS exact,
+CASE WHEN p_partkey % 10 > 0 THEN p_size % 3 END AS fa, p_size % 7 AS fb, CASE WHEN p_partkey % 5 = 0 THEN 'r' END AS review, CASE WHEN p_partkey % 9 = 0 THEN 'c' END AS candidate, p_size AS extracted FROM part WHERE p_partkey % 11 <> 3"""
+NEW_INDEX = """SELECT p_partkey AS slug, list_value('full', 'reviewed', 'partial', 'held', 'no-routing', 'unaudited')[CASE WHEN p_partkey % 7 = 0 THEN (p_partkey + 1) % 6 ELSE p_partkey % 6 END + 1] AS status, CASE WHEN p_partkey % 8 = 0 THEN p_size - 1 WHEN p_partkey % 8 = 1 THEN p_size + 1 ELSE p_size END AS mapped, CASE WHEN p_partkey % 10 = 4 THEN 'other' ELSE p_brand END AS element,
+CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_partkey % 13 > 4 END AS coords, CASE WHEN p_partkey % 6 = 0 THEN 0 ELSE p_size % 3 END AS fa, CASE WHEN p_partkey % 12 = 1 THEN p_size % 7 // 2 ELSE p_size % 7 END AS fb, CASE WHEN p_partkey % 15 = 0 THEN 'r' END AS review, CASE WHEN p_partkey % 27 = 0 THEN 'c' END AS candidate, CASE WHEN p_partkey % 14 = 0 THEN p_size - 1 ELSE p_size END AS extracted FROM part WHERE p_partkey % 12 <> 5"""
+PARITY = f"""WITH o AS ({OLD_INDEX}), n AS ({NEW_INDEX}), r AS (SELECT * FROM (VALUES ('full', 3), ('reviewed', 3), ('partial', 2), ('held', 1), ('no-routing', 0), ('unaudited', 0)) v(s, k)),
+m AS (SELECT coalesce(o.slug, n.slug) AS slug, o.slug IS NULL AS added, n.slug IS NULL AS gone, ro.k AS a, rn.k AS b, o.mapped AS ma, n.mapped AS mb, o.element <> n.element AS other, coalesce(o.coords, o.exact) AND n.coords = false AS lost, (o.fa > 0 AND n.fa = 0) OR (o.fb > 0 AND n.fb = 0) OR n.fa + n.fb < (coalesce(o.fa, 0) + o.fb) * 0.75 AS less, o.fa IS NOT NULL AS drawn,
+o.review IS NOT NULL AND n.review IS NULL AS unreviewed, o.candidate IS NOT NULL AND n.candidate IS NULL AS nameless, n.extracted < o.extracted AS older FROM o FULL JOIN n ON o.slug = n.slug LEFT JOIN r ro ON ro.s = o.status LEFT JOIN r rn ON rn.s = n.status),
+k AS (SELECT slug, unnest(list_filter([CASE WHEN gone THEN 'row_removed' END, CASE WHEN added THEN 'added' END, CASE WHEN b < a THEN 'status_downgrade' END, CASE WHEN mb < ma THEN 'mapped_lost' END, CASE WHEN a >= 2 AND b >= 2 AND other THEN 'element_changed' END, CASE WHEN lost THEN 'coords_missing' END, CASE WHEN a >= 2 AND b >= 2 AND drawn AND less THEN 'features_lost' END,
+CASE WHEN NOT gone AND NOT added AND unreviewed THEN 'review_lost' END, CASE WHEN NOT gone AND NOT added AND nameless AND b <= 1 THEN 'candidate_lost' END, CASE WHEN older THEN 'older_extract' END, CASE WHEN b > a OR mb > ma THEN 'improved' END], lambda x: x IS NOT NULL)) AS kind FROM m)
+SELECT slug, kind, CASE WHEN kind = 'added' THEN 'added' WHEN kind = 'improved' THEN 'improvement' WHEN slug % 2 = 0 AND kind IN ('row_removed', 'mapped_lost') THEN 'explained' ELSE 'regression' END AS outcome, CASE WHEN slug % 2 = 0 AND kind IN ('row_removed', 'mapped_lost') THEN 'e' || slug END AS evidence_id FROM k"""
+
+
+def indexes(spark, sf_dir):
+    p = view(spark, sf_dir, "part")
+    counts = lambda drawn: F.when(drawn, F.map_from_arrays(F.array(F.lit("a"), F.lit("b")), F.array(F.col("fa").cast("int"), F.col("fb").cast("int")))).alias("features")
+    as_spark = lambda sql: spark.sql(sql.replace("list_value(", "array(").replace("] AS status", "] AS status").replace(" % 6 + 1] AS", " % 6] AS").replace(" END + 1] AS", " END] AS").replace("//", "div").replace("FROM part", "FROM {part}"), part=p)
+    cols = ["slug", "status", "mapped", "element", "coords", "review", "candidate", "extracted"]
+    old, new = as_spark(OLD_INDEX), as_spark(NEW_INDEX)
+    return old.select(*cols, "exact", counts(F.col("fa").isNotNull())), new.select(*cols, counts(F.lit(True)))
+
+
+@query("j22_version_parity", oracle(PARITY))
+def j22_version(spark, sf_dir):
+    old, new = indexes(spark, sf_dir)
+    allow = old.where("slug % 2 = 0").select("slug", F.array(F.lit("row_removed"), F.lit("mapped_lost"), F.lit("coords_missing")).alias("allow"), F.concat(F.lit("e"), F.col("slug").cast("string")).alias("evidence_id"))
+    return P.version_parity(old, new, "slug", "status", "mapped", "element", "coords", F.col("exact"), "features", "review", "candidate", "extracted", allow)
+
+
+@query("snk09_staged_publish", oracle("SELECT p_partkey AS slug, CASE WHEN p_partkey % 11 = 3 THEN 2 ELSE 1 END AS version, p_size AS mapped FROM part"))
+def snk09_staged(spark, sf_dir):
+    """Three versions of an index: the second only adds rows, the third loses some and is refused."""
+    root = shared(spark, "published-index")
+    every = view(spark, sf_dir, "part").select(F.col("p_partkey").alias("slug"), F.lit("full").alias("status"), F.col("p_size").alias("mapped"))
+    compare = lambda a, b: P.version_parity(a, b, "slug", "status", "mapped")
+    first = every.where("slug % 11 <> 3").withColumn("version", F.lit(1))
+    second = every.withColumn("version", F.when(F.col("slug") % 11 == 3, 2).otherwise(1))
+    third = every.where("slug % 5 <> 0").withColumn("version", F.lit(3))
+    done = [P.publish(v, root, compare)["published"] for v in (first, second, third)]
+    if done != [True, True, False]:
+        raise ValueError(f"published: {done}")
+    return P.read_published(spark, root).select("slug", "version", "mapped")
 
 
 @query("j17_near_boundary_join", oracle("""WITH p AS (SELECT c_custkey AS id, CAST(c_custkey * 37 % 997 AS DOUBLE) AS x, CAST(c_custkey * 53 % 991 AS DOUBLE) AS y FROM customer), r AS (SELECT s_suppkey AS ring_id, CAST(s_suppkey * 71 % 997 AS DOUBLE) AS cx, CAST(s_suppkey * 91 % 991 AS DOUBLE) AS cy, CAST(20 + s_suppkey % 5 AS DOUBLE) AS h FROM supplier),

@@ -9,7 +9,7 @@ from ..operators import ledger as L
 from ..operators import ranking as T
 from ..operators import text_gates as G
 from ..operators import windows as W
-from .aggregates import DIST, HIST, venue_entries
+from .aggregates import DIST, HIST, REPLAY, by_year, venue_entries
 from .bindings import oracle, view
 from .joins import H2H
 from .registry import query
@@ -104,6 +104,16 @@ def p11(spark, sf_dir):
     return found.withColumns({c: F.round(c, 9) for c in ("log_loss", "brier", "ece", "base_rate", "mean_p")})
 
 
+@query("p11_grid_ranking", oracle(f"""WITH RECURSIVE g AS (SELECT * FROM (VALUES (0, 180.0::DOUBLE, 3.0::DOUBLE, 0.5::DOUBLE, 40.0::DOUBLE), (1, 730.0, 3.0, 0.5, 40.0), (2, 730.0, 12.0, 0.5, 10.0), (3, 365.0, 6.0, 2.0, 20.0)) v(setting, tau, k, mu0, kv)), {REPLAY},
+l AS (SELECT CASE WHEN y IN (1996, 1997) THEN 'tune' WHEN y = 1998 THEN 'validate' WHEN y > 1998 THEN 'holdout' END AS fold, setting, count(*) AS n, avg(0.5 * ln(2 * pi() * (sd * sd + se * se)) + power(residual - mu, 2) / (2 * (sd * sd + se * se))) AS nll FROM x WHERE residual IS NOT NULL AND y > 1995 GROUP BY 1, 2),
+o AS (SELECT *, CASE WHEN fold = 'tune' THEN row_number() OVER (PARTITION BY fold ORDER BY nll, setting) END AS place FROM l), b AS (SELECT setting AS best FROM o WHERE place = 1) SELECT fold, setting, n, round(nll, 6) AS nll, CAST(place AS INT) AS place, setting = best AS chosen FROM o, b WHERE fold = 'tune' OR setting = best"""))
+def p11_grid(spark, sf_dir):
+    e, days = by_year(spark, sf_dir)
+    grid = [{"tau": 180.0}, {}, {"k": 12.0, "kv": 10.0}, {"tau": 365.0, "k": 6.0, "mu0": 2.0, "kv": 20.0}]
+    folds = [("tune", "1996-01-01", "1998-01-01"), ("validate", "1998-01-01", "1999-01-01"), ("holdout", "1999-01-01", "9999-01-01")]
+    return L.grid_ranking(e, "on", ["event_id"], "entity_id", "total", days, folds, grid, 5).withColumn("nll", F.round("nll", 6))
+
+
 @query("p13_fact_packets", oracle("""WITH l AS (SELECT c_custkey, CAST(c_nationkey AS VARCHAR) AS source, 'cents' AS f, CAST(cents AS VARCHAR) AS value, 'balance' AS label FROM src_b WHERE cents IS NOT NULL UNION ALL SELECT c_custkey, CAST(c_nationkey AS VARCHAR), 'c_mktsegment', c_mktsegment, 'segment' FROM src_b WHERE c_mktsegment IS NOT NULL),
 h AS (SELECT c_custkey, sha256(string_agg(c_custkey || ':' || f || '=' || value, ';' ORDER BY c_custkey || ':' || f || '=' || value)) AS packet_hash FROM l GROUP BY 1) SELECT c_custkey, CAST(source AS INT) AS source, value, label, c_custkey || ':' || f AS fact_id, 'A' AS class, packet_hash FROM l JOIN h USING (c_custkey)"""))
 def p13(spark, sf_dir):

@@ -211,8 +211,3 @@ def src03(spark, sf_dir):
 @query("src03_page_titles", oracle(r"""SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title FROM pages"""))
 def src03b(spark, sf_dir):
     return R.extract_title(view(spark, sf_dir, "pages"), "page_id", "html")
-
-
-@query("src03_page_tables")
-def src03c(spark, sf_dir):
-    return R.extract_page_tables(view(spark, sf_dir, "pages"), "page_id", "html")

@@ -54,7 +54,7 @@ def st02(spark, sf_dir):
 @query("st02_delta_tape_stream", oracle(TAPE.format(snap=SNAP)))
 def st02s(spark, sf_dir):
     """The stream gives the rows of its batch twin, over two runs."""
-    return in_slices(halves(snapshots(spark, sf_dir), "observed_at", "1995-03-01"), ST.delta_tape, "tape").drop("batch")
+    return in_slices(halves(snapshots(spark, sf_dir), "observed_at", "1998-03-01"), ST.delta_tape, "tape").drop("batch")
 
 
 LEADS = f"""WITH s AS ({SNAP}), h AS (SELECT event_id, observed_at, list_sort(list(entity_id) FILTER (position = 1 AND status = 'active')) AS h, list(entity_id) FILTER (status = 'active') AS act FROM s GROUP BY 1, 2), b AS (SELECT *, lag(coalesce(h, [])) OVER (PARTITION BY event_id ORDER BY observed_at) AS b FROM h), c AS (SELECT * FROM b WHERE b IS NOT NULL AND len(h) > 0 AND h <> b)
@@ -68,7 +68,7 @@ def st03(spark, sf_dir):
 
 @query("st03_lead_changes_stream", oracle(LEADS))
 def st03s(spark, sf_dir):
-    return in_slices(halves(snapshots(spark, sf_dir), "observed_at", "1995-03-01"), ST.lead_changes, "leads").drop("batch")
+    return in_slices(halves(snapshots(spark, sf_dir), "observed_at", "1998-03-01"), ST.lead_changes, "leads").drop("batch")
 
 
 PULSE = f"WITH s AS ({SNAP}) SELECT entity_id, position FROM (SELECT *, lag(position) OVER (PARTITION BY entity_id ORDER BY observed_at) AS q FROM s WHERE entity_id IN (SELECT entity_id FROM s WHERE position <= 40)) WHERE position <= 10 AND q > 10"
@@ -84,7 +84,7 @@ def st04(spark, sf_dir):
 def st04s(spark, sf_dir):
     s = snapshots(spark, sf_dir).select("entity_id", "observed_at", "position")
     watch = s.where("position <= 40").select("entity_id").distinct()
-    return in_slices(halves(s, "observed_at", "1995-03-01"), lambda x: ST.pulse_stream(x, watch, "entity_id", "observed_at", "position"), "pulse").select("entity_id", "position")
+    return in_slices(halves(s, "observed_at", "1998-03-01"), lambda x: ST.pulse_stream(x, watch, "entity_id", "observed_at", "position"), "pulse").select("entity_id", "position")
 
 
 @query("st05_with_freshness", oracle("SELECT event_id, CASE WHEN a <= 5000 THEN 'live' WHEN a <= 20000 THEN 'fresh' WHEN a <= 60000 THEN 'stale' ELSE 'old' END AS freshness FROM (SELECT event_id, (epoch(TIMESTAMP '2024-02-01') - floor(epoch(ts))) / 60 AS a FROM events)"))

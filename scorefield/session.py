@@ -4,6 +4,7 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,8 +39,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read again: later plans start there and survive lost executors."""
+def written(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """df, written once to the shared folder and read again: later plans start there and survive lost executors. by: columns
+    that cut it into folders, of which a filter on them reads its own only."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

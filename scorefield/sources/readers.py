@@ -2,7 +2,8 @@
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BUNDLE = "event_id string, competitors array<struct<id:string, status:string, linescores:array<struct<period:int, value:double>>>>"
@@ -34,12 +35,78 @@ def extract_title(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(key, F.nullif(F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit("")).alias("title"))
 
 
+#: A tag and the text up to the next one; a "<" that begins no tag is text.
+TOKEN = r"<[a-zA-Z/!][^>]*>[^<]*(?:<(?![a-zA-Z/!])[^<]*)*"
+#: The most columns and rows that a cell may span, and the entities that are decoded.
+MOST_COLUMNS, MOST_ROWS = 30, 400
+ENTITIES = {"&nbsp;": " ", "&#160;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+
+
+def spread_spans(rows) -> list[tuple[int, int, str]]:
+    """row, col and text of a table's cells, each in all places that it spans. rows: lists of (text, colspan, rowspan).
+
+    A cell that spans rows is carried: the next rows take it where their cells come to its column.
+    """
+    out, carry = [], {}
+    for r, cells in enumerate(rows):
+        place, col = {}, 0
+
+        def take(col: int) -> int:
+            while carry.get(col, (None, 0))[1] > 0:
+                text, left = carry[col]
+                place[col] = text
+                carry[col] = (text, left - 1)
+                col += 1
+            return col
+
+        for text, columns, down in cells:
+            col = take(col)
+            for _ in range(columns):
+                place[col] = text
+                if down > 1:
+                    carry[col] = (text, down - 1)
+                col += 1
+        take(col)
+        out += [(r, c, place[c]) for c in sorted(place)]
+    return out
+
+
 def extract_page_tables(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key, table, row, col and text of each cell of each table, without tags."""
-    tables = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?is)<table[^>]*>(.*?)</table>"), F.lit(1))).alias("table", "_t"))
-    rows = tables.select(key, "table", F.posexplode(F.regexp_extract_all("_t", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("row", "_r"))
-    cells = rows.select(key, "table", "row", F.posexplode(F.regexp_extract_all("_r", F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1))).alias("col", "_c"))
-    return cells.select(key, "table", "row", "col", F.trim(F.regexp_replace(F.regexp_replace("_c", "<[^>]*>", ""), r"\s+", " ")).alias("text"))
+    """key, table, row, col and text of the cells of each outermost table, each in all places that it spans, so that rows which
+    share a cell all have it. Numbers count from 0.
+
+    A table inside a cell is text of that cell. Tags are dropped, common entities decoded and blanks collapsed; cells and rows
+    need no closing tags, and cells outside rows are left out. Null pages and those without tables give no rows, repeated rows
+    each their own. Tags become rows, numbered by running counts inside their page; Python sees the finished rows of a table
+    only, to carry spans from one to the next.
+    """
+    numbered = pages.where(F.col(html).rlike("(?i)<table")).select(F.col(key), F.col(html), F.monotonically_increasing_id().alias("_id"))
+    held = numbered.select("_id", F.col(key), F.posexplode(F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0))).alias("_pos", "_t"))
+    tag = F.regexp_extract("_t", "^<[^>]*>", 0)
+    t = held.select("_id", key, "_pos", F.lower(F.regexp_extract("_t", "^<(/?[a-zA-Z][a-zA-Z0-9]*)", 1)).alias("_name"), tag.alias("_tag"), F.expr("substring(_t, length(regexp_extract(_t, '^<[^>]*>', 0)) + 1)").alias("_text"))
+    page = Window.partitionBy("_id").orderBy("_pos")
+    is_ = lambda *names: F.col("_name").isin(*names)
+    t = t.withColumn("_depth", F.sum(F.when(is_("table"), 1).when(is_("/table"), -1).otherwise(0)).over(page))
+    outer = F.col("_depth") == 1
+    t = t.withColumn("table", F.count_if(is_("table") & outer).over(page) - 1).where((F.col("_depth") >= 1) & (F.col("table") >= 0))
+    t = t.withColumn("row", F.count_if(is_("tr") & outer).over(Window.partitionBy("_id", "table").orderBy("_pos")) - 1).where("row >= 0")
+    row = Window.partitionBy("_id", "table", "row").orderBy("_pos")
+    t = t.withColumn("_cell", F.count_if(is_("td", "th") & outer).over(row)).withColumn("_open", F.last(F.when(outer & is_("td", "th"), True).when(outer & is_("/td", "/th", "tr", "/tr"), False), ignorenulls=True).over(row))
+    span = lambda name, most: F.least(F.coalesce(F.nullif(F.regexp_extract(F.min_by("_tag", "_pos"), rf"(?i)\b{name}\s*=\s*[\"']?\s*(-?\d+)", 1).try_cast("int"), F.lit(0)), F.lit(1)), F.lit(most))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", F.when(~is_("script", "style"), F.col("_text")).otherwise("").alias("_text")))), lambda x: x["_text"]), "")
+    for entity, plain in ENTITIES.items():
+        text = F.replace(text, F.lit(entity), F.lit(plain))
+    cells = t.where("_cell > 0 and _open").groupBy("_id", "table", "row", "_cell").agg(F.trim(F.regexp_replace(text, r"\s+", " ")).alias("text"), span("colspan", MOST_COLUMNS).alias("columns"), span("rowspan", MOST_ROWS).alias("down"))
+    listed = cells.groupBy("_id", "table", "row").agg(F.array_sort(F.collect_list(F.struct("_cell", "text", "columns", "down"))).alias("_cells"))
+    rows = t.groupBy("_id", key, "table", "row").agg(F.lit(1).alias("_one")).join(listed, ["_id", "table", "row"], "left")
+    empty = F.array().cast("array<struct<_cell:bigint,text:string,columns:int,down:int>>")
+    tables = rows.groupBy("_id", key, "table").agg(F.array_sort(F.collect_list(F.struct("row", F.coalesce("_cells", empty).alias("cells")))).alias("_rows"))
+
+    @F.pandas_udf("array<struct<row:int,col:int,text:string>>")
+    def grid(tables: pd.Series) -> pd.Series:
+        return tables.map(lambda rows: spread_spans([[(c["text"], c["columns"], c["down"]) for c in r["cells"]] for r in rows]))
+
+    return tables.select(key, F.col("table").cast("int").alias("table"), F.inline(grid(F.transform("_rows", lambda r: F.struct(F.transform(r["cells"], lambda c: F.struct(c["text"].alias("text"), c["columns"].alias("columns"), c["down"].alias("down"))).alias("cells"))))))
 
 
 def read_packed_csv(spark: SparkSession, path: str, spec: Mapping[str, tuple[str, int, str, float]], keep: Sequence[str] = (), kind: str | None = None, kinds: Sequence[str] = ()) -> DataFrame:

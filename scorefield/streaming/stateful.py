@@ -307,7 +307,9 @@ class _Kept(StatefulProcessor):
 def bounded_tape(stream: DataFrame, by: Sequence[str], keys: Sequence[str], ts: str, cap: int, ttl_ms: int | None = None) -> DataFrame:
     """The newest cap rows of each key, each identity (keys, not null) once, after each micro-batch that has rows of it; version
     counts these, so that the rows of the highest one are the tape. Of rows of one identity the one that came first counts, as
-    long as it is kept. ttl_ms: state of a key that gets no rows for so long goes. The batch twin is keep_newest."""
+    long as it is kept. ttl_ms: state of a key that gets no rows for so long
+    goes; that needs a clock, so such a stream runs until it is stopped, and never ends by itself (availableNow). The batch twin is
+    keep_newest."""
     given = _packed(stream, by, ts, **{f"key_{k}": F.col(k) for k in keys})
     named = [f"key_{k}" for k in keys]
     held = StructType([f for f in given.schema.fields if f.name in ("at_us", "packed_row", *named)])

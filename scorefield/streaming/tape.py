@@ -95,7 +95,7 @@ def carry_forward(df: DataFrame, by: Sequence[str], ts: str, cols: Sequence[str]
 def time_since_change(df: DataFrame, by: Sequence[str], ts: str, col: str) -> DataFrame:
     """changed_at: the first time of the current value without interruption, and seconds since then."""
     w = Window.partitionBy(*by).orderBy(ts)
-    d = df.withColumn("_new", F.coalesce((~F.col(col).eqNullSafe(F.lag(col).over(w))).cast("int"), F.lit(1)))
+    d = df.withColumn("_new", F.when(F.row_number().over(w) == 1, 1).otherwise((~F.col(col).eqNullSafe(F.lag(col).over(w))).cast("int")))
     d = d.withColumn("changed_at", F.max(F.when(F.col("_new") == 1, F.col(ts))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return d.withColumn("seconds", F.unix_timestamp(ts) - F.unix_timestamp("changed_at")).drop("_new")
 

@@ -257,14 +257,14 @@ def test_contains_join(spark):
 
 
 def test_publishing_is_refused_on_regressions(spark, tmp_path):
-    from scorefield.operators import studies as U
+    from scorefield.operators import publish as U
 
     live = spark.createDataFrame([(1, 5, "a"), (2, 5, "b")], "k int, n int, c string")
     worse = spark.createDataFrame([(1, 4, "a")], "k int, n int, c string")
     path = str(tmp_path / "out")
     assert not U.guarded_overwrite(live, worse, path, "k", ["n"], ["c"])
     allow = spark.createDataFrame([(1, ["count_lost"]), (2, ["row_removed"])], "k int, allow array<string>")
-    assert U.guarded_overwrite(live, worse, path, "k", ["n"], ["c"], allow) and spark.read.parquet(path).count() == 1
+    assert U.guarded_overwrite(live, worse, path, "k", ["n"], ["c"], allow) and U.read_published(spark, path).count() == 1
 
 
 def test_items_on_routes(spark):
