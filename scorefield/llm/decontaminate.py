@@ -147,9 +147,10 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without those that hold a benchmark window; columns as they are."""
-    bad = decontaminate(documents, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_hash")).distinct()
-    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    """The documents without those that hold a benchmark window; columns as they are, whatever the others are called."""
+    bad = decontaminate(documents, benchmark).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+    rows = documents.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), F.struct(*(documents[f"`{c}`"] for c in documents.columns)).alias("doc"))
+    return rows.join(bad, F.col("d").eqNullSafe(F.col("bad_id")) & (F.col("h") == F.col("bad_hash")), "left_anti").select("doc.*")
 
 
 def op10_benchmark_decontamination(spark, sf_dir):

@@ -17,7 +17,6 @@ THRESHOLD = 0.93
 #: Vectors of a tile at most, the width of the bins along an axis that tiles are made of, and the axes that tile pairs are told apart on.
 TILE, BIN, AXES = 2048, 0.005, 4
 BLOCK, SLACK = 256, 1e-9
-NO_ID = (1 << 63) - 1
 
 
 def _matrix(column) -> np.ndarray:
@@ -25,6 +24,11 @@ def _matrix(column) -> np.ndarray:
     return values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at) - 1, -1) if len(at) > 1 else np.zeros((0, 0))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, which is exact, so that their largest component is near one and no square over- or underflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0, keepdims=True))[1])
+
+
 def principal_axes(vectors: DataFrame, dim: int) -> np.ndarray:
     """Columns: the axes of the second moments of all unit vectors of this dimension, the strongest first."""
 
@@ -32,7 +36,7 @@ def principal_axes(vectors: DataFrame, dim: int) -> np.ndarray:
         total = np.zeros((dim, dim))
         for batch in batches:
             if batch.num_rows:
-                x = _matrix(batch.column(0))
+                x = _scaled(_matrix(batch.column(0)))
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
                 total += x.T @ x
         i, j = np.indices(total.shape)
@@ -49,7 +53,7 @@ def _tile_pair(axes: dict, threshold: float):
     def judge(table: pa.Table) -> pa.Table:
         side = table["side"].to_numpy()
         order = np.argsort(side, kind="stable")
-        x = _matrix(table["embedding"])[order]
+        x = _scaled(_matrix(table["embedding"])[order])
         cid, node, many = (table[c].to_numpy()[order] for c in ("cid", "node", "many"))
         n_a = int((side == 0).sum())
         same = n_a == len(side)  # a tile with itself has one side only
@@ -134,20 +138,21 @@ def tile_pairs(put: DataFrame, threshold: float) -> DataFrame:
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """Per row: vec_id, n_links (other rows linked directly), component_id (smallest vec_id reachable, itself included), kept.
 
-    Rows link if their labels are equal and not null and their cosine reaches the threshold. Null, empty and zero vectors
-    and those with null or non-finite components link with nothing, nor do vectors of different lengths. Repeated rows are
-    vectors of their own; rows that share a vec_id are one node. A null vec_id names no component. Other columns are
-    ignored.
+    Rows link if their labels are equal and not null and their cosine reaches the threshold, ties with it included. Null, empty
+    and zero vectors and those with null or non-finite components link with nothing, nor do vectors of different lengths.
+    Repeated rows are vectors of their own. Only vectors link: rows that share a vec_id, or have none, are not linked by that. A
+    null vec_id names no component; where a component has no other, its component_id is null. Vectors of any finite size and
+    length are taken, an empty table gives no rows, and other columns are ignored.
     """
     spark = embeddings.sparkSession
     kept_as = embeddings.schema["embedding"].dataType.simpleString()
     kept_as = kept_as if kept_as in ("array<float>", "array<double>") else "array<double>"
-    given = embeddings.select("vec_id", "label", F.col("embedding").cast(kept_as).alias("embedding"), F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("id"))
+    given = embeddings.select("vec_id", "label", F.col("embedding").cast(kept_as).alias("embedding"), F.col("vec_id").cast("long").alias("id"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     good = F.coalesce(F.col("label").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
     valid = given.where(good)
-    classes = valid.groupBy("label", "embedding").agg(F.min("id").alias("node"), F.count("*").alias("many")).withColumn("cid", F.monotonically_increasing_id())
-    classes = materialize(classes, "vector-classes")
+    classes = valid.groupBy("label", "embedding").agg(F.min("id").alias("id"), F.count("*").alias("many")).withColumn("cid", F.monotonically_increasing_id())
+    classes = materialize(classes.withColumn("node", F.col("cid")), "vector-classes")
     dims = [r[0] for r in classes.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count")).limit(1).collect()]
     axes = spark.sparkContext.broadcast({d: principal_axes(classes, d) for d in dims})
 
@@ -158,7 +163,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, tile: i
             out = np.zeros((batch.num_rows, AXES))
             for dim in np.unique(n):
                 rows = np.flatnonzero(n == dim)
-                x = values.to_numpy(zero_copy_only=False)[at[rows][:, None] + np.arange(dim)].astype(np.float64)
+                x = _scaled(values.to_numpy(zero_copy_only=False)[at[rows][:, None] + np.arange(dim)].astype(np.float64))
                 turned = x @ (axes.value[dim] if dim in axes.value else np.eye(dim))[:, :AXES]
                 out[rows, : turned.shape[1]] = turned / np.linalg.norm(x, axis=1, keepdims=True)
             out = np.floor(out / BIN).astype(np.int32)
@@ -178,8 +183,10 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, tile: i
     components = connected_components(found.select("a", "b"))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     done = classes.join(links, "cid", "left").join(components, "node", "left")
-    done = done.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component_id", "node").alias("component"))
-    linked = valid.join(done, ["label", "embedding"]).select("vec_id", "n_links", F.nullif("component", F.lit(NO_ID)).alias("component_id"))
+    done = done.select("label", "embedding", "id", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component_id", "node").alias("c"))
+    done = materialize(done, "vector-components")
+    done = done.join(done.groupBy("c").agg(F.min("id").alias("component_id")), "c")
+    linked = valid.join(done.select("label", "embedding", "n_links", "component_id"), ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = given.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

@@ -247,10 +247,10 @@ def _near_copies(documents: DataFrame, prefixes: DataFrame) -> DataFrame:
     return _similar(documents, _candidates(first, rows, 1))
 
 
-def dedup_lines(documents: DataFrame) -> DataFrame:
+def dedup_lines(documents: DataFrame, counts: bool = True) -> DataFrame:
     """The documents without the lines that an earlier line (smaller doc_id, or the same one and an earlier line) equals or
-    resembles, that is whose token sets have a Jaccard similarity of 0.8 or more, removed or not; columns as they are, and
-    n_lines and n_removed.
+    resembles, that is whose token sets have a Jaccard similarity of 0.8 or more, removed or not; columns as they are, and with
+    counts n_lines and n_removed (which documents may have columns of the same names beside).
 
     Blank lines are never removed. Null texts stay null and have no lines. Rows that share a doc_id stand at one place: what
     is removed from one is removed from each. A null doc_id stands before all others.
@@ -267,7 +267,8 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
     done = docs.join(gone, "d", "left").select("d", *extra.values(), kept.alias("_kept"), many.cast("long").alias("_many"), removed.cast("long").alias("_removed"))
     kind = documents.schema["doc_id"].dataType.simpleString()
     columns = {"doc_id": F.nullif("d", F.lit(LOWEST)).cast(kind), "text": F.col("_kept")} | {c: F.col(x) for c, x in extra.items()}
-    return done.select(*(columns[c].alias(c) for c in documents.columns), F.col("_many").alias("n_lines"), F.col("_removed").alias("n_removed"))
+    more = [F.col("_many").alias("n_lines"), F.col("_removed").alias("n_removed")] if counts else []
+    return done.select(*(columns[c].alias(c) for c in documents.columns), *more)
 
 
 def op7_line_dedup(spark, sf_dir):

@@ -19,7 +19,6 @@ from .common import U, chunks, connected_components, materialize, read_table, so
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints of a tile, of a batch of shards (a larger shard is a batch of its own), and of a shard before it is dealt out once more.
 TILE, BATCH, CROWDED = 64, 20_000, 20_000
-NO_ID = (1 << 63) - 1
 
 
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -154,25 +153,17 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, radius: int =
     """doc_id, text_hash, fingerprint (long) and component_id (the smallest doc_id reachable by links, itself included) per
     row of documents; fingerprints link if they differ in at most so many bits.
 
-    Null, empty and blank texts have the fingerprint zero and link like any other. Repeated rows each keep their row. A
-    null doc_id never names a component; where a component has no other, its component_id is null. Other columns are
-    ignored.
+    Null, empty and blank texts have the fingerprint zero and link like any other. Repeated rows each keep their row, texts of
+    any length are taken whole, and an empty table gives no rows. Only fingerprints link: rows that share a doc_id, or have
+    none, are not linked by that. A null doc_id never names a component; where a component has no other, its component_id is null. Other columns are ignored.
     """
     marked = materialize(fingerprints(documents, shingle), "fingerprints")
-    classes = materialize(marked.groupBy("fingerprint").agg(F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).alias("node")), "fingerprint-classes")
+    classes = marked.groupBy("fingerprint").agg(F.min(F.col("doc_id").cast("long")).alias("id"))
+    classes = materialize(classes.select("fingerprint", F.col("fingerprint").alias("node"), "id"), "fingerprint-classes")
     found = connected_components(links(classes, radius))
-    named = classes.join(found, "node", "left").select("fingerprint", F.coalesce("component_id", "node").alias("component_id"))
-    return marked.join(named, "fingerprint").select("doc_id", "text_hash", "fingerprint", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
-
-
-def drop_near_duplicates(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row of each component: the one with the smallest doc_id, and of rows that repeat it the one with the smallest
-    hash; columns as they are."""
-    marked = near_duplicates(documents, shingle, radius)
-    keep = marked.groupBy(F.coalesce("component_id", F.lit(NO_ID)).alias("c")).agg(F.min(F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.col("text_hash").alias("h"))).alias("k")).select(F.col("k.d").alias("_d"), F.col("k.h").alias("_h"))
-    rows = documents.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_text", F.xxhash64("text"))
-    kept = rows.join(keep, (F.col("_id") == F.col("_d")) & (F.col("_text") == F.col("_h")), "left_semi")
-    return kept.dropDuplicates(["_id", "_text"]).drop("_id", "_text")
+    member = materialize(classes.join(found, "node", "left").select("fingerprint", "id", F.coalesce("component_id", "node").alias("c")), "fingerprint-components")
+    named = member.join(member.groupBy("c").agg(F.min("id").alias("component_id")), "c").select("fingerprint", "component_id")
+    return marked.join(named, "fingerprint").select("doc_id", "text_hash", "fingerprint", "component_id")
 
 
 def op4_simhash_near_dedup(spark, sf_dir):

@@ -195,12 +195,30 @@ def test_simhash(docs, nothing, spark):
     got = {r["doc_id"]: r for r in simhash.near_duplicates(docs).collect()}
     assert [got[i]["fingerprint"] & (1 << 64) - 1 for i, _ in texts] == [int(x) for x in fp]
     assert [got[i]["component_id"] for i, _ in texts] == root
-    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()}
-    assert kept == set(root)
     assert simhash.near_duplicates(nothing).count() == 0
     again = spark.createDataFrame([(3, "x y"), (3, "x y"), (None, "x y"), (None, None)], "doc_id long, text string")
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in simhash.near_duplicates(again).collect()) == [(-1, -1), (-1, 3), (3, 3), (3, 3)]
-    assert simhash.drop_near_duplicates(again).count() == 2
+
+
+def test_null_ids_are_no_node(spark):
+    """Two texts that nothing links, each with a near copy of null id; and one id with two texts."""
+    a, b = "alpha beta gamma delta epsilon " * 30, "one two three four five six seven " * 30
+    docs = spark.createDataFrame([(1, a), (None, a), (2, b), (None, b), (9, "x"), (9, "y"), (None, "z w")], "doc_id long, text string")
+    assert fingerprint(a) != fingerprint(b)
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in simhash.near_duplicates(docs).collect())
+    assert got == [(0, 0), (0, 1), (0, 2), (1, 1), (2, 2), (9, 9), (9, 9)]
+    rows = [(1, [1.0, 0.0]), (None, [1.0, 0.01]), (2, [0.0, 1.0]), (None, [0.01, 1.0]), (None, [-1.0, 0.0]), (8, [-1.0, -1.0]), (8, [1.0, -1.0])]
+    vectors = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, label int")
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in embeddings.near_duplicates(vectors).collect())
+    assert got == [(0, 0, 0, False), (0, 1, 1, False), (0, 1, 2, False), (1, 1, 1, True), (2, 1, 2, True), (8, 0, 8, True), (8, 0, 8, True)]
+
+
+def test_vectors_of_any_finite_size_link(spark):
+    sizes = [1e200, 1e-200, 1.0, 1e308, 5e-324]
+    rows = [(i, [x, x], 0) for i, x in enumerate(sizes)] + [(10 + i, [x, -x], 0) for i, x in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df).collect())
+    assert got == [(i, 4, 0) for i in range(5)] + [(10 + i, 4, 10) for i in range(5)]
 
 
 def near_values(many=60):

@@ -54,3 +54,20 @@ def test_empty_tables_and_odd_rows(spark, tmp_path, empty):
         now = corpus_pipeline.materialize(stage(spark, now, str(tmp_path)), name)
         assert now.count() <= before and (name == "source_mixing" or now.columns == columns)
     assert (now.count() == 0) == (empty == "documents")
+
+
+def test_other_columns_keep_their_values(spark, tmp_path):
+    """Columns called like those that the stages work with."""
+    names = ["d", "h", "doc", "_bad", "_hash", "n_lines", "n_removed", "node", "row", "score", "key", "bad_id", "gone"]
+    docs = [(i, f"some words of document {i} and {i * 7}\nanother line {i} {i + 3} of it", "en", "s", 5, *(100 * i + k for k in range(len(names)))) for i in range(8)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} long" for n in names)
+    spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id long, quality int, toxic int").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "document 3 and 21")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = corpus_pipeline.materialize(stage(spark, now, str(tmp_path)), name)
+        left = now.collect()
+        assert left and now.columns == ["doc_id", "text", "lang", "source", "n_chars", *names]
+        assert all(tuple(r[n] for n in names) == tuple(100 * r["doc_id"] + k for k in range(len(names))) for r in left), name
+    assert {r["doc_id"] for r in left} == set(range(8)) - {3}
