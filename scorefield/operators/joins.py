@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..functions.scalars import fold, haversine_km, name_keys
 from ..session import written
@@ -91,6 +91,41 @@ def match_events(a: DataFrame, b: DataFrame, year: str, end: str, name: str, key
     return m.withColumn("_n", F.count("*").over(Window.partitionBy(key_a))).where("_n = 1").drop("_n")
 
 
+#: Words that tell no events apart.
+GENERIC = ("championship", "tournament", "classic", "open", "golf", "presented", "invitational")
+
+
+def match_editions(events: DataFrame, editions: DataFrame, key: str, edition: str, name: str, end: str, year: str, canonical: str, provider: str, division: str, superseded: str, days: float = 1.01, generic: Sequence[str] = GENERIC) -> DataFrame:
+    """key, match, basis and superseded of each event: the edition that it is, and the duplicates that give way to it.
+
+    Near editions are of the event's year, end at most days from it, and share a distinctive word of its name (over three
+    letters, not generic); superseded ones are out. A single canonical one among them wins (basis canonical), and the near ones
+    that are not canonical, or carry the event's own id, are superseded. Else the edition with the event's id (column provider) is it, the
+    least of several (exact_id). Else the near edition of its division (any, where the event has none) if it is a single one
+    (unique). Else there is no match. events: key, name, end, year, division; editions: edition, the same, and canonical, provider and superseded. Nulls
+    agree with nothing, and a null canonical or superseded is false. Words and days make equalities of the search.
+    """
+    words = lambda c: F.array_distinct(F.filter(F.split(fold(c), " "), lambda x: (F.length(x) > 3) & ~x.isin(*generic) if generic else F.length(x) > 3))
+    stamp = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
+    day = lambda c: F.floor(c / 86400)
+    live = editions.where(~F.coalesce(F.col(superseded), F.lit(False))).select(F.col(edition).alias("_e"), F.col(name).alias("_name"), F.col(year).alias("_year"), stamp(end).alias("_end"), F.coalesce(F.col(canonical), F.lit(False)).alias("_canon"), F.col(provider).cast("string").alias("_provider"), F.col(division).alias("_division"))
+    asked = events.select(F.col(key), F.col(key).cast("string").alias("_id"), F.col(name).alias("_asked"), F.col(year).alias("_year"), stamp(end).alias("_at"), F.col(division).alias("_own"))
+    reach = int(days * 86400)
+    left = asked.select(key, "_id", "_year", "_at", "_own", F.explode(words("_asked")).alias("_word"), day(F.col("_at")).alias("_day"))
+    right = live.select("_e", "_year", "_end", "_canon", "_provider", "_division", F.explode(words("_name")).alias("_word")).withColumn("_day", F.explode(F.sequence(day(F.col("_end") - reach), day(F.col("_end") + reach))))
+    near = left.join(right, ["_year", "_word", "_day"]).where(F.abs(F.col("_end") - F.col("_at")) <= days * 86400).select(key, "_id", "_own", "_e", "_canon", "_provider", "_division").distinct()
+    fits = F.coalesce(F.col("_own").isNull() | (F.col("_own") == F.col("_division")), F.lit(False))
+    yields = ~F.col("_canon") | F.coalesce(F.col("_provider") == F.col("_id"), F.lit(False))
+    g = near.groupBy(key).agg(F.count_if("_canon").alias("_canons"), F.min(F.when(F.col("_canon"), F.col("_e"))).alias("_c"), F.count_if(fits).alias("_fits"), F.min(F.when(fits, F.col("_e"))).alias("_u"), F.array_sort(F.collect_set(F.when(yields, F.col("_e")))).alias("_yield"))
+    exact = live.where("_provider is not null").groupBy(F.col("_provider").alias("_id")).agg(F.min("_e").alias("_x"))
+    m = asked.select(key, "_id").join(g, key, "left").join(exact, "_id", "left")
+    basis = F.when(F.col("_canons") == 1, "canonical").when(F.col("_x").isNotNull(), "exact_id").when(F.col("_fits") == 1, "unique")
+    none = F.array().cast(ArrayType(editions.schema[edition].dataType))
+    m = m.withColumn("basis", basis)
+    match = F.when(F.col("basis") == "canonical", F.col("_c")).when(F.col("basis") == "exact_id", F.col("_x")).when(F.col("basis") == "unique", F.col("_u"))
+    return m.select(key, match.alias("match"), "basis", F.when(F.col("basis") == "canonical", F.array_remove("_yield", F.col("_c"))).otherwise(none).alias("superseded"))
+
+
 def resolve_identity(cands: DataFrame, crosswalk: DataFrame, canon: DataFrame, key: str, name: str, birth: str, canon_key: str, year: str | None = None, event: str | None = None, members: DataFrame | None = None) -> DataFrame:
     """canon_key and outcome of each candidate, by the first rule that leaves one canonical row:
 

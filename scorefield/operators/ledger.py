@@ -45,11 +45,15 @@ def revise(graded: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
 
 
 def audit_ledger(locks: DataFrame, grades: DataFrame, events: DataFrame, key: str, event: str) -> DataFrame:
-    """problem of each lock: a broken seal, a lock that isn't before the start, or no grade though the event is over."""
+    """problem of each lock: seal (it is broken), late (the lock isn't before the start), missing_grade (the event is over), and
+    wrong_lock (a grade with the seal of another lock, where grades have one), each once."""
     cols = sorted(c for c in locks.columns if c != "seal")
     sealed = F.sha2(F.to_json(F.struct(*(F.col(c) for c in cols)), {"ignoreNullFields": "false"}), 256)
-    m = locks.withColumn("_ok", sealed == F.col("seal")).join(events.select(event, "starts_at", "over"), event, "left").join(grades.select(key, F.lit(True).alias("_g")).distinct(), key, "left")
-    found = F.array_compact(F.array(F.when(~F.col("_ok"), F.lit("seal")), F.when(F.col("locked_at") >= F.col("starts_at"), F.lit("late")), F.when(F.col("over") & F.col("_g").isNull(), F.lit("missing_grade"))))
+    of = F.col("seal") if "seal" in grades.columns else F.lit(None).cast("string")
+    held = grades.select(key, of.alias("_of")).join(locks.select(key, "seal"), key, "left")
+    graded = held.groupBy(key).agg(F.lit(True).alias("_g"), F.coalesce(F.max(F.col("_of") != F.col("seal")), F.lit(False)).alias("_other"))
+    m = locks.withColumn("_ok", sealed == F.col("seal")).join(events.select(event, "starts_at", "over"), event, "left").join(graded, key, "left")
+    found = F.array_compact(F.array(F.when(~F.col("_ok"), F.lit("seal")), F.when(F.col("locked_at") >= F.col("starts_at"), F.lit("late")), F.when(F.col("over") & F.col("_g").isNull(), F.lit("missing_grade")), F.when(F.col("_other"), F.lit("wrong_lock"))))
     return m.select(key, F.explode(found).alias("problem"))
 
 

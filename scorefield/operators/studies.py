@@ -1,6 +1,7 @@
 """Compositions: covariate studies, evidence levels, setups, status reports, planners, narrative facts and guarded publishing."""
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,6 +78,61 @@ def narrative_facts(scores: DataFrame, last: int, event: str = "event_id", entit
     return came.unionByName(led).unionByName(surge)
 
 
+#: Items of a card and of its first half, the first of the closing items, how near contention is, how long a run is, and how high a percentile a strength is.
+CARD, HALF, CLOSING, CONTENTION, RUN, STRENGTH = 18, 9, 13, 3, 3, 80
+
+
+def champion_facts(winners: DataFrame, scores: DataFrame, items: DataFrame, strengths: DataFrame, last: int, event: str = "event_id", entity: str = "entity_id") -> DataFrame:
+    """event, entity, fact and value of each winner, from scores (period, to_par) and cards (items: period, item, to_par and
+    item_class); strengths: entity, item_class, percentile.
+
+    Progress, where all periods are there: after_<k> (total after period k), spread (worst period less best). Entering the last
+    period: ahead_entering (how many were ahead, if any), lead_entering (to the next, if alone in the lead). Contention:
+    within_three (others who ended within three, if any). The last card, if whole: front, back, closing (items 13 to 18), birdies, eagles
+    (two under or better, if any), bogeys, and run (the longest of three or more under par in a row, not across the turn). The
+    week by class, if all cards are whole: class_<c>. metric_match: the class that alone is lowest and under par, if it is also a strength (percentile 80
+    or more). What a rule cannot show gives no row; unknown scores count as missing. Each rule is a grouped sum or a join on the event.
+    """
+    ids = [event, entity]
+    w = winners.select(*ids).distinct()
+    s = scores.where((F.col("period") <= last) & F.col("to_par").isNotNull()).select(*ids, "period", F.col("to_par").cast("long").alias("v"))
+    fact = lambda df, *named: df.select(*ids, F.inline(F.filter(F.array(*(F.struct((F.lit(n) if isinstance(n, str) else n).alias("fact"), v.cast("double").alias("value")) for n, v in named)), lambda x: x["value"].isNotNull())))
+    upto = lambda k: s.where(F.col("period") <= k).groupBy(*ids).agg(F.count("*").alias("n"), F.sum("v").alias("total"), (F.max("v") - F.min("v")).alias("spread")).where(F.col("n") == k)
+    whole = upto(last)
+    mine = s.join(w, ids, "left_semi").join(whole.select(*ids), ids, "left_semi")
+    running = mine.withColumn("so_far", F.sum("v").over(Window.partitionBy(*ids).orderBy("period"))).where(F.col("period") < last)
+    out = [fact(running, (F.concat(F.lit("after_"), F.col("period").cast("string")), F.col("so_far"))), fact(whole.join(w, ids), ("spread", F.col("spread")))]
+
+    def against(board: DataFrame) -> DataFrame:
+        own = board.join(w, ids).select(*ids, F.col("total").alias("own"))
+        return board.select(event, "total").join(own, event).groupBy(*ids, "own").agg(F.count_if(F.col("total") < F.col("own")).alias("ahead"), F.count_if(F.col("total") == F.col("own")).alias("level"), F.min(F.when(F.col("total") > F.col("own"), F.col("total"))).alias("next"), F.count_if(F.col("total") - F.col("own") <= CONTENTION).alias("near"))
+
+    if last > 1:
+        before = against(upto(last - 1))
+        out.append(fact(before, ("ahead_entering", F.when(F.col("ahead") > 0, F.col("ahead"))), ("lead_entering", F.when((F.col("ahead") == 0) & (F.col("level") == 1), F.col("next") - F.col("own")))))
+    out.append(fact(against(whole), ("within_three", F.when(F.col("near") > 1, F.col("near") - 1))))
+
+    held = items.join(w, ids, "left_semi").where((F.col("period") <= last) & F.col("to_par").isNotNull() & F.col("item").between(1, CARD)).select(*ids, "period", "item", F.col("to_par").cast("long").alias("v"), "item_class")
+    card = held.where(F.col("period") == last)
+    some = lambda c: F.sum(F.when(c, F.col("v")).otherwise(0))
+    lines = card.groupBy(*ids).agg(F.count_distinct("item").alias("n"), F.count("*").alias("rows"), some(F.col("item") <= HALF).alias("front"), some(F.col("item") > HALF).alias("back"), some(F.col("item") >= CLOSING).alias("closing"), F.count_if(F.col("v") == -1).alias("birdies"), F.count_if(F.col("v") <= -2).alias("eagles"), F.count_if(F.col("v") > 0).alias("bogeys"))
+    lines = lines.where((F.col("n") == CARD) & (F.col("rows") == CARD))
+    out.append(fact(lines, *((c, F.col(c)) for c in ("front", "back", "closing", "birdies", "bogeys")), ("eagles", F.when(F.col("eagles") > 0, F.col("eagles")))))
+    under = card.join(lines.select(*ids), ids, "left_semi").where("v < 0").withColumn("half", F.col("item") <= HALF)
+    island = F.col("item") - F.row_number().over(Window.partitionBy(*ids, "half").orderBy("item"))
+    runs = under.withColumn("island", island).groupBy(*ids, "half", "island").agg(F.count("*").alias("n")).groupBy(*ids).agg(F.max("n").alias("n"))
+    out.append(fact(runs, ("run", F.when(F.col("n") >= RUN, F.col("n")))))
+
+    every = held.groupBy(*ids).agg(F.count_distinct("period", "item").alias("n"), F.count("*").alias("rows")).where((F.col("n") == CARD * last) & (F.col("rows") == CARD * last))
+    week = held.join(every.select(*ids), ids, "left_semi").groupBy(*ids, "item_class").agg(F.sum("v").alias("v"))
+    out.append(fact(week, (F.concat(F.lit("class_"), F.col("item_class").cast("string")), F.col("v"))))
+    lowest = week.groupBy(*ids).agg(F.min("v").alias("v"), F.min_by("item_class", "v").alias("item_class"), F.array_agg("v").alias("all"))
+    alone = lowest.where((F.col("v") < 0) & (F.size(F.filter("all", lambda x: x == F.col("v"))) == 1))
+    strong = strengths.where(F.col("percentile") >= STRENGTH).select(entity, "item_class").distinct()
+    out.append(fact(alone.join(strong, [entity, "item_class"]), ("metric_match", F.col("item_class"))))
+    return reduce(DataFrame.unionByName, out)
+
+
 def near_boundary_join(points: DataFrame, rings: DataFrame, key: str, ring_key: str, reach: float, overlap: Column, least: float = 0.5) -> DataFrame:
     """The one ring whose boundary is within reach of a point and whose name agrees enough; several or none give no row.
     Points: x, y; rings: ring; cells of the widened boxes make an equality."""

@@ -72,6 +72,17 @@ def j09(spark, sf_dir):
     return J.match_events(a, b, "p_size", "end", "p_name", "a", "b", generic=["part"])
 
 
+@query("j09_match_editions", oracle("""WITH p AS (SELECT p_partkey AS id, p_name AS name, p_size % 4 AS year, CASE WHEN p_partkey % 9 > 0 THEN p_size % 2 END AS division, DATE '2000-01-01' + CAST(p_partkey % 5 AS INT) AS e, list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) > 3 AND x <> 'part')) AS w FROM part),
+l AS (SELECT *, id % 7 = 0 AS canon, CASE WHEN id % 11 = 0 THEN id - 1 END AS provider FROM p WHERE id % 2 = 1 AND id % 13 > 0), a AS (SELECT * FROM p WHERE id % 2 = 0), near AS (SELECT a.id, a.division AS own, l.id AS e, canon, provider, l.division FROM a JOIN l ON a.year = l.year AND abs(a.e - l.e) <= 1 AND len(list_intersect(a.w, l.w)) > 0),
+g AS (SELECT id, count(*) FILTER (canon) AS cs, min(e) FILTER (canon) AS c, count(*) FILTER (own IS NULL OR own = division) AS us, min(e) FILTER (own IS NULL OR own = division) AS u, list_sort(list(e) FILTER (NOT canon OR coalesce(provider = id, false))) AS y FROM near GROUP BY 1), x AS (SELECT provider AS id, min(id) AS x FROM l WHERE provider IS NOT NULL GROUP BY 1)
+SELECT a.id, CASE WHEN cs = 1 THEN c WHEN x IS NOT NULL THEN x WHEN us = 1 THEN u END AS "match", CASE WHEN cs = 1 THEN 'canonical' WHEN x IS NOT NULL THEN 'exact_id' WHEN us = 1 THEN 'unique' END AS basis, CASE WHEN cs = 1 THEN array_to_string(list_filter(coalesce(y, []), lambda v: v <> c), ',') ELSE '' END AS superseded FROM a LEFT JOIN g ON g.id = a.id LEFT JOIN x ON x.id = a.id"""))
+def j09_editions(spark, sf_dir):
+    p = view(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.date_add(F.lit("2000-01-01").cast("date"), (F.col("p_partkey") % 5).cast("int")).alias("end"), (F.col("p_size") % 4).alias("year"), F.when(F.col("p_partkey") % 9 > 0, F.col("p_size") % 2).alias("division"))
+    editions = p.where("id % 2 = 1").select("*", (F.col("id") % 7 == 0).alias("canonical"), F.when(F.col("id") % 11 == 0, F.col("id") - 1).alias("provider"), (F.col("id") % 13 == 0).alias("superseded"))
+    found = J.match_editions(p.where("id % 2 = 0"), editions.withColumnRenamed("id", "edition"), "id", "edition", "name", "end", "year", "canonical", "provider", "division", "superseded", generic=["part"])
+    return found.withColumn("superseded", F.array_join(F.transform("superseded", lambda x: x.cast("string")), ","))
+
+
 @query("j10_resolve_identity", oracle("""WITH m AS (SELECT DISTINCT event, seen AS person FROM sightings WHERE sighting % 6 = 1), x AS (SELECT s.sighting, s.birth AS b, p.person, p.birth, p.year, s.birth = p.birth AS e, s.birth IS NOT NULL AND p.birth IS NULL AND p.year = year(s.birth) AS y,
 m.person IS NOT NULL AND (s.birth IS NULL OR p.birth IS NULL OR s.birth = p.birth) AS v FROM sightings s JOIN people p ON lower(s.name) = p.name LEFT JOIN m ON m.event = s.event AND m.person = p.person),
 g AS (SELECT sighting, count(*) AS names, count(*) FILTER (e) AS ne, max(person) FILTER (e) AS pe, count(*) FILTER (y) AS ny, max(person) FILTER (y) AS py, count(*) FILTER (v) AS nv, max(person) FILTER (v) AS pv FROM x GROUP BY 1),

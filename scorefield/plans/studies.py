@@ -13,12 +13,13 @@ from .streams import in_slices, shared
 from .windows import AFTER, ROLL
 
 
-@query("p09_audit_ledger", oracle("WITH p AS (SELECT event_id * 10 + entity_id AS id, min(season) AS season, max(hit) AS hit FROM probs GROUP BY 1) SELECT id, 'late' AS problem FROM p WHERE season >= 1998 UNION ALL SELECT id, 'missing_grade' FROM p WHERE hit = 1"))
+@query("p09_audit_ledger", oracle("WITH p AS (SELECT event_id * 10 + entity_id AS id, min(season) AS season, max(hit) AS hit FROM probs GROUP BY 1) SELECT id, 'late' AS problem FROM p WHERE season >= 1998 UNION ALL SELECT id, 'missing_grade' FROM p WHERE hit = 1 UNION ALL SELECT id, 'wrong_lock' FROM p WHERE hit = 0 AND id % 5 = 0"))
 def p09(spark, sf_dir):
     p = view(spark, sf_dir, "probs").selectExpr("event_id * 10 + entity_id AS id", "mille", "season", "hit").groupBy("id").agg(F.min("mille").alias("mille"), F.min("season").alias("season"), F.max("hit").alias("hit"))
     locks = L.lock(p.drop("hit"), p.select("id", F.lit(True).alias("ready")), "id", "id", "1998-01-01 00:00:00")
     events = p.select("id", F.make_timestamp(F.when(F.col("season") >= 1998, 1998).otherwise(1999), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("starts_at"), F.lit(True).alias("over"))
-    return L.audit_ledger(locks, p.where("hit = 0"), events, "id", "id")
+    grades = p.where("hit = 0").join(locks.select("id", "seal"), "id").withColumn("seal", F.when(F.col("id") % 5 == 0, F.sha2("seal", 256)).otherwise(F.col("seal")))
+    return L.audit_ledger(locks, grades, events, "id", "id")
 
 
 @query("p15_narrative_facts", oracle(f"""WITH a AS ({AFTER.format(n=2)}), b AS (SELECT *, total - min(total) OVER (PARTITION BY event_id) AS deficit FROM ({AFTER.format(n=1)})),
@@ -31,6 +32,29 @@ def p15(spark, sf_dir):
     return U.narrative_facts(view(spark, sf_dir, "scores"), 2)
 
 
+#: Cards of the first two periods, made from the scores' keys; the scores against par are their sums.
+CARDS = """SELECT event_id, entity_id, period, item, CAST((entity_id * 7 + event_id * 3 + period * 5 + item * item) % 5 AS BIGINT) - CASE WHEN item % 4 = 0 THEN 3 ELSE 2 END AS to_par, CAST(3 + item % 3 AS INT) AS item_class FROM scores, (SELECT unnest(range(1, 19)) AS item) WHERE period <= 2"""
+
+
+@query("p15_champion_facts", oracle(f"""WITH i AS ({CARDS}), s AS (SELECT event_id, entity_id, period, sum(to_par) AS v FROM i GROUP BY 1, 2, 3), b AS (SELECT event_id, entity_id, sum(v) AS total, max(v) - min(v) AS spread FROM s GROUP BY 1, 2 HAVING count(*) = 2),
+w AS (SELECT event_id, entity_id, total, spread FROM b QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY total, entity_id) = 1), o AS (SELECT * FROM s WHERE period = 1), c AS (SELECT i.* FROM i JOIN w USING (event_id, entity_id)), l AS (SELECT * FROM c WHERE period = 2),
+e AS (SELECT w.event_id, w.entity_id, count(*) FILTER (o.v < m.v) AS ahead, count(*) FILTER (o.v = m.v) AS level, min(o.v) FILTER (o.v > m.v) - any_value(m.v) AS lead FROM w JOIN o m ON m.event_id = w.event_id AND m.entity_id = w.entity_id JOIN o ON o.event_id = w.event_id GROUP BY 1, 2),
+n AS (SELECT w.event_id, w.entity_id, count(*) - 1 AS near FROM w JOIN b ON b.event_id = w.event_id AND b.total - w.total <= 3 GROUP BY 1, 2), r AS (SELECT event_id, entity_id, count(*) AS n FROM (SELECT *, item - row_number() OVER (PARTITION BY event_id, entity_id, item <= 9 ORDER BY item) AS g FROM l WHERE to_par < 0) GROUP BY event_id, entity_id, item <= 9, g),
+k AS (SELECT event_id, entity_id, item_class, sum(to_par) AS v FROM c GROUP BY 1, 2, 3), z AS (SELECT *, count(*) OVER (PARTITION BY event_id, entity_id, v) AS same, min(v) OVER (PARTITION BY event_id, entity_id) AS lo FROM k),
+f AS (SELECT event_id, entity_id, 'after_1' AS fact, v AS value FROM o JOIN w USING (event_id, entity_id) UNION ALL SELECT event_id, entity_id, 'spread', spread FROM w UNION ALL SELECT event_id, entity_id, 'ahead_entering', ahead FROM e WHERE ahead > 0 UNION ALL SELECT event_id, entity_id, 'lead_entering', lead FROM e WHERE ahead = 0 AND level = 1 AND lead IS NOT NULL UNION ALL SELECT event_id, entity_id, 'within_three', near FROM n WHERE near > 0
+UNION ALL SELECT event_id, entity_id, CASE x WHEN 0 THEN 'front' WHEN 1 THEN 'back' WHEN 2 THEN 'closing' WHEN 3 THEN 'birdies' WHEN 4 THEN 'bogeys' ELSE 'eagles' END, CASE x WHEN 0 THEN sum(to_par) FILTER (item <= 9) WHEN 1 THEN sum(to_par) FILTER (item > 9) WHEN 2 THEN sum(to_par) FILTER (item >= 13) WHEN 3 THEN count(*) FILTER (to_par = -1) WHEN 4 THEN count(*) FILTER (to_par > 0) ELSE count(*) FILTER (to_par <= -2) END AS v FROM l, (SELECT unnest(range(0, 6)) AS x) GROUP BY event_id, entity_id, x HAVING x < 5 OR count(*) FILTER (to_par <= -2) > 0
+UNION ALL SELECT event_id, entity_id, 'run', max(n) FROM r GROUP BY 1, 2 HAVING max(n) >= 3 UNION ALL SELECT event_id, entity_id, 'class_' || item_class, v FROM k UNION ALL SELECT event_id, entity_id, 'metric_match', item_class FROM z WHERE v = lo AND v < 0 AND same = 1 AND (entity_id + item_class) % 3 > 0)
+SELECT event_id, entity_id, fact, CAST(value AS DOUBLE) AS value FROM f"""))
+def p15_champions(spark, sf_dir):
+    s = view(spark, sf_dir, "scores").where("period <= 2").select("event_id", "entity_id", "period", F.explode(F.sequence(F.lit(1), F.lit(18))).alias("item"))
+    cards = s.select("*", (F.expr("(entity_id * 7 + event_id * 3 + period * 5 + item * item) % 5") - F.when(F.col("item") % 4 == 0, 3).otherwise(2)).alias("to_par"), (F.col("item") % 3 + 3).alias("item_class"))
+    scores = cards.groupBy("event_id", "entity_id", "period").agg(F.sum("to_par").alias("to_par"))
+    totals = scores.groupBy("event_id", "entity_id").agg(F.sum("to_par").alias("total"), F.count("*").alias("n")).where("n = 2")
+    winners = totals.groupBy("event_id").agg(F.min(F.struct("total", "entity_id")).alias("w")).select("event_id", "w.entity_id")
+    strengths = winners.select("entity_id").distinct().withColumn("item_class", F.explode(F.array(F.lit(3), F.lit(4), F.lit(5)))).withColumn("percentile", F.when((F.col("entity_id") + F.col("item_class")) % 3 > 0, 85).otherwise(70))
+    return U.champion_facts(winners, scores, cards, strengths, 2)
+
+
 @query("p20_coordinate_level", oracle("SELECT entity_id, CASE WHEN count(*) FILTER (status = 'F') = 1 THEN 'course' WHEN count(*) FILTER (kind = '1-URGENT') = 1 THEN 'complex' WHEN count(*) FILTER (points > 200000) = 1 THEN 'locality' ELSE 'unknown' END AS level FROM results GROUP BY 1"))
 def p20(spark, sf_dir):
     return U.coordinate_level(view(spark, sf_dir, "results"), "entity_id", {"course": F.col("status") == "F", "complex": F.col("kind") == "1-URGENT", "locality": F.col("points") > 200000})
