@@ -18,6 +18,8 @@ NOT_COUNTS = ["front nine", "back nine", "top-ten"]
 ORDINALS = ["second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth"]
 #: Length limits in characters, words and facts.
 LIMITS = {"headline": (20, 120), "dek": (40, 300), "words": (35, 1400), "facts": 3}
+#: The pronouns of each subject pronoun.
+PRONOUNS = {"she": ["she", "her", "hers", "herself"], "he": ["he", "him", "his", "himself"]}
 
 
 def fact_packets(df: DataFrame, key: str, spec: Mapping[str, str], source: str, klass: str = "A") -> DataFrame:
@@ -62,6 +64,22 @@ def _unknown_names(drafts: DataFrame, plain: Column, entities: DataFrame, key: s
     return found.join(names, (found[key] == names[key]) & F.contains("_name", "_run"), "left_anti").groupBy(key).agg(F.count("*").alias("_names"))
 
 
+def _shown(facts: DataFrame, entities: DataFrame | None, key: str) -> DataFrame:
+    """key and _shown: what a reader sees for each token of a draft."""
+    token = lambda kind, name: F.concat(F.lit("{" + kind + ":"), name, F.lit("}")).alias("_t")
+    every = facts.select(key, token("f", "fact_id"), F.col("display").cast("string").alias("_v"))
+    if entities is not None:
+        every = every.unionByName(entities.select(key, token("e", "entity_key"), F.col("name").alias("_v")))
+    one = every.where("_t is not null").groupBy(key, "_t").agg(F.coalesce(F.min("_v"), F.lit("")).alias("_v"))
+    return one.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_t", "_v"))).alias("_shown"))
+
+
+def render(text: Column, shown: Column) -> Column:
+    """A text with its tokens as a reader sees them; unknown ones as nothing."""
+    tokens = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\{[fe]:[^}]*\}"), F.lit(0)))
+    return F.aggregate(tokens, text, lambda t, x: F.replace(t, x, F.coalesce(F.try_element_at(shown, x), F.lit(""))))
+
+
 def text_gates(
     drafts: DataFrame,
     facts: DataFrame,
@@ -74,13 +92,22 @@ def text_gates(
     dek: str | None = None,
     facts_used: int = 0,
     fewest: str | None = None,
+    pronoun: str | None = None,
+    emphasis: str | None = None,
+    modules: str | None = None,
+    charts: DataFrame | None = None,
+    subjects: DataFrame | None = None,
 ) -> DataFrame:
     """reasons why a draft may not be published: an unknown {f:id} token, digits, number words or ordinals outside tokens, a
     banned family (name -> pattern), or too few or many words. Empty reasons pass.
 
     facts: key, fact_id. With entities (key, entity_key, name) also {e:key} tokens that are not theirs, and names that none of
-    theirs holds; with headline and dek their lengths, where a token counts as it stands; with facts_used, fewer different
-    facts. fewest: a column with another least number of words, where it isn't null.
+    theirs holds; with headline and dek their lengths, where a token counts as it stands, or as a reader sees it if facts have a
+    column display; with facts_used, fewer different facts. fewest: a column with another least number of words, where it
+    isn't null. pronoun: a column with she, he or null; other pronouns than its own, or any where it is null, may not stand in
+    the text. emphasis: a column with a list of fact ids, which must be the draft's. modules: a column with a list of charts, which
+    charts (key, chart) must have for it; none stands for no emphasis and no module. subjects (key, name): where a draft has any,
+    the headline names one of them.
     """
     limits = limits or LIMITS
     lo, hi = limits["words"]
@@ -104,10 +131,29 @@ def text_gates(
     if facts_used:
         different = F.size(F.array_distinct(F.regexp_extract_all(body, F.lit(r"\{f:([^}]+)\}"), F.lit(1))))
         rules.append(F.when(different < facts_used, F.lit("too_few_facts")))
+    seen = lambda c: F.coalesce(F.col(c), F.lit(""))
+    if "display" in facts.columns and (headline or dek):
+        held = held.join(_shown(facts, entities, key), key, "left")
+        seen = lambda c: F.trim(F.regexp_replace(render(F.coalesce(F.col(c), F.lit("")), F.col("_shown")), r"\s+", " "))
     for name, column in (("headline", headline), ("dek", dek)):
         if column is not None:
-            size = F.length(F.coalesce(F.col(column), F.lit("")))
+            size = F.length(seen(column))
             rules.append(F.when((size < limits[name][0]) | (size > limits[name][1]), F.lit(f"{name}_length")))
+    if pronoun is not None:
+        of = lambda kind: plain.rlike(either(PRONOUNS[kind]))
+        may = lambda kind: F.coalesce(F.col(pronoun) == kind, F.lit(False))
+        rules.append(F.when((of("she") & ~may("she")) | (of("he") & ~may("he")), F.lit("pronoun")))
+    for column, known, name, reason in ((emphasis, facts, "fact_id", "unknown_emphasis"), (modules, charts, "chart", "unknown_module")):
+        if column is not None:
+            asked = drafts.select(key, F.explode(F.array_distinct(column)).alias(name)).where(F.col(name) != "none")
+            missing = asked if known is None else asked.join(known.select(key, name), [key, name], "left_anti")
+            held = held.join(missing.groupBy(key).agg(F.count("*").alias(f"_{reason}")), key, "left")
+            rules.append(F.when(F.col(f"_{reason}") > 0, F.lit(reason)))
+    if subjects is not None and headline is not None:
+        lines = held.select(key, seen(headline).alias("_line"))
+        named = subjects.where("name is not null").select(key, F.col("name").alias("_name")).join(lines, key).groupBy(key).agg(F.max(F.contains("_line", "_name")).alias("_subject"))
+        held = held.join(named, key, "left")
+        rules.append(F.when(~F.col("_subject"), F.lit("headline_without_subject")))
     rules.append(F.when((n < least) | (n > hi), F.lit("length")))
     return held.select(key, F.array_compact(F.array(*rules)).alias("reasons"))
 
