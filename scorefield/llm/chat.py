@@ -73,7 +73,9 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     formatted under the loss mask; equal where there are none), sorted by conversation and turn inside each partition.
 
     A conversation's text is the concatenation of its turns. Null roles and texts are empty; null conv_ids are one
-    conversation and a null turn comes first; equal turns follow by role and text. Other columns are ignored.
+    conversation and a null turn comes first; equal turns follow by role and text, and repeated rows are turns of their own. Texts
+    of any length are taken whole (a turn has less than 2 GiB, escapes counted); an empty table gives no rows. Other columns
+    are ignored.
     """
 
     def scan(batches):

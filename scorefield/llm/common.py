@@ -271,7 +271,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternates large and small stars: each round links nodes to the least neighbour. The least neighbour comes from a
     grouped minimum with partial sums, and the links come back by a join, so that no task holds the links of a hot node.
-    Each round is a table in the shared folder. No links give no rows; null ends and loops are ignored.
+    Each round is a table in the shared folder. No links give no rows; null ends and loops are ignored. Rounds grow with the
+    logarithm of a component's size; should they not settle in most_rounds, that is an error.
     """
 
     def stars(e: DataFrame, to: DataFrame) -> DataFrame:

@@ -253,7 +253,8 @@ def dedup_lines(documents: DataFrame, counts: bool = True) -> DataFrame:
     counts n_lines and n_removed (which documents may have columns of the same names beside).
 
     Blank lines are never removed. Null texts stay null and have no lines. Rows that share a doc_id stand at one place: what
-    is removed from one is removed from each. A null doc_id stands before all others.
+    is removed from one is removed from each. A null doc_id stands before all others. Lines and texts of any length are taken
+    whole; no documents give no rows.
     """
     extra = {c: f"_extra_{i}" for i, c in enumerate(documents.columns) if c not in ("doc_id", "text")}
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("d"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(x) for c, x in extra.items()))

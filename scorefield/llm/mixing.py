@@ -45,7 +45,9 @@ def mix_sources(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, mos
 
     A source's taken words are its target's whole part: every document once for each whole epoch, then documents by key
     until the budget is met, of which the last gives its first words only. The order depends on doc_id alone, so reruns
-    agree; rows that share one follow each other by size. A null text has no words, a null source is a source of its own.
+    agree; rows that share one follow each other by size, and equal rows take the same or stand side by side at the cut. A null
+    text has no words, a null source is a source of its own, and a null doc_id has the key of an empty one. Texts of any length are counted whole; an
+    empty table gives no rows. Other columns are ignored.
     """
     sizes = materialize(with_sizes(documents), "sizes")
     goal = targets(sizes, weights, share, most)

@@ -245,7 +245,8 @@ def dedup_spans(documents: DataFrame, length: int = LENGTH, shard_bytes: int = S
     A byte goes if a string of so many bytes covers it that also starts earlier (smaller doc_id, or the same one and an
     earlier start); all strings are judged on the input, overlaps count, and none crosses documents. Null and empty texts
     have no bytes. Rows that share a doc_id stand at one place: they don't remove each other, and what is removed from one
-    is removed from each. A null doc_id stands before all others. Other columns are ignored.
+    is removed from each. A null doc_id stands before all others. Texts of any length are taken whole, one at a time where one
+    is longer than a chunk; an empty table gives no rows. Other columns are ignored.
     """
     if length <= GRAM:
         raise ValueError(f"a string has more than {GRAM} bytes")

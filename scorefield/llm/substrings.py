@@ -227,7 +227,8 @@ def dedup_substrings(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     A word goes if a window of so many consecutive words covers it whose words also start earlier (smaller doc_id, or the
     same one and an earlier start); all windows are judged on the input. Null and empty texts have no words. Rows that
     share a doc_id stand at one place: they don't remove each other, and what is removed from one is removed from each. A
-    null doc_id stands before all others. Other columns are ignored.
+    null doc_id stands before all others. Texts of any length are taken whole, one at a time where one is longer than a chunk; an
+    empty table gives no rows. Other columns are ignored.
     """
     if window < PERIOD:
         raise ValueError(f"a window has {PERIOD} words at least")

@@ -108,7 +108,7 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     """For each place of the array, the symbols shared with the suffix before it (0 at the first).
 
     The prefixes are found by text position: where a suffix and the one before it in the array are preceded by the same
-    symbol, the length is one less than at the position before; only the others are compared, eight bytes at a time.
+    symbol, the length is one less than at the position before; only the others are compared, symbol by symbol.
     """
     n = len(t)
     before = np.full(n, -1, np.int64)
