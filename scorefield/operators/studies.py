@@ -159,6 +159,16 @@ def item_intelligence(routes: DataFrame, features: DataFrame, by: Sequence[str],
     return r.select(*by, "length", "shape").join(near, list(by), "left")
 
 
+def nest(base: DataFrame, key: str, parts: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """A document a row of base: its columns, and for each part (name -> rows with the key, and columns that order them) an
+    array of the key's rows; empty where it has none. An array holds what one document shows of a key (its seasons, say)."""
+    for name, (df, order) in parts.items():
+        columns = [*order, *(c for c in df.columns if c != key and c not in order)]
+        rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+        base = base.join(rows, key, "left").withColumn(name, F.coalesce(name, F.array().cast(rows.schema[name].dataType)))
+    return base
+
+
 def bundle(docs: Mapping[str, DataFrame], key: str, least: int = 1) -> DataFrame:
     """kind, key and doc (JSON) of all kinds; refuses if a kind has fewer rows than least."""
     out = None

@@ -1,5 +1,6 @@
 """Compositions that users see: profiles, documents, contexts, matchups, boards, packets and gates."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ACCENTED, PLAIN, fold
@@ -7,12 +8,14 @@ from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import ledger as L
 from ..operators import ranking as T
+from ..operators import studies as U
 from ..operators import text_gates as G
 from ..operators import windows as W
 from .aggregates import DIST, HIST, REPLAY, by_year, venue_entries
 from .bindings import oracle, view
 from .joins import H2H
 from .registry import query
+from .windows import ROLL
 
 
 @query("p01_entity_profile", oracle(f"""WITH d AS ({DIST}), f AS (SELECT entity_id, sum(total) / count(*) AS form FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY event_id DESC) AS k FROM entries) WHERE k <= 10 GROUP BY 1), v AS (SELECT entity_id, count(DISTINCT event_id % 12) AS venues FROM entries GROUP BY 1)
@@ -34,12 +37,49 @@ def p02(spark, sf_dir):
     return lead.join(field, "event_id").join(view(spark, sf_dir, "venue"), "event_id").select("event_id", "venue_id", "field", "missed", F.col("entity_id").alias("leader"), F.col("total").alias("winning"), "margin")
 
 
+def shown(column: str, *fields: str):
+    """The rows of a nested array as text, so that they can be compared."""
+    return F.array_join(F.transform(column, lambda x: F.concat_ws(":", *(F.coalesce(x[f].cast("string"), F.lit("-")) for f in fields))), ",").alias(column)
+
+
+@query("p01_entity_document", oracle(f"""WITH d AS ({DIST}), s AS (SELECT entity_id, event_id // 100 AS season, count(*) AS starts, count(*) FILTER (position = 1) AS wins, min(total) AS best FROM entries GROUP BY 1, 2), v AS (SELECT entity_id, event_id % 12 AS venue_id, count(*) AS starts, count(*) FILTER (position = 1) AS wins, min(position) AS best FROM entries GROUP BY 1, 2),
+l AS (SELECT entity_id, event_id, position, total FROM entries QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY event_id DESC) <= 5), ss AS (SELECT entity_id, string_agg(season || ':' || starts || ':' || wins || ':' || best, ',' ORDER BY season) AS seasons FROM s GROUP BY 1),
+vv AS (SELECT entity_id, string_agg(venue_id || ':' || starts || ':' || wins || ':' || best, ',' ORDER BY venue_id) AS venues FROM v GROUP BY 1), ll AS (SELECT entity_id, string_agg(event_id || ':' || position || ':' || total, ',' ORDER BY event_id) AS results FROM l GROUP BY 1)
+SELECT entity_id, cohort, starts, wins, top10, made, seasons, venues, results FROM d JOIN cohort USING (entity_id) JOIN ss USING (entity_id) JOIN vv USING (entity_id) JOIN ll USING (entity_id)"""))
+def p01_document(spark, sf_dir):
+    """Summary, seasons, venue history and the latest results of each entity."""
+    e = view(spark, sf_dir, "entries")
+    base = A.finish_distribution(e, ["entity_id"], "position", "status").select("entity_id", "starts", "wins", "top10", "made").join(view(spark, sf_dir, "cohort"), "entity_id")
+    season = e.groupBy("entity_id", F.expr("event_id div 100").alias("season")).agg(F.count("*").alias("starts"), F.count_if(F.col("position") == 1).alias("wins"), F.min("total").alias("best"))
+    venue = A.venue_history(venue_entries(spark, sf_dir), "entity_id", "venue_id", "event_id", "position", "status").select("entity_id", "venue_id", "starts", "wins", "best")
+    latest = T.keep_first(e.select("entity_id", "event_id", "position", "total"), ["entity_id"], [F.col("event_id").desc()], 5)
+    done = U.nest(base, "entity_id", {"seasons": (season, ["season"]), "venues": (venue, ["venue_id"]), "results": (latest, ["event_id"])})
+    return done.select("entity_id", "cohort", "starts", "wins", "top10", "made", shown("seasons", "season", "starts", "wins", "best"), shown("venues", "venue_id", "starts", "wins", "best"), shown("results", "event_id", "position", "total"))
+
+
+@query("p02_event_timeline", oracle(f"""WITH r AS ({ROLL}), b AS (SELECT *, min(running) OVER (PARTITION BY event_id, period) AS best FROM r WHERE n = period), t AS (SELECT event_id, period, CAST(best AS BIGINT) AS best, count(*) AS holders FROM b WHERE running = best GROUP BY 1, 2, 3), w AS (SELECT event_id, entity_id, total FROM entries QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY total, entity_id) = 1),
+p AS (SELECT a.event_id, b.event_id AS past, b.entity_id, b.total FROM w a JOIN w b ON a.event_id % 100 = b.event_id % 100 AND b.event_id < a.event_id), q AS (SELECT event_id, entity_id, row_number() OVER (PARTITION BY event_id ORDER BY total, entity_id) AS k FROM entries), m AS (SELECT x.event_id, x.entity_id AS a, y.entity_id AS b FROM q x JOIN q y ON x.event_id = y.event_id AND y.k = x.k + 1 WHERE x.k IN (1, 3)),
+tt AS (SELECT event_id, string_agg(period || ':' || best || ':' || holders, ',' ORDER BY period) AS timeline FROM t GROUP BY 1), pp AS (SELECT event_id, string_agg(past || ':' || entity_id || ':' || total, ',' ORDER BY past) AS editions FROM p GROUP BY 1), mm AS (SELECT event_id, string_agg(a || ':' || b, ',' ORDER BY a) AS matchups FROM m GROUP BY 1)
+SELECT event_id, entity_id AS winner, total, coalesce(timeline, '') AS timeline, coalesce(editions, '') AS editions, coalesce(matchups, '') AS matchups FROM w LEFT JOIN tt USING (event_id) LEFT JOIN pp USING (event_id) LEFT JOIN mm USING (event_id)"""))
+def p02_timeline(spark, sf_dir):
+    """The winner of each event, who led after each period, who won its past editions, and the pairs at the top."""
+    e = view(spark, sf_dir, "entries").select("event_id", "entity_id", "total")
+    ranked = e.withColumn("k", F.row_number().over(Window.partitionBy("event_id").orderBy("total", "entity_id")))
+    winners = ranked.where("k = 1").select("event_id", F.col("entity_id").alias("winner"), "total")
+    past = winners.select(F.expr("event_id % 100").alias("series"), F.col("event_id").alias("past"), F.col("winner").alias("past_winner"), F.col("total").alias("past_total"))
+    editions = winners.withColumn("series", F.expr("event_id % 100")).join(past, "series").where("past < event_id").select("event_id", "past", "past_winner", "past_total")
+    pairs = ranked.withColumn("b", F.lead("entity_id").over(Window.partitionBy("event_id").orderBy("k"))).where("k in (1, 3) and b is not null").select("event_id", F.col("entity_id").alias("a"), "b")
+    led = W.leaders_timeline(view(spark, sf_dir, "scores")).select("event_id", "period", "best", "holders")
+    done = U.nest(winners, "event_id", {"timeline": (led, ["period"]), "editions": (editions, ["past"]), "matchups": (pairs, ["a"])})
+    return done.select("event_id", "winner", "total", shown("timeline", "period", "best", "holders"), shown("editions", "past", "past_winner", "past_total"), shown("matchups", "a", "b"))
+
+
 @query("p03_field_context", oracle("""WITH h AS (SELECT a.event_id, a.entity_id, count(b.total) AS prior, CAST(sum(b.total) AS BIGINT) AS prior_total FROM entries a LEFT JOIN entries b ON a.entity_id = b.entity_id AND b.start_on < a.start_on AND b.start_on >= a.start_on - 365 GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY prior_total / prior NULLS LAST, entity_id) AS k FROM h) SELECT event_id, count(*) AS field, count(*) FILTER (prior = 0) AS first_appearances, max(entity_id) FILTER (k = 1) AS form_leader FROM r GROUP BY 1"""))
 def p03_whole(spark, sf_dir):
     h = J.history_before(view(spark, sf_dir, "entries"), "entity_id", "start_on", "total", 365)
-    r = T.keep_first(h.withColumn("form", F.col("prior_total") / F.nullif("prior", F.lit(0))), ["event_id"], [F.col("form").asc_nulls_last(), F.col("entity_id")], 1 << 30, "k")
-    return r.groupBy("event_id").agg(F.count("*").alias("field"), F.count_if(F.col("prior") == 0).alias("first_appearances"), F.max(F.when(F.col("k") == 1, F.col("entity_id"))).alias("form_leader"))
+    form = F.col("prior_total") / F.nullif("prior", F.lit(0))
+    return h.groupBy("event_id").agg(F.count("*").alias("field"), F.count_if(F.col("prior") == 0).alias("first_appearances"), F.min_by("entity_id", F.struct(form.isNull(), form, "entity_id")).alias("form_leader"))
 
 
 @query("p04_venue_document", oracle(f"""WITH h AS ({HIST}), k AS (SELECT *, row_number() OVER (PARTITION BY venue_id ORDER BY mean_finish NULLS LAST, entity_id) AS k FROM h WHERE starts >= 2), n AS (SELECT event_id % 12 AS venue_id, count(DISTINCT event_id) AS events FROM entries GROUP BY 1) SELECT venue_id, events, entity_id AS leader, starts FROM k JOIN n USING (venue_id) WHERE k = 1"""))
