@@ -25,8 +25,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of near duplicates: five-word shingles, Jaccard similarity of 0.8 or more. Of
-    repeated rows one stays, and of null, empty and blank texts one; ties go to the smallest doc_id, null ones last."""
+    """Keeps one document of each component of near duplicates: SimHash fingerprints of five-word shingles that differ in 4 bits
+    at most, and what these miss of a Jaccard similarity of 0.8 or more. Of repeated rows one stays, and of null, empty and blank texts one; ties go to the smallest doc_id, null ones last."""
     return minhash.drop_near_copies(docs)
 
 

@@ -1,4 +1,7 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands find candidates, whole shingle sets decide.
+"""Near copies by SimHash fingerprints and by the Jaccard similarity of word shingles.
+
+Fingerprints of few differing bits (simhash.py) link most near copies. Texts of a similarity of 0.8 differ in some ten of 64
+bits, too many for that; so MinHash bands find further candidates, and whole shingle sets decide on these.
 
 Texts with equal sets are collapsed first. A text gives one key for each band of minima; texts that share a key are
 candidates. Each first meets the least text of its keys; then only texts of one key that are not linked yet meet, so a
@@ -11,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import U, chunks, connected_components, lists, materialize, mix, ngram_hashes, signed, words_of
 
 SHINGLE = 5
@@ -84,9 +88,17 @@ def _similar(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     return materialize(alike.select("a", "b"), "near-links")
 
 
+def _fingerprint_links(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of texts in one component of fingerprints of the same shingles, as stars."""
+    groups = simhash.near_groups(rows.select(F.col("d").alias("doc_id"), "doc.text"), SHINGLE).distinct()
+    held = marked.select(F.col("d").alias("doc_id"), F.col("h").alias("text_hash"), "node").join(groups, ["doc_id", "text_hash"])
+    held = materialize(held.select("c", "node").distinct(), "near-fingerprints")
+    return held.join(held.groupBy("c").agg(F.min("node").alias("a")), "c").where("node <> a").select("a", F.col("node").alias("b"))
+
+
 def drop_near_copies(documents: DataFrame) -> DataFrame:
-    """One row of each component of texts linked by a Jaccard similarity of 0.8 or more of their sets of five-word shingles
-    (case ignored): the one with the smallest doc_id, and of rows that repeat it the one with the smallest hash; columns as
+    """One row of each component of texts linked by SimHash fingerprints of their five-word shingles (case ignored) that differ
+    in 4 bits at most, or by a Jaccard similarity of 0.8 or more of the sets of these: the one with the smallest doc_id, and of rows that repeat it the one with the smallest hash; columns as
     they are, whatever the others are called. Null, empty and blank texts are alike and link to no other; texts of any length are
     taken whole, and no documents give no rows."""
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("h"), F.struct(*(documents[f"`{c}`"] for c in documents.columns)).alias("doc"))
@@ -102,7 +114,8 @@ def drop_near_copies(documents: DataFrame) -> DataFrame:
     # lengths that rule out the similarity are left out
     fits = lambda x, y: F.least(x, y) * DEN >= F.greatest(x, y) * NUM
     pairs = materialize(shared.where((F.col("node") != F.col("p.node")) & fits("n", "p.n")).select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
-    links = _similar(rows, classes, pairs)
+    links = _fingerprint_links(rows, marked).unionByName(_similar(rows, classes, pairs))
+    links = materialize(links, "near-links")
     found = materialize(connected_components(links), "near-components")
 
     # of one key, what is not linked yet

@@ -149,6 +149,15 @@ def links(classes: DataFrame, radius: int, tile: int = TILE, crowded: int = CROW
     return rows.repartition("choice", "part").sortWithinPartitions("choice", "part", "bits").mapInArrow(_links(radius, tile), "a long, b long")
 
 
+def _components(documents: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and fingerprint, smallest id and component (a fingerprint) of each class of equal ones."""
+    marked = materialize(fingerprints(documents, shingle), "fingerprints")
+    classes = marked.groupBy("fingerprint").agg(F.min(F.col("doc_id").cast("long")).alias("id"))
+    classes = materialize(classes.select("fingerprint", F.col("fingerprint").alias("node"), "id"), "fingerprint-classes")
+    found = connected_components(links(classes, radius))
+    return marked, materialize(classes.join(found, "node", "left").select("fingerprint", "id", F.coalesce("component_id", "node").alias("c")), "fingerprint-components")
+
+
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, text_hash, fingerprint (long) and component_id (the smallest doc_id reachable by links, itself included) per
     row of documents; fingerprints link if they differ in at most so many bits.
@@ -157,15 +166,18 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, radius: int =
     any length are taken whole, and an empty table gives no rows. Only fingerprints link: rows that share a doc_id, or have
     none, are not linked by that. A null doc_id never names a component; where a component has no other, its component_id is null. Other columns are ignored.
     """
-    marked = materialize(fingerprints(documents, shingle), "fingerprints")
-    classes = marked.groupBy("fingerprint").agg(F.min(F.col("doc_id").cast("long")).alias("id"))
-    classes = materialize(classes.select("fingerprint", F.col("fingerprint").alias("node"), "id"), "fingerprint-classes")
-    found = connected_components(links(classes, radius))
-    member = materialize(classes.join(found, "node", "left").select("fingerprint", "id", F.coalesce("component_id", "node").alias("c")), "fingerprint-components")
+    marked, member = _components(documents, shingle, radius)
     named = member.join(member.groupBy("c").agg(F.min("id").alias("component_id")), "c").select("fingerprint", "component_id")
     return marked.join(named, "fingerprint").select("doc_id", "text_hash", "fingerprint", "component_id")
 
 
+def near_groups(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """doc_id, text_hash and c per row of documents, the same c for the rows of one component of near_duplicates; ids of any
+    kind, null ones too."""
+    marked, member = _components(documents, shingle, radius)
+    return marked.join(member.select("fingerprint", "c"), "fingerprint").select("doc_id", "text_hash", "c")
+
+
 def op4_simhash_near_dedup(spark, sf_dir):
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")

@@ -73,3 +73,15 @@ def test_no_documents_and_repeated_rows(spark):
     got = corpus_pipeline.simhash_near_dedup(spark, frame, "")
     assert sorted((x["doc_id"] or -1, x["text"] or "") for x in got.collect()) == [(-1, ""), (1, "a b c d e f"), (1, "g h i j k l")]
     assert corpus_pipeline.simhash_near_dedup(spark, frame.where("false"), "").count() == 0
+
+
+def test_near_copies_by_fingerprint(spark):
+    """SimHash counts repeats: a text that is nearly all one repeated line links by its fingerprint, though the sets differ."""
+    from scorefield.llm import minhash, simhash
+
+    tail = lambda k: " ".join(f"tail{k}x{i}" for i in range(12))
+    docs = [(k, "again the same five words " * 200 + tail(k)) for k in range(3)] + [(None, tail(7)), (9, tail(8))]
+    assert not similar(shingles(docs[0][1]), shingles(docs[1][1]))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert len({r["c"] for r in simhash.near_groups(frame, minhash.SHINGLE).collect()}) == 3
+    assert sorted((r["doc_id"] for r in minhash.drop_near_copies(frame).collect()), key=str) == [0, 9, None]
