@@ -1,44 +1,42 @@
 """Line dedup: an exact set-similarity join between lines, in DataFrame functions only.
 
-A line's tokens are its words, each once. Lines of equal token sets are collapsed to their first place. Two different lines
-have a Jaccard similarity of 0.8 or more only if they share many tokens, so also the rarest of some; a join on these gives
-candidates, which are then verified on all their tokens. A line goes if an earlier one is equal or similar.
-
-Which tokens are joined on. A line of n tokens can lack k = n - ceil(0.8 n) of those of a similar one at most. Order all
-tokens by their hash: among the first a = 0.4 n + 8 of each, two similar lines share all but k tokens still (an ordered
-prefix lacks no more than the whole). Order these a by rarity: one of the k + 1 rarest is shared (prefix filter). So rarity is
-counted, exactly and over all lines, for the tokens of these windows only, and a line is tokenised once for it.
-
-Rarity comes in classes. Tokens are counted; a table of fixed size has a slot for each hash prefix, and a slot the class (the
-power of two) of its most frequent token. Which class a token has changes the work, never the result.
-
-Joined rows are cut by the lengths, by where in the prefixes the token stands (positional filter) and by a sketch: 128 or 256
-parities of the tokens of the window, of which two similar lines differ in no more than they differ in tokens. So what leaves
-the join is nearly all similar. Before it, lines that share two of their rarest tokens with many others meet the first of
-them, so that a large group of near copies makes a pair a line. Tokens of many lines are not joined as they are: each of their lines first meets the first line of the
-token, and lines that don't resemble it go on under the token and another rare token, and another (similar lines share two of
-their k + 2 rarest tokens, and three of k + 3).
+A line's tokens are its words, each once. A line goes if an earlier one has the same text or a Jaccard similarity of 0.8 or
+more. Lines of the same text are collapsed to their first place; all others meet by keys.
+
+Which keys. Two similar lines of n and m tokens differ in at most (n + m) / 9 tokens, both ways together. Deal the tokens of a
+line into buckets by their hashes; a token that differs spoils one bucket, so of the filled buckets of each line all but
+(n + m) / 9 are the same in the other, tokens and all. Take these whole buckets as the elements of a line, in an order that
+depends on their content only: within the first (n + m) / 9 + 1 of both lines there is a common one (prefix filter). The order
+puts buckets of many letters first, for long words are rare and several words together rarer; so a key has few lines, where
+single words have ever more as the corpus grows. A line of fewer filled buckets than that has one key more, the same for all
+such lines.
+
+How many buckets depends on n + m, in classes (levels) that double: a line takes part in the level of its least and of its
+greatest possible n + m, which are the same or neighbours.
+
+Lines of one key are sorted by place. Each meets the first and the HEAVY lines before it; sizes and a sketch (64 or 128
+parities of the tokens, of which similar lines differ in no more than in tokens) leave nearly only similar ones, which are
+verified on all their tokens, one for each key. A line that is not found so meets all the rest: what else passed the sketch, and in
+larger keys the lines further before, in three steps, the last without end. So a group of near copies makes a few pairs a line.
 """
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWEST, discard, materialize, read_table
 
 #: The similarity as a fraction, so that bounds are exact.
 NUM, DEN = 4, 5
-#: A token held by more lines than this is joined by way of its first line, and then together with further tokens.
-HEAVY = 1024
-#: Lines that share two rare tokens and are so many meet the first of them before all others.
-CROWD = 8
-#: The most tokens that are joined on at once.
+#: How many lines before it a line of a key meets at first, besides the first one.
+HEAVY = 8
+#: The most tokens that two similar lines share for certain in their windows.
 DEPTH = 3
-#: Slots of the table of classes, and tokens listed in it at most, as powers of two. Counts below LEAST are not listed.
-SLOT_BITS, LISTED_BITS, LEAST = 18, 16, 16
-#: Bits of a token's hash that prefixes hold; above them stands its class.
-TOKEN_BITS = 58
+#: Low bits of a token that hold the length of its word, and how many buckets a level has beyond 1.5 times the least number.
+SLOT_BITS, LEAST = 8, 2
+#: Lines of more tokens than this carry a second sketch.
+LONG = 64
 SPACES = "\t\x0b\x0c\r"
 #: A list of lines goes to all tasks if it names so many at most (some 10 MB), and is joined by shuffling beyond that.
 BROADCAST_LINES = 1_000_000
@@ -54,6 +52,15 @@ def tokens(line: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(words(line), lambda x: F.xxhash64(x))))
 
 
+def _blank(line: str) -> Column:
+    return F.btrim(line, F.lit(" " + SPACES)) == ""
+
+
+def _sized(word: Column) -> Column:
+    """48 bits of a word's hash, and its length in the low bits: sums of these keep both."""
+    return F.shiftleft(F.shiftrightunsigned(F.xxhash64(word), 16), SLOT_BITS).bitwiseOR(F.least(F.octet_length(word), F.lit(31)).cast("long"))
+
+
 def lacking(n: Column) -> Column:
     """How many tokens of n a similar line may lack."""
     return n - F.ceil(n * NUM / DEN).cast("int")
@@ -74,30 +81,6 @@ def outside(n: str) -> str:
     return f"greatest(0, {n} - 8 - cast({n} * 2 div 5 as int))"
 
 
-#: Lines of more tokens than this carry sketches of twice the size.
-LONG = 80
-#: What a row of the join carries of its line: place, tokens, those outside the window, and the sketch.
-LINE = ["d", "pos", "n", "nx", "s", "r", "s0", "r0"]
-
-
-def _sketch() -> dict[str, Column]:
-    """128 parities of the tokens t in s and r; of long lines 256: s0 and r0, and what s and r have besides."""
-
-    def parities(one: str) -> Column:
-        return F.expr(f"aggregate(t, 0L, (s, x) -> s ^ shiftleft({one}, cast(x & 63 as int)))")
-
-    half, quarter = "shiftrightunsigned(x, 6) & 1L", "shiftrightunsigned(x, 6) & 3L"
-    long = F.col("n") > LONG
-    wide = {"s0": F.when(long, parities(f"cast(({quarter}) = 0 as bigint)")), "r0": F.when(long, parities(f"cast(({quarter}) = 1 as bigint)"))}
-    return {"s": parities(f"1L - ({half})"), "r": parities(half)} | wide
-
-
-def lines_of(documents: DataFrame) -> DataFrame:
-    """d, pos and line of the lines that aren't blank."""
-    every = documents.select("d", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return every.where(F.btrim("line", F.lit(" " + SPACES)) != "")
-
-
 def _few(listed: DataFrame) -> DataFrame:
     """A written table, marked for broadcasting if it is counted to have few rows."""
     return F.broadcast(listed) if listed.count() <= BROADCAST_LINES else listed
@@ -118,52 +101,64 @@ def _tokens_at(documents: DataFrame, places: DataFrame) -> DataFrame:
     return held.where("line is not null").select("d", "pos", tokens(F.col("line")).alias("tokens"))
 
 
-def _rarity(windows: DataFrame) -> tuple[DataFrame, Column]:
-    """The tokens of many lines, and for a token the class of its slot. windows: a column t of tokens."""
-    counted = windows.select(F.explode("t").alias("token")).groupBy("token").agg(F.count("*").alias("many"))
-    counted = counted.where(F.col("many") >= LEAST).select("token", "many", F.floor(F.log2("many")).cast("int").alias("class"))
-    counted = materialize(counted, "token-counts")
-    listed, least = 0, 64
-    for row in counted.groupBy("class").count().orderBy(F.desc("class")).collect():  # a row for each power of two
-        listed += row["count"]
-        if listed > 1 << LISTED_BITS:
-            break
-        least = row["class"]
-    slot = F.shiftrightunsigned("token", 64 - SLOT_BITS).cast("int").alias("slot")
-    top = counted.where(F.col("class") >= least).groupBy(slot).agg(F.least(F.max("class") - (least - 1), F.lit(31)).alias("class"))
-    table = bytearray(1 << SLOT_BITS)
-    for row in top.collect():  # 2 ** LISTED_BITS rows at most
-        table[row["slot"]] = row["class"]
-    held = F.lit(table)
-
-    def class_of(token: Column) -> Column:
-        at = F.shiftrightunsigned(token, 64 - SLOT_BITS).cast("int") + 1
-        return F.ascii(F.substring(held, at, F.lit(1)).cast("string")).cast("long")
-
-    return counted.where(F.col("many") > HEAVY).select("token"), class_of
-
-
-def _candidates(a: DataFrame, b: DataFrame, depth: int) -> DataFrame:
-    """Pairs of an earlier line of a and a later one of b that share a key of depth tokens and pass the filters. A line looks
-    for lines earlier than e: its own document, or less than any for one that is known to go."""
-    a, b = (x.withColumn("left", F.col("n") - F.col("nx") - F.col("i")) for x in (a, b))
-    a = a.select("key", *(F.col(c).alias(f"a{c}") for c in (*LINE, "e", "left")))
-    b = b.select("key", *(F.col(c).alias(f"b{c}") for c in (*LINE, "e", "left")))
-    # what two similar lines share in their windows is needed(n, m) at least; written without divisions, for it is asked often
-    sizes, out = "4 * (an + bn)", "greatest(anx, bnx)"
-    differ = "bit_count(as ^ bs) + bit_count(ar ^ br)"
-    wide = "bit_count(as0 ^ bs0) + bit_count(as0 ^ bs0 ^ as ^ bs) + bit_count(ar0 ^ br0) + bit_count(ar0 ^ br0 ^ ar ^ br)"
-    alike = lambda bits: f"9 * shiftright(an - anx + bn - bnx + 2 * {out} - ({bits}), 1) >= {sizes}"
-    near = (
-        f"an * {DEN} >= bn * {NUM} and bn * {DEN} >= an * {NUM} and 9 * (least(aleft, bleft) + {out} + {depth - 1}) >= {sizes} "
-        f"and (ad < be or (ad = be and apos < bpos)) and {alike(differ)} and (as0 is null or bs0 is null or {alike(wide)})"
+def _level(total: Column) -> Column:
+    """The level of n + m tokens: the least j for which (n + m) / 9 is under 2 ** j."""
+    least = F.floor((total + 9) / 9).cast("long")
+    return F.when(least <= 1, 0).otherwise(F.length(F.bin(least - 1)))
+
+
+def _keyed(parts: DataFrame) -> DataFrame:
+    """key, d, p (line number and tokens in one number), s and r (sketches) of each line and key. parts: d, pos and tokens t."""
+    low = (1 << SLOT_BITS) - 1
+    n = F.size("t")
+    most = 2 * n + F.shiftright(n, 2)  # n + m at most; at least it is 2 n less what a similar line may lack
+    rows = parts.select("d", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(n.cast("long")).alias("p"), "t", most.alias("most"), n.alias("n"))
+    bit = f"shiftleft({{}}, cast(shiftright(x, {SLOT_BITS}) & 63 as int))"
+    fold = lambda one: F.expr(f"aggregate(t, 0L, (a, x) -> a ^ {bit.format(one)})")
+    rows = rows.withColumns({"s": fold("1L"), "r": F.when(F.col("n") > LONG, fold(f"shiftright(x, {SLOT_BITS + 6}) & 1L"))})
+    rows = rows.withColumn("level", F.explode(F.sequence(_level(2 * F.col("n") - lacking(F.col("n"))), _level(F.col("most")))))
+    rows = rows.withColumn("buckets", F.expr(f"if(level = 0, 1L, shiftleft(3L, level - 1) + {LEAST})"))
+    rows = rows.withColumn("kept", F.expr("cast(least(shiftleft(9L, level) - 1, most) div 9 as int) + 1"))
+    bucket = f"shiftright(shiftright({{}}, {SLOT_BITS + 17}) * buckets, 31)"  # in the order of t
+    rows = rows.withColumn("at", F.expr(f"filter(sequence(0, n - 1), i -> i = 0 or {bucket.format('t[i]')} <> {bucket.format('t[i - 1]')})"))
+    # a bucket is the sum of its tokens, whose low bits sum up the lengths; these lead the order
+    whole = "aggregate(sequence(x, coalesce(get(at, i + 1), n) - 1), level * 679535554816L, (a, y) -> (a + t[y]) & 4611686018427387903L)"
+    rows = rows.withColumn("filled", F.expr(f"transform(at, (x, i) -> {whole})"))
+    order = f"shiftleft(x & {low >> 1}, {64 - SLOT_BITS}) | shiftrightunsigned(x, {SLOT_BITS})"
+    keys = F.expr(f"slice(sort_array(transform(filled, x -> {order}), false), 1, kept)")
+    keys = F.when(F.size("filled") < F.col("kept"), F.array_append(keys, F.col("level").cast("long"))).otherwise(keys)
+    return rows.select(F.explode(keys).alias("key"), "d", "p", "s", "r")
+
+
+def _near(a: str, b: str) -> str:
+    """SQL for whether a row a of an earlier line and one b of a later line pass the bounds on sizes and sketches."""
+    n, m = (f"({x}p & 4294967295L)" for x in (a, b))
+    wide = f"bit_count({a}r ^ {b}r) + bit_count({a}s ^ {b}s ^ {a}r ^ {b}r)"
+    return (
+        f"({a}d < {b}d or ({a}d = {b}d and shiftright({a}p, 32) < shiftright({b}p, 32))) and {n} * {DEN} >= {m} * {NUM} and {m} * {DEN} >= {n} * {NUM} "
+        f"and 9 * bit_count({a}s ^ {b}s) <= {n} + {m} and ({a}r is null or {b}r is null or 9 * ({wide}) <= {n} + {m})"
     )
-    return a.join(b, "key").where(near).select("ad", "apos", "ae", "bd", "bpos").distinct()  # with ae both sides hold the same columns, and one exchange serves both
 
 
-def _similar(documents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """d and pos of the later lines of pairs whose Jaccard similarity is high enough."""
-    pairs = materialize(pairs, "line-pairs")
+def _met(keyed: DataFrame) -> DataFrame:
+    """The rows that meet something: those with candidates, the places of earlier lines of their key that pass (found), and
+    those of keys of more lines than each meets here (rank, many; null in others)."""
+    place = Window.partitionBy("key").orderBy("d", "p")
+    rows = keyed.withColumns({"rank": F.row_number().over(place), "next": F.lead("d").over(place)})
+    rows = rows.where("rank > 1 or next is not null").drop("next")
+    line = F.struct("d", "p", "s", "r")
+    before = F.collect_list(line).over(place.rowsBetween(-HEAVY, -1))
+    first, many = F.first(line).over(place), F.count("*").over(Window.partitionBy("key").orderBy("d", "p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = rows.select("key", "d", "p", "s", "r", "rank", first.alias("first"), before.alias("before"), many.alias("many"))
+    passing = F.expr(f"transform(filter(if(rank > {HEAVY} + 1, array_prepend(before, first), before), x -> {_near('x.', '')}), x -> struct(x.d as d, cast(shiftright(x.p, 32) as int) as pos))")
+    crowded = F.col("many") > HEAVY + 1
+    rows = rows.select(*(F.when(crowded, F.col(c)).alias(c) for c in ("key", "rank", "s", "r")), "d", "p", passing.alias("found"))
+    return materialize(rows.where("rank is not null or size(found) > 0"), "met-lines", random=True)
+
+
+def _verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """d and pos of the later lines of pairs (ad, apos, bd, bpos) whose Jaccard similarity is high enough."""
+    pairs = materialize(pairs.distinct(), "line-pairs")
     places = materialize(pairs.selectExpr("ad as d", "apos as pos").unionByName(pairs.selectExpr("bd as d", "bpos as pos")).distinct(), "line-places")
     held = materialize(_tokens_at(documents, places), "line-tokens")
     left, right = held.selectExpr("d as ad", "pos as apos", "tokens as at"), held.selectExpr("d as bd", "pos as bpos", "tokens as bt")
@@ -175,76 +170,46 @@ def _similar(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     return found
 
 
-def _similar_to_many(documents: DataFrame, prefixes: DataFrame, rows: DataFrame) -> DataFrame:
-    """d and pos of lines that resemble an earlier one with which they share a key of many lines. rows: key, d, pos, n, i and the sketch."""
-    found = []
-    for depth in range(1, DEPTH + 1):
-        if not rows.count():
-            break
-        first = rows.groupBy("key").agg(F.min(F.struct(*LINE, "e", "i")).alias("first")).select("key", "first.*")
-        found.append(_similar(documents, _candidates(first, rows, depth)))
-        known = reduce(DataFrame.unionByName, found).distinct()
-        still = materialize(rows.join(known, ["d", "pos"], "left_anti"), "open-rows")
-        if depth == DEPTH:
-            found.append(_similar(documents, _candidates(rows, still, depth)))
-            break
-        keys = still.select("key").distinct()
-        further = rows.join(keys, "key", "left_semi").join(prefixes.select("d", "pos", "t"), ["d", "pos"])
-        further = further.select("key", *LINE, "e", F.posexplode(F.slice("t", F.lit(1), lacking(F.col("n")) + (depth + 1))).alias("j", "token"), "i")
-        further = materialize(further.where("j > i").select(F.hash("key", "token").alias("key"), *LINE, "e", F.col("j").alias("i")), "further-rows")
-        held = further.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
-        further = further.join(held, "key")
-        few = further.where(F.col("many") <= HEAVY).drop("many")
-        found.append(_similar(documents, _candidates(few, few.join(known, ["d", "pos"], "left_anti"), depth + 1)))
-        rows = materialize(further.where(F.col("many") > HEAVY).drop("many"), "heavy-rows")
-    return reduce(DataFrame.unionByName, found) if found else rows.select("d", "pos").limit(0)
+def _equal_lines(documents: DataFrame) -> DataFrame:
+    """d, pos and hash of the lines whose text stands at an earlier place."""
+    every = documents.select("d", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(~_blank("line"))
+    every = every.select("d", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
+    firsts = every.groupBy("h", "g").agg(F.min(F.struct("d", "pos")).alias("first"), F.count("*").alias("many")).where("many > 1").drop("many")
+    firsts = _few(materialize(firsts, "first-lines"))
+    return materialize(every.join(firsts, ["h", "g"]).where("d <> first.d or pos <> first.pos").select("d", "pos", "h"), "equal-lines")
 
 
 def repeated_lines(documents: DataFrame) -> DataFrame:
     """d and pos of each line that an earlier line equals or resembles. documents: d (bigint, not null) and text."""
-    parts = lines_of(documents).select("d", "pos", tokens(F.col("line")).alias("t"))
-    parts = parts.select("d", "pos", F.struct(F.xxhash64("t").alias("a"), F.xxhash64(F.lit(1), "t").alias("b")).alias("h"), F.size("t").alias("n"), F.slice("t", F.lit(1), window(F.size("t"))).alias("t"))
-    parts = materialize(parts.withColumns(_sketch() | {"nx": F.col("n") - F.size("t")}), "lines", random=True)
-
-    # of lines of equal token sets the first stays
-    firsts = parts.groupBy("h").agg(F.min(F.struct("d", "pos")).alias("first"), F.count("*").alias("many")).where("many > 1").drop("many")
-    firsts = _few(materialize(firsts, "first-lines"))
-    marked = parts.join(firsts, "h", "left")
-    here = (F.col("d") == F.col("first.d")) & (F.col("pos") == F.col("first.pos"))
-    equal = materialize(marked.where(F.col("first").isNotNull() & ~here).select("d", "pos"), "equal-lines")
-    distinct = marked.where(F.col("first").isNull() | here)
-
-    # the rarest tokens of each; lines of fewer than four tokens resemble none but their equals
-    heavy, class_of = _rarity(distinct)
-    ordered = F.sort_array(F.transform("t", lambda x: F.shiftleft(class_of(x), TOKEN_BITS).bitwiseOR(F.shiftrightunsigned(x, 64 - TOKEN_BITS))))
-    prefixes = distinct.where("n >= 4").select(*LINE, F.slice(ordered, F.lit(1), lacking(F.col("n")) + DEPTH).alias("t"))
-    prefixes = materialize(prefixes, "line-prefixes", random=True)
-    discard(parts)
-    near = _near_copies(documents, prefixes)
-    looks = F.when(F.col("known").isNull(), F.col("d")).otherwise(F.lit(LOWEST))
-    left = prefixes.join(_few(near).withColumn("known", F.lit(True)), ["d", "pos"], "left").withColumn("e", looks)
-    rows = left.select(*LINE, "e", F.posexplode(F.slice("t", F.lit(1), lacking(F.col("n")) + 1)).alias("i", "token"))
-    rows = rows.withColumn("token", F.col("token").bitwiseAND(F.lit((1 << TOKEN_BITS) - 1)))
-    heavy = _few(materialize(heavy.select(F.shiftrightunsigned("token", 64 - TOKEN_BITS).alias("token")), "heavy-tokens"))
-    rows = rows.withColumn("key", F.hash("token"))  # tokens that collide only make a few more rows meet
-    heavy = rows.join(heavy, "token", "left_semi").groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > HEAVY)
-    heavy = _few(materialize(heavy.select("key"), "heavy-keys"))
-    rows = rows.drop("token")
-    few = rows.join(heavy, "key", "left_anti")
-    found = _similar(documents, _candidates(few, few, 1))
-    many = materialize(rows.join(heavy, "key", "left_semi"), "heavy-rows")
-    return equal.unionByName(near).unionByName(found).unionByName(_similar_to_many(documents, prefixes, many)).distinct()
-
-
-def _near_copies(documents: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """d and pos of lines that resemble the first line with which they share two of their three rarest tokens. Only spares
-    work: a group of many near copies then makes a pair a line, and no pair of all with all."""
-    two = F.array(*(F.hash(F.get("t", F.lit(a)), F.get("t", F.lit(b))) for a, b in ((0, 1), (0, 2), (1, 2))))
-    rows = prefixes.select(*LINE, F.lit(0).alias("i"), F.col("d").alias("e"), F.explode(two).alias("key"))
-    shared = materialize(rows.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") >= CROWD).select("key"), "shared-pairs")
-    rows = materialize(rows.join(_few(shared), "key", "left_semi"), "crowded-rows")
-    first = rows.groupBy("key").agg(F.min(F.struct(*LINE, "e", "i")).alias("first")).select("key", "first.*")
-    return _similar(documents, _candidates(first, rows, 1))
+    equal = _equal_lines(documents)
+    few = equal.count() <= BROADCAST_LINES
+    gone = equal.groupBy("d").agg(F.collect_set(F.struct("pos", "h")).alias("gone"))
+    every = documents.join(F.broadcast(gone) if few else gone, "d", "left").select("d", "gone", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    every = every.where("gone is null or not array_contains(gone, named_struct('pos', pos, 'h', xxhash64(line)))")
+    parts = every.where(~_blank("line")).select("d", "pos", F.sort_array(F.array_distinct(F.transform(words(F.col("line")), _sized))).alias("t"))
+    met = _met(_keyed(parts))
+
+    # one candidate for each key at first, then all that passed, for the lines that these don't settle
+    pairs = ("ad", "apos", "bd", "bpos")
+    met = met.withColumn("pos", F.expr("cast(shiftright(p, 32) as int)"))
+    settled = [_verified(documents, met.where("size(found) > 0").selectExpr("found[0].d", "found[0].pos", "d", "pos").toDF(*pairs))]
+    still = met.join(settled[0], ["d", "pos"], "left_anti")
+    settled.append(_verified(documents, still.select(F.explode("found").alias("a"), "d", "pos").select("a.d", "a.pos", "d", "pos").toDF(*pairs)))
+
+    # in large keys the lines further before, then those before these, and all at last: who finds one needs no others
+    line = ("d", "p", "s", "r", "rank")
+    a = met.where("rank is not null").select("key", *(F.col(c).alias(f"a{c}") for c in line))
+    reach = HEAVY
+    for wider in (8 * HEAVY, 64 * HEAVY, 1 << 31):
+        known = reduce(DataFrame.unionByName, settled).distinct()
+        b = met.where(F.col("rank") > reach + 1).join(known, ["d", "pos"], "left_anti").select("key", *(F.col(c).alias(f"b{c}") for c in line))
+        b = materialize(b, "open-lines")
+        if b.isEmpty():
+            break
+        crowd = a.join(b, "key").where(f"brank - arank > {reach} and brank - arank <= {wider}L and {_near('a', 'b')}")
+        settled.append(_verified(documents, crowd.selectExpr("ad", "cast(shiftright(ap, 32) as int)", "bd", "cast(shiftright(bp, 32) as int)").toDF(*pairs)))
+        reach = wider
+    return reduce(DataFrame.unionByName, settled, equal.select("d", "pos")).distinct()
 
 
 def dedup_lines(documents: DataFrame, counts: bool = True) -> DataFrame:

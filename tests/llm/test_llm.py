@@ -410,6 +410,21 @@ def test_common_tokens_meet_by_their_first_line(spark, monkeypatch, heavy):
     assert {x["doc_id"]: x["n_removed"] for x in got} == brute_lines(rows)
 
 
+def test_near_copies_of_a_line_make_few_pairs(spark, monkeypatch):
+    """200 lines that all resemble each other, each with two words of its own: no pair of all with all is made."""
+    rows = [(k, " ".join([f"w{i}" for i in range(38)] + [f"own{k}", f"own{k}x"])) for k in range(200)]
+    made, write = [], lines.materialize
+
+    def counted(df, name, **options):
+        table = write(df, name, **options)
+        made.append(table.count() if name == "line-pairs" else 0)
+        return table
+
+    monkeypatch.setattr(lines, "materialize", counted)
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").count()
+    assert got == 199 and sum(made) <= 20 * len(rows)
+
+
 def test_prefixes_hold_what_similar_lines_share(spark):
     """For all sizes: a token within the first k + 1 of a window is shared, and the least shared numbers allow three at once."""
     n, m = F.col("n").cast("int"), F.col("m").cast("int")
