@@ -71,3 +71,12 @@ def test_other_columns_keep_their_values(spark, tmp_path):
         assert left and now.columns == ["doc_id", "text", "lang", "source", "n_chars", *names]
         assert all(tuple(r[n] for n in names) == tuple(100 * r["doc_id"] + k for k in range(len(names))) for r in left), name
     assert {r["doc_id"] for r in left} == set(range(8)) - {3}
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    """Near the end of a long pipeline an executor has little memory beside its heap."""
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", "cast(id as string) as text")
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    corpus_pipeline.small_batches(spark)
+    sizes = docs.mapInArrow(lambda batches: (b.slice(0, 1).set_column(0, "doc_id", [[b.num_rows]]) for b in batches), "doc_id long, text string")
+    assert max(x["doc_id"] for x in sizes.collect()) <= corpus_pipeline.BATCH_ROWS
