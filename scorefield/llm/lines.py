@@ -193,7 +193,7 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
     pairs = ("ad", "apos", "bd", "bpos")
     met = met.withColumn("pos", F.expr("cast(shiftright(p, 32) as int)"))
     settled = [_verified(documents, met.where("size(found) > 0").selectExpr("found[0].d", "found[0].pos", "d", "pos").toDF(*pairs))]
-    still = met.join(settled[0], ["d", "pos"], "left_anti")
+    still = met.where("size(found) > 1").join(settled[0], ["d", "pos"], "left_anti")
     settled.append(_verified(documents, still.select(F.explode("found").alias("a"), "d", "pos").select("a.d", "a.pos", "d", "pos").toDF(*pairs)))
 
     # in large keys the lines further before, then those before these, and all at last: who finds one needs no others
