@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -78,5 +79,5 @@ def test_texts_go_to_python_in_small_batches(spark):
     docs = spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", "cast(id as string) as text")
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     corpus_pipeline.small_batches(spark)
-    sizes = docs.mapInArrow(lambda batches: (b.slice(0, 1).set_column(0, "doc_id", [[b.num_rows]]) for b in batches), "doc_id long, text string")
-    assert max(x["doc_id"] for x in sizes.collect()) <= corpus_pipeline.BATCH_ROWS
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long").collect()
+    assert sum(x["n"] for x in sizes) == 3000 and max(x["n"] for x in sizes) <= corpus_pipeline.BATCH_ROWS
