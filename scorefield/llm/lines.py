@@ -6,18 +6,20 @@ more. Lines of the same text are collapsed to their first place; all others meet
 Which keys. Two similar lines of n and m tokens differ in at most (n + m) / 9 tokens, both ways together. Deal the tokens of a
 line into buckets by their hashes; a token that differs spoils one bucket, so of the filled buckets of each line all but
 (n + m) / 9 are the same in the other, tokens and all. Take these whole buckets as the elements of a line, in an order that
-depends on their content only: within the first (n + m) / 9 + 1 of both lines there is a common one (prefix filter). The order
+depends on their content only: within the first (n + m) / 9 + 2 of both lines there are two common ones (prefix filter). The order
 puts buckets of many letters first, for long words are rare and several words together rarer; so a key has few lines, where
-single words have ever more as the corpus grows. A line of fewer filled buckets than that has one key more, the same for all
-such lines.
+single words have ever more as the corpus grows. Two further elements that all lines of a level have come last in the order, so
+that a line of fewer filled buckets has keys enough.
 
 How many buckets depends on n + m, in classes (levels) that double: a line takes part in the level of its least and of its
 greatest possible n + m, which are the same or neighbours.
 
 Lines of one key are sorted by place. Each meets the first and the HEAVY lines before it; sizes and a sketch (64 or 128
 parities of the tokens, of which similar lines differ in no more than in tokens) leave nearly only similar ones, which are
-verified on all their tokens, one for each key. A line that is not found so meets all the rest: what else passed the sketch, and in
-larger keys the lines further before, in three steps, the last without end. So a group of near copies makes a few pairs a line.
+verified on all their tokens, one for each key, and what else passed for lines that are not found so. That is all for keys of so
+few lines. Similar lines that share no such key share two keys of more lines: each two of a line's larger keys make a key
+together, which few lines share, and these meet in the same way. Where even those are large, a line that is still not found meets
+the lines further before, in three steps, the last without end. So a group of near copies makes a few pairs a line.
 """
 
 from functools import reduce
@@ -30,11 +32,13 @@ from .common import LOWEST, discard, materialize, read_table
 #: The similarity as a fraction, so that bounds are exact.
 NUM, DEN = 4, 5
 #: How many lines before it a line of a key meets at first, besides the first one.
-HEAVY = 8
+HEAVY = 16
 #: The most tokens that two similar lines share for certain in their windows.
 DEPTH = 3
-#: Low bits of a token that hold the length of its word, and how many buckets a level has beyond 1.5 times the least number.
-SLOT_BITS, LEAST = 8, 2
+#: Low bits of a token that hold the length of its word, and how many buckets a level has beyond the least number.
+SLOT_BITS, LEAST = 8, 4
+#: Low bits of a key that hold its level.
+LEVEL_BITS = 5
 #: Lines of more tokens than this carry a second sketch.
 LONG = 64
 SPACES = "\t\x0b\x0c\r"
@@ -116,18 +120,30 @@ def _keyed(parts: DataFrame) -> DataFrame:
     bit = f"shiftleft({{}}, cast(shiftright(x, {SLOT_BITS}) & 63 as int))"
     fold = lambda one: F.expr(f"aggregate(t, 0L, (a, x) -> a ^ {bit.format(one)})")
     rows = rows.withColumns({"s": fold("1L"), "r": F.when(F.col("n") > LONG, fold(f"shiftright(x, {SLOT_BITS + 6}) & 1L"))})
-    rows = rows.withColumn("level", F.explode(F.sequence(_level(2 * F.col("n") - lacking(F.col("n"))), _level(F.col("most")))))
-    rows = rows.withColumn("buckets", F.expr(f"if(level = 0, 1L, shiftleft(3L, level - 1) + {LEAST})"))
-    rows = rows.withColumn("kept", F.expr("cast(least(shiftleft(9L, level) - 1, most) div 9 as int) + 1"))
-    bucket = f"shiftright(shiftright({{}}, {SLOT_BITS + 17}) * buckets, 31)"  # in the order of t
-    rows = rows.withColumn("at", F.expr(f"filter(sequence(0, n - 1), i -> i = 0 or {bucket.format('t[i]')} <> {bucket.format('t[i - 1]')})"))
+    rows = rows.withColumn("level", F.explode_outer(F.sequence(_level(2 * F.col("n") - lacking(F.col("n"))), _level(F.col("most")))))
+    rows = rows.withColumn("buckets", F.expr(f"if(level = 0, 1L, shiftleft(1L, level) + {LEAST})"))
+    rows = rows.withColumn("kept", F.expr("cast(least(shiftleft(9L, level) - 1, most) div 9 as int) + 2"))
+    rows = rows.withColumn("of", F.expr(f"transform(t, x -> shiftright(shiftright(x, {SLOT_BITS + 17}) * buckets, 31))"))  # in the order of t
+    rows = rows.withColumn("at", F.expr("transform(array_distinct(of), x -> cast(array_position(of, x) as int))"))
     # a bucket is the sum of its tokens, whose low bits sum up the lengths; these lead the order
-    whole = "aggregate(sequence(x, coalesce(get(at, i + 1), n) - 1), level * 679535554816L, (a, y) -> (a + t[y]) & 4611686018427387903L)"
-    rows = rows.withColumn("filled", F.expr(f"transform(at, (x, i) -> {whole})"))
-    order = f"shiftleft(x & {low >> 1}, {64 - SLOT_BITS}) | shiftrightunsigned(x, {SLOT_BITS})"
-    keys = F.expr(f"slice(sort_array(transform(filled, x -> {order}), false), 1, kept)")
-    keys = F.when(F.size("filled") < F.col("kept"), F.array_append(keys, F.col("level").cast("long"))).otherwise(keys)
-    return rows.select(F.explode(keys).alias("key"), "d", "p", "s", "r")
+    whole = "aggregate(slice(t, x, coalesce(get(at, i + 1), n + 1) - x), 0L, (a, y) -> (a + y) & 4611686018427387903L)"
+    order = f"shiftleft(x & {low >> 1}, {64 - SLOT_BITS}) | shiftleft(shiftrightunsigned(x, {SLOT_BITS + LEVEL_BITS}), {LEVEL_BITS}) | level"
+    keys = F.expr(f"sort_array(transform(transform(at, (x, i) -> {whole}), x -> {order}), false)")
+    # the two elements of all lines; on level 0 similar lines have the same tokens, so the bucket gives them
+    last = [F.when(F.col("level") == 0, F.get("keys", F.lit(0)) + F.lit(k << LEVEL_BITS)).otherwise(F.col("level").cast("long") - F.lit(k << LEVEL_BITS)) for k in (1, 2)]
+    rows = rows.withColumn("keys", keys).withColumn("keys", F.slice(F.concat("keys", F.array(*last)), 1, F.col("kept")))
+    # explode_outer, as Spark filters by the size of what explode gets and works it out once more for that; here and below none is empty
+    return rows.select(F.explode_outer("keys").alias("key"), "d", "p", "s", "r")
+
+
+def _paired(met: DataFrame, settled: DataFrame) -> DataFrame:
+    """Each two of a line's keys of many lines as one key, with d, p, s, r, and open: if the line is not among the settled ones.
+    met: as _met gives it. settled: a written table."""
+    level = F.expr(f"key & {(1 << LEVEL_BITS) - 1}").alias("level")
+    held = met.where("rank is not null").groupBy("d", "p", "pos", "s", "r", level).agg(F.sort_array(F.collect_set("key")).alias("keys")).where("size(keys) > 1")
+    held = held.join(_few(settled.withColumn("open", F.lit(False))), ["d", "pos"], "left").withColumn("open", F.coalesce("open", F.lit(True)))
+    ones = held.select("d", "p", "s", "r", "open", "keys", F.posexplode("keys").alias("i", "one"))
+    return ones.select("d", "p", "s", "r", "open", "one", F.explode_outer(F.expr("slice(keys, i + 2, size(keys))")).alias("other")).where("other is not null").select(F.xxhash64("one", "other").alias("key"), "d", "p", "s", "r", "open")
 
 
 def _near(a: str, b: str) -> str:
@@ -142,15 +158,17 @@ def _near(a: str, b: str) -> str:
 
 def _met(keyed: DataFrame) -> DataFrame:
     """The rows that meet something: those with candidates, the places of earlier lines of their key that pass (found), and
-    those of keys of more lines than each meets here (rank, many; null in others)."""
+    those of keys of more lines than each meets here (rank; null in others). Only open lines look for candidates, and keys
+    without an open line are left out."""
     place = Window.partitionBy("key").orderBy("d", "p")
     rows = keyed.withColumns({"rank": F.row_number().over(place), "next": F.lead("d").over(place)})
     rows = rows.where("rank > 1 or next is not null").drop("next")
     line = F.struct("d", "p", "s", "r")
     before = F.collect_list(line).over(place.rowsBetween(-HEAVY, -1))
-    first, many = F.first(line).over(place), F.count("*").over(Window.partitionBy("key").orderBy("d", "p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = rows.select("key", "d", "p", "s", "r", "rank", first.alias("first"), before.alias("before"), many.alias("many"))
-    passing = F.expr(f"transform(filter(if(rank > {HEAVY} + 1, array_prepend(before, first), before), x -> {_near('x.', '')}), x -> struct(x.d as d, cast(shiftright(x.p, 32) as int) as pos))")
+    whole = place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first, many, wanted = F.first(line).over(place), F.count("*").over(whole), F.max("open").over(whole)
+    rows = rows.select("key", "d", "p", "s", "r", "open", "rank", first.alias("first"), before.alias("before"), many.alias("many"), wanted.alias("wanted")).where("wanted")
+    passing = F.expr(f"transform(filter(case when not open then slice(before, 1, 0) when rank > {HEAVY} + 1 then array_prepend(before, first) else before end, x -> {_near('x.', '')}), x -> struct(x.d as d, cast(shiftright(x.p, 32) as int) as pos))")
     crowded = F.col("many") > HEAVY + 1
     rows = rows.select(*(F.when(crowded, F.col(c)).alias(c) for c in ("key", "rank", "s", "r")), "d", "p", passing.alias("found"))
     return materialize(rows.where("rank is not null or size(found) > 0"), "met-lines", random=True)
@@ -172,7 +190,7 @@ def _verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _equal_lines(documents: DataFrame) -> DataFrame:
     """d, pos and hash of the lines whose text stands at an earlier place."""
-    every = documents.select("d", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(~_blank("line"))
+    every = documents.select("d", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line")).where(~_blank("line"))
     every = every.select("d", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
     firsts = every.groupBy("h", "g").agg(F.min(F.struct("d", "pos")).alias("first"), F.count("*").alias("many")).where("many > 1").drop("many")
     firsts = _few(materialize(firsts, "first-lines"))
@@ -184,25 +202,26 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
     equal = _equal_lines(documents)
     few = equal.count() <= BROADCAST_LINES
     gone = equal.groupBy("d").agg(F.collect_set(F.struct("pos", "h")).alias("gone"))
-    every = documents.join(F.broadcast(gone) if few else gone, "d", "left").select("d", "gone", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    every = documents.join(F.broadcast(gone) if few else gone, "d", "left").select("d", "gone", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
     every = every.where("gone is null or not array_contains(gone, named_struct('pos', pos, 'h', xxhash64(line)))")
     parts = every.where(~_blank("line")).select("d", "pos", F.sort_array(F.array_distinct(F.transform(words(F.col("line")), _sized))).alias("t"))
-    met = _met(_keyed(parts))
+    met = _met(_keyed(parts).withColumn("open", F.lit(True))).withColumn("pos", F.expr("cast(shiftright(p, 32) as int)"))
 
-    # one candidate for each key at first, then all that passed, for the lines that these don't settle
+    # one candidate for each key at first, then all that passed and those of paired keys, for the lines that these don't settle
     pairs = ("ad", "apos", "bd", "bpos")
-    met = met.withColumn("pos", F.expr("cast(shiftright(p, 32) as int)"))
     settled = [_verified(documents, met.where("size(found) > 0").selectExpr("found[0].d", "found[0].pos", "d", "pos").toDF(*pairs))]
-    still = met.where("size(found) > 1").join(settled[0], ["d", "pos"], "left_anti")
+    joint = _met(_paired(met, settled[0])).withColumn("pos", F.expr("cast(shiftright(p, 32) as int)"))
+    more = met.where("size(found) > 1").select("d", "pos", "found").unionByName(joint.where("size(found) > 0").select("d", "pos", "found"))
+    still = more.join(settled[0], ["d", "pos"], "left_anti")
     settled.append(_verified(documents, still.select(F.explode("found").alias("a"), "d", "pos").select("a.d", "a.pos", "d", "pos").toDF(*pairs)))
 
-    # in large keys the lines further before, then those before these, and all at last: who finds one needs no others
+    # in large paired keys the lines further before, then those before these, and all at last: who finds one needs no others
     line = ("d", "p", "s", "r", "rank")
-    a = met.where("rank is not null").select("key", *(F.col(c).alias(f"a{c}") for c in line))
+    a = joint.where("rank is not null").select("key", *(F.col(c).alias(f"a{c}") for c in line))
     reach = HEAVY
     for wider in (8 * HEAVY, 64 * HEAVY, 1 << 31):
         known = reduce(DataFrame.unionByName, settled).distinct()
-        b = met.where(F.col("rank") > reach + 1).join(known, ["d", "pos"], "left_anti").select("key", *(F.col(c).alias(f"b{c}") for c in line))
+        b = joint.where(F.col("rank") > reach + 1).join(known, ["d", "pos"], "left_anti").select("key", *(F.col(c).alias(f"b{c}") for c in line))
         b = materialize(b, "open-lines")
         if b.isEmpty():
             break

@@ -425,6 +425,26 @@ def test_near_copies_of_a_line_make_few_pairs(spark, monkeypatch):
     assert got == 199 and sum(made) <= 20 * len(rows)
 
 
+def test_lines_of_large_keys_meet_by_two_keys(spark, monkeypatch):
+    """Lines share every single word with many others, but two of them with few: no row is left to meet all lines of its keys."""
+    r = random.Random(5)
+    rows = [(k, " ".join(f"{'abcdefghijklmnopqrst'[i]}{r.randrange(12)}" for i in range(20))) for k in range(400)]
+    rows += [(1000 + k, rows[k][1].replace(rows[k][1].split()[7], "other")) for k in range(0, 400, 20)]
+    large, left, write = [], [], lines.materialize
+
+    def counted(df, name, **options):
+        table = write(df, name, **options)
+        large.append(table.where("rank is not null").count() if name == "met-lines" else 0)
+        left.append(table.count() if name == "open-lines" else 0)
+        return table
+
+    monkeypatch.setattr(lines, "HEAVY", 2)
+    monkeypatch.setattr(lines, "materialize", counted)
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").collect()
+    assert {x["doc_id"]: x["n_removed"] for x in got} == brute_lines(rows) and len(got) == 20
+    assert max(large) > 200 and sum(left) < 20
+
+
 def test_prefixes_hold_what_similar_lines_share(spark):
     """For all sizes: a token within the first k + 1 of a window is shared, and the least shared numbers allow three at once."""
     n, m = F.col("n").cast("int"), F.col("m").cast("int")
