@@ -1,5 +1,6 @@
 """Joins over few, very common keys: the same rows as by brute force, and no join that grows with the square of a key."""
 
+import datetime as dt
 import itertools
 import random
 
@@ -40,3 +41,49 @@ def test_candidate_pairs_are_not_shuffled(spark):
     plan = J.candidate_pairs(spark.createDataFrame([(1, "a b"), (2, "b a")], "id int, name string"), "id", "name")._jdf.queryExecution().optimizedPlan().toString()
     above = plan.split("Join")[0]
     assert "Join" in plan and "Aggregate" not in above and "Repartition" not in above
+
+
+DAY = dt.date(2026, 4, 12)
+WORDS = ["Masters", "Valley", "Cup", "Tour", "open", "Crown"]
+
+
+def words(name) -> set:
+    return {w for w in (name or "").lower().split() if len(w) > 3 and w != "open"}
+
+
+def near(a, b) -> bool:
+    """(name, end, year) of two rows."""
+    return None not in (*a[1:], *b[1:]) and a[2] == b[2] and abs((a[1] - b[1]).days) <= 1 and bool(words(a[0]) & words(b[0]))
+
+
+def some(pick):
+    return (" ".join(pick.choice(WORDS) for _ in range(pick.randint(0, 2))) or None, pick.choice([None] + [DAY + dt.timedelta(days=i) for i in range(7)]), pick.choice([None, 1, 1, 2, 2]))
+
+
+def test_editions_against_brute_force(spark):
+    pick = random.Random(8)
+    own = lambda: pick.choice([None, "men", "women"])
+    events = [(str(i), *some(pick), own()) for i in [*range(80), 7]]
+    editions = [(f"e{i:02}", *some(pick), pick.random() < 0.1, str(pick.randint(0, 160)) if pick.random() < 0.4 else None, own(), pick.choice([None, False, False, True])) for i in [*range(50), 3]]
+    live = [r for r in editions if not r[7]]
+    want = []
+    for k, *e, d in events:
+        seen = {(r[0], *r[4:7], x[4]) for r in live for x in events if x[0] == k and near(x[1:4], r[1:4])}
+        canon = [r for r in seen if r[1]]
+        fits = [r for r in seen if r[4] is None or r[4] == r[3]]
+        exact = [r[0] for r in live if r[5] == k]
+        if len(canon) == 1:
+            want.append((k, canon[0][0], "canonical", tuple(sorted({r[0] for r in seen if not r[1]} - {canon[0][0]}))))
+        else:
+            want.append((k, min(exact), "exact_id", ()) if exact else (k, fits[0][0], "unique", ()) if len(fits) == 1 else (k, None, None, ()))
+    a = spark.createDataFrame(events, "k string, name string, end date, year int, division string")
+    b = spark.createDataFrame(editions, "e string, name string, end date, year int, canonical boolean, provider string, division string, superseded boolean")
+    got = J.match_editions(a, b, "k", "e", "name", "end", "year", "canonical", "provider", "division", "superseded").collect()
+    assert sorted(map(str, want)) == sorted(str((*r[:3], tuple(r[3]))) for r in got)
+    assert {w[2] for w in want} == {None, "canonical", "exact_id", "unique"} and any(w[3] for w in want)
+
+
+def test_editions_of_a_common_word_are_no_pairs(spark):
+    rows = lambda k, n: spark.range(n).selectExpr(f"id AS {k}", "'Valley Cup' AS name", "DATE '2026-04-12' AS end", "1 AS year", "id % 3 AS division", "id % 2 = 0 AS canonical", "CAST(NULL AS long) AS provider", "false AS superseded")
+    found = J.match_editions(rows("k", 2000).select("k", "name", "end", "year", "division"), rows("e", 2000), "k", "e", "name", "end", "year", "canonical", "provider", "division", "superseded")
+    assert {tuple(r[1:3]) for r in found.collect()} == {(None, None)} and most_joined(found) <= 2000
