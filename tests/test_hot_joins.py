@@ -60,6 +60,25 @@ def some(pick):
     return (" ".join(pick.choice(WORDS) for _ in range(pick.randint(0, 2))) or None, pick.choice([None] + [DAY + dt.timedelta(days=i) for i in range(7)]), pick.choice([None, 1, 1, 2, 2]))
 
 
+def test_events_with_one_candidate(spark):
+    pick = random.Random(3)
+    a, b = [(i if i else None, *some(pick)) for i in [*range(200), 5, 6]], [(i if i else None, *some(pick)) for i in [*range(20), 5]]
+    want = set()
+    for k in {r[0] for r in a}:
+        found = {r[0] for r in b for x in a if x[0] == k and near(x[1:], r[1:])}
+        want |= {(k, *found)} if len(found) == 1 else set()
+    frame = lambda rows, k: spark.createDataFrame(rows, f"{k} int, name string, end date, year int")
+    got = J.match_events(frame(a, "a"), frame(b, "b"), "year", "end", "name", "a", "b", generic=["open"]).collect()
+    assert len(got) == len(want) > 5 and set(map(tuple, got)) == want
+
+
+def test_events_of_a_common_word_are_no_pairs(spark):
+    rows = lambda k, n: spark.range(n).selectExpr(f"id AS {k}", "'Valley Cup' AS name", "DATE '2026-04-12' AS end", "1 AS year")
+    found = J.match_events(rows("a", 2000), rows("b", 2000), "year", "end", "name", "a", "b")
+    assert found.collect() == [] and most_joined(found) <= 2000
+    assert J.match_events(rows("a", 2000), rows("b", 1), "year", "end", "name", "a", "b").count() == 2000
+
+
 def test_editions_against_brute_force(spark):
     pick = random.Random(8)
     own = lambda: pick.choice([None, "men", "women"])
