@@ -6,6 +6,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from . import aggregates as A
 from . import joins as J
 from . import windows as W
@@ -133,20 +134,53 @@ def champion_facts(winners: DataFrame, scores: DataFrame, items: DataFrame, stre
     return reduce(DataFrame.unionByName, out)
 
 
+#: Edges of a cell that all its points meet first, and how many times as many each later round has met.
+FIRST_EDGES, MORE_EDGES = 128, 16
+
+
 def near_boundary_join(points: DataFrame, rings: DataFrame, key: str, ring_key: str, reach: float, overlap: Column, least: float = 0.5) -> DataFrame:
     """The one ring whose boundary is within reach of a point and whose name agrees enough; several or none give no row.
-    Points: x, y; rings: ring; cells of the widened boxes make an equality."""
-    from ..functions.scalars import nearest_on_route
+    Points: x, y; rings: ring; cells of the widened boxes of the rings' edges make an equality.
 
-    size = reach * 4
-    box = {"_x0": "array_min(transform(ring, p -> p.x))", "_x1": "array_max(transform(ring, p -> p.x))", "_y0": "array_min(transform(ring, p -> p.y))", "_y1": "array_max(transform(ring, p -> p.y))"}
-    b = rings.withColumns({c: F.expr(e) for c, e in box.items()})
+    Points of crowded cells meet its edges in rounds, some at first and many times more in each later one. Who has met two rings that
+    are near has no row whatever the others are, and stays out of the rounds to come; who has met none or one meets them all. Each round is a
+    written table of a row a point with a near ring.
+    """
+    size, wide = reach * 2, reach * 1.001
+    nth = lambda by, *order: F.row_number().over(Window.partitionBy(by).orderBy(*order))  # noqa: E731  # tells rows of one key apart
+    same = F.when(F.col(ring_key).isNull(), -nth(ring_key, "ring")).otherwise(nth(ring_key, "ring"))
+    turned = F.concat(F.slice("ring", F.lit(2), F.greatest(F.size("ring") - 1, F.lit(0))), F.slice("ring", F.lit(1), F.lit(1)))
+    edge = F.zip_with("ring", turned, lambda a, b: F.struct(a["x"].alias("_ax"), a["y"].alias("_ay"), b["x"].alias("_bx"), b["y"].alias("_by"), F.sqrt(F.pow(b["x"] - a["x"], 2) + F.pow(b["y"] - a["y"], 2)).alias("_long")))
+    b = rings.withColumn("_same", same).select("*", F.inline(edge))
+    low, high = lambda c: F.least(f"_a{c}", f"_b{c}") - wide, lambda c: F.greatest(f"_a{c}", f"_b{c}") + wide
     for c in ("x", "y"):
-        b = b.withColumn(f"_c{c}", F.explode(F.sequence(F.floor((F.col(f"_{c}0") - reach) / size), F.floor((F.col(f"_{c}1") + reach) / size))))
-    m = points.withColumn("_cx", F.floor(F.col("x") / size)).withColumn("_cy", F.floor(F.col("y") / size)).join(b, ["_cx", "_cy"])
-    closed = F.concat("ring", F.slice("ring", F.lit(1), F.lit(1)))
-    m = m.withColumn("distance", nearest_on_route("x", "y", closed)["distance"]).where((F.col("distance") <= reach) & (overlap >= least))
-    return m.withColumn("_n", F.count("*").over(Window.partitionBy(key))).where("_n = 1").select(key, ring_key, "distance")
+        b = b.withColumn(f"_c{c}", F.explode(F.sequence(F.floor(low(c) / size), F.floor(high(c) / size))))
+    most = b.groupBy("_cx", "_cy").count().agg(F.max("count")).first()[0] or 0
+    cells = points.withColumn("_point", nth(key, "x", "y", F.xxhash64(*points.columns))).withColumn("_cx", F.floor(F.col("x") / size)).withColumn("_cy", F.floor(F.col("y") / size))
+    told = (ring_key, "_same", "_point")
+    ends = lambda lo, hi: [*(F.min(c).alias(f"_lo{i}") for i, c in enumerate(lo)), *(F.max(c).alias(f"_hi{i}") for i, c in enumerate(hi)), F.min("distance").alias("distance")]
+
+    def near(p: DataFrame, some: DataFrame) -> DataFrame:
+        x, y, ax, ay, bx, by = (F.col(c) for c in ("x", "y", "_ax", "_ay", "_bx", "_by"))
+        t = F.when(F.col("_long") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / F.pow("_long", 2)))).otherwise(0.0)
+        inside = x.between(low("x"), high("x")) & y.between(low("y"), high("y"))
+        m = p.join(some, ["_cx", "_cy"]).where(inside & (overlap >= least)).withColumn("_t", t)
+        m = m.withColumn("distance", F.sqrt(F.pow(x - ax - F.col("_t") * (bx - ax), 2) + F.pow(y - ay - F.col("_t") * (by - ay), 2))).where(F.col("distance") <= reach)
+        return m.groupBy(key).agg(*ends(told, told))
+
+    one = F.col("_lo0").eqNullSafe(F.col("_hi0")) & (F.col("_lo1") == F.col("_hi1")) & (F.col("_lo2") == F.col("_hi2"))
+    named = [key, F.col("_lo0").alias(ring_key), "distance"]
+    if most <= FIRST_EDGES:
+        return near(cells, b).where(one).select(*named)
+    order = Window.partitionBy("_cx", "_cy").orderBy(F.xxhash64(ring_key, "_ax", "_ay"), ring_key, "_same", "_ax", "_ay", "_bx", "_by")
+    dealt = written(b.withColumn("_nth", F.row_number().over(order)), "dealt-edges")
+    found, done, upto = None, 0, FIRST_EDGES
+    while done < most:
+        open_ = cells if found is None else cells.join(found.where(~one).select(key), key, "left_anti")
+        met = near(open_, dealt.where((F.col("_nth") > done) & (F.col("_nth") <= upto)))
+        met = met if found is None else found.unionByName(met).groupBy(key).agg(*ends([f"_lo{i}" for i in range(3)], [f"_hi{i}" for i in range(3)]))
+        found, done, upto = written(met, "near-rings"), upto, upto * MORE_EDGES
+    return found.where(one).select(*named)
 
 
 def item_intelligence(routes: DataFrame, features: DataFrame, by: Sequence[str], reach: float) -> DataFrame:

@@ -4,8 +4,11 @@ import datetime as dt
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from scorefield.functions.scalars import name_keys
 from scorefield.operators import joins as J
+from scorefield.operators import studies as U
 
 
 def most_joined(df) -> int:
@@ -106,3 +109,44 @@ def test_editions_of_a_common_word_are_no_pairs(spark):
     rows = lambda k, n: spark.range(n).selectExpr(f"id AS {k}", "'Valley Cup' AS name", "DATE '2026-04-12' AS end", "1 AS year", "id % 3 AS division", "id % 2 = 0 AS canonical", "CAST(NULL AS long) AS provider", "false AS superseded")
     found = J.match_editions(rows("k", 2000).select("k", "name", "end", "year", "division"), rows("e", 2000), "k", "e", "name", "end", "year", "canonical", "provider", "division", "superseded")
     assert {tuple(r[1:3]) for r in found.collect()} == {(None, None)} and most_joined(found) <= 2000
+
+
+def square(x, y, h):
+    return [(x - h, y - h), (x + h, y - h), (x + h, y + h), (x - h, y + h)]
+
+
+def test_near_boundaries_in_rounds(spark, monkeypatch):
+    from scorefield.session import written
+
+    joined = []
+
+    def watched(df, name, by=()):
+        df.collect()
+        joined.append(most_joined(df))
+        return written(df, name, by)
+
+    monkeypatch.setattr(U, "FIRST_EDGES", 4, raising=False)
+    monkeypatch.setattr(U, "MORE_EDGES", 3, raising=False)
+    monkeypatch.setattr(U, "written", watched, raising=False)
+    pick = random.Random(4)
+    at = lambda: (float(pick.randint(0, 60)), float(pick.randint(0, 60)))
+    crowd = [(100 + i, 200.0, 200.0) for i in range(300)]
+    points = [(i, *at()) for i in [*range(150), 7, 8]] + [(99, None, 1.0), (9, *at()), *crowd]
+    rings = [(i, *at(), float(pick.randint(1, 6))) for i in [*range(12), 3]] + [(None, *at(), 2.0), (50, 1.0, 1.0, 0.0)] + [(1000 + i, 200.0, 200.0, 2.0) for i in range(300)]
+
+    def far(x, y, cx, cy, h):
+        dx, dy = abs(x - cx), abs(y - cy)
+        return min(h - dx, h - dy) if dx <= h and dy <= h else (max(dx - h, 0) ** 2 + max(dy - h, 0) ** 2) ** 0.5
+
+    hits: dict[int, list] = {}
+    for k, x, y in points:
+        for r, *ring in rings:
+            if x is not None and ((r or 0) + k) % 3 and far(x, y, *ring) <= 3.0:
+                hits.setdefault(k, []).append((r, round(far(x, y, *ring), 6)))
+    want = sorted((k, *h[0]) for k, h in hits.items() if len(h) == 1)
+    p = spark.createDataFrame(points, "id int, x double, y double")
+    b = spark.createDataFrame([(r, square(*ring)) for r, *ring in rings], "ring_id int, ring array<struct<x:double,y:double>>")
+    agree = F.when(F.pmod(F.coalesce("ring_id", F.lit(0)) + F.col("id"), F.lit(3)) == 0, 0.2).otherwise(0.8)
+    found = U.near_boundary_join(p, b, "id", "ring_id", 3.0, agree)
+    assert sorted(((r["id"], r["ring_id"], round(r["distance"], 6)) for r in found.collect()), key=str) == sorted(want, key=str) and len(want) > 10
+    assert max([most_joined(found), *joined]) < 300 * 300 / 2
