@@ -150,3 +150,20 @@ def test_near_boundaries_in_rounds(spark, monkeypatch):
     found = U.near_boundary_join(p, b, "id", "ring_id", 3.0, agree)
     assert sorted(((r["id"], r["ring_id"], round(r["distance"], 6)) for r in found.collect()), key=str) == sorted(want, key=str) and len(want) > 10
     assert max([most_joined(found), *joined]) < 300 * 300 / 2
+
+
+def test_pairs_without_another_candidate(spark):
+    pick = random.Random(2)
+    side = lambda n: [(pick.choice([None, *range(n)]), pick.choice([None, *range(14)]), pick.choice(["x", "y"])) for _ in range(n)]
+    l, r = side(26), side(24)
+    pairs = {(a[0], b[0]) for a in l for b in r if a[1:] == b[1:] and a[1] is not None}
+    want = [p for p in pairs if sum(p[0] == q[0] for q in pairs) == 1 == sum(p[1] == q[1] for q in pairs)]
+    frame = lambda rows, k: spark.createDataFrame(rows, f"{k} int, e int, s string")
+    got = J.match_unique(frame(l, "l"), frame(r, "r"), ["e", "s"], "l", "r").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and len(want) > 2
+
+
+def test_ties_of_one_key_are_no_pairs(spark):
+    rows = lambda k: spark.range(2000).selectExpr(f"id AS {k}", "IF(id < 5, id, -1) AS e")
+    found = J.match_unique(rows("l"), rows("r"), ["e"], "l", "r")
+    assert sorted(map(tuple, found.collect())) == [(i, i) for i in range(5)] and most_joined(found) <= 2000
