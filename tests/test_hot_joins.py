@@ -167,3 +167,20 @@ def test_ties_of_one_key_are_no_pairs(spark):
     rows = lambda k: spark.range(2000).selectExpr(f"id AS {k}", "IF(id < 5, id, -1) AS e")
     found = J.match_unique(rows("l"), rows("r"), ["e"], "l", "r")
     assert sorted(map(tuple, found.collect())) == [(i, i) for i in range(5)] and most_joined(found) <= 2000
+
+
+def test_points_and_rings_of_one_place(spark):
+    pick = random.Random(6)
+    at = lambda: (float(pick.randint(0, 9)) + 0.5, float(pick.randint(0, 9)) + 0.5)
+    points = [(i, *at()) for i in range(120)] + [(5, *at()), (200, None, 1.5)] + [(1000 + i, 50.5, 50.5) for i in range(500)]
+    rings = [(i, *(float(pick.randint(0, 9)) for _ in range(2)), float(pick.randint(1, 2))) for i in range(25)] + [(500 + i, 50.0, 50.0, 2.0) for i in range(500)]
+    want = {}
+    for k, x, y in points:
+        held = [r for r, cx, cy, h in rings if x is not None and abs(x - cx) < h and abs(y - cy) < h]
+        want.setdefault(k, []).extend(held)
+    p = spark.createDataFrame(points, "id int, x double, y double")
+    b = spark.createDataFrame([(r, square(*ring)) for r, *ring in rings], "rid int, ring array<struct<x:double,y:double>>")
+    found = J.contains_join(p, b, "id", "rid", 3.0)
+    got = sorted((r["id"], r["rings"], r["rid"], r["verdict"]) for r in found.collect())
+    assert got == sorted((k, len(h), h[0] if len(h) == 1 else None, "match" if len(h) == 1 else "review" if h else "none") for k, h in want.items())
+    assert {r[3] for r in got} == {"match", "review", "none"} and most_joined(found) <= len(points)
