@@ -184,3 +184,32 @@ def test_points_and_rings_of_one_place(spark):
     got = sorted((r["id"], r["rings"], r["rid"], r["verdict"]) for r in found.collect())
     assert got == sorted((k, len(h), h[0] if len(h) == 1 else None, "match" if len(h) == 1 else "review" if h else "none") for k, h in want.items())
     assert {r[3] for r in got} == {"match", "review", "none"} and most_joined(found) <= len(points)
+
+
+def test_nearest_pairs_of_a_line(spark):
+    pick = random.Random(9)
+    at = lambda: pick.choice([None, *range(-40, 60)])
+    left = [(i, pick.choice([None, "u", "v"]), at()) for i in [*range(150), 3, 4]]
+    right = [(i, pick.choice([None, "u", "v"]), at()) for i in [*range(40), 6]]
+    pairs = [(a, b, abs(x - y)) for a, k, x in left for b, m, y in right if k and k == m and None not in (x, y)]
+    frame = lambda rows, k: spark.createDataFrame(rows, f"{k} int, kind string, at int")
+    found = J.nearest_pairs(frame(left, "a"), frame(right, "b"), ["kind"], "a", "b", "at", 7)
+    want = J.assign_exclusive(spark.createDataFrame(pairs, "a int, b int, distance int"), "a", "b", "distance", 7, 2).collect()
+    got = J.assign_exclusive(found, "a", "b", "distance", 7, 2).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 10
+    two = {}
+    for a, b, d in sorted(pairs, key=lambda p: (p[2], p[1])):
+        if d <= 7 and a not in (3, 4):
+            two.setdefault(a, []).append((a, b, d))
+    assert sorted(tuple(r) for r in found.where("a not in (3, 4)").collect()) == sorted(p for ps in two.values() for p in ps[:2])
+
+
+def test_exclusive_assignment_makes_no_pairs(spark, tmp_path):
+    from scorefield.plans import QUERIES
+
+    spark.range(2000).selectExpr("id AS c_custkey", "'c' AS c_name", "1 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(300).selectExpr("id AS s_suppkey", "'s' AS s_name", "1 AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    found = QUERIES["j18_assign_exclusive"](spark, str(tmp_path))
+    pairs = spark.sql("SELECT c.id AS a, s.id AS b, abs((c.id * 37) % 1000 - (s.id * 91) % 1000) AS d FROM range(2000) c, range(300) s")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, J.assign_exclusive(pairs, "a", "b", "d", 60, 15).collect()))
+    assert most_joined(found) <= 2000
